@@ -35,4 +35,76 @@ SELECT d.doc_id,
 FROM d
 """
 
-ORACLES = {"op5_substring_dedup": OP5, "op9_jaccard_join": OP9}
+OP2 = """
+WITH m AS (SELECT source, sum(length(text)) AS mass FROM documents GROUP BY source HAVING sum(length(text)) > 0),
+r AS (SELECT source, (power(mass, 0.7) / sum(power(mass, 0.7)) OVER ()) * (sum(mass) OVER () / mass) AS rate FROM m),
+k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate))::BIGINT + 25)) AS k FROM r),
+c AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+u AS (SELECT doc_id, source, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT doc_id, any_value(rate) AS rate, count(*) AS n FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND cdf <= u GROUP BY doc_id)
+SELECT d.*, n::INTEGER AS n_copies, round(rate, 6) AS rate, copy::INTEGER AS copy,
+  md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
+FROM documents d JOIN (SELECT doc_id, rate, n, unnest(range(1, n + 1)) AS copy FROM n) USING (doc_id)
+"""
+
+OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+_RATES = {
+    "symbol_rate": ("n_symbols * 1000 // greatest(word_chars, 1)", 20, False),
+    "dup_line_rate": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 100, False),
+    "repeat_rate": ("n_repeat_words * 1000 // greatest(n_words, 1)", 100, False),
+    "upper_rate": ("n_upper * 1000 // greatest(word_chars, 1)", 100, False),
+    "word_length": ("word_chars * 100 // greatest(n_words, 1)", 150, True),
+}
+
+
+def _fence(measure: str, slack: int, low: bool) -> str:
+    quartile = "(CASE WHEN ns >= 50 THEN s.{0} WHEN nl >= 50 THEN l.{0} ELSE a.{0} END)"
+    q1, q3 = quartile.format(f"q1_{measure}"), quartile.format(f"q3_{measure}")
+    reach = f"greatest(3 * ({q3} - {q1}), {slack})"
+    return f"coalesce({measure} <= {q3} + {reach}" + (f" AND {measure} >= {q1} - {reach}, true)" if low else ", true)")
+
+
+def _quartiles(measures) -> str:
+    # the smallest value that a quarter, or three quarters, of the rows don't exceed
+    return ", ".join(f"quantile_disc({m}, {q}) AS {n}_{m}" for m in measures for n, q in (("q1", 0.25), ("q3", 0.75)))
+
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+cov AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words,
+    length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+    (n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {", ".join(f"least({sql}, 2000) AS {m}" for m, (sql, _, _) in _RATES.items())} FROM m),
+s AS (SELECT lang, source, count(*) AS ns, {_quartiles(_RATES)} FROM b WHERE NOT base_failed GROUP BY ALL),
+l AS (SELECT lang, count(*) AS nl, {_quartiles(_RATES)} FROM b WHERE NOT base_failed GROUP BY ALL),
+a AS (SELECT {_quartiles(_RATES)} FROM b WHERE NOT base_failed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(_fence(m, slack, low) for m, (_, slack, low) in _RATES.items())} AS kept
+FROM b LEFT JOIN s ON b.lang IS NOT DISTINCT FROM s.lang AND b.source IS NOT DISTINCT FROM s.source
+LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
+"""
+
+ORACLES = {
+    "op2_source_mixing": OP2, "op3_topk_search": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_jaccard_join": OP9,
+}
