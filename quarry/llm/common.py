@@ -8,6 +8,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
 MAX_BROADCAST_ROWS = 20_000
@@ -69,3 +70,7 @@ def unpack(data: bytes | None) -> np.ndarray:
     z = out.reshape(-1).view(np.uint64)
     d = (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64)
     return np.cumsum(d)
+
+
+def fields(ddl: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(ddl).fields

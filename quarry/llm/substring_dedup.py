@@ -6,9 +6,9 @@ that repeats cover are removed, as maximal intervals. Three Spark stages do it:
 1. Each task hashes the windows of its texts in numpy. A window that occurs in several texts of the
    same block stays once, for the smallest id; the rest is known to be repeated. So a passage of a
    third of all documents reaches the shuffle once a block, not once a document.
-2. Hashes meet by bucket (a hash range, about 32 MB of text each, whatever the corpus size). There,
+2. Hashes meet by bucket (a hash range, about 16 MB of text each, whatever the corpus size). There,
    positions whose hash has a smaller id elsewhere are found.
-3. Positions meet with their documents, are merged into maximal intervals and cut out.
+3. Positions, packed by shards of documents, meet there, are joined to their documents, merged into maximal intervals and cut out.
 
 Hashes have 64 bits: among n windows the expected number of false repeats is about n**2 / 2**65.
 
@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 from . import common
 from .wordhash import Powers, WordHashes, blocks, window_hashes, word_hashes
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _PACKED = "bucket long, hashes binary, ids binary, sums binary, runs binary, at binary"
-_LOST = "id_ long, sum_ long, at binary"
+_REPEATS = "shard long, ids binary, sums binary, runs binary, at binary"
 
 
 def _packed(bucket: int, hashes: np.ndarray | None, text: np.ndarray, position: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> dict:
@@ -83,40 +83,61 @@ def _hash_windows(width: int, buckets: int, id_col: str, text_col: str):
     return run
 
 
-def _find_repeats(group: pa.Table) -> pa.Table:
-    hashes, ids, sums, at, passed = [], [], [], [], []
-    for row in group.to_batches():
-        for h, i, s, r, p in zip(*(row.column(c).to_pylist() for c in ("hashes", "ids", "sums", "runs", "at")), strict=True):
-            runs = common.unpack(r)
-            part = np.repeat(common.unpack(i), runs), np.repeat(np.frombuffer(s, np.int64), runs), common.unpack(p)
-            if h is None:
-                passed.append(part)
-                continue
-            hashes.append(np.frombuffer(h, np.uint64))
-            for kept, new in zip((ids, sums, at), part, strict=True):
-                kept.append(new)
-    if hashes:
-        all_hashes, all_ids, all_sums, all_at = (np.concatenate(x) for x in (hashes, ids, sums, at))
-        order = np.argsort(all_hashes)
-        ordered = all_hashes[order]
-        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        several = ~(first & np.concatenate((first[1:], [True])))
-        order, start = order[several], np.flatnonzero(first[several])
-        if len(order):
-            least = np.minimum.reduceat(all_ids[order], start)
-            lost = order[all_ids[order] > np.repeat(least, np.diff(start, append=len(order)))]
-            passed.append((all_ids[lost], all_sums[lost], all_at[lost]))
-    out = {"id_": [], "sum_": [], "at": []}
-    if sum(len(p[0]) for p in passed):
-        i, s, p = (np.concatenate(x) for x in zip(*passed, strict=True))
-        order = np.lexsort((p, s, i))
-        i, s, p = i[order], s[order], p[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (s[1:] != s[:-1]))))
-        for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
-            out["id_"].append(int(i[a]))
-            out["sum_"].append(int(s[a]))
-            out["at"].append(common.pack(p[a:b]))
-    return pa.table(out, schema=pa.schema([("id_", pa.int64()), ("sum_", pa.int64()), ("at", pa.binary())]))
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    runs = common.unpack(row["runs"])
+    return np.repeat(common.unpack(row["ids"]), runs), np.repeat(np.frombuffer(row["sums"], np.int64), runs), common.unpack(row["at"])
+
+
+def _by_text(ids: np.ndarray, sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by text and position, with the first index of each text."""
+    order = np.lexsort((at, sums, ids))
+    ids, sums, at = ids[order], sums[order], at[order]
+    return ids, sums, at, np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1]))))
+
+
+def _find_repeats(shards: int):
+    """Positions of one bucket whose hash has a smaller id elsewhere, packed by shards of documents."""
+    schema = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("ids", "sums", "runs", "at"))])
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, parts, lost = [], [], []
+        for row in group.to_pylist():
+            if row["hashes"] is None:
+                lost.append(_unpacked(row))
+            else:
+                hashes.append(np.frombuffer(row["hashes"], np.uint64))
+                parts.append(_unpacked(row))
+        if hashes:
+            values = np.concatenate(hashes)
+            ids, sums, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.argsort(values)
+            values = values[order]
+            first = np.concatenate(([True], values[1:] != values[:-1]))
+            several = ~(first & np.concatenate((first[1:], [True])))
+            order, start = order[several], np.flatnonzero(first[several])
+            if len(order):
+                least = np.minimum.reduceat(ids[order], start)
+                order = order[ids[order] > np.repeat(least, np.diff(start, append=len(order)))]
+                lost.append((ids[order], sums[order], at[order]))
+        rows = []
+        if sum(len(x[0]) for x in lost):
+            ids, sums, at = (np.concatenate(x) for x in zip(*lost, strict=True))
+            shard = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+            for s in np.unique(shard):
+                some = shard == s
+                i, k, p, start = _by_text(ids[some], sums[some], at[some])
+                rows.append({"shard": int(s), "ids": common.pack(i[start]), "sums": k[start].tobytes(), "runs": common.pack(np.diff(start, append=len(i))), "at": common.pack(p)})
+        return pa.Table.from_pylist(rows, schema)
+
+    return run
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """All repeated positions of each document of a shard."""
+    ids, sums, at, start = _by_text(*(np.concatenate(x) for x in zip(*map(_unpacked, group.to_pylist()), strict=True)))
+    starts = [common.pack(p) for p in np.split(at, start[1:])]
+    return pa.table([pa.array(ids[start]), pa.array(sums[start]), pa.array(starts, pa.binary())], ["id_", "sum_", "starts"])
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -134,7 +155,7 @@ def _cut(width: int, text_col: str):
             starts = batch.column(batch.num_columns - 1).to_pylist()
             n_removed, spans, kept = [], [], []
             for w, found in zip(words, starts, strict=True):
-                gone = intervals(np.concatenate([common.unpack(x) for x in found]), width) if found else []
+                gone = intervals(common.unpack(found), width) if found else []
                 left, last = [], 0
                 for a, b in gone:
                     left += w[last:a]
@@ -159,8 +180,8 @@ def repeated_starts(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     size = source.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
     buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
     hashed = source.withColumn("sum_", F.xxhash64("text_")).mapInArrow(_hash_windows(width, buckets, "id_", "text_"), _PACKED)
-    lost = hashed.groupBy("bucket").applyInArrow(_find_repeats, _LOST)
-    return lost.groupBy("id_", "sum_").agg(F.collect_list("at").alias("starts"))
+    lost = hashed.groupBy("bucket").applyInArrow(_find_repeats(buckets), _REPEATS)
+    return lost.groupBy("shard").applyInArrow(_gather, "id_ long, sum_ long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,5 +193,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         (F.coalesce(keyed[id_col].cast("long"), F.lit(NO_ID)) == lost["lost_id_"]) & (F.xxhash64(keyed[text_col].cast("string")) == lost["lost_sum_"]),
         "left",
     ).drop("lost_id_", "lost_sum_")
-    schema = T.StructType([*keyed.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, removed array<struct<from: long, to: long>>, kept string").fields])
+    schema = T.StructType([*keyed.schema.fields, *common.fields("n_words long, n_removed long, removed array<struct<from: long, to: long>>, kept string")])
     return joined.mapInArrow(_cut(width, text_col), schema)

@@ -16,7 +16,7 @@ import xxhash
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Words in one block of texts: bounds a task's memory. A single longer text is a block of its own.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 400_000
 
 
 class WordHashes(dict):
