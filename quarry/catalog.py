@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.workload import graph
+from quarry.workload import graph, retrieval
 
-MODULES = (graph,)
+MODULES = (graph, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
