@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.workload import graph, retrieval
+from quarry.workload import audit, dialogue, graph, retrieval
 
-MODULES = (graph, retrieval)
+MODULES = (graph, retrieval, audit, dialogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
