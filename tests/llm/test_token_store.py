@@ -56,15 +56,25 @@ def test_round_trip_with_odd_texts(spark, coder):
 
 
 def test_words_encode_like_whole_texts(coder):
-    known = token_store.WordIds("word_bpe_49k.json", bound=50)
+    known = token_store.UnitIds("word_bpe_49k.json", bound=50)
     draw = random.Random(1)
-    letters = "abcXYZéÉßñ.,!*$&%#|'’\"-_0129<>|Σİ́­中文"
-    for _ in range(300):
+    every = "abcXYZéÉßñ.,!*$&%#|'’\"-_0129<>|Σİ́­中文×"
+    few = "abcXYZéÉßñÇŁł.,!*$&%#|\"-_0129>\x1c\x00"
+    for n in range(400):
+        letters = every if n % 2 else few
         text = " ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(20))
-        got = np.frombuffer(b"".join(map(known.__getitem__, text.encode().split())), known.kind).tolist()
+        got = np.frombuffer(known.encode([text.encode()])[0], known.kind).tolist()
+        assert token_store.plain(text.encode()) or n % 2
         assert got == coder.encode(text, add_special_tokens=False).ids
 
 
+def test_every_latin_letter(coder):
+    known = token_store.UnitIds("word_bpe_49k.json")
+    for c in range(0xC0, 0x250):
+        for text in (f"a{chr(c)}b, {chr(c)}.", f"{chr(c)}{chr(c)}!?"):
+            assert np.frombuffer(known.encode([text.encode()])[0], known.kind).tolist() == coder.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 def test_damage_is_found(spark):
     docs = spark.createDataFrame([(i, f"some text number {i} " * 90) for i in range(20)], "doc_id long, text string")
     path = token_store.new_path(spark)
