@@ -33,7 +33,7 @@ from . import common
 from .wordhash import binary
 
 LABELLED, POOL = 20_000, 20_000
-ROUNDS, SHARE, SURE = 3, 0.1, 0.97
+ROUNDS, SHARE, SURE = 3, 0.1, 0.9
 HASHED = 1 << 18
 SIGNIFICANT = 25.0
 THRESHOLD = 0.5
