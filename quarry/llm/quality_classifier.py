@@ -188,13 +188,13 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray, k
         if turn == rounds or not len(pool):
             break
         for k, (view, rows) in enumerate(views):
-            p = sigmoid(view.logits([rows[i] for i in pool], view.table()))
+            left = np.array([i for i in pool if int(i) not in given[1 - k]], np.int64)
+            p = sigmoid(view.logits([rows[i] for i in left], view.table()))
             most = int(SHARE * len(fitted)) + 1
             order = np.argsort(p, kind="stable")
             # as many of each class as the labels' shares say, and only if the view is sure
             bad, fine = order[: int(most * (1 - share)) + 1], order[::-1][: int(most * share) + 1]
-            new = {int(pool[i]): 1.0 for i in fine if p[i] >= SURE} | {int(pool[i]): 0.0 for i in bad if p[i] <= 1 - SURE}
-            given[1 - k] = new | given[1 - k]
+            given[1 - k] |= {int(left[i]): 1.0 for i in fine if p[i] >= SURE} | {int(left[i]): 0.0 for i in bad if p[i] <= 1 - SURE}
     return model
 
 
