@@ -26,6 +26,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def text_key(c: Column | str) -> Column:
     """Folded, with single spaces; punctuation stays."""
     return squeeze(fold(c))

@@ -31,6 +31,6 @@ def last_content_words(c: Column | str, n: int = 3, stop_words: tuple[str, ...]
 
 def activities(c: Column | str) -> Column:
     """Array of (item, hours) from a list in prose: parts between commas, semicolons or line feeds with a number of hours."""
-    parts = F.split(text.col(c), r"[,;\n]")
+    parts = F.split(text.col(c), r",\s+|[;\n]")
     found = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(p, r"\d+([.,]\d+)?\s*h(ours)?", "")).alias("item"), F.expr("1.0D").alias("hours"), F.regexp_extract(p, r"(\d+([.,]\d+)?)\s*h", 1).alias("raw")))
     return F.transform(F.filter(found, lambda s: s["raw"] != ""), lambda s: F.struct(s["item"].alias("item"), F.replace(s["raw"], F.lit(","), F.lit(".")).cast("double").alias("hours")))
