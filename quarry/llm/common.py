@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.lineage import checkpoint, shared_dir
+
+__all__ = ["checkpoint", "fields", "join_lookup", "pack", "partitions", "shared_dir", "table", "unpack"]
+
 #: Most rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
 MAX_BROADCAST_ROWS = 20_000
 
@@ -18,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; unset (in tests): a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        known = spark.sparkContext.getCheckpointDir()
-        shared = known or os.path.join(tempfile.gettempdir(), "quarry-checkpoints")
-    return shared.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join a checkpointed lookup table: broadcast if it has at most max_rows rows, else left to Spark's shuffle joins.
 
