@@ -12,7 +12,7 @@ A recipe's root is the Merkle root of its chunk digests; a part's root that of i
 hashes every chunk file's content again, resolves every recipe through the chunks, and recomputes the roots; any difference raises.
 
 White space never lies within a token of this kind of tokenizer (its normaliser turns it into one space and its pattern drops
-that), so a text's ids are the joined ids of its words; each task remembers those of frequent words.
+that), so a text's ids are the joined ids of its words, or of the smaller units that its pattern cuts; each task remembers those of frequent ones.
 
 Defined results: a null text is empty and so one id, END. Rows with equal ids are documents of their own, in order of their digests; null ids come first.
 """
@@ -20,12 +20,12 @@ Defined results: a null text is empty and so one id, END. Rows with equal ids ar
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,15 @@ from .wordhash import Powers, binary, window_hashes
 END = 1
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 64, 8, 2048
 DIGEST = 16
-#: Letters (each with a single letter as its lower case) and trailing marks, which the tokenizer's pattern always parts.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:*$&%#!?|]+)")
+#: Kinds of a plain text's bytes in lower case. A unit is a run of one kind, but digits stand alone and white space is dropped.
+WHITE, LETTER, DIGIT, MARK = range(4)
+KINDS = np.array([WHITE if b in b" \t\n\v\f\r" else LETTER if b >= 0x80 or chr(b).islower() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
+#: Bytes of texts that are cut at once.
+BLOCK_BYTES = 4 << 20
+#: First bytes of UTF-8 characters outside U+00C0 to U+024F.
+FOREIGN = bytes([0xC2, *range(0xCA, 0xF5)])
+#: In that range: the signs of multiplication and division, and the dotted capital I, whose lower case is two characters.
+UNLIKE = ("×".encode(), "÷".encode(), "İ".encode())
 
 
 @cache
@@ -55,50 +62,128 @@ def tokenizer(name: str):
     return Tokenizer.from_file(name)
 
 
-class WordIds(dict):
-    """The ids of words, as little-endian bytes, remembered up to a bound."""
+def byte_letters() -> list[str]:
+    """The letter that byte-level pieces use for each byte: itself if it is visible in Latin-1, else the next from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
+class UnitIds(dict):
+    """The ids of units, as little-endian bytes. Once `bound` are new, they replace the older ones.
+
+    In a plain text (ASCII and Latin letters, no apostrophes, no <) the tokenizer's pattern splits exactly into runs of letters, single digits and
+    runs of marks; these units are asked from the tokenizer's model itself. Any other text goes through the whole tokenizer by words,
+    which it never joins.
+    """
 
     def __init__(self, name: str, bound: int = 300_000):
         super().__init__()
         self.coder, self.bound = tokenizer(name), bound
         self.kind = np.dtype("<u2") if self.coder.get_vocab_size() <= 65536 else np.dtype("<u4")
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.old: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+        self.merged = self.coder.model.tokenize
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            text = unit.decode()
+            if not (text.isascii() and text.isprintable()):
+                text = "".join(map(self.letters.__getitem__, text.lower().encode()))
+            found = self.merged(text)
+            ids = pack(f"<{len(found)}{self.kind.char}", *[t.id for t in found])
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        text = word.decode()
-        if m := PLAIN.fullmatch(text):
-            letters = m[1].lower() if m[1].isascii() else m[1]
-            ids = self[letters.encode()] + self[m[2].encode()]
-        elif text.isascii() and text.isalpha() and not text.islower():
-            ids = self[text.lower().encode()]
-        else:
-            ids = np.array(self.coder.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        self[word] = ids
+        self[unit] = ids
         return ids
 
+    def word(self, word: bytes) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            found = self.coder.encode(word.decode(), add_special_tokens=False).ids
+            ids = pack(f"<{len(found)}{self.kind.char}", *found)
+            if len(self.words) >= self.bound // 4:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Plain texts are cut into units together, and only distinct units are looked up one by one."""
+        flat = [i for i, text in enumerate(texts) if text and plain(text)]
+        found = dict(zip(flat, self._units([texts[i] for i in flat]), strict=True)) if flat else {}
+        return [found[i] if i in found else b"".join(map(self.word, text.split())) for i, text in enumerate(texts)]
+
+    def _units(self, texts: list[bytes]) -> list[bytes]:
+        whole = np.frombuffer(b" ".join(texts).lower(), np.uint8)
+        ends_of_texts = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kind = KINDS[whole]
+        some = kind != WHITE
+        cut = np.ones(len(whole) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts = np.flatnonzero(cut[:-1] & some)
+        lengths = np.flatnonzero(cut[1:] & some) + 1 - starts
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(lengths, out=offsets[1:])
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole[some])]).dictionary_encode()
+        data, at = units.dictionary.buffers()[2].to_pybytes(), np.frombuffer(units.dictionary.buffers()[1], np.int32)[: len(units.dictionary) + 1].tolist()
+        known = [self[data[a:b]] for a, b in zip(at, at[1:], strict=False)]
+        n_ids = np.array(list(map(len, known)), np.int64) // self.kind.itemsize
+        first = np.cumsum(n_ids) - n_ids
+        which = units.indices.to_numpy()
+        each = n_ids[which]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        flat = np.frombuffer(b"".join(known), self.kind)[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])]
+        last = upto[np.searchsorted(starts, ends_of_texts)]
+        return [x.tobytes() for x in np.split(flat, last[:-1])]
+
+
+def plain(text: bytes) -> bool:
+    """Whether all characters are ASCII or letters of U+00C0 to U+024F with one letter as lower case, but no apostrophe or <."""
+    if b"'" in text or b"<" in text:
+        return False
+    return text.isascii() or (len(text.translate(None, FOREIGN)) == len(text) and not any(x in text for x in UNLIKE))
+
 
 @cache
-def word_ids(name: str) -> WordIds:
-    return WordIds(name)
+def unit_ids(name: str) -> UnitIds:
+    return UnitIds(name)
 
 
-def chunk_ends(ids: np.ndarray, powers: Powers) -> list[int]:
-    """Where chunks end: after a window whose hash has MEAN_BITS zeros; LEAST to MOST ids each, but for the last."""
-    n = len(ids)
+def chunk_ends(streams: list[np.ndarray], powers: Powers) -> list[list[int]]:
+    """Where each stream's chunks end: after a window whose hash has MEAN_BITS zeros; LEAST to MOST ids each, but for the last."""
+    ids = np.concatenate(streams)
     spread = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     spread ^= spread >> np.uint64(32)
-    hashes, _, position = window_hashes(spread, np.array([n]), WINDOW, powers)
-    cuts = position[(hashes & np.uint64((1 << MEAN_BITS) - 1)) == 0] + WINDOW
-    ends, last = [], 0
-    for c in [*cuts.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            ends.append(last)
-        if c - last >= LEAST or (c == n and c > last):
-            ends.append(c)
-            last = c
-    return ends
+    hashes, stream, position = window_hashes(spread, np.cumsum([len(x) for x in streams]), WINDOW, powers)
+    here = np.flatnonzero((hashes & np.uint64((1 << MEAN_BITS) - 1)) == 0)
+    cuts, at = (position[here] + WINDOW).tolist(), np.searchsorted(stream[here], np.arange(len(streams) + 1)).tolist()
+    out = []
+    for k, x in enumerate(streams):
+        n, ends, last = len(x), [], 0
+        for c in [*cuts[at[k] : at[k + 1]], n]:
+            while c - last > MOST:
+                last += MOST
+                ends.append(last)
+            if c - last >= LEAST or (c == n and c > last):
+                ends.append(c)
+                last = c
+        out.append(ends)
+    return out
+
+
+def slices(texts: list, most: int = BLOCK_BYTES) -> Iterator[slice]:
+    """Runs of texts of at most `most` bytes, or one."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t or b"") > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t or b"")
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def digest(data: bytes) -> bytes:
@@ -124,22 +209,24 @@ def _encode(name: str):
     schema = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers, stored = word_ids(name), Powers(), set()
+        known, powers, stored = unit_ids(name), Powers(), set()
         end, width = np.array([END], known.kind).tobytes(), known.kind.itemsize
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                data = b"".join(map(known.__getitem__, text.split())) + end if text else end
-                last, recipe = 0, []
-                for e in chunk_ends(np.frombuffer(data, known.kind), powers):
-                    piece = data[last * width : e * width]
-                    recipe.append(d := digest(piece))
-                    if d not in stored:
-                        stored.add(d)
-                        rows.append(("chunks", d, e - last, piece, None))
-                    last = e
-                rows.append(("recipes", b"".join(recipe), last, None, doc))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            all_docs, all_texts = batch.column(0).to_pylist(), [t or b"" for t in binary(batch.column(1))]
+            for part in slices(all_texts):
+                streams = [ids + end for ids in known.encode(all_texts[part])]
+                rows = []
+                for doc, data, ends in zip(all_docs[part], streams, chunk_ends([np.frombuffer(x, known.kind) for x in streams], powers), strict=True):
+                    last, recipe = 0, []
+                    for e in ends:
+                        piece = data[last * width : e * width]
+                        recipe.append(d := digest(piece))
+                        if d not in stored:
+                            stored.add(d)
+                            rows.append(("chunks", d, e - last, piece, None))
+                        last = e
+                    rows.append(("recipes", b"".join(recipe), last, None, doc))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -254,20 +341,23 @@ def crc_shift(n_ids: int) -> int:
 
 def crc_joined(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of joined id streams from (ids, CRC-32) of each."""
-    total = 0
-    for n, crc in parts:
+    total = parts[0][1]
+    for n, crc in parts[1:]:
         total = crc_times(crc_shift(n), total) ^ crc
     return total
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        seqs, roots, sizes, parts = (batch.column(batch.schema.get_field_index(c)) for c in ("seq", "root", "n_tokens", "parts"))
+        at = parts.offsets.to_pylist()
+        digests, n, crcs = (parts.values.field(c).to_pylist() for c in ("digest", "n", "crc"))
         crc = []
-        for seq, root, n_tokens, parts in zip(*(batch.column(c).to_pylist() for c in ("seq", "root", "n_tokens", "parts")), strict=True):
-            if merkle([p["digest"] for p in parts]) != root or sum(p["n"] for p in parts) != n_tokens:
+        for seq, root, size, a, b in zip(seqs.to_pylist(), roots.to_pylist(), sizes.to_pylist(), at, at[1:], strict=False):
+            if None in n[a:b] or sum(n[a:b]) != size or merkle(digests[a:b]) != root:
                 raise ValueError(f"document {seq} of the stream differs from its recipe")
-            crc.append(crc_joined([(p["n"], p["crc"]) for p in parts]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc.append(crc_joined(list(zip(n[a:b], crcs[a:b], strict=True))))
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _references(recipes: DataFrame) -> DataFrame:
@@ -278,7 +368,7 @@ def _references(recipes: DataFrame) -> DataFrame:
 
 
 def id_bytes(vocabulary: str) -> int:
-    return WordIds(vocabulary).kind.itemsize
+    return unit_ids(vocabulary).kind.itemsize
 
 
 def verify_store(spark: SparkSession, path: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
