@@ -7,7 +7,7 @@ back any text exactly. Of equal sums the one whose last piece is longer wins, po
 
 Pieces with a space have it in front only, so a text falls into parts (spaces and what follows them; line feeds, which no
 piece holds, by themselves) with independent segmentations; a task remembers those of frequent parts. A model for which
-that doesn't hold is segmented in one go.
+that doesn't hold is segmented in one go. Unknown parts of a block of texts advance through the automaton together, as arrays.
 
 Spaces are the model's U+2581, with one in front of the text, as its own rules say; a U+2581 in a text goes through byte pieces.
 
@@ -33,6 +33,8 @@ from . import common
 
 UNKNOWN = 10.0
 INFINITE = float("inf")
+#: Characters of texts cut at once, and the longest parts, and most of them, that are segmented together.
+BLOCK_CHARACTERS, TOGETHER, GROUP = 4_000_000, 48, 20_000
 SPACE = "▁"
 
 
@@ -93,8 +95,102 @@ class Automaton:
         return found
 
 
+class Table:
+    """The automaton as arrays, to advance many texts at once. Transitions are an open-addressing hash table."""
+
+    def __init__(self, a: Automaton):
+        self.bits = max(4, (3 * len(a.step)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.targets = np.zeros(1 << self.bits, np.int32)
+        keys, targets = np.fromiter(a.step.keys(), np.int64, len(a.step)), np.fromiter(a.step.values(), np.int32, len(a.step))
+        slots = self._slot(keys)
+        while len(keys):  # each round places one key of every free slot, and moves the rest on
+            free = self.keys[slots] == -1
+            _, one = np.unique(slots[free], return_index=True)
+            placed = np.flatnonzero(free)[one]
+            self.keys[slots[placed]], self.targets[slots[placed]] = keys[placed], targets[placed]
+            rest = np.ones(len(keys), bool)
+            rest[placed] = False
+            keys, targets, slots = keys[rest], targets[rest], (slots[rest] + 1) & ((1 << self.bits) - 1)
+        self.fail, self.link, self.depth = (np.array(x, np.int32) for x in (a.fail, a.link, a.depth))
+        self.piece, self.score = np.array(a.piece, np.int64), np.array(a.score)
+        self.first = np.where(self.piece >= 0, np.arange(len(self.piece), dtype=np.int32), self.link)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Targets, or -1."""
+        slots = self._slot(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.targets[slots], -1)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        while len(left):
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.targets[slots[left[hit]]]
+            left = left[~hit & (held != -1)]
+        return out
+
+    def after(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The next node of each, along failure links where there is no transition."""
+        out = self._find(nodes.astype(np.int64) << 21 | chars)
+        left = np.flatnonzero(out < 0)
+        at = nodes[left]
+        while len(left):
+            root = at == 0
+            out[left[root]] = 0
+            left, at = left[~root], self.fail[at[~root]]
+            found = self._find(at.astype(np.int64) << 21 | chars[left])
+            hit = found >= 0
+            out[left[hit]] = found[hit]
+            left, at = left[~hit], at[~hit]
+        return out.astype(np.int32)
+
+    def segment(self, texts: list[str], unknown: float, kind: np.dtype) -> list[bytes | None]:
+        """The ids of each text, longest texts first; None for one with a character that is no piece."""
+        lengths = np.array(list(map(len, texts)))
+        n, longest = len(texts), int(lengths[0]) if len(texts) else 0
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        best, back = np.full((longest + 1, n), -np.inf), np.zeros((longest + 1, n), np.int32)
+        best[0] = 0
+        strange = np.zeros(n, bool)
+        node = np.zeros(n, np.int32)
+        for t in range(longest):
+            m = int(np.searchsorted(-lengths, -t))  # of the texts with more than t characters
+            node[:m] = self.after(node[:m], codes[begin[:m] + t])
+            out = self.first[node[:m]]
+            who = np.flatnonzero(out)
+            out, least = out[who], np.zeros(m, np.int32)
+            while len(who):
+                length = self.depth[out]
+                least[who] = length
+                total = best[t + 1 - length, who] + self.score[out]
+                better = total > best[t + 1, who]
+                best[t + 1, who[better]], back[t + 1, who[better]] = total[better], out[better]
+                out = self.link[out]
+                more = out > 0
+                who, out = who[more], out[more]
+            strange[:m] |= least != 1
+        ids = np.full((n, longest), -1, np.int64)
+        position, step = lengths.copy(), longest
+        who = np.flatnonzero(~strange & (lengths > 0))
+        while len(who):
+            step -= 1
+            out = back[position[who], who]
+            ids[who, step] = self.piece[out]
+            position[who] -= self.depth[out]
+            who = who[position[who] > 0]
+        valid = ids >= 0
+        cuts = np.cumsum(valid.sum(axis=1)) * kind.itemsize
+        flat = ids[valid].astype(kind).tobytes()
+        return [None if s else flat[a:b] for s, a, b in zip(strange.tolist(), [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+
 class Codec:
-    def __init__(self, model: str, remembered: int = 150_000):
+    def __init__(self, model: str, remembered: int = 120_000):
         import sentencepiece
 
         if not os.path.isabs(model):
@@ -114,12 +210,13 @@ class Codec:
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
         self.automaton = Automaton(pieces)
-        free = not any(" " in p.lstrip(" ") or ("\n" in p and len(p) > 1) for p in pieces)
-        self.parts = re.compile(r"\n| *[^ \n]+| +" if free else r"(?s).+").findall
+        self.free = not any(" " in p.lstrip(" ") or ("\n" in p and len(p) > 1) for p in pieces)
+        self.parts = re.compile(r"\n| *[^ \n]+| +" if self.free else r"(?s).+").findall
         # of frequent parts; once `remembered` are new, they replace the old ones
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.remembered = remembered
+        self.table = Table(self.automaton)
 
     def segment(self, text: str) -> tuple[list[int], float]:
         """The ids of the best segmentation and its score."""
@@ -152,21 +249,66 @@ class Codec:
                 at -= depth[back[at]]
         return ids[::-1], best[-1]
 
-    def part(self, text: str) -> bytes:
-        ids = self.old.get(text)
-        if ids is None:
-            ids = pack(f"<{len(found)}{self.kind.char}", *found) if (found := self.segment(text)[0]) else b""
-        if len(text) <= 40:
-            if len(self.known) >= self.remembered:
-                self.old = dict(self.known)
-                self.known.clear()
-            self.known[text] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian bytes."""
-        get, part = self.known.get, self.part
-        return b"".join([get(p) or part(p) for p in self.parts(" " + text)]) if text else b""
+    def packed(self, text: str) -> bytes:
+        ids = self.segment(text)[0]
+        return pack(f"<{len(ids)}{self.kind.char}", *ids)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes; of a null or empty one none."""
+        if not self.free:
+            return [self.packed(" " + t) if t else b"" for t in texts]
+        out, block, size = [b""] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if text:
+                block.append(i)
+                size += len(text)
+            if block and (size > BLOCK_CHARACTERS or i == len(texts) - 1):
+                for k, ids in zip(block, self._block([(" " + texts[k]).encode() for k in block]), strict=True):
+                    out[k] = ids
+                block, size = [], 0
+        return out
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        """Cut into parts together; only distinct parts are looked up, and only unknown ones are segmented."""
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        start = np.ones(len(whole), bool)
+        start[1:] = ((whole[1:] == 32) & (whole[:-1] != 32)) | (whole[1:] == 10) | (whole[:-1] == 10)
+        start[ends[:-1]] = True
+        at = np.append(np.flatnonzero(start), len(whole)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(whole)]).dictionary_encode()
+        data, cut = parts.dictionary.buffers()[2].to_pybytes(), np.frombuffer(parts.dictionary.buffers()[1], np.int32)[: len(parts.dictionary) + 1].tolist()
+        distinct = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        found = [self.known.get(p) or self.old.get(p) for p in distinct]
+        missing = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(missing, self.segment_all([distinct[i].decode() for i in missing]), strict=True):
+            found[i] = ids
+        if len(self.known) + len(missing) > self.remembered:
+            self.old, self.known = self.known, {}
+        self.known.update((p, f) for p, f in zip(distinct, found, strict=True) if len(p) <= 40)
+        n_ids = np.array(list(map(len, found)), np.int64) // self.kind.itemsize
+        first = np.cumsum(n_ids) - n_ids
+        which = parts.indices.to_numpy()
+        each = n_ids[which]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        flat = np.frombuffer(b"".join(found), self.kind)[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])]
+        return [x.tobytes() for x in np.split(flat, upto[np.searchsorted(at, ends[:-1])])]
+
+    def segment_all(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, as bytes: all parts of a group advance through the automaton together, one character a step."""
+        out = [b""] * len(parts)
+        short = []
+        for i, p in enumerate(parts):
+            if len(p) <= TOGETHER:
+                short.append(i)
+            else:
+                out[i] = self.packed(p)
+        short.sort(key=lambda i: -len(parts[i]))
+        for at in range(0, len(short), GROUP):
+            group = short[at : at + GROUP]
+            for i, ids in zip(group, self.table.segment([parts[i] for i in group], self.unknown, self.kind), strict=True):
+                out[i] = self.packed(parts[i]) if ids is None else ids
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:].decode()
@@ -181,7 +323,7 @@ def _encode(model: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            data = [c.encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
+            data = c.encode(batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist())
             ends = np.cumsum([0, *(len(d) // c.kind.itemsize for d in data)], dtype=np.int32)
             flat = np.frombuffer(b"".join(data), c.kind).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))

@@ -41,7 +41,7 @@ def test_scores_are_the_best(codec, pieces):
     draw = random.Random(3)
     for _ in range(60):
         text = "".join(draw.choice("theraningof  é.,\nñ日▁Z0") for _ in range(60))
-        ids = np.frombuffer(codec.encode(text), codec.kind)
+        ids = np.frombuffer(codec.encode([text])[0], codec.kind)
         names = [codec.bytes_of[i].decode() if i >= 259 else None for i in ids]
         unknown = sum(codec.unknown for p in codec.parts(" " + text) for c in p if c not in pieces)
         got = sum(pieces[n] for n in names if n) + unknown
@@ -55,7 +55,16 @@ def test_any_text_comes_back(text):
 
     c = shared(MODEL)
     text = text.encode("utf-8", "ignore").decode()
-    assert c.decode(np.frombuffer(c.encode(text), c.kind)) == text
+    assert c.decode(np.frombuffer(c.encode([text])[0], c.kind)) == text
+
+
+def test_parts_together_as_alone(codec, monkeypatch):
+    monkeypatch.setattr("quarry.llm.sentencepiece_codec.TOGETHER", 20)
+    draw = random.Random(9)
+    parts = ["".join(draw.choice("theraningof éç,.ñ日▁Z0s") for _ in range(draw.randint(1, 24))) for _ in range(3000)]
+    expected = [np.array(codec.segment(p)[0], codec.kind).tobytes() for p in parts]
+    assert codec.segment_all(parts) == expected
+    assert codec.segment_all([]) == []
 
 
 def test_output_links_give_every_suffix_piece():
