@@ -16,29 +16,30 @@ from quarry.operators.similarity import cosine
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, f): term frequencies."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(text.tokens(text_col)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("f"))
+#: Most query terms that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_TERMS = 50_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, doc, score): the k best documents of each query by BM25 (Okapi), ties to the smaller id.
 
-    docs: (doc_id, text); queries: (query, text). Negative inverse document frequencies become EPSILON times the mean one. A repeated query term counts
-    as often as it is repeated. Only postings of query terms are scored; corpus statistics are one row each.
+    docs: (doc_id, text), an id a row; queries: (query, text). Negative inverse document frequencies become EPSILON times the mean one. A repeated query
+    term counts as often as it is repeated. Only counts by term are shuffled for the statistics, and only postings of query terms for the scores.
     """
-    tf = terms(docs)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    size = docs.select(F.size(text.tokens("text")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    raw = df.crossJoin(F.broadcast(size)).withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = checkpoint(raw.select("term", "idf", "mean"))
+    cut = docs.select(F.col("doc_id").alias("doc"), text.tokens("text").alias("t"))
+    df = checkpoint(cut.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    size = cut.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
+    raw = df.crossJoin(F.broadcast(size)).select("term", "mean", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean_idf = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query", F.explode(text.tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
     weight = asked.join(raw, "term").crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    length = docs.select(F.col("doc_id").alias("doc"), F.size(text.tokens("text")).alias("dl"))
-    hits = tf.join(length, "doc").join(weight, "term")
+    weight = checkpoint(weight)
+    wanted = weight.select("term").distinct()
+    if wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    tf = cut.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
     part = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(weight, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return best(scored, "query", "doc", k)
 
 
