@@ -3,7 +3,7 @@
 Vectors are dealt into blocks; each (query block, vector block) pair is a task. It holds one list of
 the block's vectors per dimension, sorted by that component. For a query, a list is read from its high
 end where the query's component is positive and from its low end where it is negative, so the
-contributions in every list fall. Reading goes on in steps that double. After each step every vector has a lower bound
+contributions in every list fall. Reading goes on in steps that triple. After each step every vector has a lower bound
 (what was read of it) plus an upper bound (for each list where it was not read, at most the list's
 last contribution). A query stops when no outsider's upper bound reaches the k-th best lower bound; then the final
 scores of the vectors that can still be among the best are resolved. Each task returns k rows per query at most, and a
@@ -29,54 +29,48 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors and queries of one task at most, and queries that are answered at once.
-VECTOR_BLOCK, QUERY_BLOCK, AT_ONCE = 16384, 16384, 64
+VECTOR_BLOCK, QUERY_BLOCK, AT_ONCE = 16384, 16384, 128
 FIRST_STEP = 64
 
 
 def nra(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, indexes, scores) of the k best vectors of one block for each query; ids ascend."""
-    n, dims = vectors.shape
-    order = np.argsort(vectors, axis=0, kind="stable").T
-    lists = np.take_along_axis(vectors.T, order, axis=1)
-    floats = vectors.astype(np.float64)
-    low_end, high_end = lists[:, 0].astype(np.float64), lists[:, -1].astype(np.float64)
-    for at in range(0, len(queries), AT_ONCE):
-        q = queries[at : at + AT_ONCE].astype(np.float64)
-        active = np.arange(len(q))
-        known = np.zeros((len(q), n))
-        # seen[s][v, d]: the list of dimension d, read from its high (s = 0) or low end, has come to vector v
-        seen = np.zeros((2, n, dims), bool)
-        read, step = 0, FIRST_STEP
-        mine = np.searchsorted(ids, own[at : at + AT_ONCE])
-        mine = np.where((mine < n) & (ids[np.minimum(mine, n - 1)] == own[at : at + AT_ONCE]), mine, -1)
-        while len(active):
-            upto = min(read + step, n)
-            for d in range(dims):
-                for s, members in enumerate((active[q[active, d] > 0], active[q[active, d] < 0])):
-                    if len(members):
-                        part = slice(read, upto) if s else slice(n - upto, n - read)
-                        which = order[d, part]
-                        seen[s, which, d] = True
-                        known[np.ix_(members, which)] += q[members, d][:, None] * lists[d, part]
-            read, step = upto, step * 2
-            up, down = np.maximum(q[active], 0), np.minimum(q[active], 0)
-            unseen = [(~x).astype(np.float64).T for x in seen]
-            ahead = [lists[:, n - read].astype(np.float64), lists[:, read - 1].astype(np.float64)]
-            upper = known[active] + (up * ahead[0]) @ unseen[0] + (down * ahead[1]) @ unseen[1]
-            lower = known[active] + (up * low_end) @ unseen[0] + (down * high_end) @ unseen[1]
-            still = []
-            for row, a in enumerate(active):
-                if mine[a] >= 0:
-                    upper[row, mine[a]] = lower[row, mine[a]] = -np.inf
-                bound = np.partition(lower[row], n - k)[n - k] if n > k else -np.inf
-                can = np.flatnonzero((upper[row] >= bound) & (upper[row] > -np.inf))
-                if read < n and len(can) > 4 * k:
-                    still.append(a)
-                    continue
-                scores = (floats[can] @ q[a]).astype(np.int64)
-                best = np.lexsort((ids[can], -scores))[:k]
-                yield at + int(a), can[best], scores[best]
-            active = np.array(still, np.int64)
+    """(query, indexes, scores) of the k best vectors of one block for each query; ids ascend.
+
+    What is read of the lists is the same for all queries that are still open, so a step's bounds are products: of each query's
+    positive and negative part with the components read from the high and the low ends, or the bounds that stand in for unread ones.
+    """
+    n = len(vectors)
+    values, asked = vectors.astype(np.float64), queries.astype(np.float64)
+    order = np.argsort(vectors, axis=0, kind="stable")
+    lists = np.take_along_axis(values, order, axis=0)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+    mine = np.searchsorted(ids, own)
+    mine = np.where((mine < n) & (ids[np.minimum(mine, n - 1)] == own), mine, -1)
+    active, read, step = np.arange(len(asked)), 0, FIRST_STEP
+    while len(active):
+        read, step = min(read + step, n), step * 3
+        from_high, from_low = place >= n - read, place < read
+        upper_high, upper_low = np.where(from_high, values, lists[n - read]).T, np.where(from_low, values, lists[read - 1]).T
+        lower_high, lower_low = np.where(from_high, values, lists[0]).T, np.where(from_low, values, lists[-1]).T
+        still = []
+        for at in range(0, len(active), AT_ONCE):
+            some = active[at : at + AT_ONCE]
+            up, down = np.maximum(asked[some], 0), np.minimum(asked[some], 0)
+            upper = up @ upper_high + down @ upper_low
+            lower = up @ lower_high + down @ lower_low if read < n else upper.copy()
+            theirs = np.flatnonzero(mine[some] >= 0)
+            upper[theirs, mine[some[theirs]]] = lower[theirs, mine[some[theirs]]] = -np.inf
+            bound = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf)
+            can = (upper >= bound[:, None]) & (upper > -np.inf)
+            open_ = (can.sum(axis=1) > 4 * k) & (read < n)
+            still.append(some[open_])
+            for row in np.flatnonzero(~open_):
+                who = np.flatnonzero(can[row])
+                scores = (values[who] @ asked[some[row]]).astype(np.int64)
+                best = np.lexsort((ids[who], -scores))[:k]
+                yield int(some[row]), who[best], scores[best]
+        active = np.concatenate(still)
 
 
 def _search(k: int):
