@@ -92,9 +92,13 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     return found.select("lang_", "source_", *out)
 
 
-def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents with their measures, base_failed and kept."""
-    measured = common.checkpoint(measure(docs, text_col))
+def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """The documents (without their texts, if keep_text is false) with their measures, base_failed and kept.
+
+    Measures are checkpointed, as fences and verdicts both need them; without texts that takes little room.
+    """
+    measured = measure(docs, text_col)
+    measured = common.checkpoint(measured if keep_text else measured.drop(text_col))
     limits = common.checkpoint(fences(measured, lang_col, source_col))
     joined = common.join_lookup(measured, limits, measured[lang_col].eqNullSafe(limits["lang_"]) & measured[source_col].eqNullSafe(limits["source_"]))
     inside = F.lit(True)

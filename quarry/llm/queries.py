@@ -41,7 +41,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
