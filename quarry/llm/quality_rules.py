@@ -29,8 +29,8 @@ CELLS = 2001
 #: measure: (SQL, slack, whether low values are rejected too)
 MEASURES = {
     "symbol_rate": ("n_symbols * 1000 div greatest(word_chars, 1)", 20, False),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100, False),
-    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100, False),
+    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 300, False),
+    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 300, False),
     "upper_rate": ("n_upper * 1000 div greatest(word_chars, 1)", 100, False),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 150, True),
 }

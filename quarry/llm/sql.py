@@ -60,8 +60,8 @@ FROM s QUALIFY rank <= 10
 
 _RATES = {
     "symbol_rate": ("n_symbols * 1000 // greatest(word_chars, 1)", 20, False),
-    "dup_line_rate": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 100, False),
-    "repeat_rate": ("n_repeat_words * 1000 // greatest(n_words, 1)", 100, False),
+    "dup_line_rate": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 300, False),
+    "repeat_rate": ("n_repeat_words * 1000 // greatest(n_words, 1)", 300, False),
     "upper_rate": ("n_upper * 1000 // greatest(word_chars, 1)", 100, False),
     "word_length": ("word_chars * 100 // greatest(n_words, 1)", 150, True),
 }
