@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     first = verdicts.join(ids.distinct(), "doc_id").withColumn("number", number).orderBy("number").limit(labelled)
     rest = ids.join(verdicts, "doc_id", "left_anti").distinct().select("doc_id", F.lit(None).cast("double").alias("good"), number.alias("number")).orderBy("number").limit(pool)
     chosen = common.checkpoint(first.select("doc_id", "good", "number").unionAll(rest))  # labelled + pool rows at most
-    source = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id").select("number", "good", *_columns(docs))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(chosen), "doc_id").select("number", "good", "text", "source", "lang", "n_chars")
     rows = source.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow().sort_by("number")
     good = rows.column("good").to_numpy()
     text, meta = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("text", "meta"))

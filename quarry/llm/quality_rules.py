@@ -34,11 +34,13 @@ MEASURES = {
     "upper_rate": ("n_upper * 1000 div greatest(word_chars, 1)", 100, False),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 150, True),
 }
+ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "kept")
 WHITE = " \t\n\u000b\f\r"
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper and base_failed."""
+    docs = docs.drop(*ADDED)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = docs.withColumn("t_", text).withColumn("words_", F.filter(F.split("t_", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     keys = words.withColumn("n_words", F.size("words_").cast("long")).withColumn(

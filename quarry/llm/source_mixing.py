@@ -23,7 +23,7 @@ ALPHA = 0.7
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source_, mass, rate, cdf): the mean number of copies, and the Poisson distribution function of that mean at 0, 1, 2, ...
+    """(source_, mass, rate, cdf_): the mean number of copies, and the Poisson distribution function of that mean at 0, 1, 2, ...
 
     It is summed in log space, up to 12 standard deviations and 24 terms beyond the mean.
     """
@@ -39,7 +39,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     rate = weighted.crossJoin(F.broadcast(total)).selectExpr("source_", "mass", "(weight / all_weight) * (all_mass / mass) AS rate").where("rate > 0")
     return common.checkpoint(
         rate.withColumn(
-            "cdf",
+            "cdf_",
             F.expr("""transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate)) + 24 AS int)), array(struct(-rate AS log_p, exp(-rate) AS total)),
                 (done, k) -> concat(done, array(struct(
                     element_at(done, -1).log_p + ln(rate / k) AS log_p,
@@ -62,7 +62,7 @@ def mix(
     rate = rates(docs, weights, source_col, text_col).drop("mass")
     joined = common.join_lookup(docs, rate, docs[source_col].eqNullSafe(rate["source_"]), "inner")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    counted = joined.withColumn("u_", uniform(seed, name)).withColumn("n_copies", F.expr("size(filter(cdf, x -> x <= u_))"))
+    counted = joined.withColumn("u_", uniform(seed, name)).withColumn("n_copies", F.expr("size(filter(cdf_, x -> x <= u_))"))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, n_copies)")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string"))))
-    return keyed.drop("source_", "cdf", "u_").orderBy("shuffle_key", id_col)
+    return keyed.drop("source_", "cdf_", "u_").orderBy("shuffle_key", id_col)

@@ -62,7 +62,7 @@ def test_quality_against_labels(spark):
 
 
 def test_quality_edges(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "w " * 60_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x"))
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "w " * 60_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x")).withColumn("good", F.lit("x")).withColumn("number", F.lit("x"))
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality_classifier.fit(docs, no_labels)
     got = quality_classifier.classify(docs, model).collect()

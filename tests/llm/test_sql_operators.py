@@ -177,7 +177,7 @@ def test_top_k_by_brute_force(spark):
 
 def test_mixing(spark):
     rows = [(i, "t" * (i % 7), "abc"[i % 3]) for i in range(3000)] + [(9000, None, "a"), (9001, "tt", None), (9002, "", "none"), (None, "ttt", "a"), (5, "t" * 5, "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("x")).withColumn("cdf", F.lit("x"))
     out = source_mixing.mix(docs, {"a": 3.0, "b": 1.0, "c": 0.0, None: 0.1}).collect()
     assert {r["source"] for r in out} <= {"a", "b", None}
     mass = {s: sum(len(r["text"] or "") for r in out if r["source"] == s) for s in "ab"}
@@ -194,7 +194,7 @@ def test_rules_edges(spark):
     prose = lambda i: " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(80))
     rows = [(i, prose(i), "en", "s") for i in range(80)]
     odd = [(100, None, "en", "s"), (101, "", None, None), (102, "* " * 90 + prose(1), "en", "s"), (103, prose(3), None, "t"), (104, "again and " * 100, "en", "s"), (105, prose(1).upper(), "en", "s"), (None, prose(2), "en", "s")]
-    out = quality_rules.apply_rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string").withColumn("kept", F.lit(1)).drop("kept")).collect()
+    out = quality_rules.apply_rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string").withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("x"))).collect()
     kept = {r["doc_id"]: r["kept"] for r in out}
     assert all(kept[i] for i in range(80)) and kept[103] and kept[None]
     assert not any(kept[i] for i in (100, 101, 102, 104, 105))

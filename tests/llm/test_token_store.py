@@ -39,14 +39,15 @@ def test_matches_brute_force_on_a_whole_table(spark, coder):
 def test_round_trip_with_odd_texts(spark, coder):
     passage = "the same passage again and again, " * 80
     rows = [
-        (4, None, "x"), (2, "", "x"), (9, "ÉCOLE école ﬁ É <|endoftext|> don't 123abc   a\u0085b", None), (1, passage + "one", "x"),
+        (4, None, "x"), (2, "", "x"), (11, "twin twin", "x"), (11, "twin twin", "x"), (None, "no id", "x"), (9, "ÉCOLE école ﬁ É <|endoftext|> don't 123abc   a\u0085b", None), (1, passage + "one", "x"),
         (7, passage + "two", "x"), (8, "word " * 30_000, "x"), (3, "İstanbul ΣΑΣ ... --- ''' I'LL they've", "x"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     path = token_store.new_path(spark)
     token_store.write_store(docs, path)
     pairs = [(a, b) for a, b, _ in rows]
-    assert sorted(map(tuple, token_store.verify_store(spark, path).collect())) == brute(pairs, coder)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(map(tuple, token_store.verify_store(spark, path).collect()), key=key) == brute(pairs, coder)
     got = {r["doc_id"]: r["ids"] for r in token_store.read_store(spark, path).collect()}
     assert got == {a: [*coder.encode(b or "", add_special_tokens=False).ids, 1] for a, b in pairs}
     # the shared passage is stored once
