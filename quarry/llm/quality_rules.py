@@ -45,10 +45,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = docs.withColumn("t_", text).withColumn("words_", F.filter(F.split("t_", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     keys = words.withColumn("n_words", F.size("words_").cast("long")).withColumn(
         "keys_",
-        F.expr("""if(n_words < 3, array(), array_sort(transform(sequence(0, n_words - 3),
+        F.expr("""if(n_words < 3, array(), sort_array(transform(sequence(0, n_words - 3),
             i -> struct(xxhash64(get(words_, int(i)), get(words_, int(i) + 1), get(words_, int(i) + 2)) AS k, int(i) AS i))))"""),
     )
-    repeated = keys.withColumn("at_", F.expr("array_sort(transform(filter(keys_, (x, j) -> x.k = get(keys_, j - 1).k OR x.k = get(keys_, j + 1).k), x -> x.i))"))
+    repeated = keys.withColumn("at_", F.expr("sort_array(transform(filter(keys_, (x, j) -> x.k = get(keys_, j - 1).k OR x.k = get(keys_, j + 1).k), x -> x.i))"))
     lines = repeated.withColumn("lines_", F.expr(r"filter(split(t_, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     return lines.select(
         *docs.columns,
