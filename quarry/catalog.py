@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.workload import audit, dialogue, graph, retrieval, texts
+from quarry.workload import audit, curriculum, dialogue, graph, retrieval, texts
 
-MODULES = (graph, retrieval, audit, dialogue, texts)
+MODULES = (graph, retrieval, audit, dialogue, texts, curriculum)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
