@@ -94,9 +94,9 @@ class View:
 
     def fit(self, rows: list[np.ndarray], good: np.ndarray) -> None:
         lengths = np.array([len(r) for r in rows])
-        flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
+        flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
         chosen = self._chosen(flat, good[row], good)
-        place = np.full(SIZE, -1)
+        place = np.full(SIZE, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         used = place[flat] >= 0
         column, row = place[flat[used]], row[used]
