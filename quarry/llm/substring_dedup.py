@@ -4,8 +4,8 @@ A window of `width` words that also starts in a document with a smaller id is a
 that repeats cover are removed, as maximal intervals. Three Spark stages do it:
 
 1. Each task hashes the windows of its texts in numpy. A window that occurs in several texts of the
-   same block stays once, for the smallest id; the rest is known to be repeated. So a passage of a
-   third of all documents reaches the shuffle once a block, not once a document.
+   same block stays once, for the smallest id; the rest is known to be repeated. A task remembers such windows
+   (up to FREQUENT of them), so a passage of a third of all documents reaches the shuffle a few times a task, not once a document.
 2. Hashes meet by bucket (a hash range, about 16 MB of text each, whatever the corpus size). There,
    positions whose hash has a smaller id elsewhere are found.
 3. Positions, packed by shards of documents, meet there, are joined to their documents, merged into maximal intervals and cut out.
@@ -32,6 +32,8 @@ from . import common
 from .wordhash import Powers, WordHashes, blocks, window_hashes, word_hashes
 
 BUCKET_BYTES = 16 << 20
+#: Repeated windows that a task remembers, with the smallest id that each was met at.
+FREQUENT = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 _PACKED = "bucket long, hashes binary, ids binary, sums binary, runs binary, at binary"
@@ -48,9 +50,42 @@ def _packed(bucket: int, hashes: np.ndarray | None, text: np.ndarray, position:
     }
 
 
+class Frequent:
+    """Hashes of windows that repeated within a block, with the smallest id so far: a bound on memory, not on results.
+
+    Once there are more than `bound`, those of the latest block stay.
+    """
+
+    def __init__(self, bound: int = FREQUENT):
+        self.bound = bound
+        self.hashes, self.least = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def lower(self, hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The smaller of `least` and what is remembered, which this updates, for sorted distinct hashes."""
+        if not len(self.hashes):
+            return least
+        at = np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)
+        known = hashes[at] == self.hashes
+        out = least.copy()
+        out[at[known]] = self.least[known] = np.minimum(out[at[known]], self.least[known])
+        return out
+
+    def add(self, hashes: np.ndarray, least: np.ndarray) -> None:
+        """Remember sorted distinct hashes, with ids that lower() has seen to."""
+        if not len(hashes):
+            return
+        others = hashes[np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)] != self.hashes
+        if others.sum() + len(hashes) > self.bound:
+            self.hashes, self.least = hashes[: self.bound], least[: self.bound]
+            return
+        both = np.concatenate((self.hashes[others], hashes))
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.least = both[order], np.concatenate((self.least[others], least))[order]
+
+
 def _hash_windows(width: int, buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        cache, powers, frequent = WordHashes(), Powers(), Frequent()
         schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "ids", "sums", "runs", "at"))])
         for batch, words in blocks(batches, text_col):
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -64,9 +99,11 @@ def _hash_windows(width: int, buckets: int, id_col: str, text_col: str):
             order = np.argsort(hashes)
             ordered = hashes[order]
             group = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            least = np.minimum.reduceat(ids[text[order]], group)
+            sizes = np.diff(group, append=len(order))
+            least = frequent.lower(ordered[group], np.minimum.reduceat(ids[text[order]], group))
             lost = np.zeros(len(hashes), bool)
-            lost[order] = ids[text[order]] > np.repeat(least, np.diff(group, append=len(order)))
+            lost[order] = ids[text[order]] > np.repeat(least, sizes)
+            frequent.add(ordered[group][sizes > 1], least[sizes > 1])
             if lost.any():
                 where = np.flatnonzero(lost)
                 rows.append(_packed(int(hashes[where[0]] % np.uint64(buckets)), None, text[where], position[where], ids, sums))

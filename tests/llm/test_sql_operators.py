@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,27 @@ def test_substring_dedup_by_brute_force(spark):
     assert sorted(digest_rows(substring_dedup.remove_repeats(docs, width=5)), key=key) == sorted(brute_dedup(rows, 5), key=key)
 
 
+@pytest.mark.parametrize("bound", [0, 7, 200_000])
+def test_substring_dedup_remembers_repeats(monkeypatch, bound):
+    """Whatever a task remembers, the repeats are those of the definition; with room enough a common passage is shuffled rarely."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    ids = rng.sample(range(1000), 120)
+    rows = [(i, " ".join([*(rng.choice("abcdefgh") for _ in range(rng.randrange(9))), *passage])) for i in ids]
+    monkeypatch.setattr(substring_dedup, "Frequent", lambda cls=substring_dedup.Frequent: cls(bound))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part]), pa.array([i for i, _ in part])], ["id_", "text_", "sum_"])
+        for part in (rows[at : at + 6] for at in range(0, len(rows), 6))
+    ]
+    hashed = [r for b in substring_dedup._hash_windows(5, 1, "id_", "text_")(iter(batches)) for r in b.to_pylist()]
+    lost = substring_dedup._find_repeats(1)(pa.Table.from_pylist(hashed))
+    found = {r["id_"]: substring_dedup.common.unpack(r["starts"]) for r in substring_dedup._gather(lost).to_pylist()}
+    removed = [(i, sum(b - a for a, b in substring_dedup.intervals(found.get(i, np.empty(0, np.int64)), 5))) for i in ids]
+    assert removed == [(i, n) for i, _, n, _ in brute_dedup(rows, 5)]
+    shuffled = sum(len(r["hashes"]) // 8 for r in hashed if r["hashes"])
+    assert bound < 200_000 or shuffled < 8 * 15 + sum(len(t.split()) - 4 for _, t in rows) - 8 * len(rows)
+
+
 def test_substring_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None, "x"), (2, "", "x"), (3, "few words", "x"), (5, long, "x"), (5, long, "x"), (6, "start " + long + " end", "x"), (None, long, "x")]
