@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,7 @@ def grade_band(grade: Column) -> Column:
 
 
 PLAN = "student long, semester int, course long, credits int, term int"
+PLAN_SCHEMA = pa.schema([("student", pa.int64()), ("semester", pa.int32()), ("course", pa.int64()), ("credits", pa.int32()), ("term", pa.int32())])
 
 
 def plan_semesters(pending: DataFrame, needs: DataFrame, cap: int, first: int = 1, most: int = 20) -> DataFrame:
@@ -131,24 +134,30 @@ def plan_semesters(pending: DataFrame, needs: DataFrame, cap: int, first: int =
     both = inner.join(pending.select("student", F.col("course").alias("src")), ["student", "src"], "left_semi")
     before = both.groupBy("student", "course").agg(F.collect_set("src").alias("before"))
     rows = pending.join(before, ["student", "course"], "left")
+    inline = F.struct("term", (-F.col("credits")).alias("less"), "course", "credits", "before")
+    students = rows.groupBy("student").agg(F.sort_array(F.collect_list(inline)).alias("pending"))
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        left = {r.course: r for r in group.sort_values(["term", "credits", "course"], ascending=[True, False, True]).itertuples()}
+    def plan(courses: list[dict]) -> list[tuple[int, dict]]:
+        left = {c["course"]: c for c in courses}
         done, out, empty = set(), [], 0
         for semester in range(first, first + most):
-            ready = [r for r in left.values() if r.term % 2 == semester % 2 and (r.before is None or set(r.before) <= done)]
             used, taken = 0, []
-            for r in ready:
-                if not taken or used + r.credits <= cap:
-                    used += r.credits
-                    taken.append(r)
-            for r in taken:
-                out.append((r.student, semester, r.course, r.credits, r.term))
-                del left[r.course]
-            done |= {r.course for r in taken}
+            for c in left.values():
+                if c["term"] % 2 == semester % 2 and done.issuperset(c["before"] or ()) and (not taken or used + c["credits"] <= cap):
+                    used += c["credits"]
+                    taken.append(c)
+            for c in taken:
+                out.append((semester, c))
+                del left[c["course"]]
+            done |= {c["course"] for c in taken}
             empty = 0 if taken else empty + 1
             if not left or empty == 3:
                 break
-        return pd.DataFrame(out, columns=["student", "semester", "course", "credits", "term"])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r["student"], at, c["course"], c["credits"], c["term"]) for r in batch.to_pylist() for at, c in plan(r["pending"])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(PLAN_SCHEMA.types)], schema=PLAN_SCHEMA)
 
-    return rows.groupBy("student").applyInPandas(plan, PLAN)
+    return students.mapInArrow(run, PLAN)

@@ -90,8 +90,8 @@ def mentions(texts: DataFrame, names: DataFrame, longest: int = 3) -> DataFrame:
     keyed = names.select(text.graph_key("name").alias("key"), "name").where("key <> ''").groupBy("key").agg(F.min("name").alias("name"))
     keyed = keyed.withColumn("n_words", F.size(F.split("key", " ")))
     words = texts.select("id", F.split(text.graph_key("text"), " ").alias("w"))
-    sizes = keyed.select("n_words").distinct()
-    grams = words.join(F.broadcast(sizes.limit(100)), F.size("w") >= F.col("n_words")).select(
+    lengths = keyed.agg(F.collect_set("n_words").alias("lengths"))  # one row; as many as the longest name has words at most
+    grams = words.crossJoin(F.broadcast(lengths)).select("id", "w", F.explode(F.expr("filter(lengths, n -> n <= size(w))")).alias("n_words")).select(
         "id", F.explode(F.expr("array_distinct(transform(sequence(1, size(w) - n_words + 1), i -> array_join(slice(w, i, n_words), ' ')))")).alias("key")
     )
     found = grams.join(keyed, "key").select("id", "name", F.length("key").alias("size"))

@@ -97,11 +97,12 @@ def course_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A student's pending courses: those of the programmes' first eight parts they began, not passed yet."""
-    passed, c = tables.passed(spark, sf_dir), tables.courses(spark, sf_dir)
-    begun = passed.join(c, "course").select("student", "programme").distinct()
-    some = c.where("course <= 150").select("course", "programme", "term", "credits")
-    return begun.join(some, "programme").join(passed, ["student", "course"], "left_anti").select("student", "course", "credits", "term").where("student % 20 = 1")
+    """A student's pending courses: those tried and not passed yet, and what these need directly and is not passed either."""
+    passed = tables.passed(spark, sf_dir)
+    failed = tables.transcript(spark, sf_dir).select("student", "course").distinct().join(passed, ["student", "course"], "left_anti")
+    needed = failed.join(tables.prerequisites(spark, sf_dir).selectExpr("src", "dst AS course"), "course").selectExpr("student", "src AS course")
+    open_ = failed.unionAll(needed.join(passed, ["student", "course"], "left_anti")).distinct()
+    return open_.join(tables.courses(spark, sf_dir).select("course", "credits", "term"), "course").select("student", "course", "credits", "term")
 
 
 def semester_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,8 +102,9 @@ def debate_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "substring(text, 1, 2000) AS short")
-    return validation.preserved(docs.where("text rlike '[0-9]'"), "text", "short")
+    """Whole texts against a rewriting that changes some of their digits."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "translate(text, '7', '8') AS rewritten")
+    return validation.preserved(docs.where("text rlike '[0-9]'"), "text", "rewritten")
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,7 @@ SELECT doc_id, claim, CASE WHEN claim IN ('released under the mit license.', 'ap
   2 * ((length(text) - length(replace(text, 'the', ''))) // 3) - 3 * (length(text) - length(replace(text, '.', ''))) - CASE WHEN {_phrase(*conversation.MISS)} THEN 100 ELSE 0 END AS score
   FROM conversations WHERE role = 'assistant')
 SELECT question, answer AS winner, score::BIGINT AS score FROM a QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, answer) = 1""",
-    "fact_preservation": f"""WITH b AS {_NUMBERS.format("text")}, a AS {_NUMBERS.format("substr(text, 1, 2000)")},
+    "fact_preservation": f"""WITH b AS {_NUMBERS.format("text")}, a AS {_NUMBERS.format("translate(text, '7', '8')")},
 k AS (SELECT id, round(sum(least(b.c, coalesce(a.c, 0))) / sum(b.c), 6) AS kept FROM b LEFT JOIN a USING (id, n) GROUP BY id)
 SELECT doc_id AS id, coalesce(kept, 1.0::DOUBLE) AS kept, coalesce(kept, 1.0) >= 0.9 AS ok FROM documents LEFT JOIN k ON id = doc_id WHERE regexp_matches(text, '[0-9]')""",
     "accuracy_weighted": f"""WITH {_RATED} SELECT lang, count(*) AS n, round(avg((r1 = 'C')::INT), 6) AS strict,

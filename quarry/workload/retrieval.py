@@ -54,9 +54,8 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.substring("text", 1, 400)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(text.graph_key(shown)).alias("graph_key"), F.md5(text.text_key(shown)).alias("text_key"), text.slug(F.substring("text", 1, 40)).alias("slug"),
+        "doc_id", F.md5(text.graph_key("text")).alias("graph_key"), F.md5(text.text_key("text")).alias("text_key"), F.md5(text.slug("text")).alias("slug"),
         text.truncate_words("text", 60).alias("short"), text.singular(F.lower(F.split(F.trim("text"), " ")[0])).alias("singular"),
     )
 
@@ -204,9 +203,9 @@ s AS (SELECT query, doc, sum(weight) AS score FROM h JOIN w USING (word) GROUP B
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank, doc, score FROM s QUALIFY rank <= 10""",
     "token_stats": f"""WITH t AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({TOKENS.format("text")}) AS term FROM documents) GROUP BY ALL)
 SELECT lang, sum(n)::BIGINT AS tokens, count(*) AS terms, max(n) AS most, count(*) FILTER (n = 1) AS once FROM t GROUP BY lang""",
-    "normalize_text": f"""SELECT doc_id, md5({KEY.format("substr(text, 1, 400)")}) AS graph_key,
-  md5(trim(regexp_replace({_FOLD.format("substr(text, 1, 400)")}, '\\s+', ' ', 'g'))) AS text_key,
-  regexp_replace(regexp_replace({_FOLD.format("substr(text, 1, 40)")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+    "normalize_text": f"""SELECT doc_id, md5({KEY.format("text")}) AS graph_key,
+  md5(trim(regexp_replace({_FOLD.format("text")}, '\\s+', ' ', 'g'))) AS text_key,
+  md5(regexp_replace(regexp_replace({_FOLD.format("text")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
   CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substr(text, 1, 60), ' [^ ]*$', '') || '…' END AS short,
   CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) ELSE w END AS singular
 FROM (SELECT *, lower(split_part(trim(text), ' ', 1)) AS w FROM documents)""",
