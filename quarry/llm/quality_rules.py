@@ -8,9 +8,8 @@ group of fewer than MIN_ROWS documents uses the merged sketch of its language, a
 if the language is as small. With the quartiles q1 and q3 of its sketch, a document is rejected if a measure lies
 outside [q1 - r, q3 + r], r = max(FENCE * (q3 - q1), that measure's slack).
 
-Measures, per thousand but for the last: symbols in characters, repeated lines in words, words in
-repeated three-word windows, characters other than lower-case letters among letters (shouting),
-and mean word length in hundredths.
+Measures, per thousand but for the last: symbols to characters of words, repeated lines to lines with a word, words in
+repeated three-word windows to words, letters A to Z to characters of words (shouting), and mean word length in hundredths.
 
 Words are runs of characters other than ASCII white space, from whole texts. Defined results: a null text has no words; null
 languages and sources are groups of their own. Documents with fewer than 50 words, or with more than half of their words in repeated windows, fail
