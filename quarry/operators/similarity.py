@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.lineage import checkpoint
 
 #: Weights of the parts of a signature; those of parts that neither side has are dealt to the others.
 WEIGHTS = {"prereqs": 0.35, "teachers": 0.30, "dependents": 0.20, "co_prereqs": 0.10, "prereqs_2": 0.05}
 
+#: Vectors of a block, blocks that meet another one in a task, and queries scored at once.
+BLOCK, TEAM, AT_ONCE = 2048, 16, 64
+
 
 def signatures(edges: DataFrame, teaches: DataFrame) -> DataFrame:
     """(part, course, item): the five sets of a course as rows: prerequisites, teachers, dependents, fellow prerequisites, prerequisites of those."""
@@ -65,6 +72,98 @@ def blend(structure: DataFrame, vectors: DataFrame, threshold: float = 0.08) ->
     return joined.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
 
 
+def find_similar(structure: DataFrame, vectors: DataFrame, n: int = 5, threshold: float = 0.08) -> DataFrame:
+    """(course, rank, similar, score): the n best others of each course by 0.6 structure + 0.4 cosine, among all pairs.
+
+    structure: all pairs (a, b, score) above 0, without a threshold; vectors: (id, v) of all courses that have one. Pairs without structure score
+    0.4 cosine: of those, each course's n best by that score are enough, as structure only raises the others.
+    """
+    structure = checkpoint(structure)
+    near = nearest_others(vectors, n, weight=0.4, least=threshold).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    alone = near.join(structure, ["a", "b"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_similar(blend(structure.unionAll(alone), vectors, threshold), n)
+
+
+def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float = 1.0, digits: int = 6, least: float = -1.0) -> DataFrame:
+    """(id, other, score): the n others of each vector with the highest weight * cosine, up to `most`, rounded, and not below `least`; ties to the smaller id.
+
+    vectors: (id, v), an id a row; with position, only others of a smaller position count; with tied, an array of ids, pairs of which either
+    names the other don't. Every block of vectors meets every other one as packed rows, and n rows a vector and team of blocks leave a task, so
+    the work is that of all pairs, but the rows are not.
+    """
+    ordered, bound = "position" in vectors.columns, "tied" in vectors.columns
+    rows = vectors.where("id is not null and v is not null").select(
+        F.col("id").cast("long").alias("id"),
+        (F.col("position").cast("double") if ordered else F.lit(0.0)).alias("position"),
+        (F.coalesce("tied", F.expr("array()")) if bound else F.expr("array()")).cast("array<long>").alias("tied"),
+        F.col("v").cast("array<double>").alias("v"),
+    )
+    rows = checkpoint(rows)
+    blocks = max(1, -(-rows.count() // BLOCK))
+    packed = checkpoint(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "position", "tied", "v")).alias("rows")))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = packed.select(F.col("block").alias("q"), each(-(-blocks // TEAM)).alias("team"), F.lit(True).alias("asked"), "rows")
+    data = packed.select(each(blocks).alias("q"), F.expr(f"block div {TEAM}").cast("int").alias("team"), F.lit(False).alias("asked"), "rows")
+
+    def run(group: pa.Table) -> pa.Table:
+        mask = group.column("asked").combine_chunks()
+        a, b = (_unpacked(group.filter(m).column("rows")) for m in (mask, pc.invert(mask)))
+        found = _best_others(a, b, n, weight, most, digits, least, ordered) if a and b else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "other", "score"])
+
+    found = asked.unionAll(data).groupBy("q", "team").applyInArrow(run, "id long, other long, score double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+
+
+def _unpacked(packed: pa.ChunkedArray):
+    """(ids, positions, unit vectors, (rows, ids) of the ties), in the order of ids; None if there are none."""
+    if not len(packed):
+        return None
+    rows = pa.concat_arrays([c.flatten() for c in packed.chunks])
+    rows = rows.take(pc.sort_indices(rows.field("id")))
+    ids, positions = rows.field("id").to_numpy(), rows.field("position").to_numpy(zero_copy_only=False)
+    v = np.nan_to_num(rows.field("v").flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    tied = rows.field("tied")
+    owner = np.repeat(np.arange(len(ids)), tied.value_lengths().to_numpy())
+    return ids, positions, v / np.where(size > 0, size, 1), (owner, tied.flatten().to_numpy(zero_copy_only=False))
+
+
+def _met(ties: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places in ids) of the ties whose id is among ids."""
+    owner, named = ties
+    place = np.searchsorted(ids, named)
+    hit = ids[np.minimum(place, len(ids) - 1)] == named
+    return owner[hit], place[hit]
+
+
+def _best_others(a, b, n: int, weight: float, most: float, digits: int, least: float, ordered: bool):
+    """(ids, others, scores): the n best rows of b for each of a."""
+    (a_ids, a_positions, a_v, a_ties), (b_ids, b_positions, b_v, b_ties) = a, b
+    named, names = _met(a_ties, b_ids), _met(b_ties, a_ids)[::-1]
+    barred = np.concatenate([named[0], names[0]]), np.concatenate([named[1], names[1]])
+    order = np.argsort(barred[0], kind="stable")
+    barred = barred[0][order], barred[1][order]
+    out = []
+    for at in range(0, len(a_ids), AT_ONCE):
+        part = slice(at, min(at + AT_ONCE, len(a_ids)))
+        score = np.round(np.minimum(weight * (a_v[part] @ b_v.T), most), digits)
+        score[(score < least) | (a_ids[part, None] == b_ids)] = -np.inf
+        if ordered:
+            score[~(b_positions < a_positions[part, None])] = -np.inf
+        low, high = np.searchsorted(barred[0], [part.start, part.stop])
+        score[barred[0][low:high] - at, barred[1][low:high]] = -np.inf
+        last = np.partition(score, -n, axis=1)[:, -n, None] if n < score.shape[1] else -np.inf
+        i, j = np.nonzero((score >= last) & (score > -np.inf))
+        s = score[i, j]
+        order = np.lexsort([j, -s, i])
+        i, j, s = i[order], j[order], s[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < n
+        out.append((a_ids[part][i[best]], b_ids[j[best]], s[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

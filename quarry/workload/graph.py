@@ -164,8 +164,8 @@ def failure_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.failure_impact(tables.prerequisites(spark, sf_dir))
 
 
-def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.structural(similarity.signatures(tables.prerequisites(spark, sf_dir), tables.teaches(spark, sf_dir)))
+def _structure(spark: SparkSession, sf_dir: str, threshold: float = 0.08) -> DataFrame:
+    return similarity.structural(similarity.signatures(tables.prerequisites(spark, sf_dir), tables.teaches(spark, sf_dir)), threshold)
 
 
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +173,10 @@ def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other courses; the threshold holds for the blend only. The SQL below still cuts structure at 0.08 before, so it lacks pairs."""
     vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
-    return similarity.top_similar(similarity.blend(_structure(spark, sf_dir), vectors), 5)
+    vectors = vectors.join(tables.courses(spark, sf_dir).selectExpr("course AS id"), "id", "left_semi")
+    return similarity.find_similar(_structure(spark, sf_dir, 0.0), vectors, 5)
 
 
 def predict_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
