@@ -6,7 +6,8 @@ equal ends. Coverage is the share of the template's words that are matched.
 
 Where to align: a text that covers `least` of a template of n words lacks fewer than (1 - least) * n + 1 of its words, so
 of that many of its words (the longest are taken, as the rarest) it holds at least one. Around every occurrence of such a probe
-in the text, the stretch where the template would lie, with half its length to either side, is aligned. So repeated
+in the text, the stretch where the template would lie is aligned: with half its length to either side, to one side, and as it is, as next to other
+notices the words of a wide stretch repeat and anchor nothing. The most matched words count, then the shortest span. So repeated
 notices are found one by one, a text without probes costs one scan, and whole texts of any length are read.
 
 Words are runs of ASCII letters and digits, in lower case. Defined results: null and empty texts yield no row; rows with equal ids are scanned one by one; ties
@@ -114,10 +115,21 @@ class Template:
         n, found = len(self.words), []
         starts = sorted({p - i for probe in self.probes for p in at.get(probe, ()) for i in self.places[probe]})
         for s in starts:
-            low = max(0, s - n // 2)
-            pairs = align(words[low : s + n + n // 2], self.words)
-            if len(pairs) >= self.needed:
-                found.append((len(pairs), low + pairs[0][0], low + pairs[-1][0]))
+            wide, slack = words[max(0, s - n // 2) : s + n + n // 2], n // 2
+            there = set(wide)
+            if sum(w in there for w in self.words) < self.needed:
+                continue
+            here = None
+            for before, after in ((slack, slack), (0, 0), (0, slack), (slack, 0)):
+                low = max(0, s - before)
+                pairs = align(words[low : max(0, s + n + after)], self.words)
+                if len(pairs) >= self.needed:
+                    new = (len(pairs), low + pairs[0][0], low + pairs[-1][0])
+                    here = new if here is None else min(here, new, key=lambda x: (-x[0], x[2] - x[1]))
+                    if here[0] == n == here[2] - here[1] + 1:
+                        break
+            if here:
+                found.append(here)
         if not found:
             return None
         spans, end = 0, -1

@@ -39,6 +39,18 @@ def test_edits_are_tolerated_and_other_texts_are_not():
     assert scan_text(b"", made) == []
 
 
+def test_adjacent_notices_are_found_one_by_one():
+    for name, text in TEMPLATES.items():
+        made = [Template(name, text, 0.8)]
+        n, middle = len(made[0].words), len(text.split()) // 2
+        put_in = " ".join([*text.split()[:middle], "foo", "bar", *text.split()[middle:]])
+        cut = text.split(maxsplit=1)[1]
+        for notice, matched in ((text, n), (put_in, n), (cut, n - 1)):
+            for times in (2, 3, 7, 300):
+                [got] = scan_text(f"{notice}\n".encode() * times, made)
+                assert (got[2], got[5]) == (matched, times), (name, notice[:40], times, got)
+
+
 def test_rows(spark):
     mit = "Released under the MIT License."
     rows = [(1, None, "x"), (2, "", "x"), (3, mit, "x"), (3, mit, "x"), (None, mit, "x"), (4, "word " * 50_000 + mit, "x"), (5, (mit + "\n") * 300, "x")]
