@@ -6,7 +6,7 @@ sum of looked-up rows. Each filter's largest response in the window, through a r
 languages. A text's probabilities are the means over its windows.
 
 The training sample is bounded by PER_LANGUAGE documents of each language (the first in the order of a hash of the id) and
-WINDOWS_EACH windows of each; some are cut short, so that short texts are learned too. Training sees text and language
+WINDOWS_EACH windows of each, and by nothing else, so that no language is lost; some are cut short, so that short texts are learned too. Training sees text and language
 only; prediction sees text only.
 
 Defined results: `und` with score 0 for a null text, one without any letter, or if there is nothing to learn from.
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-PER_LANGUAGE, WINDOWS_EACH, MOST_DOCUMENTS = 2000, 4, 50_000
+PER_LANGUAGE, WINDOWS_EACH, SALTS = 2000, 4, 64
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 AT_ONCE = 256
 LETTER = re.compile(r"[^\W\d_]").search
@@ -135,10 +135,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A network from rows with a known language; None if there are none."""
     known = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("number"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
-    chosen = known.select("number", "lang", rank.alias("rank")).where(F.col("rank") <= PER_LANGUAGE).limit(MOST_DOCUMENTS).select("number", "lang")
-    chosen = F.broadcast(common.checkpoint(chosen.distinct()))
-    windows = known.join(chosen, ["number", "lang"]).select("number", "text", "lang").where("text rlike '\\\\p{L}'").mapInArrow(_sample(seed), "lang string, window binary")
+    # the first of each salt, then the first of those: no task ranks all rows of a language
+    first = known.select("number", "lang", F.pmod("number", F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("number"))
+        first = first.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
+    last = common.checkpoint(first.groupBy("lang").agg(F.max("number").alias("last")))
+    windows = common.join_lookup(known, last, "lang", "inner").where("number <= last").select("number", "text", "lang").where("text rlike '\\\\p{L}'").mapInArrow(_sample(seed), "lang string, window binary")
     rows = windows.toArrow()
     if not rows.num_rows:
         return None

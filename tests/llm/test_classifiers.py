@@ -31,6 +31,12 @@ def test_language_edges(spark):
     assert language_id.predict(odd.limit(0), network).collect() == []
 
 
+def test_no_language_is_lost_to_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "EPOCHS", 0)  # the sample is what counts here
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('wort ', id) AS text", "concat('l', id % 30) AS lang")
+    assert language_id.fit(docs).languages == sorted(f"l{i}" for i in range(30))
+
+
 def test_windows_cover_every_byte():
     for n in (1, 5, 127, 128, 129, 252, 253, 254, 1000):
         text = bytes((i * 37) % 251 + 1 for i in range(n))
