@@ -195,18 +195,14 @@ def name_jaccard(names: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def recommended_before(vectors: DataFrame, closure: DataFrame, order: DataFrame, threshold: float = 0.65, n: int = 3) -> DataFrame:
-    """(course, rank, before, score): earlier, close in meaning, and not tied by prerequisites either way.
+    """(course, rank, before, score): earlier, close in meaning, and not tied by prerequisites either way. Each course is compared with all others.
 
-    vectors: (id, bucket, v); pairs are only compared within a bucket. closure: (node, ancestor). order: (id, position).
+    vectors: (id, v). closure: (node, ancestor). order: (id, position).
     """
-    placed = vectors.join(order, "id")
-    a, b = placed.toDF("a", "bucket", "va", "pa"), placed.toDF("b", "bucket", "vb", "pb")
-    near = a.join(b, "bucket").where("pa < pb").select("a", "b", F.round(F.least(cosine(F.col("va"), F.col("vb")), F.lit(0.99)), 4).alias("score")).where(F.col("score") >= threshold)
-    free = near.join(closure.select(F.col("node").alias("a"), F.col("ancestor").alias("b")), ["a", "b"], "left_anti").join(
-        closure.select(F.col("ancestor").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"
-    )
-    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "a"))
-    return free.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("b").alias("course"), "rank", F.col("a").alias("before"), "score")
+    tied = closure.groupBy(F.col("node").alias("id")).agg(F.collect_set("ancestor").alias("tied"))
+    near = nearest_others(vectors.join(order, "id").join(tied, "id", "left"), n, most=0.99, digits=4, least=threshold)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return near.select(F.col("id").alias("course"), rank.alias("rank"), F.col("other").alias("before"), "score")
 
 
 def concept_base(requires: DataFrame, covers: DataFrame, closure: DataFrame, n: int = 6) -> DataFrame:

@@ -189,8 +189,8 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommended_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Courses are vectors; compared within a label; the order is the term, else the depth (all have terms here)."""
-    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "label AS bucket", "embedding AS v")
+    """Courses are vectors, each compared with all others; the order is the term, else the depth (all have terms here). The SQL below still joins on label."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
     reach = closure.ancestors(tables.prerequisites(spark, sf_dir))
     order = tables.courses(spark, sf_dir).selectExpr("course AS id", "term AS position")
     return similarity.recommended_before(vectors, reach, order, threshold=0.3)

@@ -57,6 +57,19 @@ def test_pairs_of_little_or_no_structure(spark):
     assert got == {3: 0.3, 2: 0.23, 4: round(0.4 / 1.01**0.5, 6)}
 
 
+def test_recommended_before_compares_all_pairs(spark):
+    con = duckdb.connect()
+    rows = vectors_of(con)
+    term = dict(con.execute(f"SELECT p_partkey, 1 + p_size % 10 FROM '{SMALL}/part.parquet'").fetchall())
+    tied = {(r["node"], r["ancestor"]) for r in closure.ancestors(tables.prerequisites(spark, SMALL)).collect()}
+    cos = np.round(np.minimum(cosines([v for _, v in rows]), 0.99), 4)
+    ids = [i for i, _ in rows]
+    free = lambda a, b: term[b] < term[a] and (a, b) not in tied and (b, a) not in tied
+    scores = {a: {b: float(cos[k, m]) for m, b in enumerate(ids) if cos[k, m] >= 0.3 and free(a, b)} for k, a in enumerate(ids)}
+    got = {(r["course"], r["rank"], r["before"], r["score"]) for r in catalog.queries()["recommended_before"](spark, SMALL).collect()}
+    assert got and got == best(scores, 3)
+
+
 def test_nearest_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 8)
     monkeypatch.setattr(similarity, "TEAM", 2)
