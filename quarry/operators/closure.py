@@ -7,12 +7,15 @@ rows, so it can't express these.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.lineage import checkpoint
 
-MAX_ROUNDS = 200
+#: Rounds after which the parts found so far are written as one.
+TOGETHER = 50
 
 
 def _pairs(edges: DataFrame, rounds: int | None) -> DataFrame:
@@ -20,12 +23,14 @@ def _pairs(edges: DataFrame, rounds: int | None) -> DataFrame:
     base = checkpoint(edges.select("src", "dst").distinct())
     step = base.toDF("mid", "dst")
     found = delta = base.withColumn("hops", F.lit(1))
-    for hops in range(2, (rounds or MAX_ROUNDS) + 1):
+    for hops in range(2, rounds + 1) if rounds else count(2):
         new = delta.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").distinct()
         delta = checkpoint(new.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         if delta.isEmpty():
             break
         found = found.unionAll(delta)
+        if hops % TOGETHER == 0:
+            found = checkpoint(found)
     return found
 
 
@@ -49,7 +54,7 @@ def bottleneck(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     best = checkpoint(edges.groupBy("src", "dst").agg(F.max("conf").alias("bound")))
     step = best.toDF("mid", "dst", "conf")
     delta = best
-    for _ in range(2, (max_hops or MAX_ROUNDS) + 1):
+    for _ in range(2, max_hops + 1) if max_hops else count(2):
         new = (
             delta.select("src", F.col("dst").alias("mid"), "bound").join(step, "mid")
             .groupBy("src", "dst").agg(F.max(F.least("bound", "conf")).alias("bound"))
@@ -73,11 +78,13 @@ def depths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     todo = (ends if nodes is None else ends.unionAll(nodes.select("node"))).distinct()
     left = pairs
     done = None
-    for depth in range(MAX_ROUNDS * 50):
+    for depth in count():
         ready = checkpoint(todo.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionAll(ready)
+        if depth % TOGETHER == TOGETHER - 1:
+            done = checkpoint(done)
         settled = ready.select("node")
         todo = checkpoint(todo.join(settled, "node", "left_anti"))
         left = checkpoint(left.join(settled.withColumnRenamed("node", "src"), "src", "left_anti"))

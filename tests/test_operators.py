@@ -57,6 +57,16 @@ def test_closures_on_random_graphs(spark):
     assert all(depth[b] > depth[a] for a, b in pairs if a in depth and b in depth)
 
 
+def test_fixpoints_end_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(closure, "MAX_ROUNDS", 0, raising=False)
+    monkeypatch.setattr(closure, "TOGETHER", 3, raising=False)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(7)], "src long, dst long, conf double")
+    pairs = {(a, b) for a in range(8) for b in range(a + 1, 8)}
+    assert {(r["ancestor"], r["node"], r["hops"]) for r in closure.ancestors(edges).collect()} == {(a, b, b - a) for a, b in pairs}
+    assert {(r["src"], r["dst"]) for r in closure.bottleneck(edges).collect()} == pairs
+    assert {(r["node"], r["depth"]) for r in closure.depths(edges).collect()} == {(i, i) for i in range(8)}
+
+
 def test_rank_fusion(spark):
     lists = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3)], "query long, doc long, rank int"), spark.createDataFrame([(1, 3, 1), (1, 4, 2), (1, 1, 3)], "query long, doc long, rank int")
     got = retrieval.fuse(*lists, n=3).orderBy("rank").collect()
