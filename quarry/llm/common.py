@@ -9,23 +9,43 @@ from pyspark.sql import types as T
 
 from quarry.lineage import checkpoint, shared_dir
 
-__all__ = ["checkpoint", "fields", "join_lookup", "pack", "partitions", "shared_dir", "table", "unpack"]
+__all__ = ["checkpoint", "fields", "free_names", "join_lookup", "pack", "partitions", "shared_dir", "table", "unpack"]
 
-#: Most rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
-MAX_BROADCAST_ROWS = 20_000
+#: Most rows and bytes of a lookup table that may be broadcast; a larger one is joined by a salted shuffle.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 32 << 20
+#: Tasks that one key of a larger lookup table is dealt to.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a checkpointed lookup table: broadcast if it has at most max_rows rows, else left to Spark's shuffle joins.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    The count is limited to max_rows + 1, so that it stays cheap for a large lookup.
+
+def join_lookup(df: DataFrame, lookup: DataFrame, on, salt: F.Column, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join a checkpointed lookup table: broadcast if it has at most max_rows rows and max_bytes bytes, else by a shuffle.
+
+    That shuffle deals the rows of one key to SALTS tasks by `salt`, a hash of a row. Rows and bytes are counted over max_rows + 1 rows at
+    most, so that it stays cheap for a large lookup.
     """
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(lookup) if small else lookup, on, how)
+    rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*lookup.columns)))), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
+        return df.join(F.broadcast(lookup), on, how)
+    (mine,) = free_names(df, "salt_")
+    (theirs,) = free_names(lookup, f"{mine}of_lookup_")
+    left = df.withColumn(mine, F.pmod(salt, F.lit(SALTS)).cast("int"))
+    right = lookup.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, on & (left[mine] == right[theirs]), how).drop(mine, theirs)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,11 +5,16 @@ characters). A document's number of copies is the inverse of the Poisson distrib
 mean at a uniform number from a hash of the seed and its id; it is exploded by this count, and all
 copies are shuffled globally by another hash. So results don't depend on partitions or retries.
 
+The distribution function is summed in log space, one term after another, without a table; from a mean of LARGE on it starts REACH
+standard deviations below the mean, by Stirling's series. So a document takes at most some 24 terms and REACH times two standard deviations
+more work than its own copies do, and a source of any rate takes four numbers.
+
 Weights default to tempered shares mass**ALPHA. Given ones are a map from source to weight; sources that it lacks get
 weight 0 and vanish. Weights are normalised over the sources that occur.
 
 Defined results: null is a source of its own; a null text has no mass, so its source's rate follows the rest, and a source
-without any mass is left out; equal rows draw equal counts; a null id draws as the text 'null'. Added columns: n_copies, copy (from 1), rate, shuffle_key.
+without any mass is left out; equal rows draw equal counts; a null id draws as the text 'null'; an empty table stays empty. Added columns: n_copies,
+copy (from 1), rate, shuffle_key; columns of these names are replaced, all others pass, whatever their name.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ from pyspark.sql import functions as F
 from . import common
 
 ALPHA = 0.7
+LARGE, REACH = 400, 12
+#: Copies of a document that one array of the explosion holds.
+BLOCK = 65536
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source_, mass, rate, cdf_): the mean number of copies, and the Poisson distribution function of that mean at 0, 1, 2, ...
-
-    It is summed in log space, up to 12 standard deviations and 24 terms beyond the mean.
-    """
+    """(source_, mass, rate_, first_, log_first_, steps_): the mean number of copies; the count at which the sum starts, the logarithm of its probability, and
+    the number of terms that follow."""
     mass = common.checkpoint(docs.groupBy(F.col(source_col).alias("source_")).agg(F.sum(F.length(text_col)).alias("mass")).where("mass > 0"))
     if weights is None:
         weight = F.pow(F.col("mass").cast("double"), F.lit(ALPHA))
@@ -36,18 +42,23 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
             weight = F.when(F.col("source_").eqNullSafe(F.lit(source)), F.lit(float(value))).otherwise(weight)
     weighted = mass.withColumn("weight", weight)
     total = weighted.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
-    rate = weighted.crossJoin(F.broadcast(total)).selectExpr("source_", "mass", "(weight / all_weight) * (all_mass / mass) AS rate").where("rate > 0")
+    rate = weighted.crossJoin(F.broadcast(total)).selectExpr("source_", "mass", "(weight / all_weight) * (all_mass / mass) AS rate_").where("rate_ > 0")
+    start = rate.selectExpr("*", f"if(rate_ < {LARGE}, 0L, floor(rate_ - {REACH} * sqrt(rate_))) AS first_")
+    factorial = "first_ * ln(first_) - first_ + 0.5D * ln(2 * pi() * first_) + 1 / (12D * first_) - 1 / (360D * pow(first_, 3)) + 1 / (1260D * pow(first_, 5))"
     return common.checkpoint(
-        rate.withColumn(
-            "cdf_",
-            F.expr("""transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate)) + 24 AS int)), array(struct(-rate AS log_p, exp(-rate) AS total)),
-                (done, k) -> concat(done, array(struct(
-                    element_at(done, -1).log_p + ln(rate / k) AS log_p,
-                    element_at(done, -1).total + exp(element_at(done, -1).log_p + ln(rate / k)) AS total)))), x -> x.total)"""),
+        start.selectExpr(
+            "*", f"if(first_ = 0, -rate_, first_ * ln(rate_) - rate_ - ({factorial})) AS log_first_", f"cast(ceil(rate_ - first_ + {REACH} * sqrt(rate_)) AS int) + 24 AS steps_"
         )
     )
 
 
+def inverse(u: str, rate: str = "rate_", first: str = "first_", log_first: str = "log_first_", steps: str = "steps_") -> str:
+    """SQL: the smallest count whose distribution function, of the columns of rates(), exceeds u."""
+    return f"""aggregate(sequence(0, {steps}), struct({log_first} AS log_p, 0D AS total, {first} AS n),
+        (s, i) -> struct(s.log_p + ln({rate} / ({first} + i + 1)) AS log_p, s.total + exp(s.log_p) AS total, s.n + if(s.total + exp(s.log_p) <= {u}, 1L, 0L) AS n),
+        s -> cast(s.n AS int))"""
+
+
 def uniform(*parts) -> F.Column:
     """A number in [0, 1) with 52 bits, from the MD5 of the parts joined by colons."""
     text = F.concat_ws(":", *(p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts))
@@ -59,10 +70,14 @@ def mix(
 ) -> DataFrame:
     """Every document once per copy, with n_copies, copy, rate and shuffle_key, in the global order of shuffle_key."""
     docs = docs.drop("n_copies", "copy", "rate", "shuffle_key")
-    rate = rates(docs, weights, source_col, text_col).drop("mass")
-    joined = common.join_lookup(docs, rate, docs[source_col].eqNullSafe(rate["source_"]), "inner")
+    lookup = rates(docs, weights, source_col, text_col).select("source_", "rate_", "first_", "log_first_", "steps_")
+    drawn, block, key, *fresh = common.free_names(docs, "u_", "block_", *lookup.columns)
+    lookup = lookup.toDF(key, *fresh)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    counted = joined.withColumn("u_", uniform(seed, name)).withColumn("n_copies", F.expr("size(filter(cdf_, x -> x <= u_))"))
-    copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, n_copies)")))
+    joined = common.join_lookup(docs, lookup, docs[source_col].eqNullSafe(lookup[key]), F.xxhash64(docs[id_col], docs[text_col]), "inner")
+    counted = joined.withColumn(drawn, uniform(seed, name)).withColumns({"n_copies": F.expr(inverse(drawn, *fresh)), "rate": F.col(fresh[0])})
+    # in blocks, so that no array is longer than one, however large the count
+    blocks = counted.where("n_copies > 0").withColumn(block, F.explode(F.expr(f"sequence(0, (n_copies - 1) div {BLOCK})")))
+    copies = blocks.withColumn("copy", F.explode(F.expr(f"sequence(cast({block} * {BLOCK} + 1 AS int), cast(least(n_copies, ({block} + 1) * {BLOCK}) AS int))")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string"))))
-    return keyed.drop("source_", "cdf_", "u_").orderBy("shuffle_key", id_col)
+    return keyed.drop(key, drawn, block, *fresh).orderBy("shuffle_key", id_col)
