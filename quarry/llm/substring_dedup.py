@@ -6,15 +6,17 @@ that repeats cover are removed, as maximal intervals. Three Spark stages do it:
 1. Each task hashes the windows of its texts in numpy. A window that occurs in several texts of the
    same block stays once, for the smallest id; the rest is known to be repeated. A task remembers such windows
    (up to FREQUENT of them), so a passage of a third of all documents reaches the shuffle a few times a task, not once a document.
-2. Hashes meet by bucket (a hash range, about 16 MB of text each, whatever the corpus size). There,
+2. Hashes meet by bucket, about 16 MB of text each, whatever the corpus size, in tasks of about TASK_BYTES of text. There,
    positions whose hash has a smaller id elsewhere are found.
 3. Positions, packed by shards of documents, meet there, are joined to their documents, merged into maximal intervals and cut out.
 
-Hashes have 64 bits: among n windows the expected number of false repeats is about n**2 / 2**65.
+Windows are told apart by a 64-bit hash and by their bucket, a range of a second hash of another base, so by more bits the larger the corpus is: of n
+windows of a corpus of b buckets some n**2 / (2**65 * b) are expected to be taken for repeats falsely, or about one in 100 TB. (Within one
+task's block of 400,000 words the first hash decides alone, which adds a tenth of that.)
 
 Defined results: a null or empty text has no words and comes back with no removal; a text of fewer
 than `width` words is kept whole; of equal ids neither is smaller, so a repeated row loses nothing to
-its twin; rows with a null id count as larger than every id. Other columns, of whatever name but
+its twin; rows with a null id count as larger than every id; an empty table stays empty. Other columns, of whatever name but
 those added (n_words, n_removed, removed, kept), are passed through.
 """
 
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .wordhash import Powers, WordHashes, blocks, window_hashes, word_hashes
+from .wordhash import SECOND_BASE, Powers, WordHashes, blocks, hashes_at, mixed, window_places, word_hashes
 
-BUCKET_BYTES = 16 << 20
+#: Bytes of text of a bucket and of a task's buckets.
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20
 #: Repeated windows that a task remembers, with the smallest id that each was met at.
 FREQUENT = 200_000
 NO_ID = np.iinfo(np.int64).max
@@ -85,16 +88,17 @@ class Frequent:
 
 def _hash_windows(width: int, buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, frequent = WordHashes(), Powers(), Frequent()
+        cache, powers, second, frequent = WordHashes(), Powers(), Powers(SECOND_BASE), Frequent()
         schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "ids", "sums", "runs", "at"))])
         for batch, words in blocks(batches, text_col):
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             sums = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
             lengths = np.array([len(w) if len(w) >= width else 0 for w in words])
             flat = np.concatenate([word_hashes(w, cache) for w in words if len(w) >= width] or [np.empty(0, np.uint64)])
-            hashes, text, position = window_hashes(flat, np.cumsum(lengths), width, powers)
-            if not len(hashes):
+            text, position, place = window_places(np.cumsum(lengths), width)
+            if not len(text):
                 continue
+            hashes = hashes_at(flat, place, width, powers)
             rows = []
             order = np.argsort(hashes)
             ordered = hashes[order]
@@ -108,7 +112,7 @@ def _hash_windows(width: int, buckets: int, id_col: str, text_col: str):
                 where = np.flatnonzero(lost)
                 rows.append(_packed(int(hashes[where[0]] % np.uint64(buckets)), None, text[where], position[where], ids, sums))
             stay = np.flatnonzero(~lost)
-            bucket = ((hashes[stay] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = ((hashes_at(mixed(flat), place[stay], width, second) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             by = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
             stay = stay[by]
@@ -160,7 +164,8 @@ def _find_repeats(shards: int):
         rows = []
         if sum(len(x[0]) for x in lost):
             ids, sums, at = (np.concatenate(x) for x in zip(*lost, strict=True))
-            shard = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+            # by id and text, as many rows may lack an id or share one
+            shard = (mixed(ids.view(np.uint64) ^ mixed(sums.view(np.uint64))) >> np.uint64(33)) % np.uint64(shards)
             for s in np.unique(shard):
                 some = shard == s
                 i, k, p, start = _by_text(ids[some], sums[some], at[some])
@@ -217,18 +222,17 @@ def repeated_starts(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     size = source.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
     buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
     hashed = source.withColumn("sum_", F.xxhash64("text_")).mapInArrow(_hash_windows(width, buckets, "id_", "text_"), _PACKED)
-    lost = hashed.groupBy("bucket").applyInArrow(_find_repeats(buckets), _REPEATS)
+    tasks = max(common.partitions(spark), -(-size // TASK_BYTES))
+    lost = hashed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_find_repeats(buckets), _REPEATS)
     return lost.groupBy("shard").applyInArrow(_gather, "id_ long, sum_ long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with n_words, n_removed, removed (array of word intervals) and kept (the words that stay, joined by a space)."""
-    lost = repeated_starts(docs, width, id_col, text_col).withColumnsRenamed({"id_": "lost_id_", "sum_": "lost_sum_", "starts": "lost_starts_"})
     keyed = docs.drop("n_words", "n_removed", "removed", "kept")
-    joined = keyed.join(
-        lost,
-        (F.coalesce(keyed[id_col].cast("long"), F.lit(NO_ID)) == lost["lost_id_"]) & (F.xxhash64(keyed[text_col].cast("string")) == lost["lost_sum_"]),
-        "left",
-    ).drop("lost_id_", "lost_sum_")
+    names = common.free_names(keyed, "lost_id_", "lost_sum_", "lost_starts_")
+    lost = repeated_starts(docs, width, id_col, text_col).toDF(*names)
+    same = (F.coalesce(keyed[id_col].cast("long"), F.lit(NO_ID)) == lost[names[0]]) & (F.xxhash64(keyed[text_col].cast("string")) == lost[names[1]])
+    joined = keyed.join(lost, same, "left").drop(*names[:2])
     schema = T.StructType([*keyed.schema.fields, *common.fields("n_words long, n_removed long, removed array<struct<from: long, to: long>>, kept string")])
     return joined.mapInArrow(_cut(width, text_col), schema)

@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: An odd multiplier for polynomials modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd multipliers for polynomials modulo 2**64: of the hash, and of a second one.
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Words in one block of texts: bounds a task's memory. A single longer text is a block of its own.
 BLOCK_WORDS = 400_000
 
@@ -34,15 +33,16 @@ class WordHashes(dict):
 
 
 class Powers:
-    """Powers of BASE and of its inverse, grown on demand."""
+    """Powers of an odd base and of its inverse, grown on demand."""
 
-    def __init__(self):
+    def __init__(self, base: int = BASE):
+        self.base = base
         self.up = self.down = np.empty(0, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, BLOCK_WORDS + 1)
-            for name, factor in (("up", BASE), ("down", INVERSE)):
+            for name, factor in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 steps = np.full(size, factor, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
@@ -60,22 +60,30 @@ def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def window_hashes(hashes: np.ndarray, ends: np.ndarray, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of `width` words that lie within one text.
+def window_places(ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of `width` words that lie within one text: the index of the text, the first word's position there and in the block.
 
-    hashes: of the words of all texts of a block, one after another; ends: where each text ends.
-    Returns the window hashes, the index of the text of each and its first word's position there.
+    ends: where each text of a block ends.
     """
-    n = len(hashes)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     counts = np.maximum(ends - starts - width + 1, 0)
     text = np.repeat(np.arange(len(ends)), counts)
     position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = position + starts[text]
-    up, down = powers.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=sums[1:])
-    return mixed((sums[at + width] - sums[at]) * down[at]), text, position
+    return text, position, position + starts[text]
+
+
+def hashes_at(hashes: np.ndarray, at: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+    """Hashes of the windows of `width` words from the places `at` on. hashes: of the words of all texts of a block, one after another."""
+    up, down = powers.upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mixed((sums[at + width] - sums[at]) * down[at])
+
+
+def window_hashes(hashes: np.ndarray, ends: np.ndarray, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes, texts and positions of all windows of `width` words that lie within one text."""
+    text, position, at = window_places(ends, width)
+    return hashes_at(hashes, at, width, powers), text, position
 
 
 def binary(column: pa.ChunkedArray | pa.Array) -> list:
