@@ -5,11 +5,14 @@ several widths slide over a window: as the input is one of 256 bytes at each pla
 sum of looked-up rows. Each filter's largest response in the window, through a rectifier, feeds a softmax over the
 languages. A text's probabilities are the means over its windows.
 
-The training sample is bounded by PER_LANGUAGE documents of each language (the first in the order of a hash of the id) and
-WINDOWS_EACH windows of each, and by nothing else, so that no language is lost; some are cut short, so that short texts are learned too. Training sees text and language
+The training sample is bounded by PER_LANGUAGE documents of each language and
+WINDOWS_EACH windows of each, and by nothing else, so that no language is lost; some are cut short, so that short texts are learned too. A language's documents are
+the first in the order of a hash of id and text, without repeated rows: only hashes below a threshold, set from the language's (approximate) number
+of documents so that it lets some SPARE times as many through, are ranked. Training sees text and language
 only; prediction sees text only.
 
-Defined results: `und` with score 0 for a null text, one without any letter, or if there is nothing to learn from.
+Defined results: `und` with score 0 for a null text, one without any letter, or if there is nothing to learn from; repeated rows get equal predictions and are learned from
+once; of equally likely languages the first by name; an empty table stays empty. Columns lang_pred and score are replaced, all others pass, whatever their name.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-PER_LANGUAGE, WINDOWS_EACH, SALTS = 2000, 4, 64
+PER_LANGUAGE, WINDOWS_EACH, SPARE = 2000, 4, 1.5
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 AT_ONCE = 256
 LETTER = re.compile(r"[^\W\d_]").search
@@ -133,15 +136,18 @@ def _sample(seed: int):
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> Network | None:
     """A network from rows with a known language; None if there are none."""
-    known = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("number"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    text = F.col(text_col).cast("string")
+    known = labelled.select(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(seed)).alias("number"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null")
-    # the first of each salt, then the first of those: no task ranks all rows of a language
-    first = known.select("number", "lang", F.pmod("number", F.lit(SALTS)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("number"))
-        first = first.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
-    last = common.checkpoint(first.groupBy("lang").agg(F.max("number").alias("last")))
-    windows = common.join_lookup(known, last, "lang", "inner").where("number <= last").select("number", "text", "lang").where("text rlike '\\\\p{L}'").mapInArrow(_sample(seed), "lang string, window binary")
+    # the share of a language's hashes that is let through, as a bound of the hash
+    size = known.groupBy("lang").agg(F.approx_count_distinct("number", 0.02).alias("n"))
+    bound = F.least(F.lit(1.0), F.lit(SPARE * PER_LANGUAGE) / F.greatest("n", F.lit(1)))
+    bounds = common.checkpoint(size.select(F.col("lang").alias("of"), (bound * 2.0**64 - 2.0**63).alias("bound")))
+    few = common.join_lookup(known.select("number", "lang"), bounds, F.col("lang") == F.col("of"), F.col("number"), "inner").where("number <= bound").select("lang", "number").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
+    last = common.checkpoint(few.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).groupBy(F.col("lang").alias("of")).agg(F.max("number").alias("last")))
+    chosen = common.join_lookup(known, last, F.col("lang") == F.col("of"), F.col("number"), "inner").where("number <= last")
+    windows = chosen.dropDuplicates(["number", "lang"]).select("number", "text", "lang").where("text rlike '\\\\p{L}'").mapInArrow(_sample(seed), "lang string, window binary")
     rows = windows.toArrow()
     if not rows.num_rows:
         return None
