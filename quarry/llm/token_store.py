@@ -5,20 +5,27 @@ into chunks where a rolling hash of the last WINDOW ids says so, so equal passag
 stand. A chunk is stored once, under its BLAKE2b digest. Layout of a store, all Parquet:
 
     rows/kind=chunks/  digest, n, ids: little-endian, 2 bytes each (4 for vocabularies over 65,536), sorted by digest
-    recipes/   seq, doc_id, start, n_tokens, digests, root, part, at      in ascending doc_id, so ascending start
-    manifest/  part, documents, tokens, root                             Merkle roots of the recipes' parts
+    recipes/   seq, doc_id, start, n_tokens, digests, root               in ascending doc_id, so ascending start
+    manifest/  level, part, documents, tokens, root                      Merkle roots: level 0 of parts of PART_ROWS recipes, each further one of
+                                                                         PART_ROWS parts of the level below, up to one root
 
-A recipe's root is the Merkle root of its chunk digests; a part's root that of its recipes' roots. Reading back
+A recipe's root is the Merkle root of its chunk digests. Reading back
 hashes every chunk file's content again, resolves every recipe through the chunks, and recomputes the roots; any difference raises.
 
-White space never lies within a token of this kind of tokenizer (its normaliser turns it into one space and its pattern drops
-that), so a text's ids are the joined ids of its words, or of the smaller units that its pattern cuts; each task remembers those of frequent ones.
+White space never lies within a token of the default tokenizer (its normaliser turns it into one space and its pattern drops
+that), so a text's ids are the joined ids of its words, or of the smaller units that its pattern cuts; each task remembers those of frequent ones. A vocabulary file with
+another normaliser, pattern or added tokens is given whole texts.
 
-Defined results: a null text is empty and so one id, END. Rows with equal ids are documents of their own, in order of their digests; null ids come first.
+Chunks are dealt by digest and recipes by a running number of their task, so equal documents don't meet in one task; rows of one id, or of none, are dealt by
+their digests and that number. A chunk that many documents share is looked up in SALTS tasks.
+
+Defined results: a null text is empty and so one id, END. Rows with equal ids are documents of their own, in order of their digests; null ids come first; an
+empty table makes an empty store. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -39,6 +46,15 @@ from .wordhash import Powers, binary, window_hashes
 END = 1
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 64, 8, 2048
 DIGEST = 16
+#: Recipes of a part, and parts of one of the next level.
+PART_ROWS = 4096
+#: Tasks that the references to one chunk are dealt to.
+SALTS = 8
+#: Chunks that a task remembers to have written.
+STORED = 1_000_000
+#: The normaliser and the pattern of tokenizers whose plain texts are cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 #: Kinds of a plain text's bytes in lower case. A unit is a run of one kind, but digits stand alone and white space is dropped.
 WHITE, LETTER, DIGIT, MARK = range(4)
 KINDS = np.array([WHITE if b in b" \t\n\v\f\r" else LETTER if b >= 0x80 or chr(b).islower() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
@@ -50,6 +66,19 @@ FOREIGN = bytes([0xC2, *range(0xCA, 0xF5)])
 UNLIKE = ("×".encode(), "÷".encode(), "İ".encode())
 
 
+def cuts_words(settings: dict) -> bool:
+    """Whether a tokenizer file has the normaliser, pattern and kind of model that units and words may be encoded one by one with."""
+    first = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    return (
+        settings.get("normalizer") == NORMALIZER
+        and first == [{"type": "Split", "pattern": PATTERN, "behavior": "Removed", "invert": True}, byte_level]
+        and settings["model"]["type"] == "BPE"
+        and all(t["content"].startswith("<") and not any(map(str.isspace, t["content"])) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings["added_tokens"])
+        and not any(settings.get(x) for x in ("truncation", "padding", "post_processor"))
+    )
+
+
 @cache
 def tokenizer(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,6 +114,7 @@ class UnitIds(dict):
         self.words: dict[bytes, bytes] = {}
         self.letters = byte_letters()
         self.merged = self.coder.model.tokenize
+        self.by_word = cuts_words(json.loads(self.coder.to_str()))
 
     def __missing__(self, unit: bytes) -> bytes:
         ids = self.old.get(unit)
@@ -112,6 +142,9 @@ class UnitIds(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Plain texts are cut into units together, and only distinct units are looked up one by one."""
+        if not self.by_word:
+            found = self.coder.encode_batch([text.decode() for text in texts], add_special_tokens=False)
+            return [np.array(x.ids, self.kind).tobytes() for x in found]
         flat = [i for i, text in enumerate(texts) if text and plain(text)]
         found = dict(zip(flat, self._units([texts[i] for i in flat]), strict=True)) if flat else {}
         return [found[i] if i in found else b"".join(map(self.word, text.split())) for i, text in enumerate(texts)]
@@ -202,14 +235,14 @@ def split_digests(joined: bytes) -> list[bytes]:
     return [joined[i : i + DIGEST] for i in range(0, len(joined), DIGEST)]
 
 
-_ROWS = "kind string, digest binary, n long, ids binary, doc_id long"
+_ROWS = "kind string, digest binary, n long, ids binary, doc_id long, deal long"
 
 
 def _encode(name: str):
-    schema = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64())])
+    schema = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("deal", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers, stored = unit_ids(name), Powers(), set()
+        known, powers, stored, number = unit_ids(name), Powers(), set(), TaskContext.get().partitionId() << 33
         end, width = np.array([END], known.kind).tobytes(), known.kind.itemsize
         for batch in batches:
             all_docs, all_texts = batch.column(0).to_pylist(), [t or b"" for t in binary(batch.column(1))]
@@ -223,9 +256,12 @@ def _encode(name: str):
                         recipe.append(d := digest(piece))
                         if d not in stored:
                             stored.add(d)
-                            rows.append(("chunks", d, e - last, piece, None))
+                            rows.append(("chunks", d, e - last, piece, None, int.from_bytes(d[:8], "little", signed=True)))
                         last = e
-                    rows.append(("recipes", b"".join(recipe), last, None, doc))
+                    number += 1
+                    rows.append(("recipes", b"".join(recipe), last, None, doc, number))
+                if len(stored) > STORED:
+                    stored.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
@@ -243,31 +279,45 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Recipes with their part, their place there and the tokens before them there."""
-    part, at, start = TaskContext.get().partitionId(), 0, 0
+    """Recipes with their task, their place there and the tokens before them there."""
+    task, at, start = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         n = batch.column(1).to_numpy()
         ends = np.cumsum(n)
         columns = {
             "doc_id": batch.column(0), "n_tokens": batch.column(1), "digests": batch.column(2),
             "root": pa.array([merkle(split_digests(x)) for x in batch.column(2).to_pylist()], pa.binary()),
-            "part": pa.array(np.full(len(n), part), pa.int64()), "at": pa.array(np.arange(at, at + len(n))), "before": pa.array(start + ends - n, pa.int64()),
+            "task": pa.array(np.full(len(n), task), pa.int64()), "at": pa.array(np.arange(at, at + len(n))), "before": pa.array(start + ends - n, pa.int64()),
         }
         at, start = at + len(n), start + int(ends[-1]) if len(n) else start
         yield pa.RecordBatch.from_pydict(columns)
 
 
-@cache
-def _merkle_udf():
-    """Merkle root of binary leaves in the order given."""
-    return F.udf(lambda leaves: merkle([bytes(x) for x in leaves]), "binary")
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's leaves (at, root), which are in order, as their Merkle root."""
+    for batch in batches:
+        leaves = batch.column(batch.num_columns - 1)
+        at, roots = leaves.offsets.to_pylist(), leaves.values.field("root").to_pylist()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([merkle(roots[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], [*batch.schema.names[:-1], "root"])
 
 
-def _part_roots(recipes: DataFrame) -> DataFrame:
-    """(part, documents, tokens, root): parts have a bounded number of recipes each, PART_ROWS."""
-    return recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("at", "root"))).alias("leaves")).select(
-        "part", "documents", "tokens", _merkle_udf()(F.col("leaves.root")).alias("root")
-    )
+def _parts(nodes: DataFrame) -> DataFrame:
+    """(part, documents, tokens, root) of nodes (at, documents, tokens, root): PART_ROWS successive ones make a part."""
+    of = F.expr(f"at div {PART_ROWS}").alias("part")
+    leaves = F.array_sort(F.collect_list(F.struct("at", "root"))).alias("leaves")
+    return nodes.groupBy(of).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), leaves).mapInArrow(_folded, "part long, documents long, tokens long, root binary")
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """(level, part, documents, tokens, root), up to the level of one part. Every level has PART_ROWS times fewer rows."""
+    nodes, out, level = recipes.select(F.col("seq").alias("at"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), "root"), None, 0
+    while True:
+        parts = common.checkpoint(_parts(nodes))
+        rows = parts.select(F.lit(level).alias("level"), "*")
+        out = rows if out is None else out.unionAll(rows)
+        if parts.limit(2).count() < 2:
+            return out
+        nodes, level = parts.withColumnRenamed("part", "at"), level + 1
 
 
 def _rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -280,20 +330,21 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(_encode(vocabulary), _ROWS)
-    dealt = rows.repartition(common.partitions(spark), F.col("digest")).sortWithinPartitions("kind", "digest")
+    dealt = rows.repartition(common.partitions(spark), F.col("deal")).sortWithinPartitions("kind", "digest")
     dealt.mapInArrow(_once, _ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
-    recipes = _rows(spark, path, "recipes").select("doc_id", F.col("n").alias("n_tokens"), F.col("digest").alias("digests"))
-    ordered = recipes.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "digests")
-    placed = common.checkpoint(ordered.mapInArrow(_place, "doc_id long, n_tokens long, digests binary, root binary, part long, at long, before long"))
-    # one row per part, so that a window over them is small
-    sums = placed.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("documents", "tokens")))
-    final = placed.join(F.broadcast(offsets), "part").select(
-        (F.col("documents_before") + F.col("at")).alias("seq"), "doc_id", (F.col("tokens_before") + F.col("before")).alias("start"), "n_tokens", "digests", "root", "part", "at"
+    recipes = _rows(spark, path, "recipes").select("doc_id", F.col("n").alias("n_tokens"), F.col("digest").alias("digests"), "deal")
+    # many rows may share an id, or lack one, and have the same digests too
+    ordered = recipes.repartitionByRange(common.partitions(spark), "doc_id", "digests", "deal").sortWithinPartitions("doc_id", "digests", "deal").drop("deal")
+    placed = common.checkpoint(ordered.mapInArrow(_place, "doc_id long, n_tokens long, digests binary, root binary, task long, at long, before long"))
+    # one row per task, so that a window over them is small
+    sums = placed.groupBy("task").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("task", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("documents", "tokens")))
+    final = placed.join(F.broadcast(offsets), "task").select(
+        (F.col("documents_before") + F.col("at")).alias("seq"), "doc_id", (F.col("tokens_before") + F.col("before")).alias("start"), "n_tokens", "digests", "root"
     )
     final.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 def _check_chunks(width: int):
@@ -374,17 +425,19 @@ def id_bytes(vocabulary: str) -> int:
 def verify_store(spark: SparkSession, path: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the store's files, all of whose hashes are checked."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    stored, again = spark.read.parquet(f"{path}/manifest"), _part_roots(recipes)
-    if wrong := stored.join(again, ["part", "documents", "tokens", "root"], "left_anti").limit(1).collect():
-        raise ValueError(f"part {wrong[0]['part']} of the recipes differs from the manifest")
+    stored, again = spark.read.parquet(f"{path}/manifest"), manifest(recipes)
+    keys = ["level", "part", "documents", "tokens", "root"]
+    if wrong := stored.join(again, keys, "left_anti").unionAll(again.join(stored, keys, "left_anti")).limit(1).collect():
+        raise ValueError(f"part {wrong[0]['part']} of level {wrong[0]['level']} of the recipes differs from the manifest")
     chunks = _rows(spark, path, "chunks").select("digest", "ids").mapInArrow(_check_chunks(id_bytes(vocabulary)), "digest binary, n long, crc long")
-    found = _references(recipes).join(chunks, "digest", "left")
+    salted = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = _references(recipes).withColumn("salt", F.pmod("seq", F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
     parts = found.groupBy("seq", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "n", "crc"))).alias("parts"))
     return parts.mapInArrow(_resolve, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_store(spark: SparkSession, path: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """(doc_id, start, ids): the documents' ids, put together from their chunks."""
+    """(doc_id, start, ids): the documents' ids, put together from their chunks. A chunk that many share is left to Spark's own splitting of skewed joins."""
     chunks = _rows(spark, path, "chunks").select("digest", F.col("ids").alias("piece"))
     found = _references(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest")
     whole = found.groupBy("seq", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("parts"))
