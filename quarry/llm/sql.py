@@ -49,12 +49,12 @@ FROM documents d JOIN (SELECT doc_id, rate, n, unnest(range(1, n + 1)) AS copy F
 
 OP3 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.own <> c.own AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
 
@@ -68,15 +68,21 @@ _RATES = {
 
 
 def _fence(measure: str, slack: int, low: bool) -> str:
-    quartile = "(CASE WHEN ns >= 50 THEN s.{0} WHEN nl >= 50 THEN l.{0} ELSE a.{0} END)"
-    q1, q3 = quartile.format(f"q1_{measure}"), quartile.format(f"q3_{measure}")
-    reach = f"greatest(3 * ({q3} - {q1}), {slack})"
+    q1, q3 = (f"s_{q}_{measure}" for q in ("q1", "q3"))
+    reach = f"greatest(3 * ({q3} - {q1}), {slack}::DOUBLE)"
     return f"coalesce({measure} <= {q3} + {reach}" + (f" AND {measure} >= {q1} - {reach}, true)" if low else ", true)")
 
 
+def _shrunk(level: str, parent: str, n: str) -> str:
+    """Quartiles of a level, drawn towards those of its parent with the weight of 50 documents."""
+    own = lambda m, q: f"{level}.{q}_{m}"
+    above = lambda m, q: f"a.{q}_{m}::DOUBLE" if parent == "a" else f"{parent}_{q}_{m}"
+    return ", ".join(f"coalesce(({n} * {own(m, q)} + 50 * {above(m, q)}) / ({n} + 50), {above(m, q)}) AS {level}_{q}_{m}" for m in _RATES for q in ("q1", "q3"))
+
+
 def _quartiles(measures) -> str:
     # the smallest value that a quarter, or three quarters, of the rows don't exceed
-    return ", ".join(f"quantile_disc({m}, {q}) AS {n}_{m}" for m in measures for n, q in (("q1", 0.25), ("q3", 0.75)))
+    return ", ".join(f"quantile_disc({m}_cell, {q}) AS {n}_{m}" for m in measures for n, q in (("q1", 0.25), ("q3", 0.75)))
 
 
 OP7 = rf"""
@@ -95,14 +101,16 @@ m AS (
   FROM d LEFT JOIN cov USING (doc_id)),
 b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    {", ".join(f"least({sql}, 2000) AS {m}" for m, (sql, _, _) in _RATES.items())} FROM m),
+    {", ".join(f"{sql} AS {m}, ({m} >> greatest(length(bin({m})) - 11, 0)) << greatest(length(bin({m})) - 11, 0) AS {m}_cell" for m, (sql, _, _) in _RATES.items())} FROM m),
 s AS (SELECT lang, source, count(*) AS ns, {_quartiles(_RATES)} FROM b WHERE NOT base_failed GROUP BY ALL),
 l AS (SELECT lang, count(*) AS nl, {_quartiles(_RATES)} FROM b WHERE NOT base_failed GROUP BY ALL),
-a AS (SELECT {_quartiles(_RATES)} FROM b WHERE NOT base_failed)
+a AS (SELECT {_quartiles(_RATES)} FROM b WHERE NOT base_failed),
+groups AS (SELECT DISTINCT lang, source FROM b),
+gl AS (SELECT g.*, {_shrunk("l", "a", "nl")} FROM groups g LEFT JOIN l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a),
+gs AS (SELECT gl.lang, gl.source, {_shrunk("s", "l", "ns")} FROM gl LEFT JOIN s ON gl.lang IS NOT DISTINCT FROM s.lang AND gl.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(_fence(m, slack, low) for m, (_, slack, low) in _RATES.items())} AS kept
-FROM b LEFT JOIN s ON b.lang IS NOT DISTINCT FROM s.lang AND b.source IS NOT DISTINCT FROM s.source
-LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
+FROM b JOIN gs ON b.lang IS NOT DISTINCT FROM gs.lang AND b.source IS NOT DISTINCT FROM gs.source
 """
 
 ORACLES = {

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import language_id, quality_classifier, queries
@@ -90,3 +91,65 @@ def test_views_teach_each_other():
     late = [i for i in range(n) if text[i][0] >= 30]
     p = quality_classifier.sigmoid(model.text.logits([text[i] for i in late], model.text.table()))
     assert ((p > 0.5) == (good[late] > 0.5)).mean() > 0.9
+
+
+def naive_probabilities(network, text):
+    """Straight from the definition: every window, every filter at every place."""
+    data = text.encode().lower()
+    total = np.zeros(len(network.languages))
+    windows = language_id.windows_of(data)
+    for w in windows:
+        hidden = []
+        for table, bias in zip(network.tables, network.biases, strict=True):
+            for f in range(language_id.FILTERS):
+                best = max(sum(float(table[j][w[i + j]][f]) for j in range(len(table))) for i in range(language_id.WINDOW - len(table) + 1))
+                hidden.append(max(0.0, best + float(bias[f])))
+        z = np.array(hidden) @ network.out.astype(float) + network.out_bias
+        total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return total / len(windows)
+
+
+def test_language_by_naive_convolution(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FILTERS", 3)
+    network = language_id.Network.new(["a", "b", "c"], 4)
+    texts = ["short", "ein etwas längerer Text mit Umlauten: äöüß " * 9, "x", "the quick brown fox " * 20]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), network).collect()
+    for r in got:
+        p = naive_probabilities(network, r["text"])
+        assert abs(p.max() - r["score"]) < 1e-5 and network.languages[int(p.argmax())] == r["lang_pred"]
+
+
+def test_gradient_by_differences(monkeypatch):
+    monkeypatch.setattr(language_id, "FILTERS", 2)
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    monkeypatch.setattr(language_id, "RATE", 1e-3)
+    draw = np.random.default_rng(2)
+    x, y = draw.integers(97, 103, (20, language_id.WINDOW)).astype(np.uint8), draw.integers(0, 2, 20)
+    loss = lambda net: -np.log(net.probabilities(x)[np.arange(20), y]).mean()
+    net = language_id.Network.new(["a", "b"], 3)
+    net.tables, net.biases = [t.astype(float) for t in net.tables], [b.astype(float) for b in net.biases]
+    net.out, net.out_bias = net.out.astype(float), net.out_bias.astype(float)
+    slopes = []
+    for values in (net.tables[1], net.out, net.biases[0]):
+        place = np.unravel_index(np.argmax([abs(v) for v in values.ravel()]), values.shape) if values is not net.tables[1] else (0, int(x[0, 0]), 0)
+        values[place] += 1e-5
+        up = loss(net)
+        values[place] -= 2e-5
+        slopes.append((values, place, (up - loss(net)) / 2e-5))
+        values[place] += 1e-5
+    before = [float(v[p]) for v, p, _ in slopes]
+    net.train(x, y, 1)  # one step of Adam moves each value by RATE against its slope's sign
+    for (values, place, slope), old in zip(slopes, before, strict=True):
+        assert abs(slope) < 1e-7 or np.sign(old - values[place]) == np.sign(slope)
+
+
+def test_the_sample_of_a_language_is_the_first_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 50)
+    monkeypatch.setattr(language_id, "EPOCHS", 0)
+    seen = []
+    monkeypatch.setattr(language_id, "_sample", lambda seed: lambda batches: (seen.append(0) or b.select([2, 1]).rename_columns(["lang", "window"]).cast(pa.schema([("lang", pa.string()), ("window", pa.binary())])) for b in batches))
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, id, null) AS doc_id", "concat('wort ', id % 3000, repeat('.', 200)) AS text", "if(id % 10 = 0, 'rare', 'often') AS lang")
+    monkeypatch.setattr(language_id.np, "frombuffer", lambda data, kind: np.zeros(data.count(b"wort") * language_id.WINDOW, np.uint8))
+    monkeypatch.setattr(language_id.Network, "train", lambda self, x, y, seed: seen.append(np.bincount(y).tolist()))
+    language_id.fit(docs)
+    assert seen[-1] == [50, 50]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -222,3 +223,99 @@ def test_rules_edges(spark):
     assert not any(kept[i] for i in (100, 101, 102, 104, 105))
     assert {r["doc_id"]: r["n_repeat_words"] for r in out}[104] == 200
     assert quality_rules.apply_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
+
+
+def test_top_k_against_its_sql_on_repeated_ids(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in draw.normal(0, 0.3, 4)]) for i in [*range(0, 400, 20), 100, 100, 7, 7, 7]]
+    rows += [(100, rows[5][1]), (1, rows[5][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op3_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.oracle_sql()['op3_topk_search']})").fetchall())
+    assert sum(r["query_id"] == 100 for r in got) == 40  # four rows ask with this id
+
+
+def test_top_k_scores_are_exact_integers(spark):
+    rows = [(0, [2.0**20, 1.0]), (1, [2.0**40, 1.0]), (2, [2.0**40, 0.0]), (3, [2.0**40, 3.0]), (4, [-(2.0**50), 7.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk_search.top_k(frame, F.col("vec_id") == 0, k=2, scale=1).collect()]
+    assert got == [(0, 1, 3, 2**60 + 3), (0, 2, 1, 2**60 + 1)]
+    draw = random.Random(8)
+    for size in (2**20, 2**30, 2**31):
+        v = np.array([[float(draw.randint(-size, size)) for _ in range(3)] for _ in range(300)])
+        for a, which, scores in topk_search.nra(v, v[:5], np.arange(300), np.arange(5), 4):
+            true = sorted((-sum(int(x) * int(y) for x, y in zip(v[a], v[i], strict=True)), i) for i in range(300) if i != a)[:4]
+            assert [(-int(s), int(i)) for i, s in zip(which, scores, strict=True)] == true
+
+
+def test_windows_differ_by_either_hash():
+    """Two windows that the first hash can't tell apart meet in different buckets, unless the second can't either."""
+    flat = wordhash.word_hashes(b"a b c d e f g h".split(), wordhash.WordHashes())
+    at = np.arange(5)
+    one, two = (wordhash.hashes_at(f, at, 4, wordhash.Powers(b)) for f, b in ((flat, wordhash.BASE), (wordhash.mixed(flat), wordhash.SECOND_BASE)))
+    assert len(set(one.tolist()) | set(two.tolist())) == 10
+    again = wordhash.hashes_at(wordhash.mixed(flat[2:]), np.arange(3), 4, wordhash.Powers(wordhash.SECOND_BASE))
+    assert (again == two[2:]).all()
+
+
+def test_internal_names_do_not_clash(spark):
+    prose = lambda i: " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(80))
+    odd = ["u_", "block_", "source_", "rate_", "steps_", "t_", "words_", "keys_", "lines_", "lang_", "lost_id_", "lost_sum_", "id_", "sum_", "upper_rate_low", "text_", "row", "n", "sig", "salt_"]
+    docs = spark.createDataFrame([(i, prose(i % 30), "en", "s") for i in range(60)], "doc_id long, text string, lang string, source string")
+    more = docs.select("*", *(F.lit(f"mine {c}").alias(c) for c in odd))
+    for run in (source_mixing.mix, quality_rules.apply_rules, substring_dedup.remove_repeats):
+        plain_, full = run(docs), run(more)
+        assert full.columns == [*more.columns, *plain_.columns[len(docs.columns) :]]
+        assert sorted(map(tuple, full.select(plain_.columns).collect()), key=repr) == sorted(map(tuple, plain_.collect()), key=repr)
+        assert all(full.where(F.col(c) != f"mine {c}").isEmpty() for c in odd)
+    assert sorted(jaccard_join.similarity_groups(more).collect()) == sorted(jaccard_join.similarity_groups(docs).collect())
+
+
+def poisson_inverse(mean, u):
+    from math import exp, lgamma, log
+
+    n, total = 0, exp(-mean)
+    while total <= u:
+        n += 1
+        total += exp(n * log(mean) - mean - lgamma(n + 1))
+    return n
+
+
+def test_mixing_survives_large_rates(spark):
+    docs = spark.createDataFrame([(1, "t", "tiny"), *((i, "word " * 2000, "rest") for i in range(2, 90))], "doc_id long, text string, source string")
+    out = source_mixing.mix(docs, {"tiny": 0.05, "rest": 1.0})
+    tiny = out.where("source = 'tiny'").agg(F.count("*"), F.max("copy"), F.max("n_copies"), F.max("rate"), F.countDistinct("copy")).first()
+    assert tiny[0] == tiny[1] == tiny[2] == tiny[4] and abs(tiny[0] - tiny[3]) < 6 * tiny[3] ** 0.5 and tiny[3] > 40_000
+    us = [k / 1009 + 0.0003 for k in range(0, 1009, 16)]
+    for mean in (0.01, 1.0, 7.5, 399.0, 401.0, 690.0):  # exp(-mean) is a number
+        first = 0 if mean < source_mixing.LARGE else int(mean - source_mixing.REACH * mean**0.5)
+        log_first = -mean if not first else first * math.log(mean) - mean - math.lgamma(first + 1)
+        steps = math.ceil(mean - first + source_mixing.REACH * mean**0.5) + 24
+        frame = spark.createDataFrame([(u, mean, first, log_first, steps) for u in us], "u double, rate_ double, first_ long, log_first_ double, steps_ int")
+        assert [r[0] for r in frame.select(F.expr(source_mixing.inverse("u"))).collect()] == [poisson_inverse(mean, u) for u in us]
+
+
+def test_larger_lookups_are_salted(spark):
+    docs = spark.createDataFrame([(i, "t" * (i % 7 + 1), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    lookup = source_mixing.common.checkpoint(spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "s string, v long"))
+    rows = []
+    for most in (10, 2):
+        joined = source_mixing.common.join_lookup(docs, lookup, docs["source"].eqNullSafe(lookup["s"]), F.xxhash64("doc_id"), max_rows=most)
+        rows.append(sorted(map(tuple, joined.collect()), key=repr))
+    assert rows[0] == rows[1] and len(rows[0]) == 300
+    joined = source_mixing.common.join_lookup(docs, lookup, docs["source"].eqNullSafe(lookup["s"]), F.xxhash64("doc_id"), max_bytes=5)
+    assert sorted(map(tuple, joined.collect()), key=repr) == rows[0]
+
+
+def test_fences_see_the_whole_range(spark):
+    """Mean word lengths far over 20 characters are still told apart, and small groups lean on their parents."""
+    rows = [(i, " ".join("x" * (40 + (i + k) % 5) for k in range(60)), "zz", "s") for i in range(200)] + [(900, " ".join("x" * (90 + k % 5) for k in range(60)), "zz", "s")]
+    rows = [(i, " ".join(f"{w}{k:02d}" for k, w in enumerate(t.split())), lang, s) for i, t, lang, s in rows]
+    rows += [(901, rows[3][1], "zz", "rare"), (902, rows[-1][1], "zz", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs).collect()}
+    assert all(kept[i] for i in range(200)) and kept[901] and not kept[900] and not kept[902]
+    value = spark.range(1).select(*(F.expr(quality_rules.cell(f"{v}L")) for v in (0, 1, 2047, 2048, 2049, 5_000_001))).first()
+    assert list(value) == [0, 1, 2047, 2048, 2048, 5_000_001 >> 12 << 12]

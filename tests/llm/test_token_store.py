@@ -97,3 +97,34 @@ def test_joined_checksums():
     ids = np.arange(1000, dtype="<u4")
     parts = [ids[:1], ids[1:400], ids[400:]]
     assert token_store.crc_joined([(len(p), zlib.crc32(p.tobytes())) for p in parts]) == zlib.crc32(ids.tobytes())
+
+
+def test_another_vocabulary_is_given_whole_texts(spark):
+    name = "byte_bpe_50k.json"
+    other = Tokenizer.from_file(public_tokenizers.path(name))
+    rows = [(1, "Hello World 2024 foo"), (2, "two  spaces\n\nand lines, don't"), (3, None), (4, "ÉCOLE ﬁ 中文")]
+    path = token_store.new_path(spark)
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, name)
+    assert sorted(map(tuple, token_store.verify_store(spark, path, name).collect())) == brute(rows, other)
+    assert {r["doc_id"]: r["ids"] for r in token_store.read_store(spark, path, name).collect()} == {i: [*other.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    assert token_store.UnitIds("word_bpe_49k.json").by_word and not token_store.UnitIds(name).by_word
+
+
+def test_manifest_has_levels(spark, monkeypatch, coder):
+    monkeypatch.setattr(token_store, "PART_ROWS", 4)
+    rows = [(None if i % 3 == 0 else i // 2, "same" if i % 2 else f"text {i}") for i in range(70)]
+    path = token_store.new_path(spark)
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path)
+    stored = spark.read.parquet(f"{path}/manifest").orderBy("level", "part").collect()
+    assert [sum(r["level"] == k for r in stored) for k in range(5)] == [18, 5, 2, 1, 0]
+    recipes = spark.read.parquet(f"{path}/recipes").orderBy("seq").collect()
+    assert [r["seq"] for r in recipes] == list(range(70)) and [r["start"] for r in recipes] == [sum(x["n_tokens"] for x in recipes[:i]) for i in range(70)]
+    roots = [bytes(r["root"]) for r in recipes]
+    while len(roots) > 1:
+        roots = [token_store.merkle(roots[i : i + 4]) for i in range(0, len(roots), 4)]
+    assert bytes(stored[-1]["root"]) == roots[0] and stored[-1]["documents"] == 70
+    assert sorted(r["n_tokens"] for r in token_store.verify_store(spark, path).collect()) == sorted(len(coder.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    # a changed recipe is found
+    spark.createDataFrame([r.asDict() | ({} if r["seq"] else {"n_tokens": 99}) for r in recipes], spark.read.parquet(f"{path}/recipes").schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="differs from the manifest"):
+        token_store.verify_store(spark, path).collect()
