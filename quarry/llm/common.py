@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quarry.lineage import checkpoint, shared_dir
 
-__all__ = ["checkpoint", "fields", "free_names", "join_lookup", "pack", "partitions", "shared_dir", "table", "unpack"]
+__all__ = ["checkpoint", "fields", "free_names", "join_lookup", "pack", "partitions", "salted_join", "shared_dir", "table", "unpack"]
 
 #: Most rows and bytes of a lookup table that may be broadcast; a larger one is joined by a salted shuffle.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 32 << 20
@@ -41,11 +41,16 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on, salt: F.Column, how: str =
     rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*lookup.columns)))), F.lit(0))).first()
     if rows <= max_rows and size <= max_bytes:
         return df.join(F.broadcast(lookup), on, how)
-    (mine,) = free_names(df, "salt_")
-    (theirs,) = free_names(lookup, f"{mine}of_lookup_")
-    left = df.withColumn(mine, F.pmod(salt, F.lit(SALTS)).cast("int"))
-    right = lookup.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, on & (left[mine] == right[theirs]), how).drop(mine, theirs)
+    return salted_join(df, lookup, on, salt, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: F.Column, salt: F.Column, how: str = "left") -> DataFrame:
+    """An equi-join that deals the left rows of one key to SALTS tasks by `salt`, a hash of a left row, and every right row to all of them."""
+    (mine,) = free_names(left, "salt_")
+    (theirs,) = free_names(right, f"{mine}of_right_")
+    one = left.withColumn(mine, F.pmod(salt, F.lit(SALTS)).cast("int"))
+    two = right.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return one.join(two, on & (one[mine] == two[theirs]), how).drop(mine, theirs)
 
 
 def partitions(spark: SparkSession) -> int:
