@@ -1,7 +1,8 @@
 """Quality classifier by co-training (Blum and Mitchell 1998).
 
 Two views of a document, its text and its metadata (source, language, size), get a classifier each. In every round both are fitted, and
-each gives the other the pool documents that it is most sure of, with its own verdicts as labels. At the end each view is
+each gives the other the unlabelled documents that it is most sure of, with its own verdicts as labels. These are found among all unlabelled documents of the corpus: a Spark job
+scores them all with both views, keeps the surest of each task, and then those of all. At the end each view is
 calibrated (Platt) on labelled documents kept apart, and the two are combined as views that are independent given
 the class: the logits add up, less the prior's.
 
@@ -9,17 +10,18 @@ A document is good if its label says quality 1 and not toxic. Text features are
 stripped) and coarse shapes (symbols, capitals, repetition, length); in each fit the words are kept that are associated with the class at a
 likelihood ratio of SIGNIFICANT at least. Models are logistic regressions fitted in numpy on the driver.
 
-Bounds of the fit: LABELLED labelled documents and POOL unlabelled ones, the first in the order of a hash of the id. All
+Bound of the fit: LABELLED labelled documents, the first in the order of a hash of the id, and SHARE of their number from each view and round. All
 documents are scored, on their whole texts.
 
 Defined results: a null text is an empty one; null metadata are values of their own; of several labels of a document
-the worse counts; a null quality is no label. With no labels, or of one class only, every score is their smoothed share of good
-ones. Repeated rows get equal scores.
+the worse counts; a null quality is no label; rows without an id are scored, but not learned from. With no labels, or of one class only, every score is their smoothed share of good
+ones. Repeated rows get equal scores, and are learned from once; of equally sure documents those of the smaller hash go first. Columns of the names added are replaced, all others
+pass, whatever their name; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from . import common
 from .wordhash import binary
 
-LABELLED, POOL = 20_000, 20_000
+LABELLED = 20_000
 ROUNDS, SHARE, SURE = 3, 0.1, 0.9
 HASHED = 1 << 18
 SIGNIFICANT = 25.0
@@ -166,35 +168,66 @@ class CoTrained:
         return len(self.text.features) > 0
 
 
+@dataclass
+class Wanted:
+    """What a round asks of the unlabelled documents: for each view, the `bad` and `fine` ones that it is surest of, without those it has given (hashes)."""
+
+    model: CoTrained
+    bad: int
+    fine: int
+    given: tuple[set[int], set[int]]
+
+
+#: (view that is sure, label, hash, text features, meta features)
+Given = tuple[int, float, int, np.ndarray, np.ndarray]
+
+
 def co_train(text: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray, known: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """good: labels where known; rows that aren't known are the pool."""
+    """Co-training on rows in memory. good: labels where known; rows that aren't known are the pool, their indexes their hashes."""
     labelled, pool = np.flatnonzero(known), np.flatnonzero(~known)
+
+    def choose(wanted: Wanted) -> list[Given]:
+        out = []
+        for k, (view, rows) in enumerate(((wanted.model.text, text), (wanted.model.meta, meta))):
+            left = np.array([i for i in pool if int(i) not in wanted.given[k]], np.int64)
+            for label, which in surest(view.logits([rows[i] for i in left], view.table()), left, wanted):
+                out += [(k, label, int(left[i]), text[left[i]], meta[left[i]]) for i in which]
+        return out
+
+    return _rounds([text[i] for i in labelled], [meta[i] for i in labelled], good[labelled], choose if len(pool) else None, rounds)
+
+
+def surest(logits: np.ndarray, hashes: np.ndarray, wanted: Wanted) -> list[tuple[float, np.ndarray]]:
+    """(label, indexes) of the documents that a view is surest of and sure enough, ties to the smaller hash."""
+    p = sigmoid(logits)
+    bad, fine = np.lexsort((hashes, p))[: wanted.bad], np.lexsort((hashes, -p))[: wanted.fine]
+    return [(0.0, bad[p[bad] <= 1 - SURE]), (1.0, fine[p[fine] >= SURE])]
+
+
+def _rounds(text: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray, choose: Callable[[Wanted], list[Given]] | None, rounds: int) -> CoTrained:
     model = CoTrained(View(True), View(False), 0.0)
-    share = (good[labelled].sum() + 1) / (len(labelled) + 2)
+    share = (good.sum() + 1) / (len(good) + 2)
     model.prior = float(np.log(share / (1 - share)))
-    if len(labelled) < 10 or good[labelled].min() == good[labelled].max():
+    if len(good) < 10 or good.min() == good.max():
         return model
-    held, fitted = labelled[labelled % 5 == 0], labelled[labelled % 5 != 0]
+    every = np.arange(len(good))
+    held, fitted = every[every % 5 == 0], every[every % 5 != 0]
     if not len(held) or not len(fitted) or good[held].min() == good[held].max() or good[fitted].min() == good[fitted].max():
-        held = fitted = labelled
+        held = fitted = every
     views = (model.text, text), (model.meta, meta)
-    given: list[dict[int, float]] = [{}, {}]  # to each view, by the other
+    given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # to each view, by the other
+    # as many of each class as the labels' shares say
+    most = int(SHARE * len(fitted)) + 1
+    bad, fine = int(most * (1 - share)) + 1, int(most * share) + 1
     for turn in range(rounds + 1):
         for (view, rows), extra in zip(views, given, strict=True):
-            extra_rows = np.array(sorted(extra), np.int64)
-            used = np.concatenate((fitted, extra_rows))
-            view.fit([rows[i] for i in used], np.concatenate((good[fitted], [extra[i] for i in extra_rows])))
+            more = [extra[h] for h in sorted(extra)]
+            view.fit([*(rows[i] for i in fitted), *(r for _, r in more)], np.concatenate((good[fitted], [label for label, _ in more])))
             view.calibrate([rows[i] for i in held], good[held])
-        if turn == rounds or not len(pool):
+        if turn == rounds or choose is None:
             break
-        for k, (view, rows) in enumerate(views):
-            left = np.array([i for i in pool if int(i) not in given[1 - k]], np.int64)
-            p = sigmoid(view.logits([rows[i] for i in left], view.table()))
-            most = int(SHARE * len(fitted)) + 1
-            order = np.argsort(p, kind="stable")
-            # as many of each class as the labels' shares say, and only if the view is sure
-            bad, fine = order[: int(most * (1 - share)) + 1], order[::-1][: int(most * share) + 1]
-            given[1 - k] |= {int(left[i]): 1.0 for i in fine if p[i] >= SURE} | {int(left[i]): 0.0 for i in bad if p[i] <= 1 - SURE}
+        for k, label, number, t, m in choose(Wanted(model, bad, fine, (set(given[1]), set(given[0])))):
+            given[1 - k][number] = label, (m if k == 0 else t)
     return model
 
 
@@ -210,24 +243,72 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, seed: int = 3) -> CoTrained:
-    """Co-train on at most `labelled` rows with labels and `pool` without."""
-    spark = docs.sparkSession
+def _surest(wanted: Wanted):
+    """(view, label, number) of the documents of a task that each view is surest of."""
+    schema = pa.schema([("view", pa.int32()), ("label", pa.float64()), ("number", pa.int64()), ("p", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, views = WordFeatures(), (wanted.model.text, wanted.model.meta)
+        tables = [v.table() for v in views]
+        best = [(np.empty(0), np.empty(0, np.int64))] * 2
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            rows = [text_features(t or b"", cache) for t in binary(batch.column(1))], [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            for k, view in enumerate(views):
+                fresh = np.array([n not in wanted.given[k] for n in numbers.tolist()], bool)
+                z = np.concatenate((best[k][0], view.logits([r for r, f in zip(rows[k], fresh, strict=True) if f], tables[k])))
+                n = np.concatenate((best[k][1], numbers[fresh]))
+                at = np.unique(np.concatenate([which for _, which in surest(z, n, wanted)]))
+                best[k] = z[at], n[at]
+        for k, (z, n) in enumerate(best):
+            for label, which in surest(z, n, wanted):
+                columns = np.full(len(which), k), np.full(len(which), label), n[which], sigmoid(z[which])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def _pool(source: DataFrame) -> Callable[[Wanted], list[Given]]:
+    """The surest of all unlabelled documents, source(number, text, source, lang, n_chars): two passes over them a round, of which the second only lets the chosen ones through."""
+
+    def choose(wanted: Wanted) -> list[Given]:
+        found = common.checkpoint(source.mapInArrow(_surest(wanted), "view int, label double, number long, p double").distinct())
+        chosen = []
+        for view in (0, 1):
+            for label, most, order in ((0.0, wanted.bad, F.asc("p")), (1.0, wanted.fine, F.desc("p"))):
+                chosen += found.where((F.col("view") == view) & (F.col("label") == label)).orderBy(order, "number").limit(most).collect()
+        if not chosen:
+            return []
+        spark = source.sparkSession
+        numbers = spark.createDataFrame([(n,) for n in {r["number"] for r in chosen}], "number long")  # 2 * (bad + fine) at most
+        kept = source.join(F.broadcast(numbers), "number").withColumn("good", F.lit(0.0)).select("number", "good", "text", "source", "lang", "n_chars")
+        rows = kept.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow()
+        # texts that share an id share a number: the smallest counts
+        features: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for number, text, meta in sorted(zip(*(rows.column(c).to_pylist() for c in ("number", "text", "meta")), strict=True)):
+            features.setdefault(number, (np.frombuffer(text, np.int32), np.frombuffer(meta, np.int32)))
+        return [(r["view"], r["label"], r["number"], *features[r["number"]]) for r in chosen]
+
+    return choose
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, seed: int = 3) -> CoTrained:
+    """Co-train on at most `labelled` rows with labels, and on those of all rows without that the views are sure of."""
     number = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
     verdicts = (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.min("quality") == 1).alias("fine"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
         .select("doc_id", (F.col("fine") & (F.col("toxic") == 0)).cast("double").alias("good"))
     )
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    first = verdicts.join(ids.distinct(), "doc_id").withColumn("number", number).orderBy("number").limit(labelled)
-    rest = ids.join(verdicts, "doc_id", "left_anti").distinct().select("doc_id", F.lit(None).cast("double").alias("good"), number.alias("number")).orderBy("number").limit(pool)
-    chosen = common.checkpoint(first.select("doc_id", "good", "number").unionAll(rest))  # labelled + pool rows at most
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(chosen), "doc_id").select("number", "good", "text", "source", "lang", "n_chars")
-    rows = source.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow().sort_by("number")
-    good = rows.column("good").to_numpy()
-    text, meta = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("text", "meta"))
-    return co_train(text, meta, np.nan_to_num(good), ~np.isnan(good))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), *_columns(docs))
+    ids = source.select("doc_id").distinct()
+    first = common.checkpoint(verdicts.join(ids, "doc_id").withColumn("number", number).orderBy("number").limit(labelled))  # `labelled` rows at most
+    rows = source.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "source", "lang", "n_chars")
+    table = rows.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow()
+    own = sorted(set(zip(*(table.column(c).to_pylist() for c in ("number", "good", "text", "meta")), strict=True)))  # in one order, repeated rows once
+    text, meta = ([np.frombuffer(r[k], np.int32) for r in own] for k in (2, 3))
+    pool = source.join(verdicts.select("doc_id"), "doc_id", "left_anti").select("number", "text", "source", "lang", "n_chars")
+    return _rounds(text, meta, np.array([r[1] for r in own]), _pool(pool), rounds)
 
 
 def _score(model: CoTrained, place: list[int], threshold: float):
