@@ -153,3 +153,21 @@ def test_the_sample_of_a_language_is_the_first_by_hash(spark, monkeypatch):
     monkeypatch.setattr(language_id.Network, "train", lambda self, x, y, seed: seen.append(np.bincount(y).tolist()))
     language_id.fit(docs)
     assert seen[-1] == [50, 50]
+
+
+def test_fit_by_brute_force(spark):
+    """The same as co-training in memory with all rows at hand."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = quality_classifier.fit(docs, labels)
+    verdict = {r["doc_id"]: float(r["quality"] == 1 and r["toxic"] == 0) for r in labels.collect()}
+    hashed = sorted(docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), "doc_id", "text", "source", "lang", "n_chars").collect())
+    cache = quality_classifier.WordFeatures()
+    text = [quality_classifier.text_features((r["text"] or "").encode(), cache) for r in hashed]
+    meta = [quality_classifier.meta_features(r["source"], r["lang"], r["n_chars"]) for r in hashed]
+    known = np.array([r["doc_id"] in verdict for r in hashed])
+    plain = quality_classifier.co_train(text, meta, np.array([verdict.get(r["doc_id"], 0.0) for r in hashed]), known)
+    assert 20 < known.sum() < len(hashed) and model.prior == plain.prior
+    for a, b in ((model.text, plain.text), (model.meta, plain.meta)):
+        assert a.features.tolist() == b.features.tolist() and np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias) and np.isclose(a.scale, b.scale)
+    alone = quality_classifier.fit(docs, labels, rounds=0)
+    assert not np.array_equal(alone.text.features, model.text.features) or not np.allclose(alone.text.weights, model.text.weights)  # the pool taught something

@@ -103,3 +103,32 @@ def test_odd_rows(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert {r["doc_id"] for r in out.collect()} <= {1, 3, 2, None}
+
+
+def test_texts_that_share_an_id_both_survive(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    odd = [(7, one, "en", "s", 1), (7, two, "en", "s", 1), (7, two, "en", "s", 1), (9, two + " more", "en", "s", 1), (None, one, "en", "s", 1), (None, "else " + one[:80], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(repr, rows(corpus_pipeline.drop_near_duplicates(spark, docs, SMALL))))
+    first, second = sorted([one, two], key=lambda t: hashlib.md5(f"false{t}".encode()).hexdigest())
+    kept = [(7, one), (9, two + " more") if second == two else (7, two), (None, "else " + one[:80]), (None, None)]
+    assert [eval(r)[:2] for r in got] == sorted(kept, key=repr)  # noqa: S307
+
+
+def test_odd_rows_of_every_stage(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text, extra = " ".join(f"w{i}" for i in range(70)), " ".join(f"x{i}" for i in range(30))
+    odd = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "a", 0), (None, text, "en", "a", 5), (4, text, None, "b", None), (5, f"{extra} {text}", "en", "a", 9)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda some: sorted(some, key=repr)
+    assert key(rows(corpus_pipeline.keep_good(spark, docs, str(tmp_path)))) == key(odd)
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert key(rows(single)) == key([odd[0], odd[2], odd[3], odd[6]])
+    cut = corpus_pipeline.cut_repeated_passages(spark, single, str(tmp_path))
+    assert key(rows(cut)) == key([odd[0], odd[2], odd[3], (5, extra, "en", "a", len(extra))])
+    mixed = rows(corpus_pipeline.mix_sources(spark, cut, str(tmp_path)))
+    assert {r[0] for r in mixed} <= {1, 3, 5} and set(mixed) <= set(rows(cut))  # the source of a null text only is left out
+    coded = corpus_pipeline.encode_pieces(spark, cut, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_pieces"] == 0 for r in coded} == {1: False, 2: True, 3: True, 5: False}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []

@@ -319,3 +319,83 @@ def test_fences_see_the_whole_range(spark):
     assert all(kept[i] for i in range(200)) and kept[901] and not kept[900] and not kept[902]
     value = spark.range(1).select(*(F.expr(quality_rules.cell(f"{v}L")) for v in (0, 1, 2047, 2048, 2049, 5_000_001))).first()
     assert list(value) == [0, 1, 2047, 2048, 2048, 5_000_001 >> 12 << 12]
+
+
+def sketches(texts):
+    known, powers = wordhash.WordHashes(), wordhash.Powers()
+    return [jaccard_join.minhash(x) for x in jaccard_join.shingle_sets([t.encode().split() for t in texts], 5, known, powers)]
+
+
+def bucket_rows(sig):
+    """Rows (key, i, j, node, bytes), sorted, of all buckets of several members."""
+    at = {}
+    for node, s in enumerate(sig):
+        for band in range(jaccard_join.BANDS):
+            at.setdefault((band, *s[4 * band : 4 * band + 4].tolist()), []).append(node)
+    rows = [(k, 0, 0, node, jaccard_join.one_byte(sig[node]).tobytes()) for k, nodes in enumerate(at.values()) if len(nodes) > 1 for node in nodes]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], ["key", "i", "j", "node", "bytes"]) for i in range(0, len(rows), 50)]
+    return batches, sum(len(n) * (len(n) - 1) // 2 for n in at.values())
+
+
+def test_templated_pages_do_not_become_a_cluster(monkeypatch):
+    """Pages of pairwise similarity 0.4 are mates in many buckets; only mates are compared, and no link is left."""
+    draw = random.Random(6)
+    template = [f"t{i}" for i in range(120)]
+    pages = [" ".join(template + [f"p{draw.randint(0, 10**9)}" for _ in range(87)]) for _ in range(150)]
+    batches, candidates = bucket_rows(sketches(pages))
+    compared = []
+    real = jaccard_join._surviving
+    monkeypatch.setattr(jaccard_join, "_surviving", lambda sig, a, b, least: (compared.append(max(len(a), len(b))), real(sig, a, b, least))[1])
+    links = [tuple(r.values()) for b in jaccard_join._links(0.8, 1e-9)(iter(batches)) for r in b.to_pylist()]
+    assert candidates > 3000 and sum(compared) <= candidates
+    assert len(links) < 5
+
+
+@pytest.mark.parametrize("together", [0, 3, 1000])
+def test_links_connect_what_pruning_leaves(monkeypatch, together):
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+    draw = random.Random(9)
+    sig = sketches([t for _ in range(9) for t in near_copies(draw, 14, 30)])
+    batches, _ = bucket_rows(sig)
+    low = np.stack([jaccard_join.one_byte(s) for s in sig])
+    least = jaccard_join.least_matches(0.8, 1e-9)
+    edges = set()
+    for a in range(len(sig)):
+        for b in range(a):
+            share = any((sig[a][4 * k : 4 * k + 4] == sig[b][4 * k : 4 * k + 4]).all() for k in range(jaccard_join.BANDS))
+            if share and all((low[a][:n] == low[b][:n]).sum() >= m for n, m in least.items()):
+                edges.add((b, a))
+
+    def parts(pairs):
+        root = list(range(len(sig)))
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    links = [tuple(r.values()) for b in jaccard_join._links(0.8, 1e-9)(iter(batches)) for r in b.to_pylist()]
+    assert parts(links) == parts(edges) and len(set(parts(edges))) < len(sig)
+
+
+def test_buckets_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 5)
+    draw = random.Random(7)
+    texts = [t for _ in range(3) for t in near_copies(draw, 25, 4)]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())) == brute_groups(rows)
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(5, a), (5, b), (5, b), (9, b), (3, a), (8, None), (8, "x")]
+    got = sorted(map(tuple, jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()))
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (8, 8, 0), (8, 8, 0), (9, 5, 1)]
+
+
+def test_components_of_stars_and_chains(spark):
+    from quarry.llm.components import components
+
+    links = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 160)] + [(160, 39)] + [(200, 201), (201, 202)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {**dict.fromkeys([*range(40), *range(100, 161)], 0), **dict.fromkeys([200, 201, 202], 200)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
