@@ -15,40 +15,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier rejects go."""
+    """Documents that the co-trained quality classifier rejects go. Null texts are judged as empty ones; without labels of both classes all get the same score and stay from 0.5 on."""
     model = quality_classifier.fit(docs, common.table(spark, sf_dir, "labels"))
     return quality_classifier.classify(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, the one of the smallest id; of rows that share an id one stays.
+    """One document of each group of similar ones stays, the one of the smallest id.
 
-    Rows without an id are in no group and stay.
+    Each different text of an id, and of the rows without one, is a document of its own (they come after all ids, by a digest); of repeated rows one stays. Texts
+    without words are in no group and stay.
     """
-    groups = jaccard_join.similarity_groups(docs)
-    gone = groups.where("class_id <> doc_id").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(left.where("doc_id is null"))
+    rows, _ = jaccard_join.numbered(docs.select(*COLUMNS), "row_", unnamed=True)
+    gone = jaccard_join.similarity_groups(rows, id_col="row_").where("class_id <> doc_id").select(F.col("doc_id").alias("row_"))
+    left = rows.join(gone, "row_", "left_anti")
+    if not rows.groupBy("row_").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["row_"])
+    return left.select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words or more that also stand in a document of a smaller id are cut out.
 
-    A changed text is its kept words, joined by a space; one with none left goes.
+    A changed text is its kept words, joined by a space; one with none left goes. Texts of fewer words, empty and null ones stay as they are.
     """
     out = substring_dedup.remove_repeats(docs.select(*COLUMNS)).where("n_removed = 0 OR n_removed < n_words")
     return out.selectExpr("doc_id", "if(n_removed > 0, kept, text) AS text", "lang", "source", "if(n_removed > 0, cast(length(kept) AS long), n_chars) AS n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their Poisson draws say, in a global random order."""
+    """Documents as often as their Poisson draws say, in a global random order. A source without any text is left out; equal ids draw equal counts."""
     return source_mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
+    """Piece ids of every text: none for a null or empty one; repeated rows are encoded each."""
     return sentencepiece_codec.encode(docs).select("doc_id", "lang", "source", "ids", "n_pieces", F.col("ids_crc32"))
 
 
