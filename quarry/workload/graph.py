@@ -173,7 +173,7 @@ def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best of all other courses; the threshold holds for the blend only. The SQL below still cuts structure at 0.08 before, so it lacks pairs."""
+    """The five best of all other courses; the threshold holds for the blend only."""
     vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
     vectors = vectors.join(tables.courses(spark, sf_dir).selectExpr("course AS id"), "id", "left_semi")
     return similarity.find_similar(_structure(spark, sf_dir, 0.0), vectors, 5)
@@ -189,7 +189,7 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommended_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Courses are vectors, each compared with all others; the order is the term, else the depth (all have terms here). The SQL below still joins on label."""
+    """Courses are vectors, each compared with all others; the order is the term, else the depth (all have terms here)."""
     vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
     reach = closure.ancestors(tables.prerequisites(spark, sf_dir))
     order = tables.courses(spark, sf_dir).selectExpr("course AS id", "term AS position")
@@ -204,7 +204,7 @@ def base_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.concept_base(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir)))
 
 
-_STRUCTURE = (
+_STRUCTURE_ALL = (
     with_views("dag", "teaches")
     + """, own AS (SELECT DISTINCT dst AS course, src AS item FROM dag),
 fellow AS (SELECT DISTINCT a.src AS course, b.src AS item FROM dag a JOIN dag b USING (dst) WHERE a.src <> b.src),
@@ -223,9 +223,10 @@ structure AS (
   SELECT p.a, p.b, round(sum(weight * coalesce(c.c, 0) / (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(c.c, 0))) / sum(weight), 6) AS score
   FROM p CROSS JOIN w LEFT JOIN c ON c.a = p.a AND c.b = p.b AND c.part = w.part
   LEFT JOIN n na ON na.course = p.a AND na.part = w.part LEFT JOIN n nb ON nb.course = p.b AND nb.part = w.part
-  WHERE coalesce(na.n, 0) + coalesce(nb.n, 0) > 0 GROUP BY p.a, p.b HAVING score >= 0.08)
+  WHERE coalesce(na.n, 0) + coalesce(nb.n, 0) > 0 GROUP BY p.a, p.b)
 """
 )
+_STRUCTURE = _STRUCTURE_ALL.replace("GROUP BY p.a, p.b)", "GROUP BY p.a, p.b HAVING score >= 0.08)")
 _TOP = """, both_ AS (SELECT a AS course, b AS "similar", score FROM {0} UNION ALL SELECT b, a, score FROM {0}),
 top AS (SELECT course, row_number() OVER (PARTITION BY course ORDER BY score DESC, "similar")::INTEGER AS rank, "similar", score FROM both_ QUALIFY rank <= 5)
 """
@@ -308,10 +309,10 @@ SELECT node, max(depth)::INTEGER AS depth FROM d GROUP BY node""",
     "failure_impact": REACH
     + """SELECT src AS node, count(*) FILTER (hops = 1) AS direct, count(*) AS transitive, max(hops)::INTEGER AS depth, count(*) FILTER (hops = 1) >= 2 AS critical FROM reach GROUP BY src""",
     "structural_similarity": _STRUCTURE + "SELECT * FROM structure",
-    "find_similar": _STRUCTURE
-    + """, blended AS (
-  SELECT a, b, round(0.6 * score + 0.4 * coalesce(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 0), 6) AS score
-  FROM structure LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b),
+    "find_similar": _STRUCTURE_ALL
+    + """, v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings JOIN part ON p_partkey = vec_id),
+near AS (SELECT x.id AS a, y.id AS b, coalesce(list_cosine_similarity(x.e, y.e), 0) AS near FROM v x JOIN v y ON x.id < y.id),
+blended AS (SELECT a, b, round(0.6 * coalesce(score, 0) + 0.4 * coalesce(near, 0), 6) AS score FROM structure FULL JOIN near USING (a, b)),
 kept AS (SELECT * FROM blended WHERE score >= 0.08)"""
     + _TOP.format("kept")
     + "SELECT * FROM top",
@@ -328,7 +329,7 @@ FROM n a JOIN n b ON a.name < b.name WHERE len(list_intersect(a.t, b.t)) > 0 AND
     + """, c AS (SELECT p_partkey AS id, 1 + p_size % 10 AS term FROM part),
 near AS (
   SELECT x.vec_id AS a, y.vec_id AS b, round(least(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 0.99), 4) AS score
-  FROM embeddings x JOIN embeddings y USING (label) JOIN c cx ON cx.id = x.vec_id JOIN c cy ON cy.id = y.vec_id WHERE cx.term < cy.term AND score >= 0.3)
+  FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id JOIN c cx ON cx.id = x.vec_id JOIN c cy ON cy.id = y.vec_id WHERE cx.term < cy.term AND score >= 0.3)
 SELECT b AS course, row_number() OVER (PARTITION BY b ORDER BY score DESC, a)::INTEGER AS rank, a AS before, score FROM near
 WHERE NOT EXISTS (SELECT 1 FROM reach WHERE src = a AND dst = b) AND NOT EXISTS (SELECT 1 FROM reach WHERE src = b AND dst = a) QUALIFY rank <= 3""",
     "base_recommended": REACH
