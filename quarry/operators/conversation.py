@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
-#: Fixed phrases that show a missed answer, a reference back, or an acceptance.
-MISS = ("i don't know", "no information", "not found", "could not find", "cannot answer")
-PRONOUNS = ("it", "that", "this", "they", "them", "he", "she", "its", "their")
+#: Folded phrases that show a missed answer.
+MISS = ("nao encontrei", "nao tenho esse dado", "nao consegui identificar")
+#: Folded patterns of a reference back.
+BACK = (
+    r"\b(?:ele|ela|eles|elas)\b", r"\b(?:isso|isto|aquilo)\b", r"\b(?:esse|essa|esses|essas) (?:[^d]|d[^e]|de\S)", r"\b(?:qual|quais) (?:deles|delas)\b", r"\b(?:dela|dele|delas|deles)\b",
+    r"\b(?:dess[ae]s?|ness[ae]s?|daquel[ea]s?|naquel[ea]s?)\b", r"\bnel[ea]s?\b", r"^ *e \w",
+)
 
 
 def history(turns: DataFrame, last: int = 6, size: int = 350) -> DataFrame:
@@ -33,14 +37,17 @@ def pairs(turns: DataFrame) -> DataFrame:
     return found.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def missed(c: Column | str) -> Column:
-    return text.phrase(c, *MISS)
+def missed(c: Column | str, phrases: tuple[str, ...] = MISS) -> Column:
+    """Whether an answer says that nothing was found."""
+    said = text.text_key(c)
+    return F.coalesce(said.rlike("|".join(phrases)), F.lit(False))
 
 
-def ambiguous(c: Column | str) -> Column:
-    """Short or refers back."""
-    words = F.size(F.split(F.trim(text.col(c)), r"\s+"))
-    return (words < 4) | text.phrase(c, *PRONOUNS)
+def ambiguous(c: Column | str, patterns: tuple[str, ...] = BACK) -> Column:
+    """Short or refers back; not if it names an acronym, or a name in capitals after 'de', 'sobre' or 'para', or only goes on to another topic."""
+    raw, said = F.trim(text.col(c)), text.text_key(c)
+    named = said.rlike(r"^e (?:de|sobre) [a-z]") | raw.rlike(r"\b[A-Z]{2,}\b") | raw.rlike(r"(?:de|sobre|para) [A-Z][a-zà-ú]+(?: [A-Za-zÀ-ú]+)?(?:\?|,| +quais?)")
+    return ~named & ((F.size(F.split(raw, r"\s+")) < 4) | said.rlike("|".join(patterns)))
 
 
 def compound(c: Column | str) -> Column:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
-#: Words that tell English text, and words of short acceptances.
-ENGLISH = ("the", "and", "that", "with", "this", "for", "are", "was", "from", "have", "which")
-ACCEPTS = ("yes", "ok", "okay", "sure", "please", "go", "ahead", "thanks", "do", "it", "continue")
-STRONG = ("yes", "ok", "okay", "sure", "continue")
+#: Words that tell an English text.
+ENGLISH = ("the", "and", "are", "is", "all", "every", "explicitly", "evidence", "therefore", "supported", "grounded")
+#: Words of short acceptances, and those of which one must be there.
+ACCEPTS = tuple("""sim s quero pode podes claro por favor pfv ok okay manda bora isso aceito beleza blz uhum aham detalha detalhe detalhar vai vamos ser gentileza otimo perfeito top
+traz traga mostra""".split())
+STRONG = tuple("sim s quero pode podes claro ok okay manda bora aceito beleza blz uhum aham detalha detalhe detalhar traz traga mostra pfv".split())
 
 
 def tail(url: Column | str) -> Column:
@@ -37,10 +39,10 @@ def english(c: Column | str, least: int = 3) -> Column:
     return hits >= least
 
 
-def accepts(c: Column | str) -> Column:
+def accepts(c: Column | str, words: tuple[str, ...] = ACCEPTS, strong: tuple[str, ...] = STRONG, most: int = 5) -> Column:
     """At most five words, all from the vocabulary of acceptances, one of them a strong one."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text.col(c)), "[^a-z ]+", " "), " "), lambda w: w != "")
-    return (F.size(words) > 0) & (F.size(words) <= 5) & F.forall(words, lambda w: w.isin(*ACCEPTS)) & F.exists(words, lambda w: w.isin(*STRONG))
+    said = F.filter(F.split(F.regexp_replace(text.fold(c), r"[!?.,;:\s]+", " "), " "), lambda w: w != "")
+    return (F.size(said) > 0) & (F.size(said) <= most) & F.forall(said, lambda w: w.isin(*words)) & F.exists(said, lambda w: w.isin(*strong))
 
 
 def suggestions(answers: DataFrame, templates: DataFrame, most: int = 3) -> DataFrame:

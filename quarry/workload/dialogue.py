@@ -13,6 +13,9 @@ INTENTS = [
     ("prerequisites", ("before", "require", "requires", "need")), ("teacher", ("who", "teacher")), ("plan", ("plan", "how", "steps")),
     ("definition", ("what", "explain", "define")), ("thanks", ("thanks", "thank you")),
 ]
+#: What a missed answer and a reference back look like in these tables, which are in English.
+MISSES = ("i don't know", "no information", "not found", "could not find", "cannot answer")
+BACK = tuple(rf"(?:^|[^a-z])(?:{w})(?:[^a-z]|$)" for w in ("it", "that", "this", "they", "them", "he", "she", "its", "their"))
 SYNONYMS = [("teaching", "the"), ("teaching", "thing"), ("research", "re"), ("research", "tion"), ("culture", "and the"), ("culture", "er")]
 
 
@@ -50,7 +53,7 @@ def route_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def miss_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).groupBy("role").agg(F.count_if(conversation.missed("text")).alias("missed"), F.count_if(conversation.ambiguous("text")).alias("ambiguous"), F.count_if(conversation.compound("text")).alias("compound"))
+    return _turns(spark, sf_dir).groupBy("role").agg(F.count_if(conversation.missed("text", MISSES)).alias("missed"), F.count_if(conversation.ambiguous("text", BACK)).alias("ambiguous"), F.count_if(conversation.compound("text")).alias("compound"))
 
 
 def axis_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +101,7 @@ def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debate_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).where("role = 'assistant'").selectExpr("conv_id AS question", "turn AS answer", "text")
     facts, bad = F.regexp_count("text", F.lit("the")), F.regexp_count("text", F.lit(r"\."))
-    return validation.debate(turns, facts.cast("long"), bad.cast("long"), conversation.missed("text"))
+    return validation.debate(turns, facts.cast("long"), bad.cast("long"), conversation.missed("text", MISSES))
 
 
 def fact_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +153,8 @@ def _case() -> str:
     return "CASE " + " ".join(f"WHEN {_phrase(*p)} THEN '{n}'" for n, p in INTENTS) + " ELSE 'other' END"
 
 
+_FOLDED = "trim(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '\\s+', ' ', 'g'))"
+_MISSED = f"regexp_matches({_FOLDED}, '" + "|".join(m.replace("'", "''") for m in MISSES) + "')"
 _RATED = """r AS (SELECT lang, CASE WHEN quality = 1 AND toxic = 0 THEN 'C' WHEN quality = 1 THEN 'P' ELSE 'I' END AS r1,
   CASE WHEN n_chars < 200 THEN 'I' WHEN toxic = 1 THEN 'P' ELSE 'C' END AS r2 FROM labels JOIN documents USING (doc_id))"""
 _SHORT = "CASE WHEN length({0}) <= 350 THEN {0} ELSE regexp_replace(substr({0}, 1, 350), ' [^ ]*$', '') || '…' END"
@@ -170,8 +175,10 @@ WHERE a.role = 'user' AND b.role = 'assistant'""",
     "intent_quick": f"SELECT conv_id, turn, {_case()} AS intent FROM conversations",
     "route_phrase": f"""SELECT CASE WHEN i IN ('prerequisites', 'teacher') THEN 'graph' WHEN i = 'plan' THEN 'planner' ELSE 'retrieval' END AS agent, count(*) AS turns
 FROM (SELECT {_case()} AS i FROM conversations WHERE role = 'user') GROUP BY 1""",
-    "miss_detect": f"""SELECT role, count(*) FILTER ({_phrase(*conversation.MISS)}) AS missed,
-  count(*) FILTER (len(regexp_split_to_array(trim(text), '\\s+')) < 4 OR {_phrase(*conversation.PRONOUNS)}) AS ambiguous,
+    "miss_detect": f"""SELECT role, count(*) FILTER ({_MISSED}) AS missed,
+  count(*) FILTER (NOT regexp_matches({_FOLDED}, '^e (?:de|sobre) [a-z]') AND NOT regexp_matches(trim(text), '\\b[A-Z]{{2,}}\\b')
+    AND NOT regexp_matches(trim(text), '(?:de|sobre|para) [A-Z][a-zà-ú]+(?: [A-Za-zÀ-ú]+)?(?:\\?|,| +quais?)')
+    AND (len(regexp_split_to_array(trim(text), '\\s+')) < 4 OR regexp_matches({_FOLDED}, '{"|".join(BACK)}'))) AS ambiguous,
   count(*) FILTER (length(text) >= 25 AND (length(text) - length(replace(text, '?', '')) >= 2 OR {_phrase("and also", "as well as")})) AS compound FROM conversations GROUP BY role""",
     "axis_of_text": """WITH s AS (SELECT * FROM (VALUES ('teaching', 'the'), ('teaching', 'thing'), ('research', 're'), ('research', 'tion'), ('culture', 'and the'), ('culture', 'er')) t(axis, synonym))
 SELECT item_id AS id, axis, synonym FROM benchmark JOIN s ON contains(lower(text), synonym) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(synonym) DESC, axis) = 1""",
@@ -191,7 +198,7 @@ SELECT doc_id, claim, CASE WHEN claim IN ('released under the mit license.', 'ap
   WHEN contains(claim, 'apache license') OR contains('apache license', claim) OR contains(claim, 'released under the mit license.') OR contains('released under the mit license.', claim) THEN 'part'
   ELSE 'unsupported' END AS verdict FROM c""",
     "debate_winner": f"""WITH a AS (SELECT conv_id AS question, turn AS answer,
-  2 * ((length(text) - length(replace(text, 'the', ''))) // 3) - 3 * (length(text) - length(replace(text, '.', ''))) - CASE WHEN {_phrase(*conversation.MISS)} THEN 100 ELSE 0 END AS score
+  2 * ((length(text) - length(replace(text, 'the', ''))) // 3) - 3 * (length(text) - length(replace(text, '.', ''))) - CASE WHEN {_MISSED} THEN 100 ELSE 0 END AS score
   FROM conversations WHERE role = 'assistant')
 SELECT question, answer AS winner, score::BIGINT AS score FROM a QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, answer) = 1""",
     "fact_preservation": f"""WITH b AS {_NUMBERS.format("text")}, a AS {_NUMBERS.format("translate(text, '7', '8')")},

@@ -42,7 +42,7 @@ def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def short_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    said = F.when(F.col("turn") % 3 == 0, F.lit("Yes, please!")).when(F.col("turn") % 3 == 1, F.lit("please do it")).otherwise(words)
+    said = F.when(F.col("turn") % 3 == 0, F.lit("Sim, por favor!")).when(F.col("turn") % 3 == 1, F.lit("vai ser ótimo")).otherwise(words)
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(repair.accepts(said)).alias("accepted"), F.count("*").alias("turns"))
 
 
@@ -128,7 +128,7 @@ _SEMESTER = "(({0}) // 2) || '/' || (({0}) % 2 + 1)"
 _NUMBER = "(year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) <= 6 THEN 0 ELSE 1 END)"
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
 _TAIL = "(CASE WHEN length({0}) >= 6 THEN {0} END)".format("regexp_extract(regexp_replace(regexp_extract({0}, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), '[^/]*$')")
-_SAID = "CASE WHEN turn % 3 = 0 THEN 'Yes, please!' WHEN turn % 3 = 1 THEN 'please do it' ELSE array_to_string(string_split(text, ' ')[1:3], ' ') END"
+_SAID = "CASE WHEN turn % 3 = 0 THEN 'Sim, por favor!' WHEN turn % 3 = 1 THEN 'vai ser ótimo' ELSE array_to_string(string_split(text, ' ')[1:3], ' ') END"
 _IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 SQL = {
@@ -141,7 +141,7 @@ SELECT id, f.url, CASE WHEN f.url IN (SELECT url FROM pages) THEN f.url ELSE coa
     "language_gate": "SELECT lang, count(*) FILTER ("
     + " + ".join(f"contains(lower(text), '{w}')::INT" for w in repair.ENGLISH)
     + " >= 3) AS english, count(*) AS documents FROM documents GROUP BY lang",
-    "short_acceptance": f"""WITH s AS (SELECT role, list_filter(string_split(regexp_replace(lower({_SAID}), '[^a-z ]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM conversations)
+    "short_acceptance": f"""WITH s AS (SELECT role, list_filter(string_split(regexp_replace(translate(lower({_SAID}), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[!?.,;:\\s]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM conversations)
 SELECT role, count(*) FILTER (len(w) BETWEEN 1 AND 5 AND len(list_filter(w, lambda x: x NOT IN {_IN(repair.ACCEPTS)})) = 0 AND len(list_filter(w, lambda x: x IN {_IN(repair.STRONG)})) > 0) AS accepted,
   count(*) AS turns FROM s GROUP BY role""",
     "follow_ups": f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {b}, '{c}')" for a, b, c in SUGGESTIONS)}) t(intent, "at", suggestion)),
