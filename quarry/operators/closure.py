@@ -18,13 +18,18 @@ from quarry.lineage import checkpoint
 TOGETHER = 50
 
 
-def _pairs(edges: DataFrame, rounds: int | None) -> DataFrame:
-    """(src, dst, hops): all reachable pairs with their shortest distance, up to `rounds` hops."""
+def _pairs(edges: DataFrame, rounds: int | None, ends: DataFrame | None = None) -> DataFrame:
+    """(src, dst, hops): all reachable pairs with their shortest distance, up to `rounds` hops; with ends (dst), only those that end there.
+
+    A round's pairs are new unless an earlier round found them. What was found stays where it is, by src and dst, and only meets the few new pairs there.
+    """
     base = checkpoint(edges.select("src", "dst").distinct())
-    step = base.toDF("mid", "dst")
-    found = delta = base.withColumn("hops", F.lit(1))
+    first = base if ends is None else base.join(ends.select("dst").distinct(), "dst", "left_semi").select("src", "dst")
+    # pairs grow at their source, so that those of the ends stay those of the ends
+    step = base.toDF("far", "src")
+    found = delta = checkpoint(first.withColumn("hops", F.lit(1)))
     for hops in range(2, rounds + 1) if rounds else count(2):
-        new = delta.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").distinct()
+        new = delta.select("src", "dst").join(step, "src").select(F.col("far").alias("src"), "dst").distinct()
         delta = checkpoint(new.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         if delta.isEmpty():
             break
@@ -34,9 +39,10 @@ def _pairs(edges: DataFrame, rounds: int | None) -> DataFrame:
     return found
 
 
-def ancestors(edges: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """(node, ancestor, hops)."""
-    return _pairs(edges.where(F.col("conf") >= min_confidence), None).select(F.col("dst").alias("node"), F.col("src").alias("ancestor"), "hops")
+def ancestors(edges: DataFrame, min_confidence: float = 0.0, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, hops), of all nodes or those of nodes (node) only, in which case nothing else is closed."""
+    ends = None if nodes is None else nodes.select(F.col("node").alias("dst"))
+    return _pairs(edges.where(F.col("conf") >= min_confidence), None, ends).select(F.col("dst").alias("node"), F.col("src").alias("ancestor"), "hops")
 
 
 def descendants(edges: DataFrame) -> DataFrame:
@@ -50,21 +56,29 @@ def bounded_chain(edges: DataFrame, hops: int, min_confidence: float = 0.0) -> D
 
 
 def bottleneck(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(src, dst, bound): over all paths, the largest of their smallest confidences. Only pairs that a round improves go into the next."""
+    """(src, dst, bound): over all paths, the largest of their smallest confidences.
+
+    Only pairs that a round improves go into the next. Each round's improvements are a table of their own; a pair's bound is its best among them, so
+    they are put together every TOGETHER rounds and at the end only.
+    """
     best = checkpoint(edges.groupBy("src", "dst").agg(F.max("conf").alias("bound")))
     step = best.toDF("mid", "dst", "conf")
     delta = best
-    for _ in range(2, max_hops + 1) if max_hops else count(2):
+    for hops in range(2, max_hops + 1) if max_hops else count(2):
         new = (
             delta.select("src", F.col("dst").alias("mid"), "bound").join(step, "mid")
-            .groupBy("src", "dst").agg(F.max(F.least("bound", "conf")).alias("bound"))
+            .select("src", "dst", F.least("bound", "conf").alias("bound"), F.lit(True).alias("new"))
         )
-        old = best.toDF("src", "dst", "old")
-        delta = checkpoint(new.join(old, ["src", "dst"], "left").where("old is null or bound > old").select("src", "dst", "bound"))
+        # one shuffle: a round's pairs meet what was found of them
+        both = new.unionAll(best.select("src", "dst", "bound", F.lit(False)))
+        merged = both.groupBy("src", "dst").agg(F.max(F.when(F.col("new"), F.col("bound"))).alias("bound"), F.max(F.when(~F.col("new"), F.col("bound"))).alias("old"))
+        delta = checkpoint(merged.where("bound is not null and (old is null or bound > old)").select("src", "dst", "bound"))
         if delta.isEmpty():
             break
-        best = checkpoint(best.unionAll(delta).groupBy("src", "dst").agg(F.max("bound").alias("bound")))
-    return best
+        best = best.unionAll(delta)
+        if hops % TOGETHER == 0:
+            best = checkpoint(best.groupBy("src", "dst").agg(F.max("bound").alias("bound")))
+    return best.groupBy("src", "dst").agg(F.max("bound").alias("bound"))
 
 
 def depths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -96,7 +110,7 @@ def plan_layers(edges: DataFrame, targets: DataFrame, completed: DataFrame) -> D
 
     targets: (target); completed: (course). A layer holds what only needs completed courses or earlier layers.
     """
-    chain = ancestors(edges).join(targets.withColumnRenamed("target", "node"), "node").select(F.col("node").alias("target"), F.col("ancestor").alias("course"))
+    chain = ancestors(edges, nodes=targets.withColumnRenamed("target", "node")).select(F.col("node").alias("target"), F.col("ancestor").alias("course"))
     need = checkpoint(chain.unionAll(targets.select("target", F.col("target").alias("course"))).join(completed, "course", "left_anti").distinct())
     inner = need.join(edges.select("src", F.col("dst").alias("course")).distinct(), "course").join(
         need.select("target", F.col("course").alias("src")), ["target", "src"], "left_semi"
