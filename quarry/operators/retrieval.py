@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,32 +15,41 @@ from quarry.functions import text
 from quarry.lineage import checkpoint
 from quarry.operators.similarity import cosine
 
+#: The usual parameters of BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Vectors and queries of a block.
+VECTORS, QUERIES = 8192, 1024
 
 
-#: Most query terms that may be broadcast; more are joined by a shuffle.
-MAX_BROADCAST_TERMS = 50_000
+#: Most query terms, and queries of a vector search, that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_TERMS, MAX_BROADCAST_QUERIES = 50_000, 2_000
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, marked for a broadcast if there are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, doc, score): the k best documents of each query by BM25 (Okapi), ties to the smaller id.
 
     docs: (doc_id, text), an id a row; queries: (query, text). Negative inverse document frequencies become EPSILON times the mean one. A repeated query
-    term counts as often as it is repeated. Only counts by term are shuffled for the statistics, and only postings of query terms for the scores.
+    term counts as often as it is repeated. Texts are cut into tokens twice: for the documents that hold each term, the number of documents and their mean
+    length, all counted in one pass with one shuffle of counts by term; and for the postings of query terms, the only ones that are shuffled.
     """
     cut = docs.select(F.col("doc_id").alias("doc"), text.tokens("text").alias("t"))
-    df = checkpoint(cut.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    size = cut.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
-    raw = df.crossJoin(F.broadcast(size)).select("term", "mean", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # the null term counts the documents and their lengths
+    counted = cut.select(F.explode(F.array_append(F.array_distinct("t"), F.lit(None).cast("string"))).alias("term"), F.size("t").alias("dl"))
+    df = checkpoint(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
+    size = df.where("term is null").select(F.col("df").alias("docs"), (F.col("length") / F.col("df")).alias("mean"))
+    raw = df.where("term is not null").crossJoin(F.broadcast(size)).select("term", "mean", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean_idf = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query", F.explode(text.tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
     weight = asked.join(raw, "term").crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
     weight = checkpoint(weight)
-    wanted = weight.select("term").distinct()
-    if wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    tf = cut.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
     part = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    terms = few(weight.select("term").distinct(), MAX_BROADCAST_TERMS)
+    tf = cut.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
     scored = tf.join(weight, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return best(scored, "query", "doc", k)
 
@@ -54,13 +65,15 @@ def weighted_overlap(sections: DataFrame, queries: DataFrame, fields: dict[str,
 
     sections: with id; fields: name -> (array of distinct tokens, weight); queries: (query, tokens).
     """
-    asked = queries.select("query", F.explode("tokens").alias("token")).distinct()
-    rows = None
-    for tokens_, weight in fields.values():
-        part = sections.select("id", F.explode(F.array_distinct(tokens_)).alias("token"), F.lit(float(weight)).alias("w"))
-        rows = part if rows is None else rows.unionAll(part)
-    # one row per section and token before the join
-    postings = rows.groupBy("id", "token").agg(F.sum("w").alias("w"))
+    asked = checkpoint(queries.select("query", F.explode("tokens").alias("token")).distinct())
+    tokens = few(asked.select("token").distinct(), MAX_BROADCAST_TERMS)
+    # each section's tokens with their weights, of which only those that queries hold are shuffled
+
+    def weighing(weight: float):
+        return lambda token: F.struct(token.alias("token"), F.lit(float(weight)).alias("w"))
+
+    weighted = F.flatten(F.array(*(F.transform(F.array_distinct(c), weighing(weight)) for c, weight in fields.values())))
+    postings = sections.select("id", F.inline(weighted)).join(tokens, "token").groupBy("id", "token").agg(F.sum("w").alias("w"))
     scored = postings.join(asked, "token").groupBy("query", "id").agg(F.sum("w").alias("score")).where(F.col("score") >= floor)
     return best(scored, "query", "id", k)
 
@@ -81,18 +94,44 @@ def rank_scores(ranked: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query, rank, doc, score): the k vectors of the highest cosine, but for the query's own id.
+    """(query, rank, doc, score): the k vectors of the highest cosine (0 where either has no length), but for the query's own id; ties to the smaller id.
 
-    vectors: (id, v); queries: (query, v), a stated set. Vectors are grouped into blocks, one row of many; each meets the queries, and only
-    k rows of a block and query leave it.
+    vectors: (id, v), an id a row; queries: (query, v), a stated set. Both are packed into blocks; a block of vectors meets a block of queries in one task, as a product of
+    matrices, and only k rows of a block and query leave it.
     """
-    spark = vectors.sparkSession
-    blocks = 4 * spark.sparkContext.defaultParallelism
-    scored = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).join(queries.withColumnRenamed("v", "qv"), F.col("id") != F.col("query"))
-    score = F.round(cosine(F.col("qv"), F.col("v")), 6)
-    part = Window.partitionBy("query", "block").orderBy(F.desc("score"), "id")
-    top = scored.select("query", "block", "id", score.alias("score")).withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    return best(top.withColumnRenamed("id", "doc"), "query", "doc", k)
+    pack = lambda df, key: checkpoint(df.where(f"{key} is not null and v is not null").select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")))
+    data, asked = pack(vectors, "id"), pack(queries, "query")
+    blocks = [max(1, -(-rows.count() // most)) for rows, most in ((data, VECTORS), (asked, QUERIES))]
+    own = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = data.select(own(blocks[0]).alias("b"), each(blocks[1]).alias("q"), F.lit(False).alias("asks"), "id", "v").unionAll(
+        asked.select(each(blocks[0]).alias("b"), own(blocks[1]).alias("q"), F.lit(True).alias("asks"), "id", "v")
+    )
+
+    def unit(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        group = group.sort_by("id")
+        v = np.nan_to_num(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(group.num_rows, -1)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        return group.column("id").to_numpy(), v / np.where(size > 0, size, 1)
+
+    def run(group: pa.Table) -> pa.Table:
+        mask = group.column("asks").combine_chunks()
+        out = []
+        if group.filter(mask).num_rows and group.filter(pc.invert(mask)).num_rows:
+            (q_ids, q), (ids, v) = unit(group.filter(mask)), unit(group.filter(pc.invert(mask)))
+            for at in range(0, len(q_ids), 64):
+                score = np.round(q[at : at + 64] @ v.T, 6) + 0.0
+                score[q_ids[at : at + 64, None] == ids] = -np.inf
+                last = np.partition(score, -k, axis=1)[:, -k, None] if k < score.shape[1] else -np.inf
+                i, j = np.nonzero((score >= last) & (score > -np.inf))
+                order = np.lexsort([j, -score[i, j], i])
+                i, j = i[order], j[order]
+                best_ = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((q_ids[at : at + 64][i[best_]], ids[j[best_]], score[i, j][best_]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "doc", "score"])
+
+    return best(rows.groupBy("b", "q").applyInArrow(run, "query long, doc long, score double"), "query", "doc", k)
 
 
 def mmr(candidates: DataFrame, n: int = 10, weight: float = 0.7) -> DataFrame:

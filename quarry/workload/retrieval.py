@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -92,12 +92,23 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(lexical, _keyword(spark, sf_dir).withColumnRenamed("id", "doc"), n=10)
 
 
+def _lowest(rows: DataFrame, n: int) -> DataFrame:
+    """The n smallest ids of each label: first of each of 64 parts of it, then of those."""
+    found = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (["label", "part"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        found = found.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+    return found.drop("part")
+
+
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by cosine, fused with those of the query's label by id, with position scores."""
     v = _vectors(spark, sf_dir)
     near = retrieval.nearest(v.select("id", "v"), _ask(spark, sf_dir), 20)
     asked = v.where("id % 50 = 0").selectExpr("id AS query", "label")
-    same = retrieval.best(v.join(asked, "label").where("id <> query").selectExpr("query", "id AS doc", "0.0D AS score"), "query", "doc", 12)
+    # a label's 13 smallest ids hold the 12 smallest others of any of its queries
+    low = _lowest(v.select("label", "id"), 13)
+    same = retrieval.best(low.join(asked, "label").where("id <> query").selectExpr("query", "id AS doc", "0.0D AS score"), "query", "doc", 12)
     return retrieval.rank_scores(retrieval.fuse(near, same, n=20))
 
 
