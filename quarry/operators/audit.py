@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.closure import depths
+
 
 def weighted_mean(lines: DataFrame, key: str = "student", grade: str = "grade", credits: str = "credits") -> DataFrame:
     """(key, gpa, credits): mean grade by credits, without null grades and zero credits, to 3 places."""
@@ -55,7 +57,7 @@ def over_limit(activities: DataFrame, most: int = 2) -> DataFrame:
 
 
 def progress(courses: DataFrame, passed: DataFrame, needs: DataFrame) -> DataFrame:
-    """(student, programme, completed, pending, available, blocked, elective): how a student stands in each programme they have begun.
+    """(student, programme, completed, pending, available, blocked): how a student stands in each programme they have begun.
 
     courses: (course, programme); passed: (student, course); needs: edges (src, dst). Only pending courses next to passed ones are looked at one by
     one; the rest follows from counts.
@@ -80,6 +82,54 @@ def progress(courses: DataFrame, passed: DataFrame, needs: DataFrame) -> DataFra
     )
 
 
+def progress_detail(taken: DataFrame, own: DataFrame, courses: DataFrame, needs: DataFrame) -> DataFrame:
+    """(student, course, status, missing): each course of a student's programme and each taken one: done, available, blocked (with the missing prerequisites of the
+    programme, sorted), elective (taken, of another programme) or unknown (taken, not in courses).
+
+    taken: (student, course); own: (student, programme), one a student; courses: (course, programme); needs: edges (src, dst).
+    """
+    known = courses.select("course", "programme").distinct()
+    had = taken.select("student", "course").distinct()
+    plan = own.join(known, "programme").select("student", "programme", "course")
+    done = plan.join(had, ["student", "course"], "left_semi").select("student", "course", F.lit("done").alias("status"))
+    pairs = needs.select("src", F.col("dst").alias("course")).distinct()
+    # prerequisites of the same programme only
+    inner = pairs.join(known, "course").join(known.toDF("src", "programme"), ["src", "programme"], "left_semi").select("src", "course", "programme")
+    pending = plan.join(had, ["student", "course"], "left_anti")
+    lacking = pending.join(inner, ["course", "programme"]).join(had.withColumnRenamed("course", "src"), ["student", "src"], "left_anti")
+    missing = lacking.groupBy("student", "course").agg(F.array_sort(F.collect_set("src")).alias("missing"))
+    open_ = pending.join(missing, ["student", "course"], "left").select("student", "course", F.when(F.col("missing").isNull(), "available").otherwise("blocked").alias("status"), "missing")
+    others = had.join(plan.select("student", "course"), ["student", "course"], "left_anti").join(known.select("course", F.lit(True).alias("known")), "course", "left")
+    rest = others.select("student", "course", F.when(F.col("known"), "elective").otherwise("unknown").alias("status"))
+    flat = done.unionAll(rest).withColumn("missing", F.lit(None).cast(missing.schema["missing"].dataType)).unionByName(open_)
+    return flat.select("student", "course", "status", F.coalesce(F.array_join(F.col("missing").cast("array<string>"), ","), F.lit("")).alias("missing"))
+
+
+def pending_semesters(pending: DataFrame, needs: DataFrame) -> DataFrame:
+    """(student, semesters): the least number of semesters for a student's pending courses: the longest chain of prerequisites among them. Courses of a cycle count as none.
+
+    pending: (student, course).
+    """
+    name = F.struct("student", "course")
+    pairs = needs.select("src", F.col("dst").alias("course")).distinct()
+    rows = pending.select("student", "course").distinct()
+    inner = rows.join(pairs, "course").join(rows.withColumnRenamed("course", "src"), ["student", "src"], "left_semi")
+    chains = inner.select(F.struct("student", F.col("src").alias("course")).alias("src"), name.alias("dst"))
+    return depths(chains, rows.select(name.alias("node"))).groupBy("node.student").agg((F.max("depth") + 1).alias("semesters"))
+
+
+def enrolment_advice(wanted: DataFrame, passed: DataFrame, needs: DataFrame, base: DataFrame, parity: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """(student, course, status, taken, missing, base, parity): what speaks against enrolling: risk (taken already, or prerequisites missing), ok, or unknown; and up to
+    `most` recommended courses that the student lacks, best first, which don't. base: (course, base, rank); parity: (course, parity); known: (course)."""
+    checked = enrolment_check(wanted, passed, needs)
+    lacks = wanted.join(base, "course").join(passed.withColumnRenamed("course", "base"), ["student", "base"], "left_anti")
+    order = F.row_number().over(Window.partitionBy("student", "course").orderBy("rank", "base"))
+    soft = lacks.withColumn("r", order).where(F.col("r") <= most).groupBy("student", "course").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "base"))), lambda s: s["base"].cast("string")).alias("soft"))
+    out = checked.join(soft, ["student", "course"], "left").join(parity, "course", "left").join(known.select("course", F.lit(True).alias("known")).distinct(), "course", "left")
+    status = F.when(F.col("known").isNull(), "unknown").when(F.col("taken") | (F.col("missing") != ""), "risk").otherwise("ok")
+    return out.select("student", "course", status.alias("status"), "taken", "missing", F.coalesce(F.array_join("soft", ","), F.lit("")).alias("base"), "parity")
+
+
 def enrolment_check(wanted: DataFrame, passed: DataFrame, needs: DataFrame) -> DataFrame:
     """(student, course, taken, missing): whether a wanted course was passed already, and which prerequisites are missing (sorted)."""
     pairs = needs.select("src", F.col("dst").alias("course")).distinct()
@@ -122,6 +172,15 @@ PLAN = "student long, semester int, course long, credits int, term int"
 PLAN_SCHEMA = pa.schema([("student", pa.int64()), ("semester", pa.int32()), ("course", pa.int64()), ("credits", pa.int32()), ("term", pa.int32())])
 
 
+def plan_elements(plan: DataFrame, passed: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A plan as a graph: nodes (student, course, semester), semester 0 for passed courses, and edges (student, src, dst) between courses that are both there, each once."""
+    nodes = plan.select("student", "course", "semester").unionAll(passed.join(plan.select("student").distinct(), "student", "left_semi").select("student", "course", F.lit(0))).groupBy("student", "course").agg(F.min("semester").alias("semester"))
+    pairs = needs.select("src", F.col("dst").alias("course")).distinct()
+    ends = nodes.select("student", "course")
+    edges = ends.join(pairs, "course").join(ends.withColumnRenamed("course", "src"), ["student", "src"], "left_semi").select("student", "src", F.col("course").alias("dst"))
+    return nodes, edges
+
+
 def plan_semesters(pending: DataFrame, needs: DataFrame, cap: int, first: int = 1, most: int = 20) -> DataFrame:
     """(student, semester, course, credits, term): a greedy plan of each student's pending courses.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.names import containing
 
 
 def flag_listed(courses: DataFrame, listed: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def match_programmes(terms: DataFrame, programmes: DataFrame, aliases: DataFrame
     known = programmes.select("programme", F.upper("acronym").alias("acronym"), text.graph_key("programme").alias("pk"))
     exact = resolved.join(known, F.col("a") == F.col("acronym")).groupBy("term").agg(F.min("programme").alias("programme"))
     rest = resolved.join(exact.select("term"), "term", "left_anti").where("length(k) > 3")
-    loose = rest.join(known, F.contains("pk", "k") | F.contains("k", "pk")).groupBy("term").agg(F.min("programme").alias("programme"))
+    both = containing(rest, "k", known, "pk").select("term", "programme").unionAll(containing(known, "pk", rest, "k").select("term", "programme"))
+    loose = both.groupBy("term").agg(F.min("programme").alias("programme"))
     return exact.unionAll(loose)
 
 

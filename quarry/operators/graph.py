@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.names import containing
 
 
 def count_by_kind(nodes: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def resolve(terms: DataFrame, nodes: DataFrame, keys: dict[str, Column]) -> Data
     exact = normal.join(lookup_table(nodes, keys), "key", "left")
     found = exact.where("node_id is not null").select("term", "node_id", F.lit("key").alias("how"))
     names = nodes.select(F.col("node_id").alias("other"), text.graph_key("name").alias("name_key"))
-    # a nested loop over names, which a dimension of node names is small enough for; one row per term leaves it
-    rest = exact.where("node_id is null").select("term", "key").distinct().where("key <> ''").join(names, F.col("name_key").contains(F.col("key")), "left")
-    loose = rest.groupBy("term").agg(F.min("other").alias("node_id")).select("term", "node_id", F.when(F.col("node_id").isNotNull(), "part").otherwise("none").alias("how"))
+    rest = exact.where("node_id is null").select("term", "key").distinct().where("key <> ''")
+    held = containing(rest, "key", names, "name_key").groupBy("term").agg(F.min("other").alias("node_id"))
+    loose = rest.select("term").join(held, "term", "left").select("term", "node_id", F.when(F.col("node_id").isNotNull(), "part").otherwise("none").alias("how"))
     return found.unionAll(loose).unionAll(exact.where("node_id is null and key = ''").select("term", "node_id", F.lit("none")))
 
 

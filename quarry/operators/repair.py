@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.names import containing
 
 #: Words that tell an English text.
 ENGLISH = ("the", "and", "are", "is", "all", "every", "explicitly", "evidence", "therefore", "supported", "grounded")
@@ -86,6 +87,6 @@ def fuzzy_names(terms: DataFrame, names: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(F.split(c, " "))
     shared = asked.select("term", "k", F.size(words("k")).alias("n"), F.explode(words("k")).alias("w")).join(known.select("name", "nk", F.explode(words("nk")).alias("w")), "w")
     subset = shared.groupBy("term", "k", "n", "name", "nk").agg(F.count("*").alias("c")).where("c = n").select("term", "name", F.when(F.col("k") == F.col("nk"), 100).otherwise(80).alias("score"))
-    part = asked.join(known, F.contains("nk", "k")).select("term", "name", F.lit(50).alias("score"))
+    part = containing(asked, "k", known, "nk").select("term", "name", F.lit(50).alias("score"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "name"))
     return subset.unionAll(part).withColumn("r", rank).where("r = 1").select("term", "name", "score")

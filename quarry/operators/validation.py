@@ -46,6 +46,19 @@ def preserved(pairs: DataFrame, before: str, after: str, least: float = 0.9) ->
     return joined.select("id", kept.alias("kept"), (kept >= least).alias("ok"))
 
 
+def list_items_kept(before: Column | str, after: Column | str, least: float = 0.9, share: float = 0.6, few: int = 3) -> Column:
+    """Whether the items of a list (bullets or numbers) are still there: at least `least` of them with `share` of their words of four letters or more somewhere in
+    the text after; true for lists of fewer than `few` items."""
+    items = F.regexp_extract_all(text.col(before), F.lit(r"(?m)^[ \t]*(?:[-•*]|\d+[.)])[ \t]+([^\n]+)$"), 1)
+    low = F.lower(text.col(after))
+
+    def kept(item: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(item), F.lit(r"(\p{L}{4,})"), 1)
+        return F.size(F.filter(words, lambda w: low.contains(w))) >= share * F.size(words)
+
+    return (F.size(items) < few) | (F.size(F.filter(items, kept)) >= least * F.size(items))
+
+
 def accuracy(rated: DataFrame, group: list[str]) -> DataFrame:
     """Strict and weighted accuracy and error rate by group. rated: verdict C (correct), P (partly) or I (wrong)."""
     c, p, i = (F.avg((F.col("verdict") == v).cast("double")) for v in "CPI")

@@ -109,6 +109,37 @@ def semester_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.plan_semesters(_pending(spark, sf_dir), tables.prerequisites(spark, sf_dir), 20)
 
 
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A student's programme: that of the first course they passed."""
+    return tables.passed(spark, sf_dir).groupBy("student").agg(F.min("course").alias("course")).join(tables.courses(spark, sf_dir), "course").select("student", "programme")
+
+
+def progress_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth student has also taken a course that no one knows."""
+    passed = tables.passed(spark, sf_dir)
+    odd = passed.where("student % 100 = 0").selectExpr("student", "course + 100000000").distinct()
+    return audit.progress_detail(passed.unionAll(odd), _own(spark, sf_dir), tables.courses(spark, sf_dir), tables.prerequisites(spark, sf_dir))
+
+
+def pending_semesters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.pending_semesters(_pending(spark, sf_dir), tables.prerequisites(spark, sf_dir))
+
+
+def enrolment_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each student wants all courses that follow those they passed; recommended are the two courses before a course's number."""
+    passed, courses = tables.passed(spark, sf_dir), tables.courses(spark, sf_dir)
+    wanted = passed.select("student", F.explode(F.expr("array(course * 2, course * 3)")).alias("course")).distinct()
+    base = courses.select("course", F.posexplode(F.expr("array(course - 1, course - 2)")).alias("rank", "base")).where("base > 0")
+    return audit.enrolment_advice(wanted, passed, tables.prerequisites(spark, sf_dir), base, audit.offer_parity(courses.select("course", "term")), courses)
+
+
+def plan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges among the failed and passed courses of a student, as a plan in which the failed ones come first."""
+    passed = tables.passed(spark, sf_dir)
+    failed = tables.transcript(spark, sf_dir).select("student", "course").distinct().join(passed, ["student", "course"], "left_anti")
+    return audit.plan_elements(failed.withColumn("semester", F.lit(1)), passed, tables.prerequisites(spark, sf_dir))[1]
+
+
 _T = with_views("transcript")
 _PASSED = with_views("dag", "courses", "transcript") + ", passed AS (SELECT DISTINCT student, course FROM transcript WHERE grade >= 5)"
 SQL = {
@@ -138,6 +169,33 @@ m AS (SELECT w.student, w.course, string_agg(DISTINCT src::VARCHAR, ',' ORDER BY
   FROM w JOIN dag ON dst = w.course WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.student = w.student AND p.course = src) GROUP BY ALL)
 SELECT w.student, w.course, EXISTS (SELECT 1 FROM passed p WHERE p.student = w.student AND p.course = w.course) AS taken, coalesce(array_to_string(l, ','), '') AS missing
 FROM w LEFT JOIN m USING (student, course)""",
+    "progress_detail": _PASSED
+    + """, own AS (SELECT student, programme FROM (SELECT student, min(course) AS course FROM passed GROUP BY student) JOIN courses USING (course)),
+had AS (SELECT * FROM passed UNION SELECT student, course + 100000000 FROM passed WHERE student % 100 = 0),
+plan AS (SELECT student, programme, course FROM own JOIN courses USING (programme)),
+lack AS (SELECT p.student, p.course, array_to_string(list_sort(list(DISTINCT src)), ',') AS missing FROM plan p ANTI JOIN had USING (student, course) JOIN dag ON dst = p.course
+  JOIN courses c ON c.course = src AND c.programme = p.programme LEFT JOIN had h ON h.student = p.student AND h.course = src WHERE h.course IS NULL GROUP BY ALL)
+SELECT student, course, 'done' AS status, '' AS missing FROM plan SEMI JOIN had USING (student, course)
+UNION ALL SELECT student, course, CASE WHEN missing IS NULL THEN 'available' ELSE 'blocked' END, coalesce(missing, '') FROM (FROM plan ANTI JOIN had USING (student, course)) LEFT JOIN lack USING (student, course)
+UNION ALL SELECT student, course, CASE WHEN course IN (SELECT course FROM courses) THEN 'elective' ELSE 'unknown' END, '' FROM had ANTI JOIN plan USING (student, course)""",
+    "pending_semesters": _PASSED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, failed AS (SELECT DISTINCT student, course FROM transcript EXCEPT SELECT * FROM passed),
+pend AS (SELECT * FROM failed UNION (SELECT student, src FROM failed JOIN dag ON dst = course EXCEPT SELECT * FROM passed)),
+inner_ AS (SELECT p.student, src, dst FROM pend p JOIN dag ON dst = p.course JOIN pend q ON q.student = p.student AND q.course = src),
+walk AS (SELECT student, course, 1 AS n FROM pend UNION SELECT w.student, dst, n + 1 FROM walk w JOIN inner_ i ON i.student = w.student AND i.src = w.course)
+SELECT student, max(n)::INTEGER AS semesters FROM walk GROUP BY student""",
+    "enrolment_advice": _PASSED
+    + """, w AS (SELECT DISTINCT student, unnest([course * 2, course * 3]) AS course FROM passed),
+m AS (SELECT w.student, w.course, array_to_string(list_sort(list(DISTINCT src)), ',') AS missing FROM w JOIN dag ON dst = w.course LEFT JOIN passed p ON p.student = w.student AND p.course = src WHERE p.course IS NULL GROUP BY ALL),
+b AS (SELECT w.student, w.course, k, w.course - k AS base FROM w JOIN courses USING (course), (SELECT unnest([1, 2]) AS k) WHERE w.course - k > 0),
+s AS (SELECT student, b.course, string_agg(base::VARCHAR, ',' ORDER BY k) AS base FROM b WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.student = b.student AND p.course = base) GROUP BY ALL),
+t AS (SELECT w.*, EXISTS (SELECT 1 FROM passed p WHERE p.student = w.student AND p.course = w.course) AS taken FROM w)
+SELECT student, course, CASE WHEN c.course IS NULL THEN 'unknown' WHEN taken OR missing IS NOT NULL THEN 'risk' ELSE 'ok' END AS status, taken, coalesce(missing, '') AS missing,
+  coalesce(base, '') AS base, CASE WHEN c.course IS NULL THEN NULL WHEN term % 2 = 1 THEN 'odd' ELSE 'even' END AS parity
+FROM t LEFT JOIN m USING (student, course) LEFT JOIN s USING (student, course) LEFT JOIN courses c USING (course)""",
+    "plan_edges": _PASSED
+    + """, had AS (SELECT DISTINCT t.student, t.course FROM transcript t WHERE student IN (SELECT student FROM (SELECT DISTINCT student, course FROM transcript EXCEPT SELECT * FROM passed)))
+SELECT DISTINCT a.student, src, dst FROM had a JOIN dag ON dst = a.course JOIN had b ON b.student = a.student AND b.course = src""",
     "requirement_matrix": _PASSED
     + """, r AS (SELECT 'Brand#' || i AS requirement, 2 AS required FROM range(1, 6) t(i) UNION ALL SELECT 'none', 1),
 a AS (SELECT student, programme AS requirement, count(*) AS done FROM passed JOIN courses USING (course) GROUP BY ALL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import tables
 from quarry.functions import dates, text
 from quarry.lineage import shared_dir
-from quarry.operators import closure, repair, retrieval, routing
+from quarry.operators import closure, names, repair, retrieval, routing, validation
 from quarry.sources import web
 from quarry.streaming import events
 from quarry.tables import table, with_views
@@ -98,6 +98,31 @@ def fuzzy_name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.fuzzy_names(terms, part.selectExpr("p_name AS name"))
 
 
+def fuzzy_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    terms = part.selectExpr("concat(p_name, 's') AS term").unionAll(part.selectExpr("split(p_name, ' ')[0]")).unionAll(part.selectExpr("lower(p_brand)")).unionAll(part.selectExpr("concat(split(p_name, ' ')[1], ' course')"))
+    return names.fuzzy_courses(terms, part.selectExpr("p_name AS name", "if(p_name < 'c', p_brand, null) AS acronym"))
+
+
+def person_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as people, named in full or by their last word, and the suppliers' notes as texts."""
+    people = table(spark, sf_dir, "nation").selectExpr("n_name AS person")
+    notes = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey AS item", "concat('Offered by ', s_name, ' of ', lower(n_name)) AS text")
+    return names.by_person(people, notes, 10)
+
+
+def display_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    term = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('introducao de ', p_name, ' e mais') WHEN 2 THEN substring(p_name, 1, 3) ELSE initcap(p_name) END")
+    return table(spark, sf_dir, "part").select("p_partkey", names.display_case(term).alias("shown"), names.blocked_programme(F.expr("if(p_partkey % 3 = 0, concat(p_brand, ' institute'), p_brand)")).alias("blocked"))
+
+
+def list_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lists of their lines, against texts that lack some letters or their end."""
+    before = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
+    after = F.expr("if(doc_id % 2 = 0, replace(text, 'on', ''), substring(text, 1, int(length(text) * 0.85)))")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", validation.list_items_kept(before, after).alias("kept"))
+
+
 def lateral_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each item; items with a thin one get the documents of the next ids too."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text")
@@ -163,6 +188,27 @@ SELECT page_id, coalesce(nullif(p[3], ''), h) AS label FROM p""",
 t AS (SELECT DISTINCT term, {KEY.format("term")} AS k FROM (SELECT split_part(p_name, ' ', 1) AS term FROM part UNION SELECT p_name FROM part UNION SELECT substr(p_name, 2, 5) FROM part)),
 s AS (SELECT term, name, CASE WHEN k = nk THEN 100 WHEN list_has_all(string_split(nk, ' '), string_split(k, ' ')) THEN 80 WHEN contains(nk, k) THEN 50 END AS score FROM t, n WHERE k <> '')
 SELECT term, name, score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, name) = 1""",
+    "fuzzy_courses": r"""WITH n AS (SELECT DISTINCT p_name AS name, lower(CASE WHEN p_name < 'c' THEN p_brand END) AS acronym, trim(lower(p_name)) AS n FROM part),
+t AS (SELECT DISTINCT term, trim(lower(term)) AS t FROM (SELECT p_name || 's' AS term FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT split_part(p_name, ' ', 2) || ' course' FROM part)),
+x AS (SELECT *, regexp_replace(t, '(\w)s\b', '\1', 'g') AS ts, regexp_replace(n, '(\w)s\b', '\1', 'g') AS ns FROM t, n),
+y AS (SELECT *, list_filter(string_split(ts, ' '), lambda w: length(w) > 2) AS tw, list_filter(string_split(ns, ' '), lambda w: length(w) > 2) AS nw FROM x),
+z AS (SELECT *, len(list_filter(tw, lambda w: list_contains(nw, w))) AS e, len(list_filter(tw, lambda w: len(list_filter(nw, lambda v: contains(v, w) OR contains(w, v))) > 0)) AS h FROM y),
+s AS (SELECT term, name, round(max(CASE WHEN t = acronym OR t = n OR ts = ns THEN 100 WHEN contains(n, t) OR contains(ns, ts) THEN 90 WHEN contains(t, n) OR contains(ts, ns) THEN 85
+  WHEN len(tw) > 0 AND len(nw) > 0 THEN least((e * 15 + (h - e) * 5) / greatest(len(tw), len(nw))::DOUBLE * 10, 84) END), 6) AS score FROM z GROUP BY ALL)
+SELECT term, row_number() OVER (PARTITION BY term ORDER BY score DESC, name)::INTEGER AS rank, name, score::DOUBLE AS score FROM s WHERE score >= 50 QUALIFY rank <= 2 OR (rank <= 3 AND score >= 80)""",
+    "person_items": """WITH p AS (SELECT DISTINCT n_name AS person, lower(n_name) AS p, list_filter(string_split(lower(n_name), ' '), lambda w: length(w) > 3)[-1] AS last FROM nation),
+t AS (SELECT s_suppkey AS item, lower('Offered by ' || s_name || ' of ' || n_name) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT person, row_number() OVER (PARTITION BY person ORDER BY item)::INTEGER AS rank, item FROM p JOIN t ON contains(t, p) OR (length(last) > 4 AND contains(t, last)) QUALIFY rank <= 10""",
+    "display_terms": f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'introducao de ' || p_name || ' e mais' WHEN 2 THEN substr(p_name, 1, 3)
+  ELSE array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS t, {KEY.format("CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' institute' ELSE p_brand END")} AS k FROM part)
+SELECT p_partkey, CASE WHEN t <> lower(t) THEN t WHEN length(t) <= 4 AND regexp_matches(t, '^[a-z]+$') THEN upper(t)
+  ELSE array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('de', 'da', 'do', 'das', 'dos', 'e', 'em', 'para') THEN w ELSE upper(w[1]) || w[2:] END), ' ') END AS shown,
+  length(k) <= 2 OR k = 'institute' OR starts_with(k, 'institute ') OR suffix(k, ' institute') AS blocked FROM t""",
+    "list_preservation": """WITH a AS (SELECT doc_id, regexp_extract_all('- ' || replace(text, chr(10), chr(10) || '- '), '(?m)^[ \\t]*(?:[-•*]|\\d+[.)])[ \\t]+([^\\n]+)$', 1) AS items,
+  lower(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'on', '') ELSE substr(text, 1, (floor(length(text) * 0.85))::BIGINT) END) AS low FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, len(items) AS n, low, unnest(list_transform(items, lambda i: regexp_extract_all(lower(i), '(\\p{L}{4,})', 1))) AS w FROM a),
+k AS (SELECT doc_id, any_value(n) AS n, count(*) FILTER (len(list_filter(w, lambda x: contains(low, x))) >= 0.6 * len(w)) AS kept FROM w GROUP BY doc_id)
+SELECT doc_id, coalesce(n < 3 OR kept >= 0.9 * n, true) AS kept FROM a LEFT JOIN k USING (doc_id)""",
     "lateral_lookup": f"""WITH {_BM25}, b AS (SELECT query, doc, text FROM bm25 JOIN documents ON doc_id = doc WHERE rank = 1),
 m AS (SELECT query, doc_id AS doc, d.text FROM b JOIN documents d ON doc_id IN (b.doc + 1, b.doc + 2) WHERE length(b.text) < 2000)
 SELECT query, doc, length(text)::INTEGER AS size FROM (FROM b UNION ALL FROM m)""",
