@@ -5,7 +5,7 @@ from itertools import combinations
 
 from quarry.llm import queries
 from quarry.llm.common import table
-from quarry.llm.license_scan import TEMPLATES, Template, align, increasing, scan, scan_text
+from quarry.llm.license_scan import FULL_TEXTS, TEMPLATES, Template, align, increasing, scan, scan_text
 
 
 def test_longest_increasing_subsequence():
@@ -69,3 +69,28 @@ def test_whole_table_against_plain_search(spark):
         expected |= {(r["doc_id"], name) for name, t in TEMPLATES.items() if " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " " in words}
     got = {(r["doc_id"], r["license"]) for r in queries.op6_license_scan(spark, small).collect()}
     assert got == expected and got
+
+
+def test_edited_full_texts_are_found(spark):
+    """Full texts with a twelfth of their words changed, dropped or doubled, in the midst of others, are all found; broken by a short insertion too."""
+    import random
+
+    draw = random.Random(11)
+    rows = []
+    full = list(FULL_TEXTS)
+    for n in range(60):
+        words = FULL_TEXTS[full[n % len(full)]].split()
+        for _ in range(len(words) // 12):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice(([], ["changed"], [words[at]] * 2))
+        if n % 2:
+            at = draw.randrange(len(words))
+            words[at:at] = [f"inserted{k}" for k in range(20)]
+        around = [f"word{draw.randint(0, 99)}" for _ in range(60)]
+        rows.append((n, " ".join(around[:30] + words + around[30:])))
+    got = {(r["doc_id"], r["license"]) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((n, full[n % len(full)]) in got for n in range(60))
+    for name, text in FULL_TEXTS.items():
+        assert [r[5] for r in scan_text(f"{text}\n".encode() * 3, [Template(name, text, 0.8)])] == [3]
+    plain = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(500)))], "doc_id long, text string")
+    assert scan(plain).collect() == [] and scan(plain.limit(0)).collect() == []
