@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (in tests), a local one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a session on one machine, as in tests, takes a temporary one; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (shared or os.path.join(tempfile.gettempdir(), "quarry-checkpoints")).rstrip("/")
 
 
@@ -20,3 +22,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote below the shared one, once its rows have been read or copied."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
