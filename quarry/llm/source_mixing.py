@@ -5,9 +5,9 @@ characters). A document's number of copies is the inverse of the Poisson distrib
 mean at a uniform number from a hash of the seed and its id; it is exploded by this count, and all
 copies are shuffled globally by another hash. So results don't depend on partitions or retries.
 
-The distribution function is summed in log space, one term after another, without a table; from a mean of LARGE on it starts REACH
-standard deviations below the mean, by Stirling's series. So a document takes at most some 24 terms and REACH times two standard deviations
-more work than its own copies do, and a source of any rate takes four numbers.
+The distribution function is summed in log space, one term after another. Below a mean of LARGE it is a table of its source, of LARGE + REACH * sqrt(LARGE) + 25 numbers at most. From there on
+each document sums it by itself, from REACH standard deviations below the mean on, where Stirling's series gives the first term; that takes less work
+than its copies do.
 
 Weights default to tempered shares mass**ALPHA. Given ones are a map from source to weight; sources that it lacks get
 weight 0 and vanish. Weights are normalised over the sources that occur.
@@ -31,8 +31,8 @@ BLOCK = 65536
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source_, mass, rate_, first_, log_first_, steps_): the mean number of copies; the count at which the sum starts, the logarithm of its probability, and
-    the number of terms that follow."""
+    """(source_, mass, rate_, first_, log_first_, steps_, cdf_): the mean number of copies; the count at which the sum starts, the logarithm of its probability, and
+    the number of terms that follow; the distribution function at 0, 1, 2, ... of means below LARGE."""
     mass = common.checkpoint(docs.groupBy(F.col(source_col).alias("source_")).agg(F.sum(F.length(text_col)).alias("mass")).where("mass > 0"))
     if weights is None:
         weight = F.pow(F.col("mass").cast("double"), F.lit(ALPHA))
@@ -45,18 +45,20 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     rate = weighted.crossJoin(F.broadcast(total)).selectExpr("source_", "mass", "(weight / all_weight) * (all_mass / mass) AS rate_").where("rate_ > 0")
     start = rate.selectExpr("*", f"if(rate_ < {LARGE}, 0L, floor(rate_ - {REACH} * sqrt(rate_))) AS first_")
     factorial = "first_ * ln(first_) - first_ + 0.5D * ln(2 * pi() * first_) + 1 / (12D * first_) - 1 / (360D * pow(first_, 3)) + 1 / (1260D * pow(first_, 5))"
-    return common.checkpoint(
-        start.selectExpr(
-            "*", f"if(first_ = 0, -rate_, first_ * ln(rate_) - rate_ - ({factorial})) AS log_first_", f"cast(ceil(rate_ - first_ + {REACH} * sqrt(rate_)) AS int) + 24 AS steps_"
-        )
+    summed = start.selectExpr(
+        "*", f"if(first_ = 0, -rate_, first_ * ln(rate_) - rate_ - ({factorial})) AS log_first_", f"cast(ceil(rate_ - first_ + {REACH} * sqrt(rate_)) AS int) + 24 AS steps_"
     )
+    table = """aggregate(sequence(1, steps_), array(struct(-rate_ AS log_p, exp(-rate_) AS total)), (done, k) -> concat(done, array(struct(
+        element_at(done, -1).log_p + ln(rate_ / k) AS log_p, element_at(done, -1).total + exp(element_at(done, -1).log_p + ln(rate_ / k)) AS total)))).total"""
+    return common.checkpoint(summed.withColumn("cdf_", F.expr(f"if(first_ = 0, {table}, null)")))
 
 
-def inverse(u: str, rate: str = "rate_", first: str = "first_", log_first: str = "log_first_", steps: str = "steps_") -> str:
+def inverse(u: str, rate: str = "rate_", first: str = "first_", log_first: str = "log_first_", steps: str = "steps_", cdf: str | None = None) -> str:
     """SQL: the smallest count whose distribution function, of the columns of rates(), exceeds u."""
-    return f"""aggregate(sequence(0, {steps}), struct({log_first} AS log_p, 0D AS total, {first} AS n),
+    alone = f"""aggregate(sequence(0, {steps}), struct({log_first} AS log_p, 0D AS total, {first} AS n),
         (s, i) -> struct(s.log_p + ln({rate} / ({first} + i + 1)) AS log_p, s.total + exp(s.log_p) AS total, s.n + if(s.total + exp(s.log_p) <= {u}, 1L, 0L) AS n),
         s -> cast(s.n AS int))"""
+    return alone if cdf is None else f"if({cdf} IS NULL, {alone}, size(filter({cdf}, x -> x <= {u})))"
 
 
 def uniform(*parts) -> F.Column:
@@ -70,7 +72,7 @@ def mix(
 ) -> DataFrame:
     """Every document once per copy, with n_copies, copy, rate and shuffle_key, in the global order of shuffle_key."""
     docs = docs.drop("n_copies", "copy", "rate", "shuffle_key")
-    lookup = rates(docs, weights, source_col, text_col).select("source_", "rate_", "first_", "log_first_", "steps_")
+    lookup = rates(docs, weights, source_col, text_col).select("source_", "rate_", "first_", "log_first_", "steps_", "cdf_")
     drawn, block, key, *fresh = common.free_names(docs, "u_", "block_", *lookup.columns)
     lookup = lookup.toDF(key, *fresh)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
@@ -80,4 +82,7 @@ def mix(
     blocks = counted.where("n_copies > 0").withColumn(block, F.explode(F.expr(f"sequence(0, (n_copies - 1) div {BLOCK})")))
     copies = blocks.withColumn("copy", F.explode(F.expr(f"sequence(cast({block} * {BLOCK} + 1 AS int), cast(least(n_copies, ({block} + 1) * {BLOCK}) AS int))")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string"))))
-    return keyed.drop(key, drawn, block, *fresh).orderBy("shuffle_key", id_col)
+    # the key is uniform, so equal ranges of its first 32 bits are equal shares: no sample of the copies is drawn to find ranges
+    n = common.partitions(docs.sparkSession)
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / F.lit(float(1 << 32))).cast("int")
+    return keyed.drop(key, drawn, block, *fresh).repartitionById(n, part).sortWithinPartitions("shuffle_key", id_col)
