@@ -17,7 +17,8 @@ that), so a text's ids are the joined ids of its words, or of the smaller units
 another normaliser, pattern or added tokens is given whole texts.
 
 Chunks are dealt by digest and recipes by a running number of their task, so equal documents don't meet in one task; rows of one id, or of none, are dealt by
-their digests and that number. A chunk that many documents share is looked up in SALTS tasks.
+their digests and that number. Chunks with more than HOT references are looked up apart, in a table of at most
+a HOT-th of all references' rows, which is broadcast if it is small and else met by salted keys.
 
 Defined results: a null text is empty and so one id, END. Rows with equal ids are documents of their own, in order of their digests; null ids come first; an
 empty table makes an empty store. Only the id and text columns are read.
@@ -48,8 +49,8 @@ WINDOW, LEAST, MEAN_BITS, MOST = 16, 64, 8, 2048
 DIGEST = 16
 #: Recipes of a part, and parts of one of the next level.
 PART_ROWS = 4096
-#: Tasks that the references to one chunk are dealt to.
-SALTS = 8
+#: References from which on a chunk is looked up apart from the others.
+HOT = 1000
 #: Chunks that a task remembers to have written.
 STORED = 1_000_000
 #: The normaliser and the pattern of tokenizers whose plain texts are cut here.
@@ -430,8 +431,12 @@ def verify_store(spark: SparkSession, path: str, vocabulary: str = "word_bpe_49k
     if wrong := stored.join(again, keys, "left_anti").unionAll(again.join(stored, keys, "left_anti")).limit(1).collect():
         raise ValueError(f"part {wrong[0]['part']} of level {wrong[0]['level']} of the recipes differs from the manifest")
     chunks = _rows(spark, path, "chunks").select("digest", "ids").mapInArrow(_check_chunks(id_bytes(vocabulary)), "digest binary, n long, crc long")
-    salted = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = _references(recipes).withColumn("salt", F.pmod("seq", F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
+    chunks, references = common.checkpoint(chunks), _references(recipes)
+    hot = references.groupBy("digest").count().where(F.col("count") > HOT).select("digest")
+    often = common.checkpoint(chunks.join(hot, "digest", "left_semi")).toDF("often", "n", "crc")
+    marked = common.join_lookup(references, often, references["digest"] == often["often"], F.xxhash64(references["seq"]))
+    rest = marked.where("often IS NULL").drop("often", "n", "crc").join(chunks, "digest", "left")
+    found = rest.unionByName(marked.where("often IS NOT NULL").drop("often"))
     parts = found.groupBy("seq", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "n", "crc"))).alias("parts"))
     return parts.mapInArrow(_resolve, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

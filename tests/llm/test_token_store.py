@@ -112,6 +112,7 @@ def test_another_vocabulary_is_given_whole_texts(spark):
 
 def test_manifest_has_levels(spark, monkeypatch, coder):
     monkeypatch.setattr(token_store, "PART_ROWS", 4)
+    monkeypatch.setattr(token_store, "HOT", 5)  # 'same' is looked up apart
     rows = [(None if i % 3 == 0 else i // 2, "same" if i % 2 else f"text {i}") for i in range(70)]
     path = token_store.new_path(spark)
     token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path)
