@@ -2,7 +2,7 @@
 
 Two views of a document, its text and its metadata (source, language, size), get a classifier each. In every round both are fitted, and
 each gives the other the unlabelled documents that it is most sure of, with its own verdicts as labels. These are found among all unlabelled documents of the corpus: a Spark job
-scores them all with both views, keeps the surest of each task, and then those of all. At the end each view is
+scores them all with both views, and the surest of all are taken from what the views are sure of. At the end each view is
 calibrated (Platt) on labelled documents kept apart, and the two are combined as views that are independent given
 the class: the logits add up, less the prior's.
 
@@ -243,36 +243,36 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def _surest(wanted: Wanted):
-    """(view, label, number) of the documents of a task that each view is surest of."""
+def _sure(wanted: Wanted):
+    """(view, label, number, p) of the documents that a view is sure of, without those it has given."""
     schema = pa.schema([("view", pa.int32()), ("label", pa.float64()), ("number", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, views = WordFeatures(), (wanted.model.text, wanted.model.meta)
         tables = [v.table() for v in views]
-        best = [(np.empty(0), np.empty(0, np.int64))] * 2
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             rows = [text_features(t or b"", cache) for t in binary(batch.column(1))], [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             for k, view in enumerate(views):
+                p = sigmoid(view.logits(rows[k], tables[k]))
                 fresh = np.array([n not in wanted.given[k] for n in numbers.tolist()], bool)
-                z = np.concatenate((best[k][0], view.logits([r for r, f in zip(rows[k], fresh, strict=True) if f], tables[k])))
-                n = np.concatenate((best[k][1], numbers[fresh]))
-                at = np.unique(np.concatenate([which for _, which in surest(z, n, wanted)]))
-                best[k] = z[at], n[at]
-        for k, (z, n) in enumerate(best):
-            for label, which in surest(z, n, wanted):
-                columns = np.full(len(which), k), np.full(len(which), label), n[which], sigmoid(z[which])
+                at = np.flatnonzero(fresh & ((p >= SURE) | (p <= 1 - SURE)))
+                columns = np.full(len(at), k), (p[at] >= SURE).astype(float), numbers[at], p[at]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def _pool(source: DataFrame) -> Callable[[Wanted], list[Given]]:
-    """The surest of all unlabelled documents, source(number, text, source, lang, n_chars): two passes over them a round, of which the second only lets the chosen ones through."""
+def _pool(source: DataFrame, labelled: DataFrame) -> Callable[[Wanted], list[Given]]:
+    """The surest of all documents without a label. source: (number, text, source, lang, n_chars); labelled: (number).
+
+    Two passes over the texts a round, neither of which shuffles them: the first leaves some 24 bytes of each document that a view is sure of, which labelled ones are taken from
+    and the surest of which are found; the second lets the few chosen ones through.
+    """
 
     def choose(wanted: Wanted) -> list[Given]:
-        found = common.checkpoint(source.mapInArrow(_surest(wanted), "view int, label double, number long, p double").distinct())
+        sure = source.mapInArrow(_sure(wanted), "view int, label double, number long, p double")
+        found = common.checkpoint(sure.join(labelled, "number", "left_anti").distinct())
         chosen = []
         for view in (0, 1):
             for label, most, order in ((0.0, wanted.bad, F.asc("p")), (1.0, wanted.fine, F.desc("p"))):
@@ -307,8 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     table = rows.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow()
     own = sorted(set(zip(*(table.column(c).to_pylist() for c in ("number", "good", "text", "meta")), strict=True)))  # in one order, repeated rows once
     text, meta = ([np.frombuffer(r[k], np.int32) for r in own] for k in (2, 3))
-    pool = source.join(verdicts.select("doc_id"), "doc_id", "left_anti").select("number", "text", "source", "lang", "n_chars")
-    return _rounds(text, meta, np.array([r[1] for r in own]), _pool(pool), rounds)
+    pool = source.select("number", "text", "source", "lang", "n_chars")
+    return _rounds(text, meta, np.array([r[1] for r in own]), _pool(pool, verdicts.select(number.alias("number"))), rounds)
 
 
 def _score(model: CoTrained, place: list[int], threshold: float):
