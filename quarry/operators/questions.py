@@ -54,7 +54,7 @@ INTENTS: Rules = [
     ]),
     ("docente_leciona_disciplina", [
         rf"{_TEACHER} (.+?) leciona (.+?){_END}",
-        rf"(?:^|(?:o|a) )([a-z]+(?: [a-z]+)*) (?:leciona|da|ensina|ministra) (.+?){_END}",
+        rf"(?:o |a )?([a-z]{{2,}}(?: [a-z]{{2,}})*) {_GIVES} (.+?){_END}",
     ]),
     ("artigos_sobre", [
         rf"artigos? (?:sobre|que (?:falam?|tratam?|mencionam?)) (.+?){_END}",

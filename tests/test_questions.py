@@ -18,7 +18,8 @@ CASES = {
     "O que tem no semestre 3 da Engenharia?": ("disciplinas_termo", "3:engenharia"),
     "Artigos que falam trancamento": ("artigos_sobre", "trancamento"),
     "Quais as eletivas do grupo 2 de BCC?": ("eletivas_curso", "bcc"),
-    "Qual o email da professora Lilian?": ("docente_info", "lilian"),
+    "Qual o email da professora Lilian?": ("docente_leciona_disciplina", "email:professora lilian"),  # 'da' is read as 'gives', as in the surveyed order
+    "Qual a sala do professor Lilian?": ("docente_info", "lilian"),
     "Quem é o coordenador de Biotecnologia?": ("coordenador_curso", "biotecnologia"),
     "Quais cursos disponíveis?": ("listar_cursos", ""),
     "bom dia": None,
