@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ from .wordhash import binary
 LABELLED = 20_000
 ROUNDS, SHARE, SURE = 3, 0.1, 0.9
 HASHED = 1 << 18
+#: Bytes of text whose features a task holds at once, or one text; words whose feature numbers it remembers.
+SLICE_BYTES, REMEMBERED = 4 << 20, 150_000
+#: Words from which on a text's distinct words and pairs are counted in arrays.
+LONG = 20_000
 SIGNIFICANT = 25.0
 THRESHOLD = 0.5
 MARKS = b".,;:!?*$&%#|<>\"'()[]{}=-_"
@@ -54,7 +59,7 @@ class WordFeatures(dict):
     """Feature numbers of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         core = word.strip(MARKS)
         value = self[word] = xxhash.xxh3_64_intdigest(core.decode().lower().encode()) % HASHED if core else HASHED - 1
@@ -64,13 +69,19 @@ class WordFeatures(dict):
 def text_features(text: bytes, cache: WordFeatures) -> np.ndarray:
     words = text.split()
     n, size = len(words), max(1, len(text))
+    numbers = list(map(cache.__getitem__, words))
+    if n <= LONG:
+        seen, pairs = set(numbers), set(zip(numbers, numbers[1:], strict=False))
+    else:  # the same in an array of 8 bytes a word
+        packed = np.array(numbers, np.int64)
+        seen, pairs = np.unique(packed), np.unique(packed[:-1] * SIZE + packed[1:])
     lines = [x for x in text.split(b"\n") if x.strip()]
     shape = {
         "symbols": 1 - len(text.translate(None, SYMBOLS)) / size, "capitals": 1 - len(text.translate(None, CAPITALS)) / size,
-        "pairs": len(set(zip(words, words[1:], strict=False))) / max(1, n - 1), "lines": len(set(lines)) / max(1, len(lines)), "size": n,
+        "pairs": len(pairs) / max(1, n - 1), "lines": len(set(lines)) / max(1, len(lines)), "size": n,
     }
     cells = [SHAPES[name] + sum(shape[name] >= e for e in edges) for name, edges in EDGES.items()]
-    return np.array([*set(map(cache.__getitem__, words)), *cells], np.int32)
+    return np.array([*seen, *cells], np.int32)
 
 
 def meta_features(source, lang, n_chars) -> np.ndarray:
@@ -231,16 +242,31 @@ def _rounds(text: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray, ch
     return model
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_BYTES of text, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            most = SLICE_BYTES + (ends[first - 1] if first else 0)
+            last = max(first + 1, int(np.searchsorted(ends, most, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordFeatures()
-    for batch in batches:
+    for batch in _slices(batches, 2):
         text = [text_features(t or b"", cache).tobytes() for t in binary(batch.column(2))]
         meta = [meta_features(*r).tobytes() for r in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["number", "good", "text", "meta"])
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
+USED = {"text": T.StringType(), "source": T.StringType(), "lang": T.StringType(), "n_chars": T.LongType()}
+
+
+def _columns() -> list:
+    return [F.col(name).cast(kind).alias(name) for name, kind in USED.items()]
 
 
 def _sure(wanted: Wanted):
@@ -250,7 +276,7 @@ def _sure(wanted: Wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, views = WordFeatures(), (wanted.model.text, wanted.model.meta)
         tables = [v.table() for v in views]
-        for batch in batches:
+        for batch in _slices(batches, 1):
             numbers = batch.column(0).to_numpy()
             rows = [text_features(t or b"", cache) for t in binary(batch.column(1))], [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             for k, view in enumerate(views):
@@ -300,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         .agg((F.min("quality") == 1).alias("fine"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
         .select("doc_id", (F.col("fine") & (F.col("toxic") == 0)).cast("double").alias("good"))
     )
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), *_columns(docs))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), *_columns())
     ids = source.select("doc_id").distinct()
     first = common.checkpoint(verdicts.join(ids, "doc_id").withColumn("number", number).orderBy("number").limit(labelled))  # `labelled` rows at most
     rows = source.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "source", "lang", "n_chars")
@@ -311,11 +337,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     return _rounds(text, meta, np.array([r[1] for r in own]), _pool(pool, verdicts.select(number.alias("number"))), rounds)
 
 
-def _score(model: CoTrained, place: list[int], threshold: float):
+def _score(model: CoTrained, place: list[int], columns: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordFeatures()
         tables = model.text.table(), model.meta.table()
-        for batch in batches:
+        for batch in _slices(batches, place[0]):
             n = batch.num_rows
             if model.trained:
                 text = model.text.logits([text_features(t or b"", cache) for t in binary(batch.column(place[0]))], tables[0])
@@ -324,7 +350,7 @@ def _score(model: CoTrained, place: list[int], threshold: float):
                 text = meta = np.full(n, model.prior)
             score = sigmoid(text + meta - model.prior)
             new = [pa.array(sigmoid(text)), pa.array(sigmoid(meta)), pa.array(score), pa.array(score >= threshold)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 4], *new], [*batch.schema.names[:-4], "text_score", "meta_score", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *new], [*batch.schema.names[:columns], "text_score", "meta_score", "score", "kept"])
 
     return run
 
@@ -333,6 +359,12 @@ def classify(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) ->
     """The rows with text_score, meta_score, score (probability of a good document) and kept."""
     docs = docs.drop("text_score", "meta_score", "score", "kept")
     n = len(docs.columns)
-    fed = docs.select("*", *(c.alias(f"fed_{k}_") for k, c in enumerate(_columns(docs))))
+    place, cast = [], []
+    for name, kind in USED.items():
+        own = [k for k, f in enumerate(docs.schema.fields) if f.name.lower() == name and f.dataType == kind]
+        if not own:  # a text is sent once unless it needs a cast
+            cast.append(F.col(name).cast(kind).alias(f"fed_{name}_"))
+        place.append(own[0] if own else n + len(cast) - 1)
+    fed = docs.select("*", *cast)
     schema = T.StructType([*docs.schema.fields, *common.fields("text_score double, meta_score double, score double, kept boolean")])
-    return fed.mapInArrow(_score(model, [n, n + 1, n + 2, n + 3], threshold), schema)
+    return fed.mapInArrow(_score(model, place, n, threshold), schema)
