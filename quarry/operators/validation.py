@@ -27,6 +27,21 @@ def check_claims(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(verdicts, "claim", "left").select("doc_id", "claim", F.coalesce("verdict", F.lit("unsupported")).alias("verdict"))
 
 
+def check_structured(claimed: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, course, value, verdict): distinct claims on courses as ok, violation, or unknown where nothing is known of that kind or nothing is claimed.
+
+    claimed: (kind, course, value); known: (kind, course, value). Codes agree if their digits do; names of teachers and prerequisites if one holds the other.
+    Claims meet only the facts of their own course and kind.
+    """
+    key = F.when(F.col("kind") == "code", F.regexp_replace("value", r"\D", "")).otherwise(text.text_key("value"))
+    facts = known.select("kind", "course", key.alias("fact")).where("fact <> ''").distinct()
+    said = claimed.distinct().withColumn("said", key)
+    same = F.when(F.col("kind") == "code", F.col("said") == F.col("fact")).otherwise(F.col("fact").contains(F.col("said")) | F.col("said").contains(F.col("fact")))
+    met = said.join(facts, ["kind", "course"], "left").groupBy("kind", "course", "value").agg(F.max("said").alias("said"), F.count("fact").alias("facts"), F.max(same).alias("same"))
+    verdict = F.when((F.col("facts") == 0) | F.coalesce(F.col("said") == "", F.lit(True)), "unknown").when(F.col("same"), "ok").otherwise("violation")
+    return met.select("kind", "course", "value", verdict.alias("verdict"))
+
+
 def debate(answers: DataFrame, facts: Column, violations: Column, miss: Column) -> DataFrame:
     """(question, winner, score): the answer of the highest 2 * facts - 3 * violations - 100 if it is a miss; ties to the first. answers: (question, answer)."""
     score = 2 * facts - 3 * violations - F.when(miss, 100).otherwise(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import text
-from quarry.operators import closure, graph, similarity
+from quarry.operators import closure, graph, similarity, validation
 from quarry.tables import table, with_views
 
 STAR = (
@@ -204,6 +204,21 @@ def base_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.concept_base(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir)))
 
 
+def structured_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on every course: a code, a supplier of its second order lines as teacher, and two other courses as prerequisites at any distance."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    edges = tables.prerequisites(spark, sf_dir)
+    names = part.selectExpr("p_partkey AS id", "p_name AS value")
+    chain = closure.ancestors(edges).select(F.lit("prereq").alias("kind"), F.col("node").alias("course"), F.col("ancestor").alias("id"))
+    taught = tables.teaches(spark, sf_dir).selectExpr("'teacher' AS kind", "course", "teacher AS s_suppkey")
+    by_name = lambda rows: rows.join(supplier, "s_suppkey").selectExpr("kind", "course", "s_name AS value")
+    known = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('C', p_partkey) AS value").unionAll(chain.join(names, "id").select("kind", "course", "value")).unionAll(by_name(taught))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").selectExpr("'teacher' AS kind", "l_partkey AS course", "l_suppkey AS s_suppkey").distinct()
+    others = part.select(F.lit("prereq").alias("kind"), F.col("p_partkey").alias("course"), F.explode(F.expr("array(p_partkey div 4, p_partkey - 1)")).alias("id"))
+    codes = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('no. ', p_partkey + if(p_partkey % 5 = 0, 1, 0)) AS value")
+    return validation.check_structured(codes.unionAll(others.join(names, "id").select("kind", "course", "value")).unionAll(by_name(lines)), known)
+
+
 _STRUCTURE_ALL = (
     with_views("dag", "teaches")
     + """, own AS (SELECT DISTINCT dst AS course, src AS item FROM dag),
@@ -306,6 +321,19 @@ SELECT src, dst, max(bound) AS bound, 1.0::DOUBLE AS high FROM b GROUP BY src, d
 SELECT node, max(depth)::INTEGER AS depth FROM d GROUP BY node""",
     "plan_layers": _PLAN + "SELECT * FROM plan",
     "path_confidence": _PLAN + "SELECT target, course, min(conf) AS confidence FROM plan JOIN dag ON dst = course GROUP BY ALL HAVING min(conf) < 1",
+    "structured_claims": with_views("dag", "teaches", recursive=True)
+    + """, walk AS (SELECT src, dst FROM dag UNION SELECT w.src, d.dst FROM walk w JOIN dag d ON w.dst = d.src),
+known AS (
+  SELECT 'code' AS kind, p_partkey AS course, p_partkey::VARCHAR AS fact FROM part
+  UNION SELECT 'teacher', course, lower(s_name) FROM teaches JOIN supplier ON s_suppkey = teacher
+  UNION SELECT 'prereq', dst, lower(p_name) FROM walk JOIN part ON p_partkey = src),
+claimed AS (
+  SELECT 'code' AS kind, p_partkey AS course, 'no. ' || (p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) AS value FROM part
+  UNION SELECT 'teacher', l_partkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 2
+  UNION SELECT 'prereq', a.p_partkey, b.p_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 4 OR b.p_partkey = a.p_partkey - 1)
+SELECT kind, course, value, CASE WHEN count(fact) = 0 THEN 'unknown'
+  WHEN max(CASE WHEN kind = 'code' THEN replace(value, 'no. ', '') = fact ELSE contains(fact, lower(value)) OR contains(lower(value), fact) END) THEN 'ok' ELSE 'violation' END AS verdict
+FROM claimed LEFT JOIN known USING (kind, course) GROUP BY kind, course, value""",
     "failure_impact": REACH
     + """SELECT src AS node, count(*) FILTER (hops = 1) AS direct, count(*) AS transitive, max(hops)::INTEGER AS depth, count(*) FILTER (hops = 1) >= 2 AS critical FROM reach GROUP BY src""",
     "structural_similarity": _STRUCTURE + "SELECT * FROM structure",
