@@ -21,6 +21,7 @@ pass, whatever their name; an empty table stays empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.lineage import remove
+
 from . import common
 from .wordhash import binary
 
@@ -259,7 +262,11 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 2):
         text = [text_features(t or b"", cache).tobytes() for t in binary(batch.column(2))]
         meta = [meta_features(*r).tobytes() for r in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["number", "good", "text", "meta"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "number", "text", "meta"])
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int32) for b in column.to_pylist()]
 
 
 USED = {"text": T.StringType(), "source": T.StringType(), "lang": T.StringType(), "n_chars": T.LongType()}
@@ -274,11 +281,11 @@ def _sure(wanted: Wanted):
     schema = pa.schema([("view", pa.int32()), ("label", pa.float64()), ("number", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, views = WordFeatures(), (wanted.model.text, wanted.model.meta)
+        views = wanted.model.text, wanted.model.meta
         tables = [v.table() for v in views]
-        for batch in _slices(batches, 1):
+        for batch in batches:
             numbers = batch.column(0).to_numpy()
-            rows = [text_features(t or b"", cache) for t in binary(batch.column(1))], [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            rows = _numbers(batch.column(1)), _numbers(batch.column(2))
             for k, view in enumerate(views):
                 p = sigmoid(view.logits(rows[k], tables[k]))
                 fresh = np.array([n not in wanted.given[k] for n in numbers.tolist()], bool)
@@ -289,15 +296,15 @@ def _sure(wanted: Wanted):
     return run
 
 
-def _pool(source: DataFrame, labelled: DataFrame) -> Callable[[Wanted], list[Given]]:
-    """The surest of all documents without a label. source: (number, text, source, lang, n_chars); labelled: (number).
+def _pool(features: DataFrame, labelled: DataFrame) -> Callable[[Wanted], list[Given]]:
+    """The surest of all documents without a label. features: (number, text, meta); labelled: (number).
 
-    Two passes over the texts a round, neither of which shuffles them: the first leaves some 24 bytes of each document that a view is sure of, which labelled ones are taken from
+    Two passes over the features a round, neither of which shuffles them: the first leaves some 24 bytes of each document that a view is sure of, which labelled ones are taken from
     and the surest of which are found; the second lets the few chosen ones through.
     """
 
     def choose(wanted: Wanted) -> list[Given]:
-        sure = source.mapInArrow(_sure(wanted), "view int, label double, number long, p double")
+        sure = features.select("number", "text", "meta").mapInArrow(_sure(wanted), "view int, label double, number long, p double")
         found = common.checkpoint(sure.join(labelled, "number", "left_anti").distinct())
         chosen = []
         for view in (0, 1):
@@ -305,21 +312,23 @@ def _pool(source: DataFrame, labelled: DataFrame) -> Callable[[Wanted], list[Giv
                 chosen += found.where((F.col("view") == view) & (F.col("label") == label)).orderBy(order, "number").limit(most).collect()
         if not chosen:
             return []
-        spark = source.sparkSession
+        spark = features.sparkSession
         numbers = spark.createDataFrame([(n,) for n in {r["number"] for r in chosen}], "number long")  # 2 * (bad + fine) at most
-        kept = source.join(F.broadcast(numbers), "number").withColumn("good", F.lit(0.0)).select("number", "good", "text", "source", "lang", "n_chars")
-        rows = kept.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow()
+        rows = features.join(F.broadcast(numbers), "number").select("number", "text", "meta").toArrow()
         # texts that share an id share a number: the smallest counts
-        features: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for number, text, meta in sorted(zip(*(rows.column(c).to_pylist() for c in ("number", "text", "meta")), strict=True)):
-            features.setdefault(number, (np.frombuffer(text, np.int32), np.frombuffer(meta, np.int32)))
-        return [(r["view"], r["label"], r["number"], *features[r["number"]]) for r in chosen]
+            of.setdefault(number, (np.frombuffer(text, np.int32), np.frombuffer(meta, np.int32)))
+        return [(r["view"], r["label"], r["number"], *of[r["number"]]) for r in chosen]
 
     return choose
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, seed: int = 3) -> CoTrained:
-    """Co-train on at most `labelled` rows with labels, and on those of all rows without that the views are sure of."""
+    """Co-train on at most `labelled` rows with labels, and on those of all rows without that the views are sure of.
+
+    Texts are read once: their features, 4 bytes a distinct word, are written to the shared folder, where the rounds read them, and removed at the end.
+    """
     number = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
     verdicts = (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -329,12 +338,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), *_columns())
     ids = source.select("doc_id").distinct()
     first = common.checkpoint(verdicts.join(ids, "doc_id").withColumn("number", number).orderBy("number").limit(labelled))  # `labelled` rows at most
-    rows = source.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "source", "lang", "n_chars")
-    table = rows.mapInArrow(_featurize, "number long, good double, text binary, meta binary").toArrow()
-    own = sorted(set(zip(*(table.column(c).to_pylist() for c in ("number", "good", "text", "meta")), strict=True)))  # in one order, repeated rows once
-    text, meta = ([np.frombuffer(r[k], np.int32) for r in own] for k in (2, 3))
-    pool = source.select("number", "text", "source", "lang", "n_chars")
-    return _rounds(text, meta, np.array([r[1] for r in own]), _pool(pool, verdicts.select(number.alias("number"))), rounds)
+    path = f"{common.shared_dir(docs.sparkSession)}/features-{uuid.uuid4().hex}"
+    try:
+        source.select("doc_id", "number", *USED).mapInArrow(_featurize, "doc_id long, number long, text binary, meta binary").write.parquet(path)
+        features = docs.sparkSession.read.parquet(path)
+        table = features.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "meta").toArrow()
+        own = sorted(set(zip(*(table.column(c).to_pylist() for c in table.column_names), strict=True)))  # in one order, repeated rows once
+        text, meta = ([np.frombuffer(r[k], np.int32) for r in own] for k in (2, 3))
+        return _rounds(text, meta, np.array([r[1] for r in own]), _pool(features, verdicts.select(number.alias("number"))), rounds)
+    finally:
+        remove(docs.sparkSession, path)
 
 
 def _score(model: CoTrained, place: list[int], columns: int, threshold: float):
