@@ -113,6 +113,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN gs ON b.lang IS NOT DISTINCT FROM gs.lang AND b.source IS NOT DISTINCT FROM gs.source
 """
 
+OP12 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT doc_id, t, unnest(range(1, octet_length(t) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, t[i:i] AS b, CASE WHEN i <= octet_length(t) - 199 THEN t[i:i + 199] END AS w FROM p),
+r AS (SELECT doc_id, i, b, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS repeats FROM s),
+c AS (SELECT doc_id, i, b, coalesce(max(CASE WHEN repeats THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 200, false) AS gone FROM r),
+e AS (SELECT doc_id, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(hex(b), '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM e GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES = {
     "op2_source_mixing": OP2, "op3_topk_search": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_jaccard_join": OP9,
+    "op12_suffix_dedup": OP12,
 }
