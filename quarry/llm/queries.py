@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, substring_dedup, suffix_dedup, token_store, topk_search
+from . import divergence_audit, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, substring_dedup, suffix_dedup, token_store, topk_search
 from .common import table
 from .sql import ORACLES
 
@@ -62,6 +62,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify_store(spark, path)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -113,6 +113,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN gs ON b.lang IS NOT DISTINCT FROM gs.lang AND b.source IS NOT DISTINCT FROM gs.source
 """
 
+_P = "1 + (1000000000::HUGEINT * ({count} + 5)) // ({n} + 5 * v)"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(DISTINCT doc) AS docs, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS n_lang
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY lang) USING (lang)
+    LEFT JOIN (SELECT c.lang, c.source, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL) USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format(count="coalesce(c.n, 0)", n="g.n")} AS p, {_P.format(count="k.n", n="g.n_lang")} AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
 p AS (SELECT doc_id, t, unnest(range(1, octet_length(t) + 1)) AS i FROM d),
@@ -130,5 +155,5 @@ FROM d LEFT JOIN k USING (doc_id)
 
 ORACLES = {
     "op2_source_mixing": OP2, "op3_topk_search": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_jaccard_join": OP9,
-    "op12_suffix_dedup": OP12,
+    "op11_divergence_audit": OP11, "op12_suffix_dedup": OP12,
 }
