@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_audit, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, substring_dedup, suffix_dedup, token_store, topk_search
+from . import divergence_audit, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, substring_dedup, suffix_dedup, token_alignment, token_store, topk_search
 from .common import table
 from .sql import ORACLES
 
@@ -71,6 +71,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
