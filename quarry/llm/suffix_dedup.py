@@ -12,7 +12,8 @@ The suffixes to be sorted are those at which such a string may start; sorted to
 3. Starts of repeated windows, packed by shards of documents, meet there, are joined to their texts, merged into maximal intervals and cut out.
 
 What repeats within a block is known there, and one of it goes on, so a string of a third of all documents is shuffled once a block. Of runs in one bucket with different bytes (a passage's edges) a block
-deals two by their gram and the others by their bytes, so no task holds all runs of a frequent gram. Texts of any length are cut into overlapping pieces of BLOCK bytes, so a task's memory doesn't follow their length.
+deals two by their gram and the others by their bytes, so no task holds all runs of a frequent gram. Texts of any length are cut into overlapping pieces of BLOCK bytes, so
+beyond the text itself a task's memory doesn't follow its length.
 
 Grams and windows are told apart by 64-bit Rabin-Karp names; windows also by their bucket, a range of a second name, and settled runs by the names of gram and bytes together. In n windows met in
 b buckets, some n**2 / (2**65 * b) false repeats are expected: well below one at 100 TB, as only windows of open runs, about one in twenty of the test tables, are met.
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .wordhash import Powers, binary, mixed
+from .wordhash import Powers, binary, mixed, text_slices
 
 #: Bytes of texts that are sorted at once; a power of two, so that a place fits in the low bits of a name.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+#: Runs or windows of successive blocks that are dealt together.
+HELD = 250_000
 #: Bytes of text of a bucket of runs or windows, and of a task's buckets.
 BUCKET_BYTES, TASK_BYTES = 32 << 20, 128 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -117,11 +120,10 @@ def window_runs(block: list[tuple[int, int, bytes]], width: int, gram: int, tabl
     return grams[gram_at], mixed(names.at(low, size - 1 + width) ^ mixed(where)), text[first], low + shift[first], size
 
 
-def _documents(text: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> dict:
-    """Runs of equal texts, with the ids and sums of these."""
-    first = np.flatnonzero(np.diff(text, prepend=-1))
-    of = text[first]
-    return {"ids": common.pack(ids[of]), "sums": sums[of].tobytes(), "rows": common.pack(np.diff(first, append=len(text)))}
+def _documents(ids: np.ndarray, sums: np.ndarray) -> dict:
+    """Runs of equal ids and sums."""
+    first = np.flatnonzero((np.diff(ids, prepend=~ids[:1]) != 0) | (np.diff(sums, prepend=~sums[:1]) != 0))
+    return {"ids": common.pack(ids[first]), "sums": sums[first].tobytes(), "rows": common.pack(np.diff(first, append=len(ids)))}
 
 
 def _in_buckets(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,7 +133,8 @@ def _in_buckets(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """Buckets of names; these are mixed again, as those of the least grams are small."""
+    return (((mixed(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _source(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -142,36 +145,52 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.binary()) for f in common.fields(ddl)])
 
 
+def _held(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Successive parts joined, HELD entries or more at a time."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= HELD:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _deal_runs(width: int, gram: int, buckets: int):
     schema = _arrow(_RUNS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table, powers = letters(0), Powers()
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             ids, sums, texts = _source(batch)
             for block in pieces(texts, width, BLOCK):
                 name, content, text, at, size = window_runs(block, width, gram, table, powers)
-                order = np.lexsort((content, name))
-                new_name = np.diff(name[order], prepend=~name[order[:1]]) != 0
-                new = new_name | (np.diff(content[order], prepend=~content[order[:1]]) != 0)
-                start = np.flatnonzero(new)
-                several = np.diff(start, append=len(order)) > 1
-                # of equal runs one goes on; of runs with one gram, two meet those of other blocks by the gram, the others by their bytes
-                among = np.arange(len(start)) - np.maximum.accumulate(np.where(new_name[start], np.arange(len(start)), 0))
-                stay, rest = order[start], np.sort(order[~new])
-                back = np.argsort(stay)
-                stay, several, by_bytes = stay[back], several[back], among[back] > 1
-                rows = []
-                if len(rest):
-                    rows.append({"bucket": int(_deal(name[rest[:1]], buckets)[0]), **_documents(text[rest], ids, sums), "at": common.pack(at[rest]), "size": common.pack(size[rest])})
-                bucket = np.where(by_bytes, buckets + _deal(content[stay], buckets), _deal(name[stay], buckets))
-                for b, some in _in_buckets(bucket):
-                    k = stay[some]
-                    rows.append({
-                        "bucket": b, "names": name[k].tobytes(), "bytes": content[k].tobytes(), "twins": np.packbits(several[some]).tobytes(),
-                        **_documents(text[k], ids, sums), "at": common.pack(at[k]), "size": common.pack(size[k]),
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield ids[text], sums[text], at, size, name, content
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sums, at, size, name, content in _held(parts(batches)):
+            order = np.lexsort((content, name))
+            new_name = np.diff(name[order], prepend=~name[order[:1]]) != 0
+            new = new_name | (np.diff(content[order], prepend=~content[order[:1]]) != 0)
+            start = np.flatnonzero(new)
+            several = np.diff(start, append=len(order)) > 1
+            # of equal runs one goes on; of runs with one gram, two meet those of other blocks by the gram, the others by their bytes
+            among = np.arange(len(start)) - np.maximum.accumulate(np.where(new_name[start], np.arange(len(start)), 0))
+            stay, rest = order[start], np.sort(order[~new])
+            back = np.argsort(stay)
+            stay, several, by_bytes = stay[back], several[back], among[back] > 1
+            rows = []
+            if len(rest):
+                rows.append({"bucket": int(_deal(name[rest[:1]], buckets)[0]), **_documents(ids[rest], sums[rest]), "at": common.pack(at[rest]), "size": common.pack(size[rest])})
+            for b, some in _in_buckets(np.where(by_bytes, buckets + _deal(content[stay], buckets), _deal(name[stay], buckets))):
+                k = stay[some]
+                rows.append({
+                    "bucket": b, "names": name[k].tobytes(), "bytes": content[k].tobytes(), "twins": np.packbits(several[some]).tobytes(),
+                    **_documents(ids[k], sums[k]), "at": common.pack(at[k]), "size": common.pack(size[k]),
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -288,32 +307,33 @@ def open_regions(text: bytes, at: bytes, size: bytes, width: int) -> Iterator[tu
 def _refine_windows(width: int, gram: int, buckets: int):
     schema = _arrow(_RUNS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Windows with the mark of being known to repeat (1), or of having equals in their block (2), by bucket."""
         table, second, powers = letters(0), letters(1), Powers()
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             ids, sums, texts = _source(batch)
             regions = [(i, a, r) for i, (t, at, size) in enumerate(zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)) for a, r in open_regions(t, at, size, width)]
+            of, low = (np.array([r[k] for r in regions]) for k in (0, 1))
             for block in pieces([r for _, _, r in regions], width, BLOCK):
                 data, places, region, shift = block_arrays(block, width)
-                text = np.array([i for i, _, _ in regions])[region]
-                at = places + shift + np.array([a for _, a, _ in regions])[region]
                 names = Names(data, table, powers)
                 pointer = refine(names.all(gram), places, gram, width)
                 order = np.argsort(pointer, kind="stable")
                 new = np.diff(pointer[order], prepend=-1) != 0
-                start = np.flatnonzero(new)
-                several = np.diff(start, append=len(order)) > 1
-                stay, rest = order[start], np.sort(order[~new])
-                back = np.argsort(stay)
-                stay, several = stay[back], several[back]
-                name, bucket = names.at(places[stay], width), _deal(Names(data, second, powers).at(places[stay], width), buckets)
-                rows = []
-                if len(rest):
-                    rows.append({"bucket": int(bucket[0]), **_documents(text[rest], ids, sums), "at": common.pack(at[rest])})
-                for b, some in _in_buckets(bucket):
-                    k = stay[some]
-                    rows.append({"bucket": b, "names": name[some].tobytes(), "twins": np.packbits(several[some]).tobytes(), **_documents(text[k], ids, sums), "at": common.pack(at[k])})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                mark = np.ones(len(places), np.uint8)
+                mark[order[new]] = np.where(np.diff(np.flatnonzero(new), append=len(order)) > 1, 2, 0)
+                bucket = _deal(Names(data, second, powers).at(places, width), buckets)
+                yield ids[of[region]], sums[of[region]], places + shift + low[region], names.at(places, width), bucket, mark
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sums, at, name, bucket, mark in _held(parts(batches)):
+            rows, rest, stay = [], np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)
+            if len(rest):
+                rows.append({"bucket": int(bucket[0]), **_documents(ids[rest], sums[rest]), "at": common.pack(at[rest])})
+            for b, some in _in_buckets(bucket[stay]):
+                k = stay[some]
+                rows.append({"bucket": b, "names": name[k].tobytes(), "twins": np.packbits(mark[k] == 2).tobytes(), **_documents(ids[k], sums[k]), "at": common.pack(at[k])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -325,7 +345,7 @@ def _meet(shards: int):
     def run(group: pa.Table) -> pa.Table:
         found, met, names, twins = [], [], [], []
         for row in group.to_pylist():
-            arrays = _unpacked(row | {"size": b""})[:3]
+            arrays = _unpacked(row)[:3]
             if row["names"] is None:
                 found.append(arrays)
                 continue
@@ -355,10 +375,10 @@ def spans(at: np.ndarray, size: np.ndarray, width: int) -> list[tuple[int, int]]
     return list(zip(low[np.concatenate(([0], cut))].tolist(), high[np.concatenate((cut - 1, [len(high) - 1]))].tolist(), strict=True))
 
 
-def _cut(width: int, text_col: str):
+def _cut(width: int, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in binary(batch.column(batch.schema.get_field_index(text_col)))]
+        for batch in text_slices(batches, place):
+            texts = [t or b"" for t in binary(batch.column(place))]
             gone, kept = [], []
             for text, at, size in zip(texts, *(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
                 gone.append(spans(common.unpack(at), common.unpack(size), width))
@@ -396,4 +416,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     same = (F.coalesce(keyed[id_col].cast("long"), F.lit(NO_ID)) == lost[names[0]]) & (F.xxhash64(keyed[text_col].cast("string")) == lost[names[1]])
     joined = keyed.join(lost, same, "left").drop(*names[:2])
     schema = T.StructType([*keyed.schema.fields, *common.fields("n_bytes long, n_removed long, removed array<struct<from: long, to: long>>, kept binary")])
-    return joined.mapInArrow(_cut(width, text_col), schema)
+    return joined.mapInArrow(_cut(width, keyed.columns.index(text_col)), schema)

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Odd multipliers for polynomials modulo 2**64: of the hash, and of a second one.
@@ -91,6 +92,17 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes of the text column, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, most + (ends[first - 1] if first else 0), "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches with at most BLOCK_WORDS words, or one text, with the words of each text."""
     for batch in batches:
