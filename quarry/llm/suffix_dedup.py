@@ -393,27 +393,38 @@ def _cut(width: int, place: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_, sum_, at, size): for each document with repeats, the packed places of runs of windows that also start anywhere else."""
-    spark, gram = docs.sparkSession, max(1, width // 4)
-    source = docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("sum_"), F.col(text_col).cast("string").alias("text_"))
-    size = source.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
+def _repeated(numbered: DataFrame, width: int, id_col: str, text_col: str, sum_col: str) -> DataFrame:
+    spark, gram = numbered.sparkSession, max(1, width // 4)
+    own = [F.col(id_col).cast("long").alias("id_"), F.col(sum_col).alias("sum_"), F.col(text_col).cast("string").alias("text_")]
+    size = numbered.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets, tasks = (max(common.partitions(spark), -(-size // x)) for x in (BUCKET_BYTES, TASK_BYTES))
-    runs = source.mapInArrow(_deal_runs(width, gram, buckets), _RUNS)
+    runs = numbered.select(*own).mapInArrow(_deal_runs(width, gram, buckets), _RUNS)
     found = common.checkpoint(runs.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_settle(buckets, buckets), _FOUND))
-    still = found.groupBy("shard").applyInArrow(_gather(OPEN), _PLACES).toDF("open_id", "open_sum", "at", "size")
-    same = (F.coalesce(source["id_"], F.lit(NO_ID)) == still["open_id"]) & (source["sum_"] == still["open_sum"])
-    windows = source.join(still, same).select("id_", "sum_", "text_", "at", "size").mapInArrow(_refine_windows(width, gram, buckets), _RUNS)
+    names = common.free_names(numbered, "open_id_", "open_sum_", "open_at_", "open_size_")
+    still = found.groupBy("shard").applyInArrow(_gather(OPEN), _PLACES).toDF(*names)
+    # the same rows are joined again at the end, so Spark shuffles the texts once if they come without other columns
+    joined = numbered.join(still, _same(numbered, id_col, sum_col, still)).select(*own, *names[2:])
+    windows = joined.mapInArrow(_refine_windows(width, gram, buckets), _RUNS)
     met = windows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_meet(buckets), _FOUND)
     return found.unionAll(met).groupBy("shard").applyInArrow(_gather(SETTLED), _PLACES)
 
 
+def _same(numbered: DataFrame, id_col: str, sum_col: str, places: DataFrame) -> F.Column:
+    return (F.coalesce(numbered[id_col].cast("long"), F.lit(NO_ID)) == places[places.columns[0]]) & (numbered[sum_col] == places[places.columns[1]])
+
+
+def repeated_windows(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_, sum_, at, size): for each document with repeats, the packed places of runs of windows that also start anywhere else. sum_ is xxhash64 of its text."""
+    (sum_col,) = common.free_names(docs, "sum_")
+    return _repeated(docs.withColumn(sum_col, F.xxhash64(F.col(text_col).cast("string"))), width, id_col, text_col, sum_col)
+
+
 def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with n_bytes, n_removed, removed (array of byte intervals) and kept (the bytes that stay)."""
     keyed = docs.drop("n_bytes", "n_removed", "removed", "kept")
-    names = common.free_names(keyed, "lost_id_", "lost_sum_", "lost_at_", "lost_size_")
-    lost = repeated_windows(docs, width, id_col, text_col).toDF(*names)
-    same = (F.coalesce(keyed[id_col].cast("long"), F.lit(NO_ID)) == lost[names[0]]) & (F.xxhash64(keyed[text_col].cast("string")) == lost[names[1]])
-    joined = keyed.join(lost, same, "left").drop(*names[:2])
+    names = common.free_names(keyed, "sum_", "lost_id_", "lost_sum_", "lost_at_", "lost_size_")
+    numbered = keyed.withColumn(names[0], F.xxhash64(F.col(text_col).cast("string")))
+    lost = _repeated(numbered, width, id_col, text_col, names[0]).toDF(*names[1:])
+    joined = numbered.join(lost, _same(numbered, id_col, names[0], lost), "left").drop(*names[:3])
     schema = T.StructType([*keyed.schema.fields, *common.fields("n_bytes long, n_removed long, removed array<struct<from: long, to: long>>, kept binary")])
     return joined.mapInArrow(_cut(width, keyed.columns.index(text_col)), schema)
