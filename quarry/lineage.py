@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared folder. A name holds its latest version only; done() removes all of them.
+
+    A checkpoint keeps the estimated size of the plan it cuts, which a round of self-joins squares; a table that is read again has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", {}, 0
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{name}-{self.n}", self.n + 1
+        df.write.parquet(path)
+        if name in self.paths:
+            remove(self.spark, self.paths[name])
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote below the shared one, once its rows have been read or copied."""
     if not path.startswith(shared_dir(spark) + "/"):

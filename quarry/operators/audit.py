@@ -106,7 +106,8 @@ def progress_detail(taken: DataFrame, own: DataFrame, courses: DataFrame, needs:
 
 
 def pending_semesters(pending: DataFrame, needs: DataFrame) -> DataFrame:
-    """(student, semesters): the least number of semesters for a student's pending courses: the longest chain of prerequisites among them. Courses of a cycle count as none.
+    """(student, semesters): the least number of semesters for a student's pending courses: the longest chain of prerequisites among them. Courses of a cycle, and those behind one, count as none:
+    cycles.pending_cycles reports them, also for a student without a row here.
 
     pending: (student, course).
     """

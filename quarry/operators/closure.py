@@ -21,7 +21,7 @@ TOGETHER = 50
 def _pairs(edges: DataFrame, rounds: int | None, ends: DataFrame | None = None) -> DataFrame:
     """(src, dst, hops): all reachable pairs with their shortest distance, up to `rounds` hops; with ends (dst), only those that end there.
 
-    A round's pairs are new unless an earlier round found them. What was found stays where it is, by src and dst, and only meets the few new pairs there.
+    A round's pairs are new unless an earlier round found them; the pairs found so far are shuffled by src and dst to meet them, once a round.
     """
     base = checkpoint(edges.select("src", "dst").distinct())
     first = base if ends is None else base.join(ends.select("dst").distinct(), "dst", "left_semi").select("src", "dst")
@@ -105,13 +105,19 @@ def depths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return done if done is not None else todo.withColumn("depth", F.lit(0)).limit(0)
 
 
-def plan_layers(edges: DataFrame, targets: DataFrame, completed: DataFrame) -> DataFrame:
+def needed(edges: DataFrame, targets: DataFrame, completed: DataFrame) -> DataFrame:
+    """(target, course): each target and what it needs at any distance, without what is completed. targets: (target); completed: (course)."""
+    chain = ancestors(edges, nodes=targets.withColumnRenamed("target", "node")).select(F.col("node").alias("target"), F.col("ancestor").alias("course"))
+    return chain.unionAll(targets.select("target", F.col("target").alias("course"))).join(completed, "course", "left_anti").distinct()
+
+
+def plan_layers(edges: DataFrame, targets: DataFrame, completed: DataFrame, need: DataFrame | None = None) -> DataFrame:
     """(target, layer, course): what is still to be taken before a target, in the order of layers; the target is in the last.
 
-    targets: (target); completed: (course). A layer holds what only needs completed courses or earlier layers.
+    targets: (target); completed: (course); need: what needed() gave, if it was asked before. A layer holds what only needs completed courses or earlier layers, so
+    courses of a cycle and those behind one have none: cycles.plan_gaps reports them.
     """
-    chain = ancestors(edges, nodes=targets.withColumnRenamed("target", "node")).select(F.col("node").alias("target"), F.col("ancestor").alias("course"))
-    need = checkpoint(chain.unionAll(targets.select("target", F.col("target").alias("course"))).join(completed, "course", "left_anti").distinct())
+    need = checkpoint(needed(edges, targets, completed)) if need is None else need
     inner = need.join(edges.select("src", F.col("dst").alias("course")).distinct(), "course").join(
         need.select("target", F.col("course").alias("src")), ["target", "src"], "left_semi"
     )

@@ -72,3 +72,24 @@ def accumulate(events: DataFrame, item: Column, reset: Column) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     marked = events.withColumn("is_reset", reset).withColumn("epoch", F.sum(F.col("is_reset").cast("long")).over(order)).withColumn("item", item)
     return marked.where("NOT is_reset").groupBy("user_id", "epoch").agg(F.countDistinct("item").alias("items"))
+
+
+def session_state(turns: DataFrame, ttl: str = "24 hours") -> DataFrame:
+    """(key, started, ended, turns, entity, items): sessions of a key, where a turn later than ttl after the one before starts a new one; the last entity named, and the different items
+    since the last reset, its own included, in the order of their first mention. turns: (key, at, number, entity, item, reset), each known by its key and number: of repeated ones the earliest counts."""
+    some = turns.where("key IS NOT NULL AND number IS NOT NULL AND at IS NOT NULL").groupBy("key", "number").agg(F.min(F.struct("at", "entity", "item", F.coalesce("reset", F.lit(False)).alias("reset"))).alias("t"))
+    rows = some.select(F.col("key").cast("string").alias("key"), "number", "t.*")
+    order = Window.partitionBy("key").orderBy("at", "number")
+    far = F.col("at") > F.lag("at").over(order) + F.expr(f"INTERVAL {ttl}")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.withColumn("new", F.coalesce(far, F.lit(True)).cast("long")).withColumn("session", F.sum("new").over(sofar))
+    inside = Window.partitionBy("key", "session").orderBy("at", "number").rowsBetween(Window.unboundedPreceding, 0)
+    marked = cut.withColumn("epoch", F.sum(F.col("reset").cast("long")).over(inside))
+    place = F.struct("at", "number")
+    items = F.collect_list(F.when(F.col("item").isNotNull(), F.struct("epoch", "at", "number", "item")))
+    by = marked.groupBy("key", "session").agg(
+        F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("turns"), F.max("epoch").alias("last"),
+        F.max_by("entity", F.when(F.col("entity").isNotNull(), place)).alias("entity"), F.array_sort(items).alias("i"),
+    )
+    kept = F.array_distinct(F.transform(F.filter("i", lambda x: x["epoch"] == F.col("last")), lambda x: x["item"]))
+    return by.select("key", "started", "ended", "turns", "entity", kept.alias("items"))

@@ -21,6 +21,13 @@ def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.explode(F.expr("array_distinct(array(p_partkey div 2, p_partkey div 3))")).alias("src"), F.col("p_partkey").alias("dst"), "conf").where("src > 0")
 
 
+def entangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prerequisite edges (src, dst, conf) with wrongly entered ones: courses of size 1 and 2 also come before the course p div 8, and those of size 50 before themselves."""
+    part = table(spark, sf_dir, "part").where("p_size <= 2 AND p_partkey >= 8 OR p_size = 50")
+    wrong = part.selectExpr("p_partkey AS src", "if(p_size = 50, p_partkey, p_partkey div 8) AS dst", "1.0D AS conf")
+    return prerequisites(spark, sf_dir).unionAll(wrong)
+
+
 def teaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (teacher, course) pairs."""
     line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 30")
@@ -80,6 +87,9 @@ SQL_VIEWS = {
     "dag": """dag AS (
         SELECT p_partkey // 2 AS src, p_partkey AS dst, (p_size + 50) / 100.0::DOUBLE AS conf FROM part WHERE p_partkey // 2 > 0
         UNION ALL SELECT p_partkey // 3, p_partkey, (p_size + 50) / 100.0::DOUBLE FROM part WHERE p_partkey // 3 > 0 AND p_partkey // 3 <> p_partkey // 2)""",
+    "entangled": """entangled AS (
+        SELECT src, dst FROM dag UNION ALL SELECT p_partkey, CASE WHEN p_size = 50 THEN p_partkey ELSE p_partkey // 8 END FROM part
+        WHERE (p_size <= 2 AND p_partkey >= 8) OR p_size = 50)""",
     "teaches": "teaches AS (SELECT DISTINCT l_suppkey AS teacher, l_partkey AS course FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 30)",
     "courses": """courses AS (SELECT p_partkey AS course, p_name AS name, p_brand AS programme, p_type AS area,
         1 + p_size % 10 AS term, 2 + p_size % 5 AS credits FROM part)""",

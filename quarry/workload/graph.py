@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import text
-from quarry.operators import closure, graph, similarity, validation
+from quarry.operators import closure, cycles, graph, similarity, validation
 from quarry.tables import table, with_views
 
 STAR = (
@@ -111,6 +111,18 @@ def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.where("relation = 'TEACHES' AND conf < 1").select("src", "dst", "conf")
 
 
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closing path of each strongly connected component of the prerequisites with wrong edges."""
+    return cycles.closing_paths(tables.entangled(spark, sf_dir))
+
+
+def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the wrong edges keep from being planned, for every course of size 3 as target; courses of sizes divisible by 7 are completed."""
+    part = table(spark, sf_dir, "part")
+    targets = part.where("p_size = 3").selectExpr("p_partkey AS target")
+    return cycles.plan_gaps(tables.entangled(spark, sf_dir), targets, part.where("p_size % 7 = 0").selectExpr("p_partkey AS course"))
+
+
 def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.extraction_stats(tables.star_graph(spark, sf_dir)[1])
 
@@ -300,6 +312,25 @@ SELECT doc_id AS id, name, row_number() OVER (PARTITION BY doc_id ORDER BY lengt
     "relation_dedup": with_views("teaches")
     + """, f AS (SELECT l_suppkey AS t, l_partkey AS c, max(round(1 - l_discount, 2)) AS conf FROM lineitem GROUP BY ALL)
 SELECT 'TEACHER:' || t AS src, 'COURSE:' || c AS dst, conf FROM f WHERE conf < 1 AND NOT EXISTS (SELECT 1 FROM teaches WHERE teacher = t AND course = c)""",
+    "graph_cycles": with_views("dag", "entangled", recursive=True)
+    + """, walk AS (SELECT src, dst FROM entangled UNION SELECT w.src, e.dst FROM walk w JOIN entangled e ON w.dst = e.src),
+m AS (SELECT a.src AS node, min(a.dst) AS component FROM walk a JOIN walk b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+n AS (SELECT component, count(*) AS size FROM m GROUP BY component),
+s AS (SELECT e.src AS node, min(e.dst) AS next FROM entangled e JOIN m x ON x.node = e.src JOIN m y ON y.node = e.dst AND x.component = y.component GROUP BY e.src),
+f AS (SELECT node AS origin, next AS node FROM s UNION SELECT origin, next FROM f JOIN s USING (node)),
+r AS (SELECT component, min(origin) AS start FROM f JOIN m ON m.node = origin WHERE origin = f.node GROUP BY component),
+p AS (SELECT component, start, start AS node, 0 AS step FROM r UNION ALL SELECT component, start, next, step + 1 FROM p JOIN s USING (node) WHERE next <> start)
+SELECT component, size, count(*) OVER (PARTITION BY component) AS length, step::BIGINT AS step, node FROM p JOIN n USING (component)""",
+    "plan_gaps": with_views("dag", "entangled", recursive=True)
+    + """, done AS (SELECT p_partkey AS course FROM part WHERE p_size % 7 = 0),
+targets AS (SELECT p_partkey AS target FROM part WHERE p_size = 3),
+up AS (SELECT target, target AS course FROM targets UNION SELECT target, src FROM up JOIN entangled ON dst = course),
+need AS (SELECT * FROM up ANTI JOIN done USING (course)),
+e AS (SELECT DISTINCT x.target, src, dst FROM need x JOIN entangled ON dst = x.course JOIN need y ON y.target = x.target AND y.course = src),
+walk AS (SELECT target, src, dst FROM e UNION SELECT w.target, w.src, e.dst FROM walk w JOIN e ON e.target = w.target AND e.src = w.dst)
+SELECT target, course, CASE WHEN (target, course, course) IN (SELECT target, src, dst FROM walk) THEN 'cycle' ELSE 'behind' END AS reason
+FROM need WHERE EXISTS (SELECT 1 FROM walk a JOIN walk b ON a.target = b.target AND a.src = b.src AND b.src = b.dst
+  WHERE a.target = need.target AND (a.dst = need.course))""",
     "extraction_stats": STAR
     + """SELECT 'relation' AS measure, relation AS item, count(*) AS n, round(avg(conf), 6) AS mean_confidence FROM edges GROUP BY relation
 UNION ALL SELECT 'endpoint', split_part(node, ':', 1), count(*), round(avg(conf), 6) FROM (SELECT unnest([src, dst]) AS node, conf FROM edges) GROUP BY 2""",

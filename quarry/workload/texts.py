@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import dates, text
-from quarry.lineage import shared_dir
+from quarry.lineage import checkpoint, remove, shared_dir
 from quarry.operators import closure, names, repair, retrieval, routing, validation
 from quarry.sources import web
-from quarry.streaming import events
+from quarry.streaming import events, state
 from quarry.tables import table, with_views
 from quarry.workload import dialogue
 from quarry.workload.graph import KEY, REACH
@@ -149,6 +149,18 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select(F.col("w.start").alias("hour"), "event_type", "n")
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users that expire while all events are taken in as a stream: 24 hours after their last event, two hours of delay; a purchase empties the items."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+    turns = stream.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("number"), F.nullif("event_type", F.lit("view")).alias("entity"), F.get_json_object("props", "$.k").alias("item"), (F.col("event_type") == "purchase").alias("reset"))
+    state.use_store(spark)
+    events.run(state.sessions(turns), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    out = checkpoint(spark.read.schema(state.SESSIONS).parquet(f"{place}/out").withColumn("items", F.array_join("items", ",")))
+    remove(spark, place)
+    return out
+
+
 _SEMESTER = "(({0}) // 2) || '/' || (({0}) % 2 + 1)"
 _NUMBER = "(year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) <= 6 THEN 0 ELSE 1 END)"
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
@@ -214,6 +226,14 @@ m AS (SELECT query, doc_id AS doc, d.text FROM b JOIN documents d ON doc_id IN (
 SELECT query, doc, length(text)::INTEGER AS size FROM (FROM b UNION ALL FROM m)""",
     "compose_answers": """SELECT conv_id AS question, count(*) AS parts, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, min(length(text))::INTEGER AS confidence,
   arg_min(nullif(regexp_extract(text, '([A-Za-z]{10,})', 1), ''), turn) FILTER (regexp_matches(text, '[A-Za-z]{10,}')) AS artefact FROM conversations GROUP BY conv_id""",
+    "stream_sessions": """WITH o AS (SELECT user_id, ts, event_id, nullif(event_type, 'view') AS entity, json_extract_string(props, '$.k') AS item, (event_type = 'purchase')::INT AS reset,
+  coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 24 HOURS, true)::INT AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o),
+e AS (SELECT *, sum(reset) OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM s),
+m AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS turns, max(epoch) AS last,
+  arg_max(entity, (ts, event_id)) FILTER (entity IS NOT NULL) AS entity FROM e GROUP BY user_id, session HAVING max(ts) + INTERVAL 24 HOURS < (SELECT max(ts) - INTERVAL 2 HOURS FROM events)),
+i AS (SELECT user_id, session, item, min((ts, event_id)) AS place FROM e JOIN m USING (user_id, session) WHERE epoch = last AND item IS NOT NULL GROUP BY ALL)
+SELECT user_id::VARCHAR AS key, started, ended, turns, entity, coalesce((SELECT string_agg(item, ',' ORDER BY place) FROM i WHERE i.user_id = m.user_id AND i.session = m.session), '') AS items FROM m""",
     "stream_event_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
 }
 
