@@ -87,20 +87,22 @@ def find_similar(structure: DataFrame, vectors: DataFrame, n: int = 5, threshold
 def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float = 1.0, digits: int = 6, least: float = -1.0) -> DataFrame:
     """(id, other, score): the n others of each vector with the highest weight * cosine, up to `most`, rounded, and not below `least`; ties to the smaller id.
 
-    vectors: (id, v), an id a row; with position, only others of a smaller position count; with tied, an array of ids, pairs of which either
-    names the other don't. Every block of vectors meets every other one as packed rows, and n rows a vector and team of blocks leave a task, so
+    vectors: (id, v), an id a row; with position, only others of a smaller position count, where either has none (null) those of a smaller depth, if that column is there; with places, an array of
+    (programme, term), only others that orders.allowed() admits; with tied, an array of ids, pairs of which either names the other don't. Every block of vectors meets every other one as packed rows, and n rows a vector and team of blocks leave a task, so
     the work is that of all pairs, but the rows are not.
     """
-    ordered, bound = "position" in vectors.columns, "tied" in vectors.columns
+    ordered, bound, placed = ("position" in vectors.columns, "tied" in vectors.columns, "places" in vectors.columns)
     rows = vectors.where("id is not null and v is not null").select(
         F.col("id").cast("long").alias("id"),
         (F.col("position").cast("double") if ordered else F.lit(0.0)).alias("position"),
+        (F.coalesce(F.col("depth").cast("double"), F.lit(float("nan"))) if "depth" in vectors.columns else F.lit(float("nan"))).alias("depth"),
+        (F.coalesce("places", F.expr("array()")) if placed else F.expr("array()")).cast("array<struct<programme: string, term: double>>").alias("places"),
         (F.coalesce("tied", F.expr("array()")) if bound else F.expr("array()")).cast("array<long>").alias("tied"),
         F.col("v").cast("array<double>").alias("v"),
     )
     rows = checkpoint(rows)
     blocks = max(1, -(-rows.count() // BLOCK))
-    packed = checkpoint(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "position", "tied", "v")).alias("rows")))
+    packed = checkpoint(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "position", "depth", "places", "tied", "v")).alias("rows")))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asked = packed.select(F.col("block").alias("q"), each(-(-blocks // TEAM)).alias("team"), F.lit(True).alias("asked"), "rows")
     data = packed.select(each(blocks).alias("q"), F.expr(f"block div {TEAM}").cast("int").alias("team"), F.lit(False).alias("asked"), "rows")
@@ -117,17 +119,21 @@ def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float
 
 
 def _unpacked(packed: pa.ChunkedArray):
-    """(ids, positions, unit vectors, (rows, ids) of the ties), in the order of ids; None if there are none."""
+    """(ids, positions and depths, unit vectors, (rows, ids) of the ties, (rows, programmes, terms) of the known places), in the order of ids; None if there are none."""
     if not len(packed):
         return None
     rows = pa.concat_arrays([c.flatten() for c in packed.chunks])
     rows = rows.take(pc.sort_indices(rows.field("id")))
-    ids, positions = rows.field("id").to_numpy(), rows.field("position").to_numpy(zero_copy_only=False)
+    ids, positions = rows.field("id").to_numpy(), np.stack([rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("position", "depth")])
     v = np.nan_to_num(rows.field("v").flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)
     tied = rows.field("tied")
     owner = np.repeat(np.arange(len(ids)), tied.value_lengths().to_numpy())
-    return ids, positions, v / np.where(size > 0, size, 1), (owner, tied.flatten().to_numpy(zero_copy_only=False))
+    places = rows.field("places")
+    programmes, terms = places.flatten().field("programme"), places.flatten().field("term").to_numpy(zero_copy_only=False).astype(float)
+    known = ~np.isnan(terms) & programmes.is_valid().to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(ids)), places.value_lengths().to_numpy())[known], np.array(programmes.to_pylist(), object)[known], terms[known]
+    return ids, positions, v / np.where(size > 0, size, 1), (owner, tied.flatten().to_numpy(zero_copy_only=False)), at
 
 
 def _met(ties: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +144,28 @@ def _met(ties: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarr
     return owner[hit], place[hit]
 
 
+def _later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each of a comes after each of b: by position, or by depth where either has no position."""
+    (pa_, da), (pb, db) = a[:, :, None], b
+    return np.where(np.isnan(pa_) | np.isnan(pb), db < da, pb < pa_)
+
+
+def _admitted(a, b, part: slice, size: int) -> np.ndarray:
+    """Whether each of the `size` rows of b may come before each of that part of a, by the terms in programmes that both have."""
+    (rows, programmes, terms), (others, theirs, when) = a, b
+    less, comparable = (np.zeros((part.stop - part.start, size), bool) for _ in range(2))
+    for programme in set(programmes[np.searchsorted(rows, part.start) : np.searchsorted(rows, part.stop)]):
+        i = np.flatnonzero((programmes == programme) & (rows >= part.start) & (rows < part.stop))
+        j = np.flatnonzero(theirs == programme)
+        at = np.ix_(rows[i] - part.start, others[j])
+        comparable[at] = True
+        np.logical_or.at(less, (np.repeat(rows[i] - part.start, len(j)), np.tile(others[j], len(i))), (when[j] < terms[i, None]).ravel())
+    return less | ~comparable
+
+
 def _best_others(a, b, n: int, weight: float, most: float, digits: int, least: float, ordered: bool):
     """(ids, others, scores): the n best rows of b for each of a."""
-    (a_ids, a_positions, a_v, a_ties), (b_ids, b_positions, b_v, b_ties) = a, b
+    (a_ids, a_positions, a_v, a_ties, a_places), (b_ids, b_positions, b_v, b_ties, b_places) = a, b
     named, names = _met(a_ties, b_ids), _met(b_ties, a_ids)[::-1]
     barred = np.concatenate([named[0], names[0]]), np.concatenate([named[1], names[1]])
     order = np.argsort(barred[0], kind="stable")
@@ -151,7 +176,9 @@ def _best_others(a, b, n: int, weight: float, most: float, digits: int, least: f
         score = np.round(np.minimum(weight * (a_v[part] @ b_v.T), most), digits)
         score[(score < least) | (a_ids[part, None] == b_ids)] = -np.inf
         if ordered:
-            score[~(b_positions < a_positions[part, None])] = -np.inf
+            score[~_later(a_positions[:, part], b_positions)] = -np.inf
+        if len(a_places[0]) and len(b_places[0]):
+            score[~_admitted(a_places, b_places, part, len(b_ids))] = -np.inf
         low, high = np.searchsorted(barred[0], [part.start, part.stop])
         score[barred[0][low:high] - at, barred[1][low:high]] = -np.inf
         last = np.partition(score, -n, axis=1)[:, -n, None] if n < score.shape[1] else -np.inf
@@ -197,7 +224,7 @@ def name_jaccard(names: DataFrame, threshold: float = 0.5) -> DataFrame:
 def recommended_before(vectors: DataFrame, closure: DataFrame, order: DataFrame, threshold: float = 0.65, n: int = 3) -> DataFrame:
     """(course, rank, before, score): earlier, close in meaning, and not tied by prerequisites either way. Each course is compared with all others.
 
-    vectors: (id, v). closure: (node, ancestor). order: (id, position).
+    vectors: (id, v). closure: (node, ancestor). order: (id) with what nearest_others() goes by: position, and depth for pairs of which either has no position; or places.
     """
     tied = closure.groupBy(F.col("node").alias("id")).agg(F.collect_set("ancestor").alias("tied"))
     near = nearest_others(vectors.join(order, "id").join(tied, "id", "left"), n, most=0.99, digits=4, least=threshold)

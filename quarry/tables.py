@@ -40,6 +40,13 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(course, programme, term): every course is in the programme of its brand and in one of three larger ones; it is an elective, without a term, of the latter if its size is divisible by 7."""
+    part = table(spark, sf_dir, "part")
+    own = part.selectExpr("p_partkey AS course", "p_brand AS programme", "1 + p_size % 10 AS term")
+    return own.unionAll(part.selectExpr("p_partkey", "concat('core ', p_partkey % 3)", "if(p_size % 7 = 0, null, 1 + int(p_partkey % 8))"))
+
+
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(student, course, credits, grade, ordered): one row per order line."""
     line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey AS course", "l_quantity AS credits", "round(l_discount * 100, 1) AS grade")
@@ -93,6 +100,8 @@ SQL_VIEWS = {
     "teaches": "teaches AS (SELECT DISTINCT l_suppkey AS teacher, l_partkey AS course FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 30)",
     "courses": """courses AS (SELECT p_partkey AS course, p_name AS name, p_brand AS programme, p_type AS area,
         1 + p_size % 10 AS term, 2 + p_size % 5 AS credits FROM part)""",
+    "places": """places AS (SELECT p_partkey AS course, p_brand AS programme, 1 + p_size % 10 AS term FROM part
+        UNION ALL SELECT p_partkey, 'core ' || p_partkey % 3, CASE WHEN p_size % 7 <> 0 THEN 1 + p_partkey % 8 END FROM part)""",
     "transcript": """transcript AS (SELECT o_custkey AS student, l_partkey AS course, l_quantity AS credits, round(l_discount * 100, 1) AS grade,
         o_orderdate AS ordered FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 }

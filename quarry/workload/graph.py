@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import text
-from quarry.operators import closure, cycles, graph, similarity, validation
+from quarry.operators import closure, cycles, graph, orders, similarity, validation
 from quarry.tables import table, with_views
 
 STAR = (
@@ -208,6 +208,22 @@ def recommended_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.recommended_before(vectors, reach, order, threshold=0.3)
 
 
+def recommended_in_programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recommended_before, with the terms of several programmes a course: earlier in one that both are in, unless no such programme has terms for both."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
+    order = tables.places(spark, sf_dir).groupBy(F.col("course").alias("id")).agg(F.collect_list(F.struct("programme", F.col("term").cast("double").alias("term"))).alias("places"))
+    return similarity.recommended_before(vectors, closure.ancestors(tables.prerequisites(spark, sf_dir)), order, threshold=0.3)
+
+
+def base_of_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts are part types: every course requires and covers its own, more or less surely."""
+    part = table(spark, sf_dir, "part")
+    requires = part.selectExpr("p_partkey AS course", "p_type AS concept", "(50 + p_size) / 100.0D AS conf")
+    covers = part.selectExpr("p_partkey AS course", "p_type AS concept", "(40 + p_size) / 100.0D AS conf")
+    known = tables.courses(spark, sf_dir).select("course", "name", "term")
+    return orders.base_of_concepts(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir)), tables.places(spark, sf_dir), known)
+
+
 def base_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts are part types and brands: a course requires the type that its brand mate covers."""
     part = table(spark, sf_dir, "part")
@@ -391,6 +407,25 @@ near AS (
   FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id JOIN c cx ON cx.id = x.vec_id JOIN c cy ON cy.id = y.vec_id WHERE cx.term < cy.term AND score >= 0.3)
 SELECT b AS course, row_number() OVER (PARTITION BY b ORDER BY score DESC, a)::INTEGER AS rank, a AS before, score FROM near
 WHERE NOT EXISTS (SELECT 1 FROM reach WHERE src = a AND dst = b) AND NOT EXISTS (SELECT 1 FROM reach WHERE src = b AND dst = a) QUALIFY rank <= 3""",
+    "recommended_in_programmes": with_views("dag", "places", recursive=True)
+    + """, reach AS (SELECT src, dst FROM dag UNION SELECT r.src, d.dst FROM reach r JOIN dag d ON r.dst = d.src),
+near AS (
+  SELECT x.vec_id AS a, y.vec_id AS b, round(least(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 0.99), 4) AS score
+  FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE score >= 0.3 AND x.vec_id IN (SELECT p_partkey FROM part) AND y.vec_id IN (SELECT p_partkey FROM part)),
+met AS (SELECT a, b, bool_or(p.term < q.term) AS earlier FROM near JOIN places p ON p.course = a JOIN places q ON q.course = b AND q.programme = p.programme WHERE p.term IS NOT NULL AND q.term IS NOT NULL GROUP BY a, b)
+SELECT b AS course, row_number() OVER (PARTITION BY b ORDER BY score DESC, a)::INTEGER AS rank, a AS before, score FROM near LEFT JOIN met USING (a, b)
+WHERE earlier IS DISTINCT FROM false AND NOT EXISTS (SELECT 1 FROM reach WHERE src = a AND dst = b) AND NOT EXISTS (SELECT 1 FROM reach WHERE src = b AND dst = a) QUALIFY rank <= 3""",
+    "base_of_concepts": with_views("dag", "places", "courses", recursive=True)
+    + """, reach AS (SELECT src, dst FROM dag UNION SELECT r.src, d.dst FROM reach r JOIN dag d ON r.dst = d.src),
+need AS (SELECT p_partkey AS course, p_type AS concept, (50 + p_size) / 100.0::DOUBLE AS need FROM part r
+  WHERE NOT EXISTS (SELECT 1 FROM reach JOIN part a ON a.p_partkey = src WHERE dst = r.p_partkey AND a.p_type = r.p_type)),
+cand AS (SELECT n.course, concept, need, c.p_partkey AS base, (40 + c.p_size) / 100.0::DOUBLE AS give FROM need n JOIN part c ON c.p_type = concept AND c.p_partkey <> n.course),
+met AS (SELECT c.course, base, bool_or(p.term < q.term) AS earlier FROM cand c JOIN places p ON p.course = base JOIN places q ON q.course = c.course AND q.programme = p.programme
+  WHERE p.term IS NOT NULL AND q.term IS NOT NULL GROUP BY ALL),
+best AS (SELECT c.*, name FROM cand c LEFT JOIN met m ON m.course = c.course AND m.base = c.base JOIN courses k ON k.course = c.base WHERE earlier IS DISTINCT FROM false
+  QUALIFY row_number() OVER (PARTITION BY c.course, concept ORDER BY give DESC, k.term, name, c.base) = 1),
+m AS (SELECT course, base, name, max(least(need, give)) AS confidence, string_agg(DISTINCT concept, ',' ORDER BY concept) AS concepts FROM best GROUP BY ALL)
+SELECT course, row_number() OVER (PARTITION BY course ORDER BY confidence DESC, name, base)::INTEGER AS rank, base, confidence, concepts FROM m QUALIFY rank <= 6""",
     "base_recommended": REACH
     + """, f AS (
   SELECT r.p_partkey AS course, c.p_partkey AS base, r.p_type AS concept, least((50 + r.p_size) / 100.0::DOUBLE, (40 + c.p_size) / 100.0::DOUBLE) AS confidence
