@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ ROWS = 64
 #: Bytes of texts that are aligned at once, and slices whose pairs and links of a stripe meet in one group.
 SLICE_BYTES, PART_SLICES = 6 << 20, 512
 #: Units that a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 500_000
 #: Single spaces that both tokenizers cut at.
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 
@@ -60,8 +61,26 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind=np.int64):
+        self.n, self.data = 0, np.empty(1024, kind)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            more = np.empty(max(2 * len(self.data), self.n + len(values)), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Aligner:
-    """Tokens of both tokenizers, met at their common ends, for units of text; units are remembered up to a bound."""
+    """Tokens of both tokenizers, met at their common ends, for units of text; units are remembered up to a bound.
+
+    Of each unit: its groups as written, numbers of A ids, B ids, groups and links (all 0 and '' where the tokens' bytes differ from a space and the unit), and where its links are among all.
+    """
 
     def __init__(self, a: str, b: str, bound: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,55 +95,80 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.number: dict[str, int] = {}
-        self.units: list[tuple] = []
+        self.size = max(size, len(pieces))
+        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.texts = {}, []
+        self.counts, self.first, self.pairs = Grown(), Grown(), Grown()
 
     def groups(self, unit: str) -> list[tuple[list[int], list[int]]] | None:
         """Groups of A and B ids of a space and the unit; None where the bytes of their tokens differ from that."""
-        return self._groups(unit, self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit))
-
-    def _groups(self, unit: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        whole = b" " + unit.encode()
+        a, b, whole = self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit), b" " + unit.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        out, i, j, left, right = [], 0, 0, 0, 0
-        while i < len(a):
-            at, to, left, right = i, j, left + len(self.a_bytes[a[i]]), right + len(self.b_bytes[b[j]])
-            i, j = i + 1, j + 1
-            while left != right:
-                if left < right:
-                    left, i = left + len(self.a_bytes[a[i]]), i + 1
-                else:
-                    right, j = right + len(self.b_bytes[b[j]]), j + 1
-            out.append((a[at:i], b[to:j]))
-        return out
+        (groups_a, groups_b), _ = self._met(*(np.array(x, np.int64) for x in (a, b)))
+        return [([a[k] for k in np.flatnonzero(groups_a == g)], [b[k] for k in np.flatnonzero(groups_b == g)]) for g in range(groups_a[-1] + 1)]
 
     def parts(self, text: str) -> list[str]:
         return CUT.split(text) if self.cuts else [text]
 
+    def _met(self, a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The group of each A and B token of one stretch of bytes, and the ends of the groups: where tokens of both end."""
+        ends = [np.cumsum(np.array([len(x) for x in table])[ids]) for table, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        both = np.intersect1d(*ends, assume_unique=True)
+        return tuple(np.searchsorted(both, e) for e in ends), both
+
     def learn(self, units: set[str]) -> None:
-        """Align units that aren't known. A unit becomes (written groups or None, numbers of A ids, B ids, groups and links, pairs, times each is linked)."""
+        """Align units that aren't known."""
         new = sorted(units - self.number.keys())
         if len(self.number) + len(new) > self.bound:
-            self.number.clear()
-            self.units.clear()
+            self._forget()
             new = sorted(units)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            coded = self.a.encode_batch([" " + u for u in some], add_special_tokens=False)
-            for unit, x, y in zip(some, coded, self.b.encode(some), strict=True):
-                found = self._groups(unit, x.ids, y)
-                self.number[unit] = len(self.units)
-                if found is None:
-                    self.units.append((None, 0, 0, 0, 0, b"", b""))
-                    continue
-                linked = [a << 32 | b for left, right in found for a in left for b in right]
-                pairs, times = np.unique(np.array(linked, np.int64), return_counts=True)
-                self.units.append((written(found), len(x.ids), len(y), len(found), len(linked), pairs.tobytes(), times.astype(np.int64).tobytes()))
-
-
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
+
+    def _learn(self, units: list[str]) -> None:
+        ids = [[x.ids for x in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)], self.b.encode(units)]
+        wholes = [b" " + u.encode() for u in units]
+        sound = np.ones(len(units), bool)
+        for side, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
+            joined = b"".join(map(table.__getitem__, chain.from_iterable(side)))
+            if joined != b"".join(wholes):
+                sound &= np.array([b"".join(map(table.__getitem__, own)) == whole for own, whole in zip(side, wholes, strict=True)])
+        flat, of = [], []
+        for side in ids:
+            kept = [own if ok else [] for own, ok in zip(side, sound, strict=True)]
+            sizes = np.fromiter(map(len, kept), np.int64, len(kept))
+            flat.append(np.fromiter(chain.from_iterable(kept), np.int64, int(sizes.sum())))
+            of.append(np.repeat(np.arange(len(units)), sizes))
+        (a, b), (of_a, of_b) = flat, of
+        (group_a, group_b), ends = self._met(a, b)
+        n_a, n_b = (np.bincount(g, minlength=len(ends)) for g in (group_a, group_b))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        unit = of_a[first_a] if len(ends) else of_a
+        # the groups as they are written: ids of A, then of B, each with what follows it
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        side, group, written = (np.concatenate(x)[order] for x in ((np.zeros(len(a), np.int64), np.ones(len(b), np.int64)), (group_a, group_b), (a, b)))
+        last = np.diff(2 * group + side, append=-1) != 0
+        mark = np.where(last, side + 1, 0)
+        parts = [self.written[k] for k in (mark * self.size + written).tolist()]
+        until = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        tokens = np.cumsum(np.bincount(of_a, minlength=len(units)) + np.bincount(of_b, minlength=len(units)))
+        text, stops = "".join(parts), np.concatenate(([0], until))[tokens].tolist()
+        texts = [text[i : j - 1] if j > i else "" for i, j in zip([0, *stops], stops, strict=False)]
+        # all A tokens of a group with all its B tokens
+        n_links = n_a * n_b
+        of_link, k = np.repeat(np.arange(len(ends)), n_links), _expanded(n_links, np.zeros(len(ends), np.int64))
+        linked = a[first_a[of_link] + k // n_b[of_link]] << 32 | b[first_b[of_link] + k % n_b[of_link]]
+        links = np.bincount(unit, n_links, len(units)).astype(np.int64)
+        self.first.add(self.pairs.n + np.cumsum(links) - links)
+        self.pairs.add(linked)
+        sums = [np.bincount(x, minlength=len(units)) for x in (of_a, of_b, unit)]
+        self.counts.add(np.stack([*sums, links], axis=1).ravel())
+        self.number.update(zip(units, range(len(self.texts), len(self.texts) + len(units)), strict=True))
+        self.texts += texts
 
 
 @cache
@@ -142,31 +186,35 @@ def slice_rows(known: Aligner, texts: list[str | None], ids: list[int | None], n
     """The rows of one slice: its documents, and the pairs of each stripe, in order, with documents and links of each."""
     parts = [known.parts(t) if t else [] for t in texts]
     known.learn(set().union(*parts))
-    units = [np.fromiter(map(known.number.__getitem__, p), np.int64, len(p)) for p in parts]
-    of = known.units
-    units = [u if all(of[k][0] is not None for k in set(u.tolist())) else u[:0] for u in units]
-    digests = b"".join(sha256(";".join([of[k][0] for k in u.tolist()]).encode()).digest() if len(u) else bytes(32) for u in units)
-    used, each = np.unique(np.concatenate([*units, np.empty(0, np.int64)]), return_inverse=True)
-    doc = np.repeat(np.arange(len(units)), list(map(len, units)))
-    counts = np.array([of[k][1:5] for k in used.tolist()], np.int64).reshape(-1, 4)
-    sizes = np.zeros((len(units), 4), np.int64)
-    np.add.at(sizes, doc, counts[each])
-    rows = [{"slice": number, "stripe": -1, "ids": ids, "sizes": common.pack(sizes.ravel()), "digests": digests}]
-    if not len(used):
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    unit = np.fromiter(map(known.number.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
+    del parts
+    doc, all_counts = np.repeat(np.arange(len(texts)), lengths), known.counts.data[: known.counts.n].reshape(-1, 4)
+    broken = np.zeros(len(texts), bool)
+    broken[doc[all_counts[unit, 0] == 0]] = True
+    doc, unit = doc[~broken[doc]], unit[~broken[doc]]
+    stops = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+    each, digests = unit.tolist(), []
+    for i, j in zip([0, *stops], stops, strict=False):
+        digests.append(sha256(";".join([known.texts[k] for k in each[i:j]]).encode()).digest() if j > i else bytes(32))
+    sizes = np.stack([np.bincount(doc, all_counts[unit, k], len(texts)).astype(np.int64) for k in range(4)], axis=1)
+    rows = [{"slice": number, "stripe": -1, "ids": ids, "sizes": common.pack(sizes.ravel()), "digests": b"".join(digests)}]
+    if not len(unit):
         return rows
     # each distinct unit of a document, with the number of times
+    used, each = np.unique(unit, return_inverse=True)
     once, times = np.unique(doc * len(used) + each, return_counts=True)
     doc, unit = np.divmod(once, len(used))
-    flat, linked = (np.frombuffer(b"".join(of[k][c] for k in used.tolist()), np.int64) for c in (5, 6))
-    lengths = np.array([len(of[k][5]) // 8 for k in used.tolist()], np.int64)
-    place = _expanded(lengths[unit], (np.cumsum(lengths) - lengths)[unit])
+    linked = all_counts[used, 3]
+    flat = known.pairs.data[_expanded(linked, known.first.data[used])]
+    place = _expanded(linked[unit], (np.cumsum(linked) - linked)[unit])
     # pairs by stripe, then by ids
     pairs, numbered = np.unique((flat >> 32) % STRIPES << 57 | flat, return_inverse=True)
-    key = numbered[place] * len(texts) + np.repeat(doc, lengths[unit])
+    key = numbered[place] * len(texts) + np.repeat(doc, linked[unit])
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    links = np.add.reduceat((linked[place] * np.repeat(times, lengths[unit]))[order], first)
+    links = np.add.reduceat(np.repeat(times, linked[unit])[order], first)
     pair, doc = np.divmod(key[first], len(texts))
     n_docs = np.bincount(pair, minlength=len(pairs))
     a, b, stripe = pairs >> 32 & (1 << 25) - 1, pairs & (1 << 32) - 1, pairs >> 57
