@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
-from quarry.lineage import checkpoint
+from quarry.functions import text, urls
+from quarry.lineage import Rounds, checkpoint
 
 
 def sections(pages: DataFrame, tag: str = "h[23]", least: int = 80, size: int = 6000, most: int = 60) -> DataFrame:
@@ -36,6 +36,35 @@ def crawl_order(links: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame
     return found
 
 
+def crawl(pages: DataFrame, seeds: DataFrame, most: int = 400, depth: int = 3, **scope) -> DataFrame:
+    """(url, depth, at): the first `most` pages of a breadth-first crawl, in the order in which a queue would fetch them.
+
+    pages: (url, html), what can be fetched, by canonical URL; seeds: (url, at), by their order. A page is asked for once, at its first place: of pages of one depth in the order of the pages that link
+    to them, then of the links there. What isn't among the pages counts for nothing. Links are read of fetched pages only, and each round holds no more pages than are still to be fetched.
+    """
+    rounds = Rounds(pages.sparkSession)
+    known = pages.where("url IS NOT NULL").dropDuplicates(["url"])
+    start = seeds.select(urls.canonical("url", **scope).alias("url"), F.lit(0).cast("long").alias("by"), F.col("at").cast("long").alias("place"))
+    found, n, wanted = None, 0, start.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("by", "place")).alias("place"))
+    for d in range(depth + 1):
+        if found is not None:
+            wanted = wanted.join(found.select("url"), "url", "left_anti")
+        fetched = wanted.join(known.select("url"), "url", "left_semi").orderBy("place", "url").limit(most - n)
+        # at most as many rows as may still be fetched
+        numbered = fetched.select("url", F.lit(d).alias("depth"), (F.row_number().over(Window.orderBy("place", "url")) + n).cast("long").alias("at"))
+        new = rounds.keep(f"depth{d}", numbered)
+        found = new if found is None else found.unionAll(new)
+        count = new.count()
+        n += count
+        if not count or n >= most or d == depth:
+            break
+        out = known.join(new, "url").select("at", F.posexplode(urls.links("html", "url", **scope)).alias("i", "url"))
+        wanted = rounds.keep(f"wanted{d}", out.groupBy("url").agg(F.min(F.struct(F.col("at").alias("by"), F.col("i").cast("long").alias("place"))).alias("place")))
+    out = checkpoint(found)
+    rounds.done()
+    return out
+
+
 def section_label(url: Column | str) -> Column:
     """The second part of a path, else the first part of the host."""
     second = F.get(F.split(F.parse_url(text.col(url), F.lit("PATH")), "/"), F.lit(2))

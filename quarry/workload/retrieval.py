@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.lineage import checkpoint, remove, shared_dir
 from quarry.operators import retrieval
+from quarry.sources.vectors import VectorStore
 from quarry.tables import table
 from quarry.workload.graph import KEY
 
@@ -152,6 +157,22 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain).alias("size"), F.md5(plain).alias("digest"))
 
 
+def vector_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of a store's versions: built, built again for another signature, and brought in step with changed and deleted documents; vectors are stand-ins of two numbers."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    store = VectorStore(spark, path)
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS source", "text")
+    later = docs.where("source % 10 <> 1").withColumn("text", F.expr("if(source % 10 = 0, concat(text, '!'), text)"))
+    cut = lambda rows: retrieval.chunks(rows, id_col="source").withColumnRenamed("doc_id", "source")
+    embed = lambda scale: lambda rows: rows.withColumn("embedding", F.array(F.length("text") * scale, F.col("chunk")))
+    for rows, scale in ((docs, 1), (docs, 2), (later, 2), (later, 2)):
+        store.sync(rows, cut, embed(scale), f"scale {scale}", 2)
+    kept = [store.read(v).select(F.lit(v).alias("version"), "source", "chunk", "total", F.md5("text").alias("digest"), F.col("embedding")[0].cast("double").alias("first"), "born") for v in store.versions()]
+    out = checkpoint(functools.reduce(DataFrame.unionAll, kept))
+    remove(spark, path)
+    return out
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(text.html_links("html")).alias("link"))
 
@@ -241,6 +262,11 @@ f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM
 t AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank, doc, score FROM f QUALIFY rank <= 20)
 SELECT *, round((count(*) OVER (PARTITION BY query) - rank + 1) / count(*) OVER (PARTITION BY query), 6) AS position_score FROM t""",
     "chunk_documents": f"SELECT doc_id, chunk, total, length(text)::INTEGER AS size, md5(text) AS digest FROM {_CHUNKS.format('documents')}",
+    "vector_store_versions": f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
+a AS (SELECT * FROM {_CHUNKS.format("documents")}), b AS (SELECT * FROM {_CHUNKS.format("later")})
+SELECT 1 AS version, doc_id::VARCHAR AS source, chunk, total, md5(text) AS digest, length(text)::DOUBLE AS first, 1 AS born FROM a
+UNION ALL SELECT 2, doc_id::VARCHAR, chunk, total, md5(text), 2 * length(text), 2 FROM a
+UNION ALL SELECT 3, doc_id::VARCHAR, chunk, total, md5(text), 2 * length(text), CASE WHEN doc_id % 10 = 0 THEN 3 ELSE 2 END FROM b""",
     "corpus_diff": """SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'deleted' WHEN 4 THEN 'modified' ELSE 'same' END AS change FROM documents
 UNION ALL SELECT doc_id + 10000000, 'new' FROM documents WHERE doc_id % 10 = 5""",
     "incremental_sync": f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN text || ' more' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import tables
-from quarry.functions import dates, text
+from quarry.functions import dates, text, urls
 from quarry.lineage import checkpoint, remove, shared_dir
 from quarry.operators import closure, names, repair, retrieval, routing, validation
 from quarry.sources import web
@@ -82,6 +82,27 @@ def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl_order(links, spark.range(10).selectExpr("cast(id AS string) AS url"), 3)
 
 
+#: References of many kinds, added to each page's own.
+REFERENCES = ("../up/{0}?x=1", "./a/../b/", "c/./d/.", "/r/../../s/{0}/", "//Other.example.org/p/../q", "?only=query", "../../../far/..", "mailto:a@example.org", "t/{0}.pdf", "u;v=1/../w")
+
+
+def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links of every page lead to, and ten more references on it: canonical, without documents of other kinds."""
+    added = F.concat(*(F.concat(F.lit(f'<a href="{before}'), (F.col("page_id").cast("string") if more else F.lit("")), F.lit(f'{after}">')) for r in REFERENCES for before, more, after in [r.partition("{0}")]))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", added).alias("html"))
+    return pages.select("page_id", F.explode(urls.links("html", "url", skip_end=r"\.(?:pdf|zip)")).alias("target"))
+
+
+def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 150 pages of a site whose pages link to two others each, by relative references, from ten seeds."""
+    page = "https://site.example/d/{}"
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        f"concat('{page.format('')}', page_id) AS url", """concat(html, '<a href="../d/', page_id * 2 + 1, '?x=1">', '<a href="', page_id * 3 + 2, '">', '<a href="/d/', page_id div 2, '/">') AS html"""
+    )
+    seeds = table(spark, sf_dir, "pages").where("page_id < 10").selectExpr(f"concat('{page.format('')}', page_id) AS url", "-page_id AS at")
+    return web.crawl(pages, seeds, 150, 3, scopes=(("site.example", "/d/"),))
+
+
 def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.section_label("url").alias("label"))
 
@@ -193,6 +214,27 @@ SELECT doc_id, (CASE WHEN has THEN length(text) - l - 2 ELSE length(text) END)::
     "crawl_depth": """WITH RECURSIVE c AS (SELECT i AS page, 0 AS depth FROM range(10) t(i)
   UNION SELECT unnest([page_id * 2 + 1, page_id * 3 + 2]), depth + 1 FROM c JOIN pages ON page_id = page WHERE depth < 3)
 SELECT page::VARCHAR AS url, min(depth)::INTEGER AS depth FROM c GROUP BY page""",
+    "page_targets": """WITH RECURSIVE p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+  html || """
+    + " || ".join("'<a href=\"" + r.replace("{0}", "' || page_id || '") + "\">'" for r in REFERENCES)
+    + """ AS html FROM pages),
+h AS (SELECT page_id, host, path, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']([^"''#][^"'']*)', 1)) AS href FROM p),
+q AS (SELECT page_id, host, path, href, regexp_extract(href, '^[^?#]*') AS r FROM h WHERE NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:')),
+m AS (SELECT DISTINCT page_id, href, CASE WHEN starts_with(r, '//') THEN lower(regexp_extract(r, '^//([^/]*)', 1)) ELSE host END AS host,
+  CASE WHEN starts_with(r, '//') THEN regexp_replace(r, '^//[^/]*', '') WHEN starts_with(r, '/') THEN r WHEN r = '' THEN path ELSE regexp_extract(path, '^(.*/)?') || r END AS path FROM q),
+d AS (SELECT page_id, host, CASE WHEN regexp_matches(path, '/\\.\\.?$') THEN path || '/' ELSE path END AS path, 0 AS step FROM m
+  UNION SELECT page_id, host, CASE WHEN regexp_matches(path, '/\\./') THEN regexp_replace(path, '/\\./', '/') WHEN regexp_matches(path, '^/\\.\\./') THEN regexp_replace(path, '^/\\.\\./', '/')
+    ELSE regexp_replace(path, '/[^/]+/\\.\\./', '/') END, step + 1 FROM d WHERE regexp_matches(path, '/\\.\\.?/'))
+SELECT DISTINCT page_id, 'https://' || host || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS target FROM d
+WHERE NOT regexp_matches(path, '/\\.\\.?/') AND NOT regexp_matches(path, '(?i)\\.(pdf|zip)$')""",
+    "crawl_capped": """WITH f0 AS (SELECT page_id, 0 AS depth, row_number() OVER (ORDER BY page_id DESC) AS "at" FROM pages WHERE page_id < 10 QUALIFY "at" <= 150), """
+    + ", ".join(
+        f"""w{d} AS (SELECT link AS page_id, min(("at", i)) AS place FROM (SELECT "at", unnest([page_id * 2 + 1, page_id * 3 + 2, page_id // 2]) AS link, unnest([0, 1, 2]) AS i FROM f{d - 1} WHERE depth = {d - 1}) GROUP BY link),
+f{d} AS (FROM f{d - 1} UNION ALL SELECT page_id, {d}, (SELECT count(*) FROM f{d - 1}) + row_number() OVER (ORDER BY place) AS "at" FROM w{d}
+  WHERE page_id IN (SELECT page_id FROM pages) AND page_id NOT IN (SELECT page_id FROM f{d - 1}) QUALIFY "at" <= 150)"""
+        for d in (1, 2, 3)
+    )
+    + """ SELECT 'https://site.example/d/' || page_id AS url, depth::INTEGER AS depth, "at" FROM f3""",
     "section_labels": """WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS p, regexp_extract(url, '^[a-z]+://([^/?#:.]+)', 1) AS h FROM pages)
 SELECT page_id, coalesce(nullif(p[3], ''), h) AS label FROM p""",
     "topic_mentions": "SELECT doc_id, substr(text, 1, 200) AS preview FROM documents WHERE contains(lower(text), 'license')",
