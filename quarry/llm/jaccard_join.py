@@ -6,7 +6,7 @@ at least 0.8. The steps:
 1. Each document gets a fingerprint of its set, its size and 128 MinHash values. Documents of equal
    sets are one node, with a multiplicity, so exact copies never meet pairwise.
 2. Nodes that agree on a band of 4 MinHash values are candidates of each other; 32 bands find a pair of
-   similarity 0.8 but for a chance of (1 - 0.8**4)**32 = 5e-8. The nodes of a bucket meet in one task, with a byte of each MinHash value, or
+   similarity 0.8 but for a chance of (1 - 0.8**4)**32 = 5e-8. Lower thresholds get narrower bands, so that this chance stays below 1e-6. The nodes of a bucket meet in one task, with a byte of each MinHash value, or
    in pairs of blocks of BUCKET nodes. There, matches are counted CHUNK by CHUNK, and a
    pair is dropped once the posterior probability, under a uniform prior, that its similarity reaches the
    threshold falls below `tolerance`. (Bytes may match where values don't, which only keeps more pairs.) Of the rest, links enough to
@@ -39,14 +39,23 @@ from .components import components
 from .wordhash import Powers, WordHashes, blocks, window_hashes, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-HASHES, ROWS, CHUNK = 128, 4, 32
-BANDS = HASHES // ROWS
+HASHES, CHUNK = 128, 32
+#: Values of a band, most selective first, and the most that the chance to miss a pair at the threshold may be.
+ROWS, MISSED = (4, 2, 1), 1e-6
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Nodes of a block of a bucket, and of groups that are compared one by one; smaller groups are compared together.
 BUCKET, TOGETHER = 1024, 32
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def band_rows(threshold: float) -> int:
+    """MinHash values of a band: as many as let a pair at the threshold be missed with a chance of MISSED at most. Below 0.103 no banding of HASHES values does."""
+    for rows in ROWS:
+        if (1 - threshold**rows) ** (HASHES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"a threshold of {threshold} is below what {HASHES} MinHash values can find")
+
+
 @cache
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """After n compared MinHash values: the fewest matches with P(similarity >= threshold) >= tolerance.
@@ -335,10 +344,12 @@ def similarity_groups(
         one.where("id is not null and f1 is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     )
     nodes = classes.join(sketched.withColumnRenamed("id", "node"), ["node", "f1", "f2", "n"]).select("node", "n", "f1", "copies", "sig", "low")
+    width_of_band = 4 * band_rows(threshold)
     bands = nodes.select(
-        "node", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})))")).alias("key")
+        "node", F.explode(F.expr(f"transform(sequence(0, {4 * HASHES // width_of_band - 1}), b -> xxhash64(b, substring(sig, b * {width_of_band} + 1, {width_of_band})))")).alias("key")
     )
-    shared = bands.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
+    # written out, so that Spark can split the nodes of a bucket that a third of them share when they meet it
+    shared = common.checkpoint(bands.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members"))
     mates = bands.join(shared, "key").join(nodes.select("node", F.col("low").alias("bytes")), "node")
     dealt = mates.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = dealt.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "bytes")
@@ -346,7 +357,9 @@ def similarity_groups(
     clusters = components(common.checkpoint(links.distinct())).withColumnRenamed("root", "cluster")
     member = common.checkpoint(clusters.join(nodes, "node"))
     sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = common.checkpoint(sizes.where("blocks > 1").toDF("large", "blocks"))
+    met = common.join_lookup(member, large, member["cluster"] == large["large"], F.xxhash64(member["node"])).withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
+    dealt = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = source.join(member.select(F.col("node").alias("id")), "id")
     sets = texts.mapInArrow(_shingles(width), "node long, f1 long, shingles binary")
     paired = (

@@ -12,12 +12,12 @@ of documents so that it lets some SPARE times as many through, are ranked. Train
 only; prediction sees text only.
 
 Defined results: `und` with score 0 for a null text, one without any letter, or if there is nothing to learn from; repeated rows get equal predictions and are learned from
-once; of equally likely languages the first by name; an empty table stays empty. Columns lang_pred and score are replaced, all others pass, whatever their name.
+once; of equally likely languages the first by name; an empty table stays empty; texts of any length are cut into windows whole, AT_ONCE of which are
+scored together. The driver holds the sample: PER_LANGUAGE * WINDOWS_EACH windows of WINDOW bytes, 1 MB a language. Columns lang_pred and score are replaced, all others pass, whatever their name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,11 @@ WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 PER_LANGUAGE, WINDOWS_EACH, SPARE = 2000, 4, 1.5
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 AT_ONCE = 256
-LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's categories L is there; numbers such as ² or ½ aren't letters."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(text: bytes) -> np.ndarray:
@@ -155,7 +159,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     languages = sorted(set(langs))
     x = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(len(langs), WINDOW)
     y = np.searchsorted(np.array(languages), np.array(langs))
-    order = np.lexsort([*x.T[:8], y])  # the same order however tasks were dealt
+    order = np.lexsort([*x.T[::-1], y])  # by label and the whole window: the same order however tasks were dealt
     network = Network.new(languages, seed)
     network.train(x[order], y[order], seed)
     return network
@@ -166,7 +170,7 @@ def _predict(network: Network | None, text_col: str):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
             predicted, scores = ["und"] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t and network and LETTER(t)]
+            some = [i for i, t in enumerate(texts) if t and network and has_letter(t)]
             for at in range(0, len(some), 64):
                 part = some[at : at + 64]
                 windows = [windows_of(texts[i].encode().lower()) for i in part]

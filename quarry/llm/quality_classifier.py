@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,8 @@ from quarry.lineage import remove
 from . import common
 from .wordhash import binary
 
-LABELLED = 20_000
+#: Most labelled rows that are fitted, and most features of them all: 80 MB on the driver.
+LABELLED, FITTED = 20_000, 20_000_000
 ROUNDS, SHARE, SURE = 3, 0.1, 0.9
 HASHED = 1 << 18
 #: Bytes of text whose features a task holds at once, or one text; words whose feature numbers it remembers.
@@ -324,8 +325,8 @@ def _pool(features: DataFrame, labelled: DataFrame) -> Callable[[Wanted], list[G
     return choose
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, seed: int = 3) -> CoTrained:
-    """Co-train on at most `labelled` rows with labels, and on those of all rows without that the views are sure of.
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, seed: int = 3, fitted: int = FITTED) -> CoTrained:
+    """Co-train on at most `labelled` rows with labels, in the order of a hash as far as they have `fitted` features together, and on those of all rows without that the views are sure of.
 
     Texts are read once: their features, 4 bytes a distinct word, are written to the shared folder, where the rounds read them, and removed at the end.
     """
@@ -342,7 +343,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     try:
         source.select("doc_id", "number", *USED).mapInArrow(_featurize, "doc_id long, number long, text binary, meta binary").write.parquet(path)
         features = docs.sparkSession.read.parquet(path)
-        table = features.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "meta").toArrow()
+        known = features.join(F.broadcast(first.select("doc_id", "good")), "doc_id").select("number", "good", "text", "meta")
+        # a window over `labelled` ids at most
+        size = known.groupBy("number").agg(F.sum(F.octet_length("text") + F.octet_length("meta")).alias("size"))
+        upto = F.sum("size").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
+        few = size.withColumn("upto", upto).where(F.col("upto") <= 4 * fitted).select("number")
+        table = known.join(F.broadcast(few), "number").toArrow()
         own = sorted(set(zip(*(table.column(c).to_pylist() for c in table.column_names), strict=True)))  # in one order, repeated rows once
         text, meta = ([np.frombuffer(r[k], np.int32) for r in own] for k in (2, 3))
         return _rounds(text, meta, np.array([r[1] for r in own]), _pool(features, verdicts.select(number.alias("number"))), rounds)
@@ -373,10 +379,11 @@ def classify(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) ->
     docs = docs.drop("text_score", "meta_score", "score", "kept")
     n = len(docs.columns)
     place, cast = [], []
+    fed_names = dict(zip(USED, common.free_names(docs, *(f"fed_{name}_" for name in USED)), strict=True))
     for name, kind in USED.items():
         own = [k for k, f in enumerate(docs.schema.fields) if f.name.lower() == name and f.dataType == kind]
         if not own:  # a text is sent once unless it needs a cast
-            cast.append(F.col(name).cast(kind).alias(f"fed_{name}_"))
+            cast.append(F.col(name).cast(kind).alias(fed_names[name]))
         place.append(own[0] if own else n + len(cast) - 1)
     fed = docs.select("*", *cast)
     schema = T.StructType([*docs.schema.fields, *common.fields("text_score double, meta_score double, score double, kept boolean")])

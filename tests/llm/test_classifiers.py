@@ -171,3 +171,36 @@ def test_fit_by_brute_force(spark):
         assert a.features.tolist() == b.features.tolist() and np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias) and np.isclose(a.scale, b.scale)
     alone = quality_classifier.fit(docs, labels, rounds=0)
     assert not np.array_equal(alone.text.features, model.text.features) or not np.allclose(alone.text.weights, model.text.weights)  # the pool taught something
+
+
+def test_numbers_are_no_letters(spark):
+    network = language_id.Network.new(["de", "en"], 1)
+    docs = spark.createDataFrame([(1, "²"), (2, "½ 12"), (3, "Ⅻ ٣ _"), (4, "²é"), (5, "ªº"), (6, "日")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, network).collect()}
+    assert {k for k, v in got.items() if v == "und"} == {1, 2, 3}
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    """Windows that share their first bytes are in one order too, however tasks were dealt."""
+    rows = [(i, f"the same start of many texts {chr(97 + i % 26)} {i * 7919 % 1000}", "en" if i % 2 else "de") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit(d) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(7)))
+    assert np.array_equal(one.out, two.out) and all(np.array_equal(a, b) for a, b in zip(one.tables, two.tables, strict=True))
+
+
+def test_clashing_names_of_the_classifier(spark):
+    rows = [(i, "good words here " * 5 if i % 2 else "bad $$$ !!! " * 9, "en", "a", i, "x", 1.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int, fed_n_chars_ string, fed_text_ double")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = quality_classifier.classify(docs, quality_classifier.fit(docs, labels))
+    assert out.columns == [*docs.columns, "text_score", "meta_score", "score", "kept"]
+    assert {r.fed_n_chars_ for r in out.collect()} == {"x"} and all(r.kept == (r.doc_id % 2 == 1) for r in out.collect())
+
+
+def test_fit_is_bounded_in_features(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200)), "en", "a", 9) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(docs, labels, rounds=0).trained
+    # ten rows at least are asked for a fit, and so many have more features than this
+    assert not quality_classifier.fit(docs, labels, rounds=0, fitted=2000).trained

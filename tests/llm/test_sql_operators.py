@@ -399,3 +399,27 @@ def test_components_of_stars_and_chains(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
     assert got == {**dict.fromkeys([*range(40), *range(100, 161)], 0), **dict.fromkeys([200, 201, 202], 200)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bands_follow_the_threshold():
+    assert [jaccard_join.band_rows(t) for t in (0.95, 0.8, 0.5, 0.3, 0.11)] == [4, 4, 2, 1, 1]
+    for t in (0.11, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95):
+        rows = jaccard_join.band_rows(t)
+        assert (1 - t**rows) ** (jaccard_join.HASHES // rows) <= 1e-6
+    with pytest.raises(ValueError, match="below"):
+        jaccard_join.band_rows(0.05)
+
+
+def test_low_thresholds_find_their_pairs(spark):
+    """Pairs of similarity 0.33 to 0.45, which bands for 0.8 would mostly miss."""
+    draw = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = [f"w{i}x{k}" for k in range(60)]
+        at = draw.randint(25, 30)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:at], *(f"v{i}x{k}" for k in range(60 - at)), *base[at:]][:80]))]
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for k, t in rows}
+    alike = {i for i in range(60) if 0.3 <= len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in jaccard_join.similarity_groups(docs, threshold=0.3).collect()}
+    assert len(alike) > 30 and {i for i in range(60) if got[2 * i + 1] == 2 * i} == alike
