@@ -1,15 +1,35 @@
 """Text functions as column expressions: normal forms, tokens, URLs, HTML.
 
-Spark has no Unicode normalisation; accents of Latin letters are folded with translate(), from a fixed table.
+Spark has no Unicode normalisation; letters are taken to their bases with translate(), from a table that Python's Unicode data give.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+def _decomposed() -> tuple[str, str]:
+    """The characters of the basic plane that are one other with marks in canonical decomposition, then all marks; and what the former become.
+
+    Hangul syllables and the few letters that decompose into several aren't among them.
+    """
+    bases, marks = {}, []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif not (0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3):
+            left = [d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn"]
+            if len(left) == 1 and left[0] != c:
+                bases[c] = left[0]
+    return "".join([*bases, *marks]), "".join(bases.values())
+
+
+COMPOSED, BASES = _decomposed()
+#: Words that keys leave out.
 STOP_WORDS = ("de", "da", "do", "das", "dos", "e")
 
 
@@ -17,9 +37,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def without_marks(c: Column | str) -> Column:
+    """Letters without accents and other marks, which go too where they stand alone: canonical decomposition without its marks."""
+    return F.translate(col(c), COMPOSED, BASES)
+
+
 def fold(c: Column | str) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    return without_marks(F.lower(col(c)))
 
 
 def squeeze(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.lineage import checkpoint, remove, shared_dir
-from quarry.operators import retrieval
+from quarry.operators import retrieval, splitting
 from quarry.sources.vectors import VectorStore
 from quarry.tables import table
 from quarry.workload.graph import KEY
@@ -128,6 +128,23 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "chunk", "total", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
+def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in chunks of 1,500 characters at the best separators, with their source as header where a text is cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = splitting.split(docs, 1500, 100, F.concat(F.lit("[Continued - "), "source", F.lit("]\n\n")))
+    return out.select("doc_id", "chunk", "total", "start", F.md5("chunk_text").alias("digest"))
+
+
+def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's lines as paragraphs, packed to 1,400 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return splitting.pack(docs).select("doc_id", "chunk", "total", F.md5("chunk_text").alias("digest"))
+
+
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_marks("text")).alias("digest"))
+
+
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.split_text(table(spark, sf_dir, "documents"))
 
@@ -261,6 +278,7 @@ f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM
   SELECT query, doc, rank FROM nr WHERE rank <= 20 UNION ALL SELECT query, doc, rank FROM same WHERE rank <= 12) GROUP BY ALL),
 t AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank, doc, score FROM f QUALIFY rank <= 20)
 SELECT *, round((count(*) OVER (PARTITION BY query) - rank + 1) / count(*) OVER (PARTITION BY query), 6) AS position_score FROM t""",
+    "folded_texts": "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents",
     "chunk_documents": f"SELECT doc_id, chunk, total, length(text)::INTEGER AS size, md5(text) AS digest FROM {_CHUNKS.format('documents')}",
     "vector_store_versions": f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
 a AS (SELECT * FROM {_CHUNKS.format("documents")}), b AS (SELECT * FROM {_CHUNKS.format("later")})
@@ -284,4 +302,4 @@ FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS hos
 WHERE section > 0 AND length(body) >= 80""",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "mmr_select", "split_documents")}
+QUERIES = {name: globals()[name] for name in (*SQL, "mmr_select", "split_documents", "split_recursive", "packed_paragraphs")}

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import dates, text, urls
 from quarry.lineage import checkpoint, remove, shared_dir
-from quarry.operators import closure, names, repair, retrieval, routing, validation
+from quarry.operators import closure, grounding, names, repair, retrieval, routing, validation
 from quarry.sources import web
 from quarry.streaming import events, state
 from quarry.tables import table, with_views
@@ -103,6 +103,46 @@ def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl(pages, seeds, 150, 3, scopes=(("site.example", "/d/"),))
 
 
+def nested_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pairs and triples of the first eight words of each benchmark item stand in documents, without those within longer ones."""
+    w = table(spark, sf_dir, "benchmark").select(F.slice(F.split(text.graph_key("text"), " "), 1, 8).alias("w"))
+    names_ = w.select(F.explode(F.expr("flatten(transform(array(2, 3), n -> transform(sequence(1, greatest(size(w) - n + 1, 1)), i -> array_join(slice(w, i, n), ' '))))")).alias("name")).distinct()
+    found = grounding.spans(table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text"), names_.select("name", F.col("name").alias("target")))
+    return grounding.outermost(found).select("id", "first", "last", "target")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question on every part: with its name, two words of it, a term that says nothing, a person's first or last name only, or nothing known, as term."""
+    part = table(spark, sf_dir, "part")
+    term = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN substring(p_name, 3, 9) WHEN 2 THEN concat('that one ', p_partkey) WHEN 3 THEN '' ELSE 'the teacher' END"
+    said = "CASE p_partkey % 6 WHEN 4 THEN concat('and what gives supplier ', p_partkey % 30) WHEN 5 THEN 'and nobody at all' ELSE concat('tell me, of ', p_name, ' say, or ', substring_index(p_name, ' ', 2)) END"
+    return part.selectExpr("p_partkey AS id", f"{said} AS text", f"{term} AS term")
+
+
+def grounded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on parts, grounded among part names and prefixes of two words of them; what is left by a supplier's own number."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    nodes = part.selectExpr("cast(p_partkey AS string) AS node_id", "p_name AS name")
+    short = part.selectExpr("substring_index(p_name, ' ', 2) AS name", "concat('short ', substring_index(p_name, ' ', 2)) AS target").distinct()
+    whole = nodes.selectExpr("name", "node_id AS target")
+    aliases = supplier.selectExpr("concat('supplier ', s_suppkey % 50) AS name", "concat('S', s_suppkey) AS target")
+    only = aliases.groupBy("name").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
+    keys = {"name": text.graph_key("name"), "code": F.lower("node_id")}
+    return grounding.ground(_asked(spark, sf_dir), nodes, keys, whole.unionAll(short), only)
+
+
+def track_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a track for each part type rests on: concepts are the longest four words of its first part's name that name parts; areas are part types and names of teachers' parts."""
+    part = table(spark, sf_dir, "part")
+    covers = part.select(F.explode(F.split("p_name", " ")).alias("concept"), F.col("p_partkey").alias("course")).distinct()
+    wanted = part.groupBy(F.col("p_type").alias("id")).agg(F.min_by("p_name", "p_partkey").alias("name"))
+    words = wanted.select("id", F.explode(F.array_distinct(F.split("name", " "))).alias("concept"))
+    concepts = words.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("concept")), "concept"))).where("r <= 4").drop("r")
+    base = part.selectExpr("p_partkey AS course", "explode(array(struct(p_partkey div 2 AS base, 1 AS rank), struct(p_partkey div 3 AS base, 2 AS rank), struct(p_partkey div 5 AS base, 3 AS rank))) AS b").select("course", "b.*").where("base > 0")
+    experts = tables.teaches(spark, sf_dir).join(part.selectExpr("p_partkey AS course", "substring_index(p_name, ' ', 2) AS area"), "course").select("teacher", "area").distinct()
+    return grounding.track_support(concepts, covers, base, experts)
+
+
 def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.section_label("url").alias("label"))
 
@@ -235,6 +275,39 @@ f{d} AS (FROM f{d - 1} UNION ALL SELECT page_id, {d}, (SELECT count(*) FROM f{d
         for d in (1, 2, 3)
     )
     + """ SELECT 'https://site.example/d/' || page_id AS url, depth::INTEGER AS depth, "at" FROM f3""",
+    "nested_mentions": f"""WITH b AS (SELECT string_split({KEY.format("text")}, ' ')[1:8] AS w FROM benchmark),
+n AS (SELECT DISTINCT {KEY.format("k")} AS k, k AS target FROM (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))) AS k FROM b
+  UNION SELECT unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM b)),
+d AS (SELECT doc_id AS id, string_split({KEY.format("text")}, ' ') AS w FROM documents),
+g AS (SELECT id, i - 1 AS first, i - 1 + l - 1 AS last, array_to_string(w[i:i + l - 1], ' ') AS k FROM (SELECT id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (VALUES (1), (2), (3)) t(l))),
+s AS (SELECT id, first, last, target FROM g JOIN n USING (k) WHERE k <> '')
+SELECT id, first::INTEGER AS first, last::INTEGER AS last, target FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.id = s.id AND o.first <= s.first AND o.last >= s.last AND o.last - o.first > s.last - s.first)""",
+    "grounded_questions": f"""WITH q AS (SELECT p_partkey AS id,
+  CASE p_partkey % 6 WHEN 4 THEN 'and what gives supplier ' || p_partkey % 30 WHEN 5 THEN 'and nobody at all' ELSE 'tell me, of ' || p_name || ' say, or ' || array_to_string(string_split(p_name, ' ')[1:2], ' ') END AS text,
+  CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 3, 9) WHEN 2 THEN 'that one ' || p_partkey WHEN 3 THEN '' ELSE 'the teacher' END AS term FROM part),
+k AS (SELECT id, text, term, {KEY.format("term")} AS k FROM q),
+n AS (SELECT p_partkey::VARCHAR AS node_id, {KEY.format("p_name")} AS nk, array_to_string(string_split({KEY.format("p_name")}, ' ')[1:2], ' ') AS sk, 'short ' || array_to_string(string_split(p_name, ' ')[1:2], ' ') AS short FROM part),
+a AS (SELECT id, text, term, k.k, coalesce(min(x.node_id), min(y.node_id)) AS node_id FROM k LEFT JOIN n x ON x.nk = k.k AND k.k <> '' LEFT JOIN n y ON y.node_id = k.k AND k.k <> '' GROUP BY ALL),
+b AS (SELECT id, text, term, min(n.node_id) AS node_id FROM a LEFT JOIN n ON a.k <> '' AND contains(nk, a.k) WHERE a.node_id IS NULL GROUP BY ALL),
+s AS (SELECT b.id, min_by(z.target, (-length(z.nk), position(' ' || z.nk || ' ' IN ' ' || {KEY.format("b.text")} || ' '), z.target)) AS target FROM b
+  JOIN (SELECT node_id AS target, nk FROM n UNION SELECT short, sk FROM n) z ON contains(' ' || {KEY.format("b.text")} || ' ', ' ' || z.nk || ' ') WHERE b.node_id IS NULL GROUP BY b.id),
+e AS (SELECT 'supplier ' || s_suppkey % 50 AS name, min('S' || s_suppkey) AS target FROM supplier GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT b.id, b.term, s.target, (SELECT min(e.target) FROM e WHERE contains(' ' || {KEY.format("b.text")} || ' ', ' ' || e.name || ' ') HAVING count(DISTINCT e.target) = 1) AS alias
+  FROM b LEFT JOIN s USING (id) WHERE b.node_id IS NULL)
+SELECT id, term, node_id, 'key' AS how FROM a WHERE node_id IS NOT NULL
+UNION ALL SELECT id, term, node_id, 'part' FROM b WHERE node_id IS NOT NULL
+UNION ALL SELECT id, term, coalesce(target, alias), CASE WHEN target IS NOT NULL THEN 'mention' WHEN alias IS NOT NULL THEN 'alias' ELSE 'none' END FROM c""",
+    "track_support": with_views("teaches")
+    + """, cv AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS concept, p_partkey AS course FROM part),
+w AS (SELECT p_type AS id, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1),
+t AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS concept FROM w),
+k AS (SELECT id, concept FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(concept) DESC, concept) <= 4),
+b AS (SELECT p_partkey AS course, unnest([p_partkey // 2, p_partkey // 3]) AS base FROM part),
+o AS (SELECT DISTINCT id, course AS base FROM k JOIN cv USING (concept)),
+e AS (SELECT DISTINCT teacher, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS area FROM teaches JOIN part ON p_partkey = course),
+f AS (SELECT DISTINCT concept, area FROM (SELECT DISTINCT concept FROM k WHERE length(concept) > 3) JOIN (SELECT DISTINCT area FROM e) ON contains(area, concept) OR contains(concept, area))
+SELECT id, 'base' AS kind, base::VARCHAR AS item, string_agg(DISTINCT concept, ',' ORDER BY concept) AS detail FROM k JOIN cv USING (concept) JOIN b USING (course) ANTI JOIN o USING (id, base) WHERE base > 0 GROUP BY id, base
+UNION ALL SELECT id, 'specialist', teacher::VARCHAR, string_agg(DISTINCT area, ',' ORDER BY area) FROM k JOIN f USING (concept) JOIN e USING (area) GROUP BY id, teacher""",
     "section_labels": """WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS p, regexp_extract(url, '^[a-z]+://([^/?#:.]+)', 1) AS h FROM pages)
 SELECT page_id, coalesce(nullif(p[3], ''), h) AS label FROM p""",
     "topic_mentions": "SELECT doc_id, substr(text, 1, 200) AS preview FROM documents WHERE contains(lower(text), 'license')",
