@@ -11,7 +11,7 @@ from quarry import tables
 from quarry.functions import dates, text, urls
 from quarry.lineage import checkpoint, remove, shared_dir
 from quarry.operators import closure, grounding, names, repair, retrieval, routing, validation
-from quarry.sources import web
+from quarry.sources import grids, web
 from quarry.streaming import events, state
 from quarry.tables import table, with_views
 from quarry.workload import dialogue
@@ -143,6 +143,31 @@ def track_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.track_support(concepts, covers, base, experts)
 
 
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part type, with a table of its parts: brands span their rows, the head has two rows, and a part lists those it follows."""
+    part = table(spark, sf_dir, "part").withColumn("n", F.count("*").over(Window.partitionBy("p_type", "p_brand"))).withColumn("i", F.row_number().over(Window.partitionBy("p_type", "p_brand").orderBy("p_partkey")))
+    brand = F.when(F.col("i") == 1, F.concat(F.lit('<td rowspan="'), F.col("n").cast("string"), F.lit('">'), "p_brand", F.lit("</td>"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), brand, F.format_string("<td>%d</td><TD><b>%s</b> &amp; more<td>%d; %d , -</tr>", "p_partkey", "p_name", F.expr("p_partkey div 2"), F.expr("if(p_size = 1, 900000000 + p_partkey, p_partkey div 3)")))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", "p_partkey", row.alias("row")))), lambda s: s["row"]), "")
+    head = '<table class="x"><tr><th rowspan=2>Brand<th colspan="2">Course</th><th rowspan="2">After</th></tr><tr><th>No.</th><th>Name</th></tr>'
+    return part.groupBy(F.col("p_type").alias("page_id")).agg(F.concat(F.lit("<p>" + head), rows, F.lit("</table></p>")).alias("html"))
+
+
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published tables of every part type back as records."""
+    fields = lambda name: F.col("fields")[name]
+    found = grids.records(grids.grid(_published(spark, sf_dir)))
+    return found.select("page_id", "row", fields("Brand").alias("brand"), fields("Course / No.").cast("long").alias("course"), fields("Course / Name").alias("name"), fields("After").alias("after"))
+
+
+def published_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the published tables would add to the prerequisite edges: the unknown numbers that parts of size 1 list can't be resolved, the edges of even parts are there already."""
+    pairs = grids.seeds(grids.records(grids.grid(_published(spark, sf_dir))), "course / no.", "AFTER")
+    nodes = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS string) AS node_id")
+    edges = tables.prerequisites(spark, sf_dir).where("dst % 2 = 0").selectExpr("cast(src AS string) AS src", "cast(dst AS string) AS dst", "'PREREQUISITE_OF' AS relation", "conf")
+    return grids.seed_edges(pairs, nodes, {"code": F.col("node_id")}, edges, "PREREQUISITE_OF")[1]
+
+
 def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.section_label("url").alias("label"))
 
@@ -308,6 +333,10 @@ e AS (SELECT DISTINCT teacher, array_to_string(string_split(p_name, ' ')[1:2], '
 f AS (SELECT DISTINCT concept, area FROM (SELECT DISTINCT concept FROM k WHERE length(concept) > 3) JOIN (SELECT DISTINCT area FROM e) ON contains(area, concept) OR contains(concept, area))
 SELECT id, 'base' AS kind, base::VARCHAR AS item, string_agg(DISTINCT concept, ',' ORDER BY concept) AS detail FROM k JOIN cv USING (concept) JOIN b USING (course) ANTI JOIN o USING (id, base) WHERE base > 0 GROUP BY id, base
 UNION ALL SELECT id, 'specialist', teacher::VARCHAR, string_agg(DISTINCT area, ',' ORDER BY area) FROM k JOIN f USING (concept) JOIN e USING (area) GROUP BY id, teacher""",
+    "table_records": """SELECT p_type AS page_id, (1 + row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey))::INTEGER AS row, p_brand AS brand, p_partkey AS course,
+  p_name || ' & more' AS name, (p_partkey // 2) || '; ' || (CASE WHEN p_size = 1 THEN 900000000 + p_partkey ELSE p_partkey // 3 END) || ' , -' AS after FROM part""",
+    "published_seeds": """WITH p AS (SELECT DISTINCT p_partkey AS dst, unnest([p_partkey // 2, CASE WHEN p_size = 1 THEN 900000000 + p_partkey ELSE p_partkey // 3 END]) AS src FROM part)
+SELECT CASE WHEN src NOT IN (SELECT p_partkey FROM part) THEN 'unresolved' WHEN dst % 2 = 0 AND src > 0 THEN 'existing' ELSE 'new' END AS outcome, count(*) AS pairs FROM p GROUP BY 1""",
     "section_labels": """WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS p, regexp_extract(url, '^[a-z]+://([^/?#:.]+)', 1) AS h FROM pages)
 SELECT page_id, coalesce(nullif(p[3], ''), h) AS label FROM p""",
     "topic_mentions": "SELECT doc_id, substr(text, 1, 200) AS preview FROM documents WHERE contains(lower(text), 'license')",
