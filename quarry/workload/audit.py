@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.operators import audit
+from quarry.sources import records
 from quarry.tables import table, with_views
 
 CAPS = {"purchase": 400.0, "click": 300.0, "view": 300.0}
@@ -142,7 +143,28 @@ def plan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = with_views("transcript")
 _PASSED = with_views("dag", "courses", "transcript") + ", passed AS (SELECT DISTINCT student, course FROM transcript WHERE grade >= 5)"
+def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's order lines written as a transcript, in three shapes, and read back; every fifth one states a mean that is off."""
+    line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber AS n", "1000 + l_partkey % 9000 AS code", "cast(l_quantity AS int) AS credits", "round(l_discount * 100, 1) AS grade")
+    rows = line.join(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS student", "o_orderdate AS day"), "l_orderkey")
+    term = F.format_string("ANO/SEM | %d/%d Coeficiente de Rendimento (CR): 5,0", F.year("day"), F.expr("if(month(day) <= 6, 1, 2)"))
+    figures = F.expr("""CASE n % 3 WHEN 0 THEN format_string('Docente: A B 121 DF 72 1,5 %d 90 %s APROVADO', credits, replace(cast(grade AS string), '.', ','))
+        WHEN 1 THEN format_string('Docente: C 102 E 36 %d 100 %s REPROVADO', credits, cast(grade AS string)) ELSE format_string('Docente: 182 AE 36 %d EM  CURSO', credits) END""")
+    piece = F.concat_ws("\n", term, F.format_string("%d - NAME %d", "code", "code"), F.lit("(between)"), figures)
+    graded = F.expr("n % 3 < 2")
+    mean = F.round(F.sum(F.when(graded, F.col("grade") * F.col("credits"))) / F.sum(F.when(graded, F.col("credits"))) + F.when(F.col("student") % 5 == 0, 0.2).otherwise(0.0), 2)
+    by = rows.groupBy("student").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "l_orderkey", "n", piece.alias("piece")))), lambda s: s["piece"]), "\n").alias("lines"), mean.alias("mean"))
+    stated = F.concat(F.lit("\nFIXAS 90\nCoeficiente de Rendimento (CR) Geral: "), F.replace(F.col("mean").cast("string"), F.lit("."), F.lit(",")))
+    files = by.select(F.col("student").cast("string").alias("path"), F.concat(F.lit("Curso: X\n"), "lines", F.coalesce(stated, F.lit(""))).alias("content"))
+    return records.summary(files).select("path", "programme", "courses", "credits", "running", "mean", "stated", "agrees", "fixed_hours")
+
+
 SQL = {
+    "transcript_summary": """WITH r AS (SELECT o_custkey AS student, l_linenumber % 3 AS shape, l_quantity::INTEGER AS credits, round(l_discount * 100, 1) AS grade FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT student, count(*) AS courses, sum(credits)::BIGINT AS credits, count(*) FILTER (shape = 2) AS running,
+  sum(grade * credits) FILTER (shape < 2) / sum(credits) FILTER (shape < 2) AS exact FROM r GROUP BY student)
+SELECT student::VARCHAR AS path, 'X' AS programme, courses, credits, running, round(exact, 3) AS mean, round(exact + CASE WHEN student % 5 = 0 THEN 0.2 ELSE 0 END, 2) AS stated,
+  exact IS NOT NULL AND student % 5 <> 0 AS agrees, CASE WHEN exact IS NOT NULL THEN 90 END::INTEGER AS fixed_hours FROM m""",
     "gpa": _T + "SELECT student, round(sum(grade * credits) / sum(credits), 3) AS gpa, sum(credits) AS credits FROM transcript WHERE credits > 0 GROUP BY student",
     "gpa_what_if": _T
     + """, a AS (SELECT student, grade, credits FROM transcript UNION ALL SELECT DISTINCT student, 10.0, 4.0 FROM transcript)
