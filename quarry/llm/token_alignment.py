@@ -97,12 +97,20 @@ class Aligner:
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.size = max(size, len(pieces))
         self.written = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
-        self._forget()
-
-    def _forget(self) -> None:
         self.number, self.texts = {}, []
         self.counts, self.first, self.pairs = Grown(), Grown(), Grown()
 
+    def _keep(self, units: list[str]) -> None:
+        """Forget all but these units."""
+        old = np.array([self.number[u] for u in units], np.int64)
+        counts, first = self.counts.data[: self.counts.n].reshape(-1, 4)[old], self.first.data[old]
+        pairs = self.pairs.data[_expanded(counts[:, 3], first)]
+        self.number, self.texts = {u: i for i, u in enumerate(units)}, [self.texts[k] for k in old.tolist()]
+        self.counts, self.first, self.pairs = Grown(), Grown(), Grown()
+        self.counts.add(counts.ravel())
+        self.first.add(np.cumsum(counts[:, 3]) - counts[:, 3])
+        self.pairs.add(pairs)
+
     def groups(self, unit: str) -> list[tuple[list[int], list[int]]] | None:
         """Groups of A and B ids of a space and the unit; None where the bytes of their tokens differ from that."""
         a, b, whole = self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit), b" " + unit.encode()
@@ -121,11 +129,10 @@ class Aligner:
         return tuple(np.searchsorted(both, e) for e in ends), both
 
     def learn(self, units: set[str]) -> None:
-        """Align units that aren't known."""
+        """Align units that aren't known. Of those that are, only these stay once there are more than the bound."""
         new = sorted(units - self.number.keys())
         if len(self.number) + len(new) > self.bound:
-            self._forget()
-            new = sorted(units)
+            self._keep(sorted(units & self.number.keys()))
         for at in range(0, len(new), 50_000):
             self._learn(new[at : at + 50_000])
 
