@@ -66,10 +66,10 @@ def summary(files_: DataFrame) -> DataFrame:
 
     mean: of grades weighed with credits, of courses that have both; stated: the overall one in the text. agrees: whether they are within WITHIN; false if either is missing.
     """
-    weighed = F.col("grade").isNotNull() & (F.col("credits") > 0)
+    weighed, exact = F.col("grade").isNotNull() & (F.col("credits") > 0), F.col("grade").cast("decimal(12,4)")  # a sum in any order is the same
     by = courses(files_).groupBy("path").agg(
         F.count("*").alias("courses"), F.sum("credits").alias("credits"), F.count_if(F.col("status") == "EM CURSO").alias("running"),
-        F.round(F.try_divide(F.sum(F.when(weighed, F.col("grade") * F.col("credits"))), F.sum(F.when(weighed, F.col("credits")))), 3).alias("mean"),
+        F.round(F.try_divide(F.sum(F.when(weighed, exact * F.col("credits"))).cast("double"), F.sum(F.when(weighed, F.col("credits"))).cast("double")), 3).alias("mean"),
     )
     found = lambda pattern: F.nullif(F.regexp_extract(F.coalesce("content", F.lit("")), pattern, 1), F.lit(""))
     stated = files_.select("path", text.strip(found(PROGRAMME)).alias("programme"), number(found(OVERALL)).alias("stated"), *(found(p).cast("int").alias(name) for name, p in TOTALS.items()))

@@ -152,7 +152,8 @@ def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 1 THEN format_string('Docente: C 102 E 36 %d 100 %s REPROVADO', credits, cast(grade AS string)) ELSE format_string('Docente: 182 AE 36 %d EM  CURSO', credits) END""")
     piece = F.concat_ws("\n", term, F.format_string("%d - NAME %d", "code", "code"), F.lit("(between)"), figures)
     graded = F.expr("n % 3 < 2")
-    mean = F.round(F.sum(F.when(graded, F.col("grade") * F.col("credits"))) / F.sum(F.when(graded, F.col("credits"))) + F.when(F.col("student") % 5 == 0, 0.2).otherwise(0.0), 2)
+    weighed = F.sum(F.when(graded, F.col("grade").cast("decimal(6,2)") * F.col("credits"))).cast("double") / F.sum(F.when(graded, F.col("credits")))
+    mean = F.floor((weighed + F.when(F.col("student") % 5 == 0, 0.2).otherwise(0.0)) * 100) / 100
     by = rows.groupBy("student").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "l_orderkey", "n", piece.alias("piece")))), lambda s: s["piece"]), "\n").alias("lines"), mean.alias("mean"))
     stated = F.concat(F.lit("\nFIXAS 90\nCoeficiente de Rendimento (CR) Geral: "), F.replace(F.col("mean").cast("string"), F.lit("."), F.lit(",")))
     files = by.select(F.col("student").cast("string").alias("path"), F.concat(F.lit("Curso: X\n"), "lines", F.coalesce(stated, F.lit(""))).alias("content"))
@@ -162,8 +163,8 @@ def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "transcript_summary": """WITH r AS (SELECT o_custkey AS student, l_linenumber % 3 AS shape, l_quantity::INTEGER AS credits, round(l_discount * 100, 1) AS grade FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT student, count(*) AS courses, sum(credits)::BIGINT AS credits, count(*) FILTER (shape = 2) AS running,
-  sum(grade * credits) FILTER (shape < 2) / sum(credits) FILTER (shape < 2) AS exact FROM r GROUP BY student)
-SELECT student::VARCHAR AS path, 'X' AS programme, courses, credits, running, round(exact, 3) AS mean, round(exact + CASE WHEN student % 5 = 0 THEN 0.2 ELSE 0 END, 2) AS stated,
+  (sum(grade::DECIMAL(6,2) * credits) FILTER (shape < 2))::DOUBLE / sum(credits) FILTER (shape < 2) AS exact FROM r GROUP BY student)
+SELECT student::VARCHAR AS path, 'X' AS programme, courses, credits, running, round(exact, 3) AS mean, floor((exact + CASE WHEN student % 5 = 0 THEN 0.2::DOUBLE ELSE 0 END) * 100) / 100 AS stated,
   exact IS NOT NULL AND student % 5 <> 0 AS agrees, CASE WHEN exact IS NOT NULL THEN 90 END::INTEGER AS fixed_hours FROM m""",
     "gpa": _T + "SELECT student, round(sum(grade * credits) / sum(credits), 3) AS gpa, sum(credits) AS credits FROM transcript WHERE credits > 0 GROUP BY student",
     "gpa_what_if": _T
