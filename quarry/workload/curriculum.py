@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.operators import curriculum, graph
+from quarry.sources import sections
 from quarry.tables import table, with_views
 from quarry.workload.graph import KEY, _structure, similarity
 
@@ -46,6 +47,18 @@ def study_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.tracks(found, covers, part.where("p_size % 2 = 0").selectExpr("p_partkey AS course"))
 
 
+def typed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A course file for each part, and a regulation file with an article for each nation, as typed documents."""
+    needs = "if(p_partkey % 2 = 0, concat('- Course ', p_partkey div 2, ' (Código: ', p_partkey div 2, ')\\n- Other\\n'), 'none\\n')"
+    course = f"concat('# ', p_name, '\\n\\n**Código:** ', p_partkey, '\\n**Termo:** ', 1 + p_size % 10, 'º\\n\\n## Docentes\\n\\n- ', p_brand, '\\n\\n## Pré-requisitos\\n\\n', {needs}, '\\n## Ementa\\n\\n', p_type, '\\n\\n### Tópicos\\n\\n- ', p_type, '\\n')"
+    files = table(spark, sf_dir, "part").selectExpr("concat('course/', p_partkey) AS path", f"{course} AS content")
+    row = F.format_string("### %s\n\n**Art. %d.** About %s.\n\n", "r_name", "n_nationkey", "n_name")
+    rules = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda s: s["row"]), "")
+    regulation = rules.agg(F.lit("rules").alias("path"), F.concat(F.lit("# Rules\n\n## Estrutura\n\n"), body).alias("content"))
+    return sections.documents(files.unionAll(regulation)).select("path", "at", "kind", "title", F.md5("text").alias("digest"))
+
+
 def controlled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     found = line.selectExpr("l_suppkey AS item", "p_type AS term", "l_quantity / 50 AS confidence")
@@ -89,6 +102,19 @@ n AS (SELECT {KEY.format("concept")} AS k, min(concept) AS name FROM cv GROUP BY
 m AS (SELECT DISTINCT id, name, length(k) AS l FROM (SELECT p_partkey AS id, unnest(string_split({KEY.format("p_type || ' ' || p_name")}, ' ')) AS k FROM part) JOIN n USING (k)),
 r AS (SELECT id, name FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY l DESC, name) <= 4)
 SELECT id, name AS concept, count(DISTINCT course) AS courses, count(DISTINCT course) FILTER (e) AS electives, min(course) AS first FROM r JOIN cv ON concept = name GROUP BY id, name""",
+    "typed_documents": """WITH p AS (SELECT 'course/' || p_partkey AS path, p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS t, 1 + p_size % 10 AS term, p_partkey // 2 AS need,
+  'DISCIPLINA: ' || p_name || ' (Código: ' || p_partkey || ')' AS head, '- Total: N/A' || chr(10) || '- Teórica: N/A' || chr(10) || '- Prática: N/A' || chr(10) || '- Extensão: N/A' AS hours FROM part),
+d AS (
+  SELECT path, 0 AS a, 'info' AS kind, NULL AS title, 'DISCIPLINA: ' || name || chr(10) || 'Código: ' || id || chr(10) || 'Termo: ' || term || 'º' || chr(10) || 'DOCENTES: ' || brand || chr(10) || 'PRÉ-REQUISITOS: ' ||
+    CASE WHEN id % 2 = 0 THEN 'Course ' || need || ' (Código: ' || need || '); Other' ELSE 'Nenhum' END || chr(10) || hours AS text FROM p
+  UNION ALL SELECT path, 1, 'teachers', NULL, head || chr(10) || 'DOCENTES:' || chr(10) || '- ' || brand FROM p
+  UNION ALL SELECT path, 2, 'prerequisites', NULL, head || chr(10) || 'PRÉ-REQUISITOS:' || chr(10) || '- Course ' || need || ' (Código: ' || need || ')' || chr(10) || '- Other' FROM p WHERE id % 2 = 0
+  UNION ALL SELECT path, 3, 'hours', NULL, head || chr(10) || 'CARGA HORÁRIA:' || chr(10) || hours FROM p
+  UNION ALL SELECT path, 4, 'syllabus', NULL, head || chr(10) || 'EMENTA:' || chr(10) || t || chr(10) || 'TÓPICOS:' || chr(10) || '- ' || t FROM p
+  UNION ALL SELECT 'rules', -1, 'info', NULL, 'DOCUMENTO: Rules'
+  UNION ALL SELECT 'rules', n_nationkey, 'article', r_name, 'DOCUMENTO: Rules' || chr(10) || 'SEÇÃO: ' || r_name || chr(10) || 'Art. ' || n_nationkey || '. About ' || n_name || '.' FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'rules', 1000, 'summary', NULL, 'DOCUMENTO: Rules' || chr(10) || '- Estrutura')
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1)::INTEGER AS "at", kind, title, md5(text) AS digest FROM d""",
     "controlled_terms": f"""SELECT l_suppkey AS item, {KEY.format("p_type")} AS term, max(least(greatest(l_quantity / 50, 0), 0.8)) AS confidence,
   {KEY.format("p_type")} IN (SELECT {KEY.format("p_type")} FROM part WHERE p_size < 5) AS known FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "source_counts": "SELECT count(DISTINCT source) AS sources, count(*) AS chunks FROM documents",
