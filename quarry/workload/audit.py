@@ -208,11 +208,12 @@ inner_ AS (SELECT p.student, src, dst FROM pend p JOIN dag ON dst = p.course JOI
 walk AS (SELECT student, course, 1 AS n FROM pend UNION SELECT w.student, dst, n + 1 FROM walk w JOIN inner_ i ON i.student = w.student AND i.src = w.course)
 SELECT student, max(n)::INTEGER AS semesters FROM walk GROUP BY student""",
     "enrolment_advice": _PASSED
-    + """, w AS (SELECT DISTINCT student, unnest([course * 2, course * 3]) AS course FROM passed),
-m AS (SELECT w.student, w.course, array_to_string(list_sort(list(DISTINCT src)), ',') AS missing FROM w JOIN dag ON dst = w.course LEFT JOIN passed p ON p.student = w.student AND p.course = src WHERE p.course IS NULL GROUP BY ALL),
-b AS (SELECT w.student, w.course, k, w.course - k AS base FROM w JOIN courses USING (course), (SELECT unnest([1, 2]) AS k) WHERE w.course - k > 0),
-s AS (SELECT student, b.course, string_agg(base::VARCHAR, ',' ORDER BY k) AS base FROM b WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.student = b.student AND p.course = base) GROUP BY ALL),
-t AS (SELECT w.*, EXISTS (SELECT 1 FROM passed p WHERE p.student = w.student AND p.course = w.course) AS taken FROM w)
+    + """, p AS MATERIALIZED (FROM passed),
+w AS MATERIALIZED (SELECT DISTINCT student, unnest([course * 2, course * 3]) AS course FROM p),
+m AS (SELECT w.student, w.course, array_to_string(list_sort(list(DISTINCT src)), ',') AS missing FROM w JOIN dag ON dst = w.course LEFT JOIN p ON p.student = w.student AND p.course = src WHERE p.course IS NULL GROUP BY ALL),
+b AS MATERIALIZED (SELECT student, course, k, course - k AS base FROM w JOIN (SELECT course, unnest([1, 2]) AS k FROM courses) USING (course) WHERE course > k),
+s AS (SELECT b.student, b.course, string_agg(base::VARCHAR, ',' ORDER BY k) AS base FROM b LEFT JOIN p ON p.student = b.student AND p.course = b.base WHERE p.course IS NULL GROUP BY ALL),
+t AS (SELECT w.student, w.course, p.course IS NOT NULL AS taken FROM w LEFT JOIN p ON p.student = w.student AND p.course = w.course)
 SELECT student, course, CASE WHEN c.course IS NULL THEN 'unknown' WHEN taken OR missing IS NOT NULL THEN 'risk' ELSE 'ok' END AS status, taken, coalesce(missing, '') AS missing,
   coalesce(base, '') AS base, CASE WHEN c.course IS NULL THEN NULL WHEN term % 2 = 1 THEN 'odd' ELSE 'even' END AS parity
 FROM t LEFT JOIN m USING (student, course) LEFT JOIN s USING (student, course) LEFT JOIN courses c USING (course)""",
