@@ -6,10 +6,11 @@ regular expressions, and callers may pass tables of their own. The patterns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.names import containing
 
 Rules = list[tuple[str, list[str]]]
 
@@ -151,6 +152,63 @@ QUICK: Rules = [
         rf"{_DONE} .{{3,}}", r"quero chegar em\b",
     ]),
 ]
+_FINAL = "[.!?]|$"
+_OF_COURSE = "(?:a )?(?:disciplina (?:de )?)?"
+#: What a question's term is once its intent is known, tried in this order; the last group that a pattern has holds it.
+TERMS: dict[str, list[str]] = {
+    "ementa_disciplina": [
+        rf"o que e (?:o |a )?([a-z][a-z ]+?){_END}", rf"o que (?:se )?(?:estuda|aprende) em (.+?){_END}", rf"descreva a? ?disciplina (?:de )?(.+?){_END}", rf"do que trata (.+?){_END}",
+        rf"ementa d[aeo] (.+?){_END}", rf"ementa (?:de )?([a-z][a-z ]+?){_END}", rf"(?:tem|ver|mostra) (?:a )?ementa (?:de )?(.+?){_END}",
+        rf"o que (?:voce )?sabe sobre {_OF_COURSE}(.+?){_END}", rf"(?:me )?(?:fale|conte|conta|fala) sobre {_OF_COURSE}(.+?){_END}", rf"o que ha sobre {_OF_COURSE}(.+?){_END}",
+        rf"carga horaria {_DE} (.+?){_END}", rf"bibliograf(?:ia)? {_DE} (.+?){_END}", rf"explique? {_OF_COURSE}(.+?){_END}",
+    ],
+    "recommended_before": [rf"antes de (?:fazer |cursar |estudar )?(.+?){_END}"],
+    "prerequisite_chain": [
+        rf"pre[- ]?requisitos? (?:de|da|do|para) (.+?){_END}", rf"antes de (?:fazer |cursar )?(.+?){_END}", rf"para (?:fazer|cursar) (.+?){_END}", r"^e (?:de|sobre) (.+?)(?:,|\?|$)",
+        r"^e (?:de|sobre) (.+?)(?:,| quais?| os?|\?)",
+    ],
+    "dependents": [rf"depend(?:e|em) {_DE} (.+?){_END}", r"(?:usam?|precisam?|exigem?) (.+?) como", rf"(?:o que )?(.+?) desbloqueia{_END}"],
+    "discipline_docentes": [
+        rf"responsave(?:l|is) (?:por|pel[ao]) (?:a |o )?(?:disciplina (?:de )?|materia (?:de )?)?(.+?){_END}", rf"(?:leciona|ensina|ministra) (.+?){_END}", rf"da aula (?:de )?(.+?){_END}",
+        rf"{_TEACHERS} (?:dao|de|da|do) (.+?){_END}", rf"dao (.+?){_END}", rf"aula de (.+?){_END}",
+    ],
+    "docente_disciplines": [rf"{_TEACHER} (.+?) (?:leciona|ensina)", r"(?:o |a )?(.+?) (?:leciona|ensina|da)"],
+    "docente_info": [rf"(?:email|sala|contato) {_DE} (?:professor(?:a)? )?(.+?){_END}", rf"{_TEACHER} (.+?){_END}"],
+    "docente_areas": [rf"areas? {_DE} (?:professor(?:a)? )?(.+?){_END}", r"(?:o |a )?(.+?) (?:pesquisa|trabalha|atua)"],
+    "docentes_by_area": [rf"(?:trabalham?|pesquisam?|especialistas?) (?:com|em) (.+?){_END}", rf"{_TEACHERS} (?:de|em) (.+?){_END}"],
+    "disciplinas_termo": [rf"{_TERM} (\d+) {_DE} (.+?){_END}"],
+    "matriz_info": [rf"(?:curso|matriz) {_DE} (.+?){_END}", rf"{_DE} (.+?){_END}"],
+    "eletivas_curso": [rf"eletivas? (?:de|do|da|para) (.+?){_END}"],
+    "coordenador_curso": [rf"coordena(?:dor(?:a)?|cao) {_DE} (.+?){_END}", rf"coordena(?:dor(?:a)?) (.+?){_END}"],
+    "todos_termos_curso": [rf"grade (?:de )?(.+?){_END}", rf"disciplinas? (?:do curso )?{_DE} (.+?){_END}"],
+    "trajectory_planning": [
+        rf"(?:ja )?(?:cursei|fiz|conclui) (.+?)[,:] (?:como )?(?:chego|chegar|fica) (?:em )?([^.!?]+?)(?:{_FINAL})", r"(?:ja )?(?:fiz|conclui) (.+?)[,.]? (?:como fica|o que falta) ?\??",
+        rf"quero chegar em ([^,.!?]+?), (?:ja )?(?:fiz|cursei|conclui) ([^.!?]+?)(?:{_FINAL})", r"quero chegar em ([^,.!?]+?)(?:[,.!?]|$)",
+        rf"caminho (?:minimo )?para (?:chegar (?:em|ate) )?([^.!?]+?)(?:{_FINAL})", rf"como cheg(?:o|ar) (?:em|ate) ([^.!?]+?)(?:{_FINAL})",
+        rf"sequencia (?:de disciplinas? )?para (?:cursar )?([^.!?]+?)(?:{_FINAL})", rf"planejamento para cursar ([^.!?]+?)(?:{_FINAL})", rf"(?:chegar? (?:em|ate)|ate) ([^.!?]+?)(?:{_FINAL})",
+    ],
+}
+#: Fixed value: a plan without a target.
+NO_TARGET = r"(?:ja )?(?:fiz|conclui) (.+?)[,.]? (?:como fica|o que falta) ?\??"
+#: Intents that the graph answers by itself.
+DIRECT = """listar_cursos coordenador_curso disciplinas_termo todos_termos_curso eletivas_curso matriz_info prerequisite_chain dependents co_prerequisite critical_disciplines recommended_before
+trajectory_planning discipline_docentes docente_leciona_disciplina docentes_by_area""".split()
+#: The agents at which phrases on what a course is about (the third list of PHRASES) may still change the route; '' where none was chosen.
+OPEN_AGENTS = ("", "docentes", "disciplinas")
+#: Substrings that ask for a plan, whole words that show that it is another question, substrings that ask for news and for what the system can do, the most characters of the last.
+PLAN = """montar grade|monta grade|monte grade|montar minha grade|monta minha grade|monte minha grade|montar a grade|monta a grade|monte a grade|planejar grade|planejar minha grade|planeje minha grade
+plano de estudos|plano de estudo|planejamento de estudos|montar trajetoria|monte minha trajetoria|planejar trajetoria|planejar minha trajetoria|que materias devo cursar|quais materias devo cursar
+que disciplinas devo cursar|quais disciplinas devo cursar|como me formar|para me formar|pra me formar|ordem das disciplinas|ordem das materias|que materias posso fazer|quais materias posso fazer
+montar meu semestre|planejar meus semestres""".replace("\n", "|").split("|")
+NO_PLAN = """quantas horas|quanto tempo|o que preciso|o que e preciso|o que eu preciso|oq preciso|oq eu preciso|que eu necessito|o que necessito|o que eu necessito|requisitos para|integralizar
+integralizacao|formacao""".replace("\n", "|").split("|")
+NEWS = """noticia|noticias|novidade|novidades|o que esta acontecendo|o que ta acontecendo|o que aconteceu|o que esta rolando|o que ta rolando|o que tem de novo|o que ha de novo|ultimas noticias
+acontecendo no campus|eventos do campus|edital|editais|congresso academico|mural de noticias""".replace("\n", "|").split("|")
+META, META_LENGTH = "voce tem acesso|tem acesso a|voce tem ementa|tem ementa|quais informacoes voce tem|o que voce sabe|o que voce consegue|voce consegue|quais dados voce|que tipo de informacao|do que voce dispoe".split("|"), 120
+#: Questions on what something is, with its name.
+OVERVIEW = [
+    r"^o que e (?:o curso (?:de )?|o |a )?(.+?) ?\??$", r"^como (?:funciona|e) (?:o curso (?:de )?|o |a )?(.+?) ?\??$", r"^(?:me )?fale (?:mais )?sobre (?:o curso (?:de )?|o |a )?(.+?) ?\??$",
+]
 #: Words of a question that are never part of its term.
 STOP_WORDS = """qual quais quem como onde quando que o a os as de da do em na no para por com sao e tem professor professora professores professoras docente docentes disciplina
 materia curso leciona lecionam ensina ensinam da dao aula pre-requisitos requisitos ementa ementas ela ele elas eles dela dele delas deles isso esta este essa esse disso nessa
@@ -285,10 +343,67 @@ def last_words(c: Column | str, n: int = 3) -> Column:
     return F.array_join(F.slice(kept, F.greatest(F.size(kept) - n + 1, F.lit(1)), n), " ")
 
 
-def route(c: Column | str, intent: Column, phrases: Rules | None = None, routes: dict[str, list[str]] | None = None) -> Column:
-    """The agent of a question: by the first list one of whose phrases it holds as whole words, else by its intent, else the fallback."""
+def term_of(c: Column | str, intent: Column, terms: dict[str, list[str]] | None = None) -> Column:
+    """The term of a question of a known intent: of the intent's first pattern that yields two characters or more, else the last words. Terms of two parts are joined by a colon."""
+    said = asked(c)
+    no_target = F.when(said.rlike(NO_TARGET), F.concat(F.regexp_replace(F.trim(F.regexp_extract(said, NO_TARGET, 1)), r"[?.,!]+$", ""), F.lit(":")))
+
+    def found(name: str, pattern: str) -> Column:
+        last = _groups(pattern)
+        bare = [F.regexp_replace(F.trim(F.regexp_extract(said, pattern, k)), r"[?.,!]+$", "") for k in range(1, last + 1)]
+        one = _clean(F.regexp_extract(said, pattern, last))
+        if last == 2:
+            one = F.concat_ws(":", *(reversed(bare) if name == "trajectory_planning" and pattern.startswith("quero chegar em") else bare))
+        elif name == "trajectory_planning":
+            one = F.coalesce(no_target, one)
+        return F.when(said.rlike(pattern) & (F.length(one) >= 2), one)
+
+    cases = F.coalesce(*(F.when(intent == name, F.coalesce(*(found(name, p) for p in patterns))) for name, patterns in (terms or TERMS).items()))
+    return F.coalesce(cases, last_words(c))
+
+
+def direct(intent: Column) -> Column:
+    """Whether the graph answers an intent by itself."""
+    return F.coalesce(intent.isin(*DIRECT), F.lit(False))
+
+
+def _holds(said: Column, parts: list[str]) -> Column:
+    return F.coalesce(*(F.when(F.contains(said, F.lit(p)), F.lit(True)) for p in parts), F.lit(False))
+
+
+def kinds(c: Column | str, institution: str = "") -> Column:
+    """Array of what a message asks for besides its intent: plan, news, meta. institution: its name in lower case without accents, by which news are asked for too."""
+    said = asked(c)
+    news = [*NEWS, *((f"acontecendo na {institution}", f"eventos da {institution}") if institution else ())]
+    plan = _holds(said, PLAN) & ~text.phrase(said, *NO_PLAN)
+    found = F.array(F.when(plan, F.lit("plan")), F.when(_holds(said, news), F.lit("news")), F.when(_holds(said, META) & (F.length(said) < META_LENGTH), F.lit("meta")))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def overview_name(c: Column | str) -> Column:
+    """The name in a question on what something is, of two characters or more; null in others."""
+    said = asked(c)
+    name = F.coalesce(*(F.nullif(F.regexp_replace(F.trim(F.regexp_extract(said, p, 1)), r"^[?.! ]+|[?.! ]+$", ""), F.lit("")) for p in OVERVIEW))
+    return F.when(F.length(name) >= 2, name)
+
+
+def overviews(rows: DataFrame, courses: DataFrame, programmes: DataFrame) -> DataFrame:
+    """(id, name, programme): questions on what a programme is, whose name is no course's. rows: (id, text); courses, programmes: (name); programmes also by a part of their name, the least counts."""
+    named = rows.select("id", overview_name("text").alias("name")).where("name IS NOT NULL").withColumn("key", text.graph_key("name"))
+    free = named.join(courses.select(text.graph_key("name").alias("key")).distinct(), "key", "left_anti")
+    keyed = programmes.select(F.col("name").alias("programme"), text.graph_key("name").alias("pk")).distinct()
+    held = containing(free.select("key").distinct(), "key", keyed, "pk").groupBy("key").agg(F.min("programme").alias("programme"))
+    return free.join(held, "key").select("id", "name", "programme")
+
+
+def route(c: Column | str, intent: Column, phrases: Rules | None = None, routes: dict[str, list[str]] | None = None, current: Column | None = None) -> Column:
+    """The agent of a question: by the first list one of whose phrases it holds as whole words, else by its intent, else the fallback.
+
+    current: the agent that was chosen before, if any; unless it is one of OPEN_AGENTS the third list changes nothing.
+    """
     said = asked(c)
-    by_phrase = (F.when(text.phrase(said, *words), F.lit(agent)) for agent, words in phrases or PHRASES)
+    may = [F.lit(True) if current is None or k != 2 else F.coalesce(current, F.lit("")).isin(*OPEN_AGENTS) for k in range(len(phrases or PHRASES))]
+    by_phrase = (F.when(ok & text.phrase(said, *words), F.lit(agent)) for ok, (agent, words) in zip(may, phrases or PHRASES, strict=True))
     by_intent = (F.when(intent.isin(*intents), F.lit(agent)) for agent, intents in (routes or ROUTES).items())
     return F.coalesce(*by_phrase, *by_intent, F.lit("fallback"))
 

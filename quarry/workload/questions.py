@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import questions
 from quarry.tables import table
+from quarry.workload.graph import KEY
 
 #: A part asks the template of its number; {} is its name.
 TEMPLATES = """
@@ -34,6 +35,39 @@ def question_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("id", questions.quick_intent("q").alias("intent"), questions.last_words("q").alias("term"))
 
 
+def _intent(c: Column | str) -> Column:
+    return F.coalesce(questions.quick_intent(c), questions.intent_and_term(c)["intent"])
+
+
+def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term that each question's intent yields, and whether the graph answers it by itself."""
+    intent = _asked(spark, sf_dir).withColumn("intent", _intent("q"))
+    return intent.select("id", "intent", questions.term_of("q", F.col("intent")).alias("term"), questions.direct(F.col("intent")).alias("direct"))
+
+
+#: Messages on other matters, of which each customer and part sends one; {} is a name.
+MESSAGES = """
+Monte minha grade com {}, por favor|Quantas horas para me formar em {}?|Quais as novidades de {}?|Tem edital de {}?|Você tem ementa de {}?|O que é o curso de {}?
+Como funciona {}?|Me fale mais sobre a {}.|Que materias devo cursar depois de {}|O que está acontecendo em {} hoje|requisitos para {} e plano de estudos|bom dia {}
+""".strip().replace("\n", "|").split("|")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("p_partkey") % len(MESSAGES) + 1).cast("int"))
+    name = F.expr("if(p_size % 2 = 0, p_brand, p_name)")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(said, F.lit("{}"), name).alias("text"))
+
+
+def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("id", F.explode(questions.kinds("text")).alias("kind"))
+
+
+def question_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on what a programme (brand) is; those with a course's (part's) name aren't."""
+    part = table(spark, sf_dir, "part")
+    return questions.overviews(_messages(spark, sf_dir), part.selectExpr("p_name AS name"), part.selectExpr("p_brand AS name"))
+
+
 def _route(c: Column | str) -> Column:
     return questions.route(c, questions.intent_and_term(c)["intent"])
 
@@ -95,7 +129,38 @@ def _items(kind: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array({body}, ',| e |;'), lambda p: trim(p, ' .?!')), lambda p: length(p) >= {3 if kind == 'current' else 1})"
 
 
+def _found(name: str, pattern: str) -> str:
+    last = questions._groups(pattern)
+    bare = ["regexp_replace(trim(regexp_extract(q, {}, {})), '[?.,!]+$', '')".format(_text(pattern), k) for k in range(1, last + 1)]
+    one = _CLEAN.format(f"regexp_extract(q, {_text(pattern)}, {last})")
+    if last == 2:
+        one = " || ':' || ".join(reversed(bare) if name == "trajectory_planning" and pattern.startswith("quero chegar em") else bare)
+    elif name == "trajectory_planning":
+        no = _text(questions.NO_TARGET)
+        one = f"CASE WHEN regexp_matches(q, {no}) THEN regexp_replace(trim(regexp_extract(q, {no}, 1)), '[?.,!]+$', '') || ':' ELSE {one} END"
+    return f"CASE WHEN {_met([pattern])} AND length({one}) >= 2 THEN {one} END"
+
+
+_TERMS = " ".join(f"WHEN {_text(n)} THEN coalesce({', '.join(_found(n, p) for p in patterns)})" for n, patterns in questions.TERMS.items())
+_QUICK = " ".join(f"WHEN {_met(p)} THEN {_text(n)}" for n, p in questions.QUICK)
+_LAST = f"list_filter(list_transform(string_split(q, ' '), lambda x: regexp_replace(x, '[?!.,;:]+$', '')), lambda x: length(x) > 2 AND x NOT IN ({', '.join(map(_text, questions.STOP_WORDS))}))"
+_MESSAGES = f"""WITH a AS (SELECT p_partkey AS id, replace([{", ".join(map(_text, MESSAGES))}][p_partkey % {len(MESSAGES)} + 1], '{{}}', CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END) AS q0 FROM part),
+q AS (SELECT id, trim(regexp_replace(translate(lower(q0), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '\\s+', ' ', 'g')) AS q FROM a)
+"""
+_ANY = lambda parts: "(" + " OR ".join(f"contains(q, {_text(p)})" for p in parts) + ")"
+_OVERVIEW = ", ".join(f"nullif(regexp_replace(regexp_replace(trim(regexp_extract(q, {_text(p)}, 1)), '^[?.! ]+', ''), '[?.! ]+$', ''), '')" for p in questions.OVERVIEW)
+
 SQL = {
+    "question_terms": _ASKED
+    + f"""SELECT id, intent, coalesce(CASE intent {_TERMS} END, array_to_string(w[greatest(len(w) - 2, 1):], ' ')) AS term, coalesce(intent IN ({", ".join(map(_text, questions.DIRECT))}), false) AS direct
+FROM (SELECT *, coalesce(CASE {_QUICK} END, {_INTENT}) AS intent, {_LAST} AS w FROM q)""",
+    "question_kinds": _MESSAGES
+    + f"""SELECT id, kind FROM (SELECT id, unnest([CASE WHEN {_ANY(questions.PLAN)} AND NOT regexp_matches(q, {_text(r"(^|[^\p{L}\p{N}_])(" + "|".join(questions.NO_PLAN) + r")($|[^\p{L}\p{N}_])")}) THEN 'plan' END,
+  CASE WHEN {_ANY(questions.NEWS)} THEN 'news' END, CASE WHEN {_ANY(questions.META)} AND length(q) < {questions.META_LENGTH} THEN 'meta' END]) AS kind FROM q) WHERE kind IS NOT NULL""",
+    "question_overviews": _MESSAGES
+    + f""", n AS (SELECT id, name, {KEY.format("name")} AS k FROM (SELECT id, coalesce({_OVERVIEW}) AS name FROM q) WHERE length(name) >= 2),
+p AS (SELECT DISTINCT p_brand AS programme, {KEY.format("p_brand")} AS pk FROM part)
+SELECT id, name, min(programme) AS programme FROM n JOIN p ON k <> '' AND contains(pk, k) WHERE k NOT IN (SELECT {KEY.format("p_name")} FROM part) GROUP BY id, name""",
     "question_intent": _ASKED + f"SELECT id, {_INTENT} AS intent, {_TERM} AS term FROM q",
     "question_quick": _ASKED
     + f"""SELECT id, CASE {" ".join(f"WHEN {_met(p)} THEN {_text(n)}" for n, p in questions.QUICK)} END AS intent, array_to_string(w[greatest(len(w) - 2, 1):], ' ') AS term

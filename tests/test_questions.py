@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.operators import conversation, questions, repair
 
 CASES = {
@@ -75,3 +77,32 @@ def test_gates(spark):
     asked = {"E os pré-requisitos dela para este curso?": True, "e de Redes?": False, "Quem ensina IHC?": False, "quais?": True, "Quais as disciplinas do curso de computação?": False}
     assert column(spark, asked, conversation.ambiguous("q")) == list(asked.values())
     assert column(spark, ["the evidence is supported", "a evidência"], repair.english("q")) == [True, False]
+
+
+def test_terms_of_intents(spark):
+    cases = [
+        ("Quero chegar em Compiladores. Por onde começo?", "trajectory_planning", "compiladores"), ("Como chegar em Banco de Dados?", "trajectory_planning", "banco de dados"),
+        ("Já cursei cálculo e física, como chego em redes?", "trajectory_planning", "calculo e fisica:redes"), ("Quero chegar em redes, já fiz cálculo.", "trajectory_planning", "calculo:redes"),
+        ("Já fiz algoritmos, o que falta?", "trajectory_planning", "algoritmos:"), ("Quais os pré-requisitos de Cálculo II?", "prerequisite_chain", "calculo ii"),
+        ("E de Física, quais os pré-requisitos?", "prerequisite_chain", "fisica"), ("O que é a Álgebra Linear?", "ementa_disciplina", "algebra linear"), ("Quem dá aula de IA?", "discipline_docentes", "ia"),
+        ("O que tem no termo 4 da Computação?", "disciplinas_termo", "4:computacao"), ("Qual a sala da professora Ana Souza?", "docente_info", "ana souza"),
+        ("Quem leciona X?", "discipline_docentes", "quem leciona x?"), ("disciplinas críticas de redes", "critical_disciplines", "disciplinas criticas redes"), ("Bibliografia de Cálculo em", "ementa_disciplina", "calculo"),
+    ]
+    df = spark.createDataFrame([(i, q, intent) for i, (q, intent, _) in enumerate(cases)], "i int, q string, intent string")
+    got = [r.t for r in df.select("i", questions.term_of("q", F.col("intent")).alias("t")).orderBy("i").collect()]
+    # a term of one letter is no term, so the words that are left are taken
+    want = [w if q != "Quem leciona X?" else "" for q, _, w in cases]
+    assert got == want
+
+
+def test_kinds_routes_and_overviews(spark):
+    said = ["Monta minha grade?", "Quantas horas para me formar?", "Quais as novidades?", "eventos da academia", "Você tem acesso a dados?", "você consegue " + "x" * 120, "oi"]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(said)], "i int, q string")
+    assert [r.k for r in df.select("i", questions.kinds("q", "academia").alias("k")).orderBy("i").collect()] == [["plan"], [], ["news"], ["news"], ["meta"], [], []]
+    rows = spark.createDataFrame([("fale sobre o curso", "cursos"), ("fale sobre o curso", "docentes"), ("fale sobre o curso", None), ("quem leciona isso", "cursos")], "q string, agent string")
+    routed = [r.a for r in rows.select(questions.route("q", F.lit(None).cast("string"), current=F.col("agent")).alias("a")).collect()]
+    assert routed == ["fallback", "disciplinas", "disciplinas", "docentes"]
+    asked = spark.createDataFrame([(1, "O que é o curso de Computação?"), (2, "como funciona redes?"), (3, "me fale sobre a computação gráfica"), (4, "o que é x"), (5, "quando?")], "id long, text string")
+    out = questions.overviews(asked, spark.createDataFrame([("Redes",)], "name string"), spark.createDataFrame([("Ciência da Computação",), ("Redes de Dados",)], "name string"))
+    assert [tuple(r) for r in out.collect()] == [(1, "computacao", "Ciência da Computação")]
+    assert [r.d for r in spark.createDataFrame([("dependents",), ("faqs",), (None,)], "i string").select(questions.direct(F.col("i")).alias("d")).collect()] == [True, False, False]
