@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.lineage import checkpoint, remove, shared_dir
-from quarry.operators import retrieval, splitting
+from quarry.operators import regulations, retrieval, splitting
 from quarry.sources.vectors import VectorStore
 from quarry.tables import table
 from quarry.workload.graph import KEY
@@ -128,6 +128,22 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "chunk", "total", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
+#: Weights for texts of the given tables, as the fixed ones are for Portuguese.
+RULES = {"the": 3, "license": 12, "quan": 7, "und ": 4, "ment": 2, "eletiva": 8}
+
+
+def regulation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of made-up kinds for every benchmark item, which asks for a term, an acronym and electives too; the semantic list is of ids alike."""
+    kind = "element_at(array('question', 'objective', 'term', 'summary', 'article'), int(doc_id % 5) + 1)"
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS doc", "concat(text, if(doc_id % 3 = 0, ' pergunta', ''), if(doc_id % 7 = 0, ' eletiva', ''), if(doc_id % 11 = 0, ' grupo', '')) AS text", f"{kind} AS kind",
+        "if(doc_id % 4 = 0, concat('X', doc_id % 9), '') AS acronym", "int(doc_id % 10 + 1) AS number",
+    )
+    asked = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query", "concat(substring(text, 1, 60), ' no ', element_at(array('segundo termo', 'termo 7', 'dia 3o'), int(item_id % 3) + 1), ' de x', item_id % 9, if(item_id % 2 = 0, ' grupo', '')) AS text")
+    semantic = asked.select("query").join(docs.select("doc"), F.expr("query % 50 = doc % 50")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc"))).where("rank <= 8")
+    return regulations.united(regulations.by_weight(docs, asked, RULES), semantic, docs)
+
+
 def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in chunks of 1,500 characters at the best separators, with their source as header where a text is cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -278,6 +294,22 @@ f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM
   SELECT query, doc, rank FROM nr WHERE rank <= 20 UNION ALL SELECT query, doc, rank FROM same WHERE rank <= 12) GROUP BY ALL),
 t AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank, doc, score FROM f QUALIFY rank <= 20)
 SELECT *, round((count(*) OVER (PARTITION BY query) - rank + 1) / count(*) OVER (PARTITION BY query), 6) AS position_score FROM t""",
+    "regulation_candidates": f"""WITH d AS (SELECT doc_id AS doc, text || CASE WHEN doc_id % 3 = 0 THEN ' pergunta' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' eletiva' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN ' grupo' ELSE '' END AS text,
+  ['question', 'objective', 'term', 'summary', 'article'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 4 = 0 THEN 'x' || doc_id % 9 ELSE '' END AS acronym, doc_id % 10 + 1 AS number FROM documents),
+q AS (SELECT item_id AS query, lower(strip_accents(substr(text, 1, 60) || ' no ' || ['segundo termo', 'termo 7', 'dia 3o'][item_id % 3 + 1] || ' de x' || item_id % 9 || CASE WHEN item_id % 2 = 0 THEN ' grupo' ELSE '' END)) AS q FROM benchmark),
+l AS (SELECT *, lower(strip_accents(text)) AS s FROM d),
+t AS (SELECT *, list_distinct(regexp_extract_all(q, '([a-zà-ú0-9]+)', 1)) AS qt FROM q), u AS (SELECT *, list_distinct(regexp_extract_all(s, '([a-zà-ú0-9]+)', 1)) AS dt FROM l),
+f AS (SELECT query, number, count(*) AS n FROM q, (SELECT unnest([{", ".join(f"{{'n': {n}, 'f': '{w}'}}" for n in range(1, 11) for w in regulations.forms(n))}], recursive := true)) x(number, form) WHERE contains(q, form) GROUP BY ALL),
+c AS (SELECT query, doc, kind, {" + ".join(f"CASE WHEN contains(q, '{w}') AND contains(s, '{w}') THEN {n} ELSE 0 END" for w, n in RULES.items())}
+  + CASE kind WHEN 'question' THEN 10 WHEN 'objective' THEN 3 WHEN 'summary' THEN 5 ELSE 0 END
+  + CASE WHEN kind = 'question' AND contains(s, 'pergunta') THEN 5 * len(list_filter(list_intersect(qt, dt), lambda w: length(w) > 3)) ELSE 0 END
+  + CASE WHEN acronym <> '' AND list_contains(qt, acronym) THEN 15 ELSE 0 END + CASE WHEN kind = 'term' THEN 20 * coalesce(f.n, 0) ELSE 0 END
+  + CASE WHEN kind IN ('term', 'summary', 'electives') AND (contains(q, 'eletiva') OR contains(q, 'grupo')) THEN CASE WHEN contains(s, 'eletiva') AND contains(s, 'grupo') THEN 12 WHEN contains(s, 'eletiva') OR contains(s, 'grupo') THEN 6 ELSE 0 END ELSE 0 END AS score
+  FROM t CROSS JOIN u LEFT JOIN f USING (query, number)),
+w AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM c WHERE score > 0 QUALIFY place <= 10),
+m AS (SELECT query, doc, 1000000 + row_number() OVER (PARTITION BY query ORDER BY doc) AS place FROM q JOIN d ON query % 50 = doc % 50 QUALIFY place <= 1000008),
+o AS (SELECT query, doc, place FROM (FROM w UNION ALL FROM m) JOIN d USING (doc) QUALIFY row_number() OVER (PARTITION BY query, substr(text, 1, 120) ORDER BY place, doc) = 1)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY place, doc)::INTEGER AS rank, doc FROM o QUALIFY rank <= 8""",
     "folded_texts": "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents",
     "chunk_documents": f"SELECT doc_id, chunk, total, length(text)::INTEGER AS size, md5(text) AS digest FROM {_CHUNKS.format('documents')}",
     "vector_store_versions": f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
