@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,13 +68,9 @@ def weighted_overlap(sections: DataFrame, queries: DataFrame, fields: dict[str,
     """
     asked = checkpoint(queries.select("query", F.explode("tokens").alias("token")).distinct())
     tokens = few(asked.select("token").distinct(), MAX_BROADCAST_TERMS)
-    # each section's tokens with their weights, of which only those that queries hold are shuffled
-
-    def weighing(weight: float):
-        return lambda token: F.struct(token.alias("token"), F.lit(float(weight)).alias("w"))
-
-    weighted = F.flatten(F.array(*(F.transform(F.array_distinct(c), weighing(weight)) for c, weight in fields.values())))
-    postings = sections.select("id", F.inline(weighted)).join(tokens, "token").groupBy("id", "token").agg(F.sum("w").alias("w"))
+    # of each field's tokens only those that queries hold get a weight and are shuffled
+    held = [sections.select("id", F.explode(F.array_distinct(c)).alias("token")).join(tokens, "token").withColumn("w", F.lit(float(weight))) for c, weight in fields.values()]
+    postings = functools.reduce(DataFrame.unionAll, held).groupBy("id", "token").agg(F.sum("w").alias("w"))
     scored = postings.join(asked, "token").groupBy("query", "id").agg(F.sum("w").alias("score")).where(F.col("score") >= floor)
     return best(scored, "query", "id", k)
 
