@@ -19,7 +19,8 @@ at least 0.8. The steps:
 
 Words are runs of characters other than ASCII white space, unchanged. A text of one to four words
 has one shingle, all its words. Defined results: texts without words and null texts have no links; of rows that share a doc_id each different text is a document of
-its own with a row of its own, and repeated rows count once; a null doc_id has no links and a null class, and all rows without one share one row; an empty table stays empty.
+its own with a row of its own, and repeated rows count once; a null doc_id has no links and a null class, and all rows without one share one row; an empty table stays empty; all shingles of
+a text of any length count, and one of more than a block's words is sketched by itself.
 Only the id and text columns are read.
 """
 

@@ -11,7 +11,7 @@ notices the words of a wide stretch repeat and anchor nothing. The most matched
 notices are found one by one, a text without probes costs one scan, and whole texts of any length are read. A notice that is broken by an insertion is found as long as
 what stands in the stretch reaches `least`: one that pushes more than (1 - least) of it beyond half its length is missed.
 
-Words are runs of ASCII letters and digits, in lower case. Defined results: null and empty texts yield no row; rows with equal ids are scanned one by one; ties
+Words are runs of ASCII letters and digits, in lower case. Defined results: null and empty texts yield no row; rows with equal ids, or without one, are scanned one by one; ties
 of coverage go to the earlier stretch; an empty table, or one without notices, gives no rows; only the id and text columns are read.
 """
 

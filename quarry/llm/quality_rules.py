@@ -15,7 +15,7 @@ repeated three-word windows to words, letters A to Z to characters of words (sho
 Words are runs of characters other than ASCII white space, from whole texts. Defined results: a null text has no words; null
 languages and sources are groups of their own. Documents with fewer than 50 words, or with more than half of their words in repeated windows, fail
 the base rules and are left out of the sketches; if none is left, there are no fences and nothing else fails. Repeated rows count each and get equal verdicts; a value
-at a fence is inside; an empty table stays empty. Columns of the names added are replaced, all others pass, whatever their name.
+at a fence is inside; an empty table stays empty; texts of any length are measured whole, in arrays of their words. Columns of the names added are replaced, all others pass, whatever their name.
 """
 
 from __future__ import annotations

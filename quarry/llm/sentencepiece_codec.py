@@ -11,8 +11,8 @@ that doesn't hold is segmented in one go. Unknown parts of a block of texts adva
 
 Spaces are the model's U+2581, with one in front of the text, as its own rules say; a U+2581 in a text goes through byte pieces.
 
-Defined results: a null text has no pieces and decodes to null; an empty text has no pieces and decodes to an empty one; repeated rows are coded each; an empty
-table stays empty. Columns of the names added are replaced, all others pass.
+Defined results: a null text has no pieces and decodes to null; an empty text has no pieces and decodes to an empty one; repeated rows are coded each; texts of any length are coded whole, their parts some at a
+time; an empty table stays empty. The model's own normaliser is left out, so that decoding gives back every text. Columns of the names added are replaced, all others pass.
 """
 
 from __future__ import annotations

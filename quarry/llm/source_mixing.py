@@ -13,7 +13,7 @@ Weights default to tempered shares mass**ALPHA. Given ones are a map from source
 weight 0 and vanish. Weights are normalised over the sources that occur.
 
 Defined results: null is a source of its own; a null text has no mass, so its source's rate follows the rest, and a source
-without any mass is left out; equal rows draw equal counts; a null id draws as the text 'null'; an empty table stays empty. Added columns: n_copies,
+without any mass is left out; equal rows draw equal counts; a null id draws as the text 'null'; texts of any length count whole and pass as they are; an empty table stays empty. Added columns: n_copies,
 copy (from 1), rate, shuffle_key; columns of these names are replaced, all others pass, whatever their name.
 """
 

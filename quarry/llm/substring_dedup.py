@@ -16,7 +16,8 @@ task's block of 400,000 words the first hash decides alone, which adds a tenth o
 
 Defined results: a null or empty text has no words and comes back with no removal; a text of fewer
 than `width` words is kept whole; of equal ids neither is smaller, so a repeated row loses nothing to
-its twin; rows with a null id count as larger than every id; an empty table stays empty. Other columns, of whatever name but
+its twin; rows with a null id count as larger than every id; an empty table stays empty; a text of more than a block's
+words is a block of its own, hashed whole. Other columns, of whatever name but
 those added (n_words, n_removed, removed, kept), are passed through.
 """
 

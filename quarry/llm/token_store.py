@@ -20,7 +20,7 @@ Chunks are dealt by digest and recipes by a running number of their task, so equ
 their digests and that number. Chunks with more than HOT references are looked up apart, in a table of at most
 a HOT-th of all references' rows, which is broadcast if it is small and else met by salted keys.
 
-Defined results: a null text is empty and so one id, END. Rows with equal ids are documents of their own, in order of their digests; null ids come first; an
+Defined results: a null text is empty and so one id, END; a text of more than BLOCK_BYTES is encoded by itself, whole, and cut into chunks like others. Rows with equal ids are documents of their own, in order of their digests; null ids come first; an
 empty table makes an empty store. Only the id and text columns are read.
 """
 
