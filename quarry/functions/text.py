@@ -117,6 +117,13 @@ def html_title(c: Column | str) -> Column:
     return F.coalesce(first("h1"), first("title"))
 
 
+def site_title(c: Column | str, site: str) -> Column:
+    """A page's title without what follows a dash or bar and the site's name, in any case."""
+    import re
+
+    return squeeze(F.regexp_replace(html_title(c), rf"(?i)\s*[-|]\s*{re.escape(site)}.*$", ""))
+
+
 def html_links(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(r'href="([^"#]+)"'), 1))
 

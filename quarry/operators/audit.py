@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators.closure import depths
 
 
@@ -142,6 +143,28 @@ def enrolment_check(wanted: DataFrame, passed: DataFrame, needs: DataFrame) -> D
     )
 
 
+def requirement_seed(students: DataFrame, seeds: DataFrame, evening: str = "noturno", day: str = "integral") -> DataFrame:
+    """(student, seed): the seed of requirements for each student's programme: of those of its acronym the one of its shift, else the first. Students whose acronym has none have no row.
+
+    students: (student, acronym, programme), whose text names the evening shift or is of the day; seeds: (acronym, shift, at, seed), at their order.
+    """
+    wanted = students.select("student", F.upper(F.coalesce("acronym", F.lit(""))).alias("acronym"), F.when(F.contains(text.fold(F.coalesce("programme", F.lit(""))), F.lit(evening)), evening).otherwise(day).alias("shift"))
+    known = seeds.select("acronym", F.col("shift").alias("of"), "at", "seed")
+    best = F.struct((F.col("of") != F.col("shift")).alias("other"), F.col("at"))
+    return wanted.join(known, "acronym").groupBy("student").agg(F.min_by("seed", best).alias("seed"))
+
+
+def plan_events(plan: DataFrame) -> DataFrame:
+    """(student, seq, event, payload): a plan told step by step, as rows of JSON: start, a semester each with its courses, and done with the totals. plan: (student, semester, course, credits)."""
+    by = plan.groupBy("student", "semester").agg(F.array_sort(F.collect_list("course")).alias("courses"), F.sum("credits").cast("long").alias("credits"))
+    order = Window.partitionBy("student").orderBy("semester")
+    each = by.select("student", F.row_number().over(order).cast("long").alias("seq"), F.lit("semester").alias("event"), F.to_json(F.struct("semester", "courses", "credits")).alias("payload"))
+    whole = by.groupBy("student").agg(F.count("*").alias("semesters"), F.sum(F.size("courses")).alias("courses"), F.sum("credits").alias("credits"))
+    start = whole.select("student", F.lit(0).cast("long"), F.lit("start"), F.to_json(F.struct("semesters")))
+    done = whole.select("student", (F.col("semesters") + 1), F.lit("done"), F.to_json(F.struct("courses", "credits")))
+    return each.unionAll(start).unionAll(done)
+
+
 def requirement_matrix(requirements: DataFrame, accomplished: DataFrame) -> DataFrame:
     """(student, requirement, required, done, met): met is true, false, or null where nothing is known.
 

@@ -134,6 +134,11 @@ def path_confidence(edges: DataFrame, layers: DataFrame) -> DataFrame:
     return layers.join(least, "course").where("confidence < 1").select("target", "course", "confidence")
 
 
+def failure_report(edges: DataFrame, parity: DataFrame) -> DataFrame:
+    """failure_impact() with the terms in which each course is offered. parity: (course, parity), as from audit.offer_parity; null where it has none."""
+    return failure_impact(edges).join(parity.select(F.col("course").alias("node"), "parity"), "node", "left")
+
+
 def failure_impact(edges: DataFrame) -> DataFrame:
     """(node, direct, transitive, depth, critical): what failing a course blocks; depth is the longest of the shortest distances."""
     reach = descendants(edges)

@@ -108,3 +108,17 @@ def source_counts(chunks: DataFrame) -> DataFrame:
 def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("r = 1").drop("r")
+
+
+def overview(courses: DataFrame, electives: DataFrame, coordinators: DataFrame) -> DataFrame:
+    """(programme, section, item, courses, credits, names): what a programme offers: a row for each term (section term), each group of electives (electives) and the whole (total), with its
+    coordinators as names. courses: (programme, term, course, name, credits), without a term where it isn't fixed; electives: (programme, group, course, name, credits); coordinators: (programme, name)."""
+    totals = F.countDistinct("course").alias("courses"), F.sum("credits").cast("long").alias("credits")
+    listed = F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("names")
+    terms = courses.where("term IS NOT NULL").groupBy("programme", F.col("term").cast("string").alias("item")).agg(*totals, listed)
+    groups = electives.groupBy("programme", F.col("group").cast("string").alias("item")).agg(*totals, listed)
+    whole = courses.where("term IS NOT NULL").groupBy("programme").agg(*totals)
+    led = coordinators.groupBy("programme").agg(listed)
+    total = whole.join(led, "programme", "left").select("programme", F.lit("total"), F.lit(""), "courses", "credits", F.coalesce("names", F.lit("")))
+    rows = lambda df, section: df.select("programme", F.lit(section).alias("section"), "item", "courses", "credits", "names")
+    return rows(terms, "term").unionAll(rows(groups, "electives")).unionAll(total)

@@ -75,6 +75,30 @@ def weighted_overlap(sections: DataFrame, queries: DataFrame, fields: dict[str,
     return best(scored, "query", "id", k)
 
 
+def expanded(tokens: Column, acronyms: dict[str, list[str]]) -> Column:
+    """Distinct tokens, with the words that the acronyms among them stand for."""
+    if not acronyms:
+        return F.array_distinct(tokens)
+    table = F.create_map(*(x for a, words in acronyms.items() for x in (F.lit(a), F.array(*map(F.lit, words)))))
+    more = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(tokens, more))
+
+
+#: What a question's token counts in a section's title, in the path of its page, and in the first characters of its text, and the least that a section must have.
+TITLE, PATH, BODY, HEAD, KEYWORD = 2.0, 1.5, 1.0, 1000, 2.0
+
+
+def site_sections(sections: DataFrame, questions: DataFrame, acronyms: dict[str, list[str]], stop_words: tuple[str, ...] = (), k: int = 2) -> DataFrame:
+    """(query, rank, id, score): the k sections of a site that share the most with each question, by title, path and text. sections: (id, url, title, text); questions: (query, text)."""
+    cut = lambda c: text.token_set(c, stop_words=stop_words, acronyms=tuple(acronyms))
+    asked = questions.select("query", expanded(cut(F.coalesce("text", F.lit(""))), acronyms).alias("tokens"))
+    fields = {
+        "title": (cut(F.coalesce("title", F.lit(""))), TITLE), "path": (cut(F.coalesce(text.path_words("url"), F.lit(""))), PATH),
+        "text": (cut(F.substring(F.coalesce("text", F.lit("")), 1, HEAD)), BODY),
+    }
+    return weighted_overlap(sections, asked, fields, k, KEYWORD)
+
+
 def fuse(*ranked: DataFrame, k: int = 60, n: int = 10) -> DataFrame:
     """(query, rank, doc, score): reciprocal rank fusion of (query, doc, rank) lists."""
     rows = None

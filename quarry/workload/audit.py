@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import tables
-from quarry.operators import audit
+from quarry.operators import audit, curriculum
 from quarry.sources import records
 from quarry.tables import table, with_views
 
@@ -143,6 +143,26 @@ def plan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = with_views("transcript")
 _PASSED = with_views("dag", "courses", "transcript") + ", passed AS (SELECT DISTINCT student, course FROM transcript WHERE grade >= 5)"
+def requirement_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments' first letters as acronyms, with every third one in the evening; nations are the seeds, of either shift, in their order."""
+    students = table(spark, sf_dir, "customer").selectExpr("c_custkey AS student", "substring(lower(c_mktsegment), 1, 1) AS acronym", "if(c_custkey % 3 = 0, 'Curso NOTURNO', c_name) AS programme")
+    seeds = table(spark, sf_dir, "nation").selectExpr("element_at(split('A B F M', ' '), int(n_nationkey % 4) + 1) AS acronym", "if(n_nationkey % 8 < 4, 'integral', 'noturno') AS shift", "n_nationkey AS at", "n_name AS seed")
+    return audit.requirement_seed(students, seeds.where("acronym <> 'F' OR shift = 'integral'"))
+
+
+def plan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passed courses by their term, told as a plan's events."""
+    courses = tables.courses(spark, sf_dir).select("course", F.col("term").alias("semester"), "credits")
+    return audit.plan_events(tables.passed(spark, sf_dir).join(courses, "course"))
+
+
+def programme_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as programmes: parts of sizes divisible by 7 are electives, in three groups; suppliers of numbers up to 30 lead."""
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS course", "p_name AS name", "p_brand AS programme", "2 + p_size % 5 AS credits", "if(p_size % 7 = 0, null, 1 + p_size % 10) AS term", "1 + p_size % 3 AS group")
+    led = tables.teaches(spark, sf_dir).where("teacher <= 30").join(part.select("course", "programme"), "course").join(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS teacher", "s_name AS name"), "teacher")
+    return curriculum.overview(part, part.where("term IS NULL"), led.select("programme", "name")).withColumn("names", F.md5("names"))
+
+
 def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's order lines written as a transcript, in three shapes, and read back; every fifth one states a mean that is off."""
     line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber AS n", "1000 + l_partkey % 9000 AS code", "cast(l_quantity AS int) AS credits", "round(l_discount * 100, 1) AS grade")
@@ -161,6 +181,21 @@ def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "requirement_seed": """WITH s AS (SELECT ['A', 'B', 'F', 'M'][n_nationkey % 4 + 1] AS acronym, CASE WHEN n_nationkey % 8 < 4 THEN 'integral' ELSE 'noturno' END AS shift, n_nationkey AS k, n_name FROM nation),
+c AS (SELECT c_custkey AS student, upper(substr(c_mktsegment, 1, 1)) AS acronym, CASE WHEN c_custkey % 3 = 0 THEN 'noturno' ELSE 'integral' END AS want FROM customer)
+SELECT student, arg_min(n_name, (shift <> want, k)) AS seed FROM c JOIN s USING (acronym) WHERE acronym <> 'F' OR shift = 'integral' GROUP BY student""",
+    "plan_events": _PASSED
+    + """, b AS (SELECT student, term AS semester, list_sort(list(course)) AS c, sum(credits)::BIGINT AS credits FROM passed JOIN courses USING (course) GROUP BY ALL),
+w AS (SELECT student, count(*) AS n, sum(len(c))::BIGINT AS courses, sum(credits)::BIGINT AS credits FROM b GROUP BY student)
+SELECT student, row_number() OVER (PARTITION BY student ORDER BY semester) AS seq, 'semester' AS event,
+  '{"semester":' || semester || ',"courses":[' || array_to_string(c, ',') || '],"credits":' || credits || '}' AS payload FROM b
+UNION ALL SELECT student, 0, 'start', '{"semesters":' || n || '}' FROM w UNION ALL SELECT student, n + 1, 'done', '{"courses":' || courses || ',"credits":' || credits || '}' FROM w""",
+    "programme_overview": with_views("teaches")
+    + """, p AS (SELECT p_partkey AS course, p_name AS name, p_brand AS programme, 2 + p_size % 5 AS credits, CASE WHEN p_size % 7 <> 0 THEN 1 + p_size % 10 END AS term, 1 + p_size % 3 AS g FROM part),
+l AS (SELECT programme, string_agg(DISTINCT s_name, '; ' ORDER BY s_name) AS names FROM teaches JOIN p USING (course) JOIN supplier ON s_suppkey = teacher WHERE teacher <= 30 GROUP BY programme)
+SELECT programme, 'term' AS section, term::VARCHAR AS item, count(*) AS courses, sum(credits)::BIGINT AS credits, md5(string_agg(DISTINCT name, '; ' ORDER BY name)) AS names FROM p WHERE term IS NOT NULL GROUP BY ALL
+UNION ALL SELECT programme, 'electives', g::VARCHAR, count(*), sum(credits)::BIGINT, md5(string_agg(DISTINCT name, '; ' ORDER BY name)) FROM p WHERE term IS NULL GROUP BY ALL
+UNION ALL SELECT programme, 'total', '', courses, credits, md5(coalesce(names, '')) FROM (SELECT programme, count(*) AS courses, sum(credits)::BIGINT AS credits FROM p WHERE term IS NOT NULL GROUP BY programme) LEFT JOIN l USING (programme)""",
     "transcript_summary": """WITH r AS (SELECT o_custkey AS student, l_linenumber % 3 AS shape, l_quantity::INTEGER AS credits, round(l_discount * 100, 1) AS grade FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT student, count(*) AS courses, sum(credits)::BIGINT AS credits, count(*) FILTER (shape = 2) AS running,
   (sum(grade::DECIMAL(6,2) * credits) FILTER (shape < 2))::DOUBLE / sum(credits) FILTER (shape < 2) AS exact FROM r GROUP BY student)

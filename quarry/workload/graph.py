@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import text
-from quarry.operators import closure, cycles, graph, orders, similarity, validation
+from quarry.operators import audit, closure, cycles, graph, orders, similarity, validation
 from quarry.tables import table, with_views
 
 STAR = (
@@ -176,6 +176,12 @@ def failure_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.failure_impact(tables.prerequisites(spark, sf_dir))
 
 
+def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failing a course blocks, and when it is offered; courses of size 50 have no fixed term."""
+    offers = tables.courses(spark, sf_dir).join(table(spark, sf_dir, "part").where("p_size < 50").selectExpr("p_partkey AS course"), "course", "left_semi").select("course", "term")
+    return closure.failure_report(tables.prerequisites(spark, sf_dir), audit.offer_parity(offers))
+
+
 def _structure(spark: SparkSession, sf_dir: str, threshold: float = 0.08) -> DataFrame:
     return similarity.structural(similarity.signatures(tables.prerequisites(spark, sf_dir), tables.teaches(spark, sf_dir)), threshold)
 
@@ -381,6 +387,9 @@ claimed AS (
 SELECT kind, course, value, CASE WHEN count(fact) = 0 THEN 'unknown'
   WHEN max(CASE WHEN kind = 'code' THEN replace(value, 'no. ', '') = fact ELSE contains(fact, lower(value)) OR contains(lower(value), fact) END) THEN 'ok' ELSE 'violation' END AS verdict
 FROM claimed LEFT JOIN known USING (kind, course) GROUP BY kind, course, value""",
+    "failure_report": REACH
+    + """SELECT src AS node, count(*) FILTER (hops = 1) AS direct, count(*) AS transitive, max(hops)::INTEGER AS depth, count(*) FILTER (hops = 1) >= 2 AS critical,
+  any_value(CASE WHEN p_size < 50 THEN CASE WHEN (1 + p_size % 10) % 2 = 1 THEN 'odd' ELSE 'even' END END) AS parity FROM reach JOIN part ON p_partkey = src GROUP BY src""",
     "failure_impact": REACH
     + """SELECT src AS node, count(*) FILTER (hops = 1) AS direct, count(*) AS transitive, max(hops)::INTEGER AS depth, count(*) FILTER (hops = 1) >= 2 AS critical FROM reach GROUP BY src""",
     "structural_similarity": _STRUCTURE + "SELECT * FROM structure",

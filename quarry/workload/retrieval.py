@@ -46,6 +46,22 @@ def keyword_weighted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir)
 
 
+#: Acronyms of the questions' words, for a site of the given pages.
+EXPANSIONS = {"the": ["thention", "statre"], "und": ["ungheiten"], "que": ["quemente"]}
+
+
+def site_sections_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sections of a site, for each benchmark item; words of six letters or more that stand in many texts are left out."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", text.html_title("html").alias("title"), text.html_to_text("html").alias("text"))
+    return retrieval.site_sections(pages, _questions(spark, sf_dir), EXPANSIONS, ("example", "quemente"))
+
+
+def page_site_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with a site's name added after a dash, without it again."""
+    named = F.regexp_replace("html", r"(?is)(</h1>|</title>)", " - The SITE of page$1")
+    return table(spark, sf_dir, "pages").select("page_id", text.site_title(named, "the site").alias("title"))
+
+
 def regulation_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("the", "license", 15.0), ("of", "apache", 10.0), ("and", "version", 5.0), ("de", "licensed", 5.0), ("der", "released", 8.0)]
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text")
@@ -236,6 +252,7 @@ hit AS (SELECT query, doc, round(sum(qf * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.7
 bm25 AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank, doc, score FROM hit)"""
 _FOLD = "translate(lower({0}), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy')"
 _SET = "list_distinct(list_filter(regexp_extract_all(" + _FOLD + ", '[a-z0-9]+'), lambda w: length(w) > 3))"
+_SITE = "list_distinct(list_filter(regexp_extract_all(" + _FOLD + ", '[a-z0-9]+'), lambda w: (length(w) > 3 OR w IN ('the', 'und', 'que')) AND w NOT IN ('example', 'quemente')))"
 _KEYWORD = f"""
 kd AS (SELECT doc_id AS id, {_SET.format("split_part(text, chr(10), 1)")} AS title, {_SET.format("text")} AS body FROM documents),
 kp AS (SELECT id, unnest(title) AS token, 2.0::DOUBLE AS w FROM kd UNION ALL SELECT id, unnest(body), 1.0 FROM kd),
@@ -260,6 +277,14 @@ _CHUNKS = """(SELECT doc_id, chunk::INTEGER AS chunk, total::INTEGER AS total, s
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM bm25 WHERE rank <= 10",
     "keyword_weighted_topk": f"WITH {_KEYWORD} SELECT * FROM kr WHERE rank <= 12",
+    "site_sections_topk": f"""WITH p AS (SELECT page_id AS id, url, coalesce(nullif({_HTML.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, ''), nullif({_HTML.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '')) AS title, {_HTML.format("html")} AS text FROM pages),
+d AS (SELECT id, {_SITE.format("coalesce(title, '')")} AS t, {_SITE.format("regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[/_.-]+', ' ', 'g')")} AS u, {_SITE.format("substr(text, 1, 1000)")} AS b FROM p),
+k AS (SELECT id, unnest(t) AS token, 2.0::DOUBLE AS w FROM d UNION ALL SELECT id, unnest(u), 1.5 FROM d UNION ALL SELECT id, unnest(b), 1.0 FROM d),
+q0 AS (SELECT item_id AS query, {_SITE.format("text")} AS t FROM benchmark),
+q AS (SELECT query, unnest(list_distinct(t || {" || ".join(f"CASE WHEN list_contains(t, '{a}') THEN {w} ELSE []::VARCHAR[] END" for a, w in EXPANSIONS.items())})) AS token FROM q0),
+s AS (SELECT query, id, sum(w) AS score FROM q JOIN k USING (token) GROUP BY ALL HAVING sum(w) >= 2)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM s QUALIFY rank <= 2""",
+    "page_site_titles": f"""SELECT page_id, coalesce(nullif({_HTML.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, ''), nullif({_HTML.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '')) AS title FROM pages""",
     "regulation_keyword_score": f"""WITH r AS (SELECT * FROM (VALUES ('the', 'license', 15.0::DOUBLE), ('of', 'apache', 10), ('and', 'version', 5), ('de', 'licensed', 5), ('der', 'released', 8)) t(asked, word, weight)),
 a AS (SELECT item_id AS query, unnest(list_distinct({TOKENS.format("text")})) AS asked FROM benchmark),
 w AS (SELECT query, word, weight FROM a JOIN r USING (asked) UNION ALL SELECT query, asked, 20 FROM a WHERE length(asked) > 6),
