@@ -330,7 +330,7 @@ def bucket_rows(sig):
     """Rows (key, i, j, node, bytes), sorted, of all buckets of several members."""
     at = {}
     for node, s in enumerate(sig):
-        for band in range(jaccard_join.BANDS):
+        for band in range(jaccard_join.HASHES // jaccard_join.band_rows(jaccard_join.THRESHOLD)):
             at.setdefault((band, *s[4 * band : 4 * band + 4].tolist()), []).append(node)
     rows = [(k, 0, 0, node, jaccard_join.one_byte(sig[node]).tobytes()) for k, nodes in enumerate(at.values()) if len(nodes) > 1 for node in nodes]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], ["key", "i", "j", "node", "bytes"]) for i in range(0, len(rows), 50)]
@@ -362,7 +362,7 @@ def test_links_connect_what_pruning_leaves(monkeypatch, together):
     edges = set()
     for a in range(len(sig)):
         for b in range(a):
-            share = any((sig[a][4 * k : 4 * k + 4] == sig[b][4 * k : 4 * k + 4]).all() for k in range(jaccard_join.BANDS))
+            share = any((sig[a][4 * k : 4 * k + 4] == sig[b][4 * k : 4 * k + 4]).all() for k in range(jaccard_join.HASHES // jaccard_join.band_rows(jaccard_join.THRESHOLD)))
             if share and all((low[a][:n] == low[b][:n]).sum() >= m for n, m in least.items()):
                 edges.add((b, a))
 
