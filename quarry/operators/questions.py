@@ -437,3 +437,27 @@ def supposed(c: Column | str) -> Column:
             F.nullif(F.regexp_extract(p, r"de (\d+) creditos?", 1), F.lit("")).try_cast("int").alias("credits"),
         ),
     )
+
+
+#: One grade supposed in all courses; signs that a mean is aimed at, and where it stands.
+UNIFORM = r"(?:passar|tirar|fechar) (?:com |de )?(?:nota )?(\d+[.,]?\d*) em (?:todas|tudo|cada)"
+AIMS = r"\b(?:preciso|necessari|quanto tenho que tirar)\b|\bcr\b.*\b(?:chegar|ficar|subir|bater)\b"
+TARGETS = (r"(?:cr|coeficiente) ?(?:geral ?)?(?:chegar|ficar|ir|subir|bater) (?:a|em|para|pra|ate) (\d+[.,]?\d*)", r"(?:chegar|ficar|ir|subir|bater) (?:a|em|para|pra|ate) (?:cr )?(\d+[.,]\d+)")
+
+
+def _number(found: Column) -> Column:
+    return F.replace(F.nullif(found, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def uniform_grade(c: Column | str) -> Column:
+    """The grade that a text supposes in all courses; null in others."""
+    return _number(F.regexp_extract(asked(c), UNIFORM, 1))
+
+
+def target_mean(c: Column | str) -> Column:
+    """The mean that a text aims at: the first that stands in it, if it says that it is aimed at; null in others."""
+    said = asked(c)
+    first, second = (F.regexp_extract(said, rf"^(?s)(.*?){p}", 2) for p in TARGETS)
+    before = [F.length(F.regexp_extract(said, rf"^(?s)(.*?){p}", 1)) for p in TARGETS]
+    earlier = F.when((first != "") & ((second == "") | (before[0] <= before[1])), first).otherwise(second)
+    return F.when(said.rlike(AIMS), _number(earlier))

@@ -34,3 +34,22 @@ def activities(c: Column | str) -> Column:
     parts = F.split(text.col(c), r",\s+|[;\n]")
     found = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(p, r"\d+([.,]\d+)?\s*h(ours)?", "")).alias("item"), F.expr("1.0D").alias("hours"), F.regexp_extract(p, r"(\d+([.,]\d+)?)\s*h", 1).alias("raw")))
     return F.transform(F.filter(found, lambda s: s["raw"] != ""), lambda s: F.struct(s["item"].alias("item"), F.replace(s["raw"], F.lit(","), F.lit(".")).cast("double").alias("hours")))
+
+
+#: Where a list of activities is cut (at marks, line feeds, and before a number), its hours, and the institution that it names.
+CUT = r"[;\n]+|,\s+(?=\d)|\.\s+(?=\d)|\s+e\s+(?:tamb[eé]m\s+)?(?:tenho\s+)?(?=\d)|,\s+(?:tamb[eé]m\s+)?(?:tenho\s+)?(?=\d)"
+HOURS = r"(\d+(?:[.,]\d+)?)\s*h(?:oras?|rs?)?\b"
+INSTITUTION = r"\b(?:na|no|pela|pelo|da|do)\s+([A-ZÀ-Ú][\p{L}\p{N}_.&-]*(?:\s+[A-ZÀ-Ú][\p{L}\p{N}_.&-]*)*)"
+
+
+def declared_activities(c: Column | str) -> Column:
+    """Array of (item, hours, institution) from a list in prose; parts without hours, or with none, are left out. The item is the part as it stands."""
+    parts = F.transform(F.split(text.col(c), CUT), lambda p: F.regexp_replace(p, r"^[ .,-]+|[ .,-]+$", ""))
+    found = F.transform(
+        parts,
+        lambda p: F.struct(
+            p.alias("item"), F.replace(F.nullif(F.regexp_extract(p, HOURS, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double").alias("hours"),
+            F.nullif(F.trim(F.regexp_extract(p, INSTITUTION, 1)), F.lit("")).alias("institution"),
+        ),
+    )
+    return F.filter(found, lambda a: (a["item"] != "") & (a["hours"] > 0))

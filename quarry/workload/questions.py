@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import questions
+from quarry.operators import questions, routing
 from quarry.tables import table
 from quarry.workload.graph import KEY
 
@@ -68,6 +68,21 @@ def question_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.overviews(_messages(spark, sf_dir), part.selectExpr("p_name AS name"), part.selectExpr("p_brand AS name"))
 
 
+def question_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades supposed in all courses, and means aimed at, of a question on every part; some say neither."""
+    said = F.expr("""CASE p_partkey % 5 WHEN 0 THEN concat('Se eu passar com nota ', p_size, ',5 em todas?') WHEN 1 THEN concat('quanto preciso para o CR chegar a ', p_size % 10, ',2')
+        WHEN 2 THEN concat('preciso subir para ', p_size % 10, '.7, e o cr geral ficar em ', p_size % 9) WHEN 3 THEN concat('tirar ', p_size, ' em cada') ELSE concat('chegar a ', p_size, ',5') END""")
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("q"))
+    return asked.select("id", questions.uniform_grade("q").alias("grade"), questions.target_mean("q").alias("mean"))
+
+
+def question_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities declared in one sentence on every part, with hours and institutions."""
+    said = F.expr("concat('Fiz monitoria de ', p_size, 'h na Casa ', p_size, '; ', p_size % 4, ' horas de nada e também ', p_size, ',5 h pela Escola Técnica e 7hrs de ', p_name, '. fim')")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(routing.declared_activities(said)).alias("at", "a"))
+    return rows.select("id", "at", "a.item", "a.hours", "a.institution")
+
+
 def _route(c: Column | str) -> Column:
     return questions.route(c, questions.intent_and_term(c)["intent"])
 
@@ -151,6 +166,13 @@ _ANY = lambda parts: "(" + " OR ".join(f"contains(q, {_text(p)})" for p in parts
 _OVERVIEW = ", ".join(f"nullif(regexp_replace(regexp_replace(trim(regexp_extract(q, {_text(p)}, 1)), '^[?.! ]+', ''), '[?.! ]+$', ''), '')" for p in questions.OVERVIEW)
 
 SQL = {
+    "question_means": """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 3 THEN p_size END::DOUBLE AS grade,
+  CASE p_partkey % 5 WHEN 1 THEN round(p_size % 10 + 0.2, 1) WHEN 2 THEN round(p_size % 10 + 0.7, 1) END::DOUBLE AS mean FROM part""",
+    "question_activities": """WITH a AS (SELECT p_partkey AS id, 'Fiz monitoria de ' || p_size || 'h na Casa ' || p_size AS i1, p_size::DOUBLE AS h1, p_size % 4 || ' horas de nada' AS i2, (p_size % 4)::DOUBLE AS h2,
+  p_size || ',5 h pela Escola Técnica' AS i3, p_size + 0.5::DOUBLE AS h3, '7hrs de ' || p_name || '. fim' AS i4 FROM part),
+u AS (SELECT id, 0 AS k, i1 AS item, h1 AS hours, 'Casa' AS institution FROM a UNION ALL SELECT id, 1, i2, h2, NULL FROM a WHERE h2 > 0
+  UNION ALL SELECT id, 2, i3, h3, 'Escola Técnica' FROM a UNION ALL SELECT id, 3, i4, 7.0, NULL FROM a)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS "at", item, hours::DOUBLE AS hours, institution FROM u WHERE hours > 0""",
     "question_terms": _ASKED
     + f"""SELECT id, intent, coalesce(CASE intent {_TERMS} END, array_to_string(w[greatest(len(w) - 2, 1):], ' ')) AS term, coalesce(intent IN ({", ".join(map(_text, questions.DIRECT))}), false) AS direct
 FROM (SELECT *, coalesce(CASE {_QUICK} END, {_INTENT}) AS intent, {_LAST} AS w FROM q)""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import conversation, questions, repair
+from quarry.operators import conversation, questions, repair, routing
 
 CASES = {
     "Quero chegar em Compiladores. Por onde começo?": ("trajectory_planning", "compiladores"),
@@ -106,3 +106,17 @@ def test_kinds_routes_and_overviews(spark):
     out = questions.overviews(asked, spark.createDataFrame([("Redes",)], "name string"), spark.createDataFrame([("Ciência da Computação",), ("Redes de Dados",)], "name string"))
     assert [tuple(r) for r in out.collect()] == [(1, "computacao", "Ciência da Computação")]
     assert [r.d for r in spark.createDataFrame([("dependents",), ("faqs",), (None,)], "i string").select(questions.direct(F.col("i")).alias("d")).collect()] == [True, False, False]
+
+
+def test_means_and_activities(spark):
+    said = [("E se eu fechar com 7,5 em todas?", 7.5, None), ("tirar nota 8 em cada uma", 8.0, None), ("tirar 8 em cada", 8.0, None), ("Quanto preciso tirar para o CR chegar a 8?", None, 8.0), ("quero o cr bater em 7.25", None, 7.25),
+            ("preciso chegar em 6,5 no coeficiente geral ficar para 9", None, 6.5), ("chegar a 8,0", None, None), (None, None, None)]
+    df = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(said)], "i int, q string")
+    got = [(r.g, r.m) for r in df.select("i", questions.uniform_grade("q").alias("g"), questions.target_mean("q").alias("m")).orderBy("i").collect()]
+    assert got == [(g, m) for _, g, m in said]
+    text = "Fiz 40h de monitoria na UFX, 20 horas de extensão pela Casa Azul e também tenho 10hrs de curso; palestra sem horas\n0h de nada. 2,5 h no Museu"
+    row = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(routing.declared_activities("t").alias("a")).collect()
+    assert [tuple(a) for a in row[0].a] == [
+        ("Fiz 40h de monitoria na UFX", 40.0, "UFX"), ("20 horas de extensão pela Casa Azul", 20.0, "Casa Azul"), ("10hrs de curso", 10.0, None), ("2,5 h no Museu", 2.5, "Museu"),
+    ]
+    assert row[1].a == [] and row[2].a is None
