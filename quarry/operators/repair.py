@@ -31,6 +31,30 @@ def repair_links(found: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("id", "url", F.when(F.col("fine"), F.col("url")).otherwise(F.coalesce("fixed", "url")).alias("fixed"))
 
 
+#: What a URL in a text is, and marks after it that don't belong to it.
+URL, AFTER = r"https?://[^\s<>)\]\"']+", r"[.,;:!?]+$"
+
+
+def links_in_text(answer: Column | str, context: Column | str) -> Column:
+    """The answer with each URL that its context lacks replaced by the context's only one with the same fragment, else by its only one whose last path segment, of six characters or more, is the same.
+
+    Marks after a URL stay; others, and answers without a context, stay as they are.
+    """
+    said, known = text.col(answer), F.array_distinct(F.regexp_extract_all(F.coalesce(text.col(context), F.lit("")), F.lit(URL), 0))
+    fragment = lambda u: F.when(F.contains(u, F.lit("#")), F.regexp_extract(u, r"^[^#]*#(.*)$", 1))
+    last = lambda u: F.substring_index(F.regexp_replace(F.substring_index(u, "#", 1), "/+$", ""), "/", -1)
+    only = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+    def fixed(whole: Column) -> Column:
+        url = F.regexp_replace(whole, AFTER, "")
+        by_fragment = only(F.filter(known, lambda k: fragment(k) == fragment(url)))
+        by_tail = F.when(F.length(last(url)) >= 6, only(F.filter(known, lambda k: last(k) == last(url))))
+        return F.when(F.array_contains(known, url), whole).otherwise(F.coalesce(F.concat(F.coalesce(by_fragment, by_tail), F.regexp_extract(whole, AFTER, 0)), whole))
+
+    between, urls = F.split(said, URL), F.transform(F.regexp_extract_all(said, F.lit(URL), 0), fixed)
+    return F.array_join(F.zip_with(between, urls, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
 def english(c: Column | str, least: int = 3) -> Column:
     """Whether at least `least` of the English words stand in the text, as substrings."""
     low = F.lower(text.col(c))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import grounding
 
 
 def files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -101,6 +102,13 @@ def articles(files_: DataFrame) -> DataFrame:
     return joined.select("path", "number", "heading", F.substring(body, 1, 500).alias("body"), F.filter(refers, lambda n: n != F.col("number")).alias("refers_to"))
 
 
+def organ_mentions(articles_: DataFrame, organs: DataFrame) -> DataFrame:
+    """(path, number, organ): the organs that articles name as whole words, also by another name, not within a longer one. articles: as from articles(); organs: (name, organ)."""
+    texts = articles_.select(F.struct("path", "number").alias("id"), F.col("body").alias("text"))
+    found = grounding.outermost(grounding.spans(texts, organs.select("name", F.col("organ").alias("target"))))
+    return found.select("id.path", "id.number", F.col("target").alias("organ")).distinct()
+
+
 def questions(files_: DataFrame) -> DataFrame:
     """(path, at, question, answer): pairs of **Pergunta:** and **Resposta:**."""
     pair = r"(?s)\*\*Pergunta:\*\*(.*?)\*\*Resposta:\*\*(.*?)(?=\*\*Pergunta:|\n#|\z)"

@@ -11,7 +11,7 @@ from quarry import tables
 from quarry.functions import dates, text, urls
 from quarry.lineage import checkpoint, remove, shared_dir
 from quarry.operators import closure, grounding, names, repair, retrieval, routing, validation
-from quarry.sources import grids, web
+from quarry.sources import grids, markdown, web
 from quarry.streaming import events, state
 from quarry.tables import table, with_views
 from quarry.workload import dialogue
@@ -36,6 +36,24 @@ def link_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_links(found, pages)
 
 
+def answer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers on pages with links that were cut or changed, against contexts of two pages of which only one has the fragment."""
+    page = table(spark, sf_dir, "pages").selectExpr("page_id", "concat('https://site.example/a/section-', page_id) AS url")
+    context = F.expr("concat('see ', url, '#part', page_id, ' and (', url, '-other) or https://site.example/b')")
+    said = F.expr("concat('At https://site.exam/section-', page_id, ', or <http://x.org/y#part', page_id, '>. Also https://site.example/b! https://site.example/zz')")
+    return page.select("page_id", repair.links_in_text(said, context).alias("answer"))
+
+
+def organs_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions as organs that articles, one for each supplier, name: a nation alone, or with its region as a longer name."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    organs = nation.selectExpr("n_name AS name", "n_name AS organ").unionAll(region.selectExpr("r_name", "r_name")).unionAll(named.selectExpr("concat('Council da ', n_name, ' ', r_name)", "concat(r_name, '/', n_name)"))
+    said = table(spark, sf_dir, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = said.selectExpr("'rules' AS path", "cast(s_suppkey AS int) AS number", "if(s_suppkey % 2 = 0, concat('The council, ', n_name, ' (', r_name, ').'), concat('As ', lower(n_name), ' says, ', r_name)) AS body")
+    return markdown.organ_mentions(rows, organs)
+
+
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(repair.english("text")).alias("english"), F.count("*").alias("documents"))
 
@@ -261,6 +279,9 @@ SQL = {
     "link_repair": f"""WITH f AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '://[^/]+', '://broken.example') ELSE url END AS url FROM pages),
 u AS (SELECT {_TAIL.format("url")} AS tail, min(url) AS fixed FROM (SELECT DISTINCT url FROM pages) GROUP BY 1 HAVING count(*) = 1)
 SELECT id, f.url, CASE WHEN f.url IN (SELECT url FROM pages) THEN f.url ELSE coalesce(u.fixed, f.url) END AS fixed FROM f LEFT JOIN u ON u.tail = {_TAIL.format("f.url")}""",
+    "answer_links": """SELECT page_id, 'At https://site.example/a/section-' || page_id || '#part' || page_id || ', or <https://site.example/a/section-' || page_id || '#part' || page_id || '>. Also https://site.example/b! https://site.example/zz' AS answer FROM pages""",
+    "organs_named": """WITH s AS (SELECT s_suppkey::INTEGER AS number, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT 'rules' AS path, number, unnest(CASE WHEN number % 2 = 0 THEN [r_name || '/' || n_name] ELSE [n_name, r_name] END) AS organ FROM s""",
     "language_gate": "SELECT lang, count(*) FILTER ("
     + " + ".join(f"contains(lower(text), '{w}')::INT" for w in repair.ENGLISH)
     + " >= 3) AS english, count(*) AS documents FROM documents GROUP BY lang",

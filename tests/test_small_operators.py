@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import audit, curriculum, retrieval
-from quarry.sources import sinks
+from quarry.operators import audit, curriculum, repair, retrieval
+from quarry.sources import markdown, sinks
 
 
 def test_requirement_seed(spark):
@@ -59,3 +59,20 @@ def test_crawls_and_results_as_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first().terms == ["a", "b"]
     back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "csv")).first()
     assert (back.id, json.loads(back.terms), json.loads(back.scores)) == ("1", ["a", "b"], {"k": 0.5})
+
+
+def test_links_in_text(spark):
+    context = "https://a.org/x/long-tail#one https://a.org/y/long-tail2 https://b.org/c#two https://d.org/c#two (https://e.org/same-tail) https://f.org/same-tail/"
+    cases = [
+        ("see http://bad/long-tail2.", "see https://a.org/y/long-tail2."), ("http://bad/q#one!", "https://a.org/x/long-tail#one!"), ("http://bad/c#two", "http://bad/c#two"), ("http://bad/same-tail", "http://bad/same-tail"),
+        ("https://b.org/c#two, and http://bad/long-tail/", "https://b.org/c#two, and https://a.org/x/long-tail#one"), ("none", "none"), ("", ""), (None, None), ("http://bad/long-tail2http", "http://bad/long-tail2http"),
+    ]
+    rows = spark.createDataFrame([(i, a, context) for i, (a, _) in enumerate(cases)], "i int, a string, c string")
+    assert [r.o for r in rows.select("i", repair.links_in_text("a", "c").alias("o")).orderBy("i").collect()] == [w for _, w in cases]
+    assert rows.limit(1).select(repair.links_in_text("a", F.lit(None).cast("string")).alias("o")).first().o == "see http://bad/long-tail2."
+
+
+def test_organ_mentions(spark):
+    articles = spark.createDataFrame([("p", 1, "A Câmara de Graduação e o Conselho Universitário (CONSU)."), ("p", 2, "a câmara"), ("p", 3, None)], "path string, number int, body string")
+    organs = spark.createDataFrame([("Câmara", "Câmara"), ("Câmara de Graduação", "Câmara de Graduação"), ("Conselho Universitário", "Conselho Universitário"), ("CONSU", "Conselho Universitário")], "name string, organ string")
+    assert sorted(map(tuple, markdown.organ_mentions(articles, organs).collect())) == [("p", 1, "Conselho Universitário"), ("p", 1, "Câmara de Graduação"), ("p", 2, "Câmara")]
