@@ -247,10 +247,12 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events taken in as a stream, each id once, and counted by hour from what the stream wrote."""
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
-    query = events.run(events.distinct_events(stream, "3650 days"), f"{place}/out", f"{place}/checkpoint")
+    query = events.run(events.distinct_events(stream), f"{place}/out", f"{place}/checkpoint")
     query.awaitTermination()
     by = spark.read.schema(events.EVENTS).parquet(f"{place}/out").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return by.select(F.col("w.start").alias("hour"), "event_type", "n")
+    out = checkpoint(by.select(F.col("w.start").alias("hour"), "event_type", "n"))
+    remove(spark, place)
+    return out
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
