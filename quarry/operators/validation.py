@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.names import containing
 
 
 def claims(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,13 +17,15 @@ def claims(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str
 def check_claims(found: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, claim, verdict): exact if known, part if a known fact (over 5 letters) holds it or it holds one, else unsupported.
 
-    known: (fact). Distinct claims, not documents, meet the facts.
+    known: (fact). Distinct claims, not documents, meet the facts, by pieces of three characters that both have.
     """
     facts = known.select(text.text_key("fact").alias("fact")).where("fact <> ''").distinct()
     one = found.select("claim").distinct()
     exact = one.join(facts, one["claim"] == facts["fact"], "left_semi").withColumn("verdict", F.lit("exact"))
     rest = one.join(exact, "claim", "left_anti")
-    loose = rest.join(facts.where("length(fact) > 5"), F.col("fact").contains(F.col("claim")) | F.col("claim").contains(F.col("fact")), "left_semi").withColumn("verdict", F.lit("part"))
+    long_facts = facts.where("length(fact) > 5")
+    held = containing(rest, "claim", long_facts, "fact").select("claim").unionAll(containing(long_facts, "fact", rest, "claim").select("claim"))
+    loose = held.distinct().withColumn("verdict", F.lit("part"))
     verdicts = exact.unionAll(loose)
     return found.join(verdicts, "claim", "left").select("doc_id", "claim", F.coalesce("verdict", F.lit("unsupported")).alias("verdict"))
 
