@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,7 +90,7 @@ def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float
     """(id, other, score): the n others of each vector with the highest weight * cosine, up to `most`, rounded, and not below `least`; ties to the smaller id.
 
     vectors: (id, v), an id a row; with position, only others of a smaller position count, where either has none (null) those of a smaller depth, if that column is there; with places, an array of
-    (programme, term), only others that orders.allowed() admits; with tied, an array of ids, pairs of which either names the other don't. Every block of vectors meets every other one as packed rows, and n rows a vector and team of blocks leave a task, so
+    (programme, term), only others that orders.allowed() admits; with tied, an array of ids, pairs of which either names the other don't. Every block of vectors meets every other one as packed rows, in tiles of up to TEAM by TEAM blocks, and n rows a vector and tile leave a task, so
     the work is that of all pairs, but the rows are not.
     """
     ordered, bound, placed = ("position" in vectors.columns, "tied" in vectors.columns, "places" in vectors.columns)
@@ -103,9 +105,12 @@ def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float
     rows = checkpoint(rows)
     blocks = max(1, -(-rows.count() // BLOCK))
     packed = checkpoint(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "position", "depth", "places", "tied", "v")).alias("rows")))
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = packed.select(F.col("block").alias("q"), each(-(-blocks // TEAM)).alias("team"), F.lit(True).alias("asked"), "rows")
-    data = packed.select(each(blocks).alias("q"), F.expr(f"block div {TEAM}").cast("int").alias("team"), F.lit(False).alias("asked"), "rows")
+    # teams of blocks on both sides, so that a vector is sent as often as there are teams; small enough for a tile for each partition
+    side = math.ceil(math.sqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = max(1, min(TEAM, blocks // side))
+    each, team = F.explode(F.sequence(F.lit(0), F.lit(-(-blocks // size) - 1))), F.expr(f"block div {size}").cast("int")
+    asked = packed.select(team.alias("q"), each.alias("team"), F.lit(True).alias("asked"), "rows")
+    data = packed.select(each.alias("q"), team.alias("team"), F.lit(False).alias("asked"), "rows")
 
     def run(group: pa.Table) -> pa.Table:
         mask = group.column("asked").combine_chunks()

@@ -33,7 +33,7 @@ def test_overview(spark):
 
 
 def test_site_sections(spark):
-    sections = spark.createDataFrame([(1, "https://x.org/sjc/bolsa-auxilio", "Apoio", "texto"), (2, "https://x.org/nae", "Núcleo de Apoio", None), (3, None, None, "bolsa " * 300)], "id int, url string, title string, text string")
+    sections = spark.createDataFrame([(1, "https://x.org/a/bolsa-auxilio", "Apoio", "texto"), (2, "https://x.org/nae", "Núcleo de Apoio", None), (3, None, None, "bolsa " * 300)], "id int, url string, title string, text string")
     asked = spark.createDataFrame([(1, "Como pedir bolsa?"), (2, "onde fica o NAE"), (3, None)], "query int, text string")
     rows = retrieval.site_sections(sections, asked, {"nae": ["nucleo", "apoio"]}, ("como",)).collect()
     # bolsa counts 1.5 in a path and 1 in a text: both below 2; the acronym stands in a path, its words in titles
