@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors and queries of one task at most, and queries that are answered at once.
-VECTOR_BLOCK, QUERY_BLOCK, AT_ONCE = 16384, 16384, 128
+#: Vectors and queries of one task at most, the components of either (8 MB as doubles; a task holds some ten such matrices), and queries that are answered at once.
+VECTOR_BLOCK, QUERY_BLOCK, CELLS, AT_ONCE = 16384, 16384, 1 << 20, 128
 FIRST_STEP = 64
 
 
@@ -119,10 +119,11 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, scale: int = 1024
         F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dims"),
     )
     chosen = common.checkpoint(chosen)  # row numbers hold from here on
-    count, asked = chosen.agg(F.count("*"), F.count_if("is_query")).first()
+    count, asked, widest = chosen.agg(F.count("*"), F.count_if("is_query"), F.max("dims")).first()
+    vectors_each, queries_each = (max(1, min(most, CELLS // (widest or 1))) for most in (VECTOR_BLOCK, QUERY_BLOCK))
     cores = chosen.sparkSession.sparkContext.defaultParallelism
-    v_blocks = max(-(-count // VECTOR_BLOCK), min(2 * cores, -(-count // 1024)), 1)
-    q_blocks = max(-(-asked // QUERY_BLOCK), 1)
+    v_blocks = max(-(-count // vectors_each), min(2 * cores, -(-count // 1024)), 1)
+    q_blocks = max(-(-asked // queries_each), 1)
 
     def each(n: int, name: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)

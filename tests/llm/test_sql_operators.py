@@ -423,3 +423,14 @@ def test_low_thresholds_find_their_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in jaccard_join.similarity_groups(docs, threshold=0.3).collect()}
     assert len(alike) > 30 and {i for i in range(60) if got[2 * i + 1] == 2 * i} == alike
+
+
+def test_wide_vectors_make_smaller_blocks(spark, monkeypatch):
+    """Blocks are bounded in components too, and give the same."""
+    draw = np.random.default_rng(11)
+    rows = [(i, draw.normal(size=40).round(2).tolist()) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, topk_search.top_k(vectors, F.col("vec_id") % 10 == 0, 3).collect()))
+    whole = ask()
+    monkeypatch.setattr(topk_search, "CELLS", 40 * 7)
+    assert ask() == whole and len(whole) == 27
