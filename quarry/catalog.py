@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.workload import audit, curriculum, dialogue, graph, questions, retrieval, texts
+from quarry.workload import audit, curriculum, dialogue, files, graph, questions, retrieval, texts
 
-MODULES = (graph, retrieval, audit, dialogue, texts, curriculum, questions)
+MODULES = (graph, retrieval, audit, dialogue, texts, curriculum, questions, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
