@@ -10,6 +10,7 @@ from quarry.operators import curriculum, graph
 from quarry.sources import sections
 from quarry.tables import table, with_views
 from quarry.workload.graph import KEY, _structure, similarity
+from quarry.workload.graph import SQL as GRAPH_SQL
 
 ALIASES = [("steel", "BRAND#11"), ("brass things", "BRAND#12"), ("nickel", "BRAND#99")]
 TOPICS = ["steel", "economy", "standard brass", "small things"]
@@ -81,7 +82,12 @@ def sections_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = lambda c: f"list_distinct(list_transform(string_split({KEY.format(c)}, ' '), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' THEN substr(x, 1, length(x) - 1) ELSE x END))"
+_PREDICT, _MISSING = GRAPH_SQL["predict_missing"].rsplit("SELECT course, prereq", 1)
 SQL = {
+    "enrichment_notes": f"""{_PREDICT.rstrip()}, pm AS (SELECT course, prereq{_MISSING}),
+a AS (SELECT course, string_agg("similar"::VARCHAR, ', ' ORDER BY rank) AS s FROM top GROUP BY course),
+b AS (SELECT course, string_agg(DISTINCT prereq::VARCHAR, ', ' ORDER BY prereq::VARCHAR) AS p FROM pm GROUP BY course)
+SELECT course, length(concat_ws(chr(10), 'Similar: ' || s, 'Likely needs: ' || p))::INTEGER AS size FROM a FULL JOIN b USING (course)""",
     "listed_courses": f"""WITH c AS (SELECT p_partkey AS course, 'C' || p_partkey AS code, p_name AS name, {KEY.format("p_name")} AS k FROM part),
 n AS (SELECT DISTINCT k FROM c WHERE course IN (3, 4, 5))
 SELECT course, code, name, course % 50 = 0 OR k IN (SELECT k FROM n) AS listed FROM c
@@ -123,4 +129,4 @@ SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1)::INTEGER AS
   ELSE 'info' END AS section FROM conversations) SELECT section, count(*) AS turns FROM s GROUP BY section""",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "enrichment_notes")}
+QUERIES = {name: globals()[name] for name in SQL}
