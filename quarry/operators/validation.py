@@ -114,3 +114,39 @@ def routing_accuracy(routed: DataFrame, group: str) -> DataFrame:
 def judge_score(c: Column | str) -> Column:
     """A judge's number from text: an integer clamped to 0..5; 0 if there is none."""
     return F.least(F.greatest(F.coalesce(F.regexp_extract(text.col(c), r"(-?\d{1,9})", 1).try_cast("int"), F.lit(0)), F.lit(0)), F.lit(5))
+
+
+_ITEMS, _NUMBERED, _TABLE = r"[-*•]\s+\w", r"\d\.\s+\w", r"\|"
+#: What shows that an answer of a kind is there, tried in order, over its lower case without accents: patterns of which all must be met, with the sign that they are; and what it lacks without any.
+SIGNS: dict[str, tuple[list[tuple[list[str], str]], str]] = {
+    "trajectory_planning": ([(["caminho|pre-requisito|prerequisito|sequencia|→|->|antes|ordem"], "trajectory_keywords_found"), ([r"\d\."], "ordered_list_found")], "no_trajectory_indicators"),
+    "critical_disciplines": ([([_TABLE, "---"], "markdown_table_found"), (["critica|importante|dependente", _ITEMS], "critical_list_found")], "no_critical_table_or_list"),
+    "co_prerequisite": ([([_ITEMS], "list_found"), ([_NUMBERED], "numbered_list_found"), (["nenhuma|nao ha"], "explicit_empty_result")], "no_list_found"),
+    "prerequisite_chain": ([(["pre-requisito|prerequisito|dependente|necessario|precisa|antes|desbloqueia|disciplina"], "prereq_keywords_found"), ([f"{_ITEMS}|{_NUMBERED}"], "list_found")], "no_prereq_indicators"),
+    "discipline_docentes": ([(["docente|professor|leciona|responsavel|ministra"], "docente_keywords_found")], "no_docente_keywords"),
+    "listar": ([([f"{_ITEMS}|{_NUMBERED}"], "list_found"), ([_TABLE], "table_found")], "no_list_or_table"),
+}
+#: Other names of these kinds; signs of an error in answers of other kinds; the least characters of an answer.
+SAME = {"prereq": "prerequisite_chain", "dependentes": "prerequisite_chain", "termo": "listar"}
+ERRORS, SHORTEST = "nao encontr|error|falha|timeout", 10
+
+
+def verified(answer: Column | str, kind: Column | str) -> Column:
+    """struct(ok, why): whether a symbolic answer shows what one of its kind must; a null or short one is empty, one of another kind only mustn't tell of an error."""
+    said, name = text.strip(text.fold(F.coalesce(text.col(answer), F.lit("")))), F.coalesce(text.col(kind), F.lit(""))
+    for other, own in SAME.items():
+        name = F.when(name == other, own).otherwise(name)
+
+    def met(patterns: list[str]) -> Column:
+        out = F.lit(True)
+        for p in patterns:
+            out = out & said.rlike(p)
+        return out
+
+    verdict = lambda ok, why: F.struct(F.lit(ok).alias("ok"), F.lit(why).alias("why"))
+    by_kind = F.when(F.length(said) < SHORTEST, verdict(False, "empty_response"))
+    for own, (signs, lack) in SIGNS.items():
+        for patterns, why in signs:
+            by_kind = by_kind.when((name == own) & met(patterns), verdict(True, why))
+        by_kind = by_kind.when(name == own, verdict(False, lack))
+    return by_kind.when(said.rlike(ERRORS), verdict(False, "error_in_response")).otherwise(verdict(True, "non_empty_response"))

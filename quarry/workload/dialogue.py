@@ -98,6 +98,21 @@ def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.check_claims(found, facts)
 
 
+#: Answers of many kinds, of which each part gets one; {} is its name.
+ANSWERS = [
+    "O caminho é {}", "1. {} e depois", "texto sobre {} apenas", "tabela | {} |---", "disciplina importante:\n- {}", "nenhuma disciplina além de {}", "Precisa de {} antes",
+    "A professora leciona {}", "- {}\n- outro item", "não encontrei nada sobre {}", "curto",
+]
+
+
+def verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether symbolic answers of all kinds show what they must, each answer asked of one kind."""
+    kinds = [*validation.SIGNS, "prereq", "other"]
+    at = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(at(ANSWERS), F.lit("{}"), F.col("p_name")).alias("answer"), at(kinds).alias("kind"))
+    return rows.select("id", validation.verified("answer", "kind").alias("v")).select("id", "v.ok", "v.why")
+
+
 def debate_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).where("role = 'assistant'").selectExpr("conv_id AS question", "turn AS answer", "text")
     facts, bad = F.regexp_count("text", F.lit("the")), F.regexp_count("text", F.lit(r"\."))
@@ -163,7 +178,19 @@ g AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts
 sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 24 HOURS AS session_end, count(*) AS events FROM g GROUP BY user_id, g)"""
 _NUMBERS = "(SELECT id, n, count(*) AS c FROM (SELECT doc_id AS id, unnest(regexp_extract_all({0}, '\\d+(?:[.,]\\d+)?')) AS n FROM documents) GROUP BY ALL)"
 
+def _verdicts() -> str:
+    met = lambda patterns: " AND ".join(f"regexp_matches(s, '{p}')" for p in patterns)
+    rules = [f"WHEN kind = '{k}' AND {met(p)} THEN '1{w}'" for k, (signs, _) in validation.SIGNS.items() for p, w in signs]
+    order = [x for k, (signs, lack) in validation.SIGNS.items() for x in (*(r for r in rules if f"kind = '{k}'" in r), f"WHEN kind = '{k}' THEN '0{lack}'")]
+    return f"CASE WHEN length(s) < {validation.SHORTEST} THEN '0empty_response' {' '.join(order)} WHEN regexp_matches(s, '{validation.ERRORS}') THEN '0error_in_response' ELSE '1non_empty_response' END"
+
+
+_PARTED = ", ".join("'" + a.replace("'", "''") + "'" for a in ANSWERS)
 SQL = {
+    "verified_answers": f"""WITH a AS (SELECT p_partkey AS id, strip_accents(lower(replace([{_PARTED}][p_partkey % {len(ANSWERS)} + 1], '{{}}', p_name))) AS s0,
+  {[*validation.SIGNS, "prereq", "other"]}[p_partkey % {len(validation.SIGNS) + 2} + 1] AS k FROM part),
+b AS (SELECT id, regexp_replace(s0, '^\\s+|\\s+$', '', 'g') AS s, CASE k WHEN 'prereq' THEN 'prerequisite_chain' ELSE k END AS kind FROM a)
+SELECT id, v[1] = '1' AS ok, substr(v, 2) AS why FROM (SELECT id, {_verdicts()} AS v FROM b)""",
     "history_window": f"""WITH s AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS r FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || {_SHORT.format("t")}, chr(10) ORDER BY r DESC)) AS digest FROM s WHERE r <= 6 GROUP BY conv_id""",
