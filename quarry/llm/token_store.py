@@ -107,7 +107,7 @@ class UnitIds(dict):
     which it never joins.
     """
 
-    def __init__(self, name: str, bound: int = 300_000):
+    def __init__(self, name: str, bound: int = 600_000):
         super().__init__()
         self.coder, self.bound = tokenizer(name), bound
         self.kind = np.dtype("<u2") if self.coder.get_vocab_size() <= 65536 else np.dtype("<u4")
