@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: What state of this kind needs: Spark's default store has no timers.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 SESSIONS = "key string, started timestamp, ended timestamp, turns long, entity string, items array<string>"
+#: The same with times as microseconds, which no session's time zone changes on their way through pandas.
+_FOUND = SESSIONS.replace("timestamp", "long")
 
 
 def use_store(spark: SparkSession) -> None:
@@ -33,8 +35,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            at = frame["at"].astype("datetime64[us]").astype("int64")
-            for number, micros, entity, item, reset in zip(frame["number"], at, frame["entity"], frame["item"], frame["reset"], strict=True):
+            for number, micros, entity, item, reset in zip(frame["number"], frame["micros"], frame["entity"], frame["item"], frame["reset"], strict=True):
                 if not self.turns.containsKey((int(number),)):
                     self.turns.updateValue((int(number),), (int(micros), entity, item, bool(reset)))
         self._await(self._sessions())
@@ -84,8 +85,7 @@ def summary(session: list[tuple]) -> tuple:
             items = {}
         if item is not None:
             items[item] = None
-    started, ended = (pd.Timestamp(session[k][0], unit="us") for k in (0, -1))
-    return started, ended, len(session), entity, list(items)
+    return session[0][0], session[-1][0], len(session), entity, list(items)
 
 
 def sessions(turns: DataFrame, ttl: str = "24 hours", late: str = "2 hours") -> DataFrame:
@@ -96,8 +96,9 @@ def sessions(turns: DataFrame, ttl: str = "24 hours", late: str = "2 hours") ->
     """
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
     some = turns.where("key IS NOT NULL AND number IS NOT NULL AND at IS NOT NULL")
-    rows = some.select(F.col("key").cast("string").alias("key"), "at", F.col("number").cast("long").alias("number"), "entity", "item", F.coalesce("reset", F.lit(False)).alias("reset"))
-    return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Sessions(ms), SESSIONS, "Append", "eventTime")
+    rows = some.select(F.col("key").cast("string").alias("key"), "at", F.unix_micros("at").alias("micros"), F.col("number").cast("long").alias("number"), "entity", "item", F.coalesce("reset", F.lit(False)).alias("reset"))
+    found = rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Sessions(ms), _FOUND, "Append", "eventTime")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
 
 
 def open_turns(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -15,11 +15,14 @@ TURNS = "key long, at timestamp, number long, entity string, item string, reset
 START = datetime(2024, 1, 1)
 
 
-@pytest.fixture
-def store(spark):
+@pytest.fixture(params=["UTC", "America/Sao_Paulo"])
+def store(spark, request):
     state.use_store(spark)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
     yield
     spark.conf.unset(state.STORE[0])
+    spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def plain(rows):
