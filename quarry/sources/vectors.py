@@ -78,7 +78,7 @@ class VectorStore:
 
     def changes(self, docs: DataFrame) -> DataFrame:
         """(source, change): new, modified, deleted or same, by digest. docs: (source, text). Only digests are shuffled."""
-        after = docs.select(F.col("source").cast("string").alias("source"), F.md5(F.coalesce("text", F.lit(""))).alias("after"))
+        after = docs.where("source IS NOT NULL").select(F.col("source").cast("string").alias("source"), F.md5(F.coalesce("text", F.lit(""))).alias("after"))
         before = self.manifest().select("source", F.col("digest").alias("before"))
         kind = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "deleted").when(F.col("before") == F.col("after"), "same").otherwise("modified")
         return before.join(after, "source", "full_outer").select("source", kind.alias("change"))
@@ -104,7 +104,7 @@ class VectorStore:
         """Bring the store in step with docs (source, text), as decide() says.
 
         chunk: of (source, text) to (source, chunk, total, text); embed: adds embedding. signature names the model and its prefixes. A vector of another dimension is an error, and
-        the version isn't finished; so is a source that stands twice in docs.
+        the version isn't finished; so is a source that stands twice in docs. Rows without a source are left out.
         """
         decision = self.decide(docs, signature, dimension, force)
         if decision.mode == "none":

@@ -41,6 +41,7 @@ def test_life_of_a_store(spark, tmp_path):
     one = rows(store)
     assert one == [("a", 1, 2, "0123456789", [10.0, 0.0, 0.0], 1), ("a", 2, 2, "89abcdef", [8.0, 0.0, 0.0], 1), ("b", 1, 1, "bb", [2.0, 0.0, 0.0], 1), ("c", 1, 1, "", [0.0, 0.0, 0.0], 1)]
     assert store.sync(first, chunk, embed(1.0), "m1", 3) == Decision("none", "no change") and store.versions() == [1]
+    assert store.decide(first.unionAll(frame(spark, [(None, "lost")])), "m1", 3) == Decision("none", "no change")
     # another signature: all is embedded again
     assert store.sync(first, chunk, embed(2.0), "m2", 3) == Decision("rebuild", "signature m1 to m2")
     assert [r[4][0] for r in rows(store)] == [20.0, 16.0, 4.0, 0.0] and rows(store, 1) == one
