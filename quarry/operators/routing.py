@@ -53,3 +53,43 @@ def declared_activities(c: Column | str) -> Column:
         ),
     )
     return F.filter(found, lambda a: (a["item"] != "") & (a["hours"] > 0))
+
+
+#: Accepted activities by axis, each with what a description of it may hold, in lower case without accents. Names of a school's own associations are the caller's to add.
+ACCEPTED: list[tuple[int, str, list[str]]] = [
+    (1, "doação de sangue", ["doacao de sangue", "doei sangue", "doar sangue", "medula", "redome", "hemocentro"]),
+    (1, "atividades artísticas", ["teatro", "danca", "canto", "coral", "banda", "musica", "instrumental", "circo", "performatic", "artistic"]),
+    (1, "concursos culturais ou exposições", ["concurso cultural", "exposicao", "mostra cultural"]),
+    (1, "serviços sociais e voluntariado", ["voluntari", "ong", "servico social", "acao social", "trabalho comunitario", "igreja", "pastoral"]),
+    (1, "atividades de extensão", ["projeto de extensao", "programa de extensao", "acao de extensao", "atividade de extensao", "atividades de extensao", "siex", "extensao universitaria", "curso de extensao"]),
+    (1, "organização de eventos externos", ["organizacao de evento", "organizei evento", "organizar evento"]),
+    (1, "centro acadêmico ou atlética", ["centro academico", "atletica", "bateria universitaria"]),
+    (2, "monitoria, tutoria ou orientação", ["monitoria", "monitor", "tutor", "tutoria", "orientador academico"]),
+    (2, "recepção de estudantes estrangeiros", ["mobilidade internacional", "estudantes estrangeiros", "intercambistas"]),
+    (2, "atividades da DAE", ["dae"]),
+    (2, "atividades do NAE ou NAI", ["nae", "nai", "assistencia estudantil", "acessibilidade e inclusao"]),
+    (2, "orientação sobre os cursos para ensino médio", ["ensino medio", "divulgacao dos cursos", "feira de profissoes"]),
+    (2, "recepção de calouros e matrículas", ["recepcao de calouros", "acolhimento de calouros", "semana de recepcao", "matricula de ingressantes"]),
+    (3, "iniciação científica", ["iniciacao cientifica", "ic ", " ic,", " ic.", "pibic", "pibiti", "bolsista de pesquisa", "pd&i", "pdi", "embrapii", "projeto de pesquisa"]),
+    (3, "empresa júnior ou startup", ["empresa junior", "startup", "start up", "start-up"]),
+    (3, "eventos científicos como ouvinte", ["congresso", "palestra", "ouvinte", "workshop", "semana academica", "evento cientifico", "seminario"]),
+    (3, "apresentação de trabalhos", ["apresentacao de trabalho", "apresentei trabalho", "poster", "artigo em congresso"]),
+    (3, "competições científicas e tecnológicas", ["competicao", "maratona de programacao", "hackathon", "olimpiada", "torneio de robotica"]),
+    (3, "estágio não obrigatório", ["estagio"]),
+    (3, "atividade profissional em C&T", ["atividade profissional", "clt", "carteira assinada", "emprego", "trabalho em empresa", "jovem aprendiz"]),
+    (3, "cursos de línguas estrangeiras", ["ingles", "espanhol", "frances", "alemao", "idioma", "lingua estrangeira", "curso de lingua"]),
+    (3, "UC optativa", ["optativa", "unidade curricular optativa"]),
+    (3, "cursos e capacitações", ["curso online", "curso de", "certificacao", "capacitacao", "treinamento", "bootcamp", "alura", "coursera", "udemy"]),
+]
+
+
+def accepted_activity(c: Column | str, accepted: list[tuple[int, str, list[str]]] | None = None) -> Column:
+    """struct(axis, activity) of the accepted activity with the longest key that a description holds, ties to the first; null if it holds none."""
+    rows = [(axis, activity, key) for axis, activity, keys in accepted or ACCEPTED for key in keys]
+    # the longest first, so that the first that is held is it
+    rows.sort(key=lambda r: -len(r[2]))
+    said = F.concat(F.lit(" "), text.text_key(F.coalesce(text.col(c), F.lit(""))), F.lit(" "))
+    table = F.array(*(F.struct(F.lit(axis).alias("axis"), F.lit(activity).alias("activity"), F.lit(key).alias("key")) for axis, activity, key in rows))
+    first = F.transform(F.array(said), lambda s: F.get(F.filter(table, lambda r: F.contains(s, r["key"])), F.lit(0)))
+    found = F.get(first, F.lit(0))
+    return F.when(found.isNotNull(), F.struct(found["axis"].alias("axis"), found["activity"].alias("activity")))

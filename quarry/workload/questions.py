@@ -83,6 +83,20 @@ def question_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "at", "a.item", "a.hours", "a.institution")
 
 
+#: Descriptions of activities, of which each part has one; {} is its name.
+ACTIVITIES = [
+    "Fiz IC em {}", "Monitoria de {} e palestra", "Curso de língua em {}", "Doação de sangue com {}", "participei do congresso: artigo em congresso sobre {}", "Estágio CLT em {}", "nada de {}",
+    "Teatro e música de {}", "Unidade curricular optativa: {}", "Ensino Médio, feira de profissões", "IC, com {}",
+]
+
+
+def question_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted activity that each described one is."""
+    said = F.element_at(F.array(*map(F.lit, ACTIVITIES)), (F.col("p_partkey") % len(ACTIVITIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(said, F.lit("{}"), F.col("p_name")).alias("q"))
+    return rows.select("id", routing.accepted_activity("q").alias("a")).select("id", "a.axis", "a.activity")
+
+
 def _route(c: Column | str) -> Column:
     return questions.route(c, questions.intent_and_term(c)["intent"])
 
@@ -166,6 +180,10 @@ _ANY = lambda parts: "(" + " OR ".join(f"contains(q, {_text(p)})" for p in parts
 _OVERVIEW = ", ".join(f"nullif(regexp_replace(regexp_replace(trim(regexp_extract(q, {_text(p)}, 1)), '^[?.! ]+', ''), '[?.! ]+$', ''), '')" for p in questions.OVERVIEW)
 
 SQL = {
+    "question_axes": f"""WITH a AS (SELECT p_partkey AS id, ' ' || trim(regexp_replace(strip_accents(lower(replace([{", ".join(map(_text, ACTIVITIES))}][p_partkey % {len(ACTIVITIES)} + 1], '{{}}', p_name))), '\\s+', ' ', 'g')) || ' ' AS q FROM part),
+k AS (SELECT * FROM (VALUES {", ".join(f"({n}, {axis}, {_text(activity)}, {_text(key)})" for n, (axis, activity, key) in enumerate((x, a, w) for x, a, words in routing.ACCEPTED for w in words))}) t(n, axis, activity, key)),
+m AS (SELECT id, arg_min(axis, (-length(key), n)) AS axis, arg_min(activity, (-length(key), n)) AS activity FROM a JOIN k ON contains(q, key) GROUP BY id)
+SELECT id, axis::INTEGER AS axis, activity FROM a LEFT JOIN m USING (id)""",
     "question_means": """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 3 THEN p_size END::DOUBLE AS grade,
   CASE p_partkey % 5 WHEN 1 THEN round(p_size % 10 + 0.2, 1) WHEN 2 THEN round(p_size % 10 + 0.7, 1) END::DOUBLE AS mean FROM part""",
     "question_activities": """WITH a AS (SELECT p_partkey AS id, 'Fiz monitoria de ' || p_size || 'h na Casa ' || p_size AS i1, p_size::DOUBLE AS h1, p_size % 4 || ' horas de nada' AS i2, (p_size % 4)::DOUBLE AS h2,

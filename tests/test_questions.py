@@ -120,3 +120,14 @@ def test_means_and_activities(spark):
         ("Fiz 40h de monitoria na UFX", 40.0, "UFX"), ("20 horas de extensão pela Casa Azul", 20.0, "Casa Azul"), ("10hrs de curso", 10.0, None), ("2,5 h no Museu", 2.5, "Museu"),
     ]
     assert row[1].a == [] and row[2].a is None
+
+
+def test_accepted_activities(spark):
+    cases = {
+        "Fiz IC no laboratório": (3, "iniciação científica"), "monitoria e curso de inglês": (2, "monitoria, tutoria ou orientação"), "Artigo em congresso": (3, "apresentação de trabalhos"), "Música": (1, "atividades artísticas"),
+        "CURSO  DE   LÍNGUA": (3, "cursos de línguas estrangeiras"), "nada": None, "": None, None: None, "fui ouvinte de um workshop": (3, "eventos científicos como ouvinte"),
+    }
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(cases)], "i int, q string").select("i", routing.accepted_activity("q").alias("a")).orderBy("i").collect()
+    assert [None if r.a is None else tuple(r.a) for r in rows] == list(cases.values())
+    own = spark.createDataFrame([("na casa azul",)], "q string").select(routing.accepted_activity("q", [(9, "casa", ["casa"]), (8, "azul", ["azul"])]).alias("a")).first()
+    assert tuple(own.a) == (9, "casa")
