@@ -145,3 +145,24 @@ def failure_impact(edges: DataFrame) -> DataFrame:
     return reach.groupBy("node").agg(
         F.count_if(F.col("hops") == 1).alias("direct"), F.count("*").alias("transitive"), F.max("hops").alias("depth"), (F.count_if(F.col("hops") == 1) >= 2).alias("critical")
     )
+
+
+def highlights(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, node, part, rule): what the graph says of a question by itself (base) and what rules add (inferred), each node once.
+
+    asked: (id, intent, course). prerequisite_chain: the course and what it directly needs; by 'prereq_transitivity' all that these need, by 'co_prerequisite' what is needed together with the
+    course. dependents: the course and what directly needs it. trajectory_planning: the course and what it directly needs, and by 'minimal_path' all that these need. Other intents show nothing.
+    """
+    of = lambda *intents: asked.where(F.col("intent").isin(*intents)).select("id", "intent", "course").distinct()
+    chains = of("prerequisite_chain", "trajectory_planning")
+    reach = ancestors(edges, nodes=chains.select(F.col("course").alias("node")).distinct()).withColumnRenamed("node", "course")
+    rule = F.when(F.col("intent") == "trajectory_planning", "minimal_path").otherwise("prereq_transitivity")
+    near = F.col("hops") == 1
+    above = chains.join(reach, "course").select("id", F.col("ancestor").alias("node"), F.when(near, 0).otherwise(1).alias("rank"), F.when(~near, rule).alias("rule"))
+    own = of("prerequisite_chain", "trajectory_planning", "dependents").select("id", F.col("course").alias("node"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("rule"))
+    pairs = edges.select("src", "dst").distinct()
+    below = of("dependents").join(pairs.withColumnRenamed("src", "course"), "course").select("id", F.col("dst").alias("node"), F.lit(0), F.lit(None).cast("string"))
+    with_it = of("prerequisite_chain").join(pairs.withColumnRenamed("src", "course"), "course").join(pairs.withColumnRenamed("src", "other"), "dst").where("other <> course")
+    together = with_it.select("id", F.col("other").alias("node"), F.lit(2), F.lit("co_prerequisite")).distinct()
+    best = own.unionAll(above).unionAll(below).unionAll(together).groupBy("id", "node").agg(F.min(F.struct("rank", "rule")).alias("b"))
+    return best.select("id", "node", F.when(F.col("b.rank") == 0, "base").otherwise("inferred").alias("part"), F.coalesce("b.rule", F.lit("")).alias("rule"))

@@ -182,6 +182,13 @@ def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.failure_report(tables.prerequisites(spark, sf_dir), audit.offer_parity(offers))
 
 
+def highlight_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of three intents on the courses of sizes up to 10, in turn, and of one that shows nothing."""
+    intent = "element_at(array('prerequisite_chain', 'dependents', 'trajectory_planning', 'faqs'), int(p_partkey % 4) + 1)"
+    asked = table(spark, sf_dir, "part").where("p_size <= 10").selectExpr("p_partkey AS id", f"{intent} AS intent", "p_partkey AS course")
+    return closure.highlights(tables.prerequisites(spark, sf_dir), asked)
+
+
 def _structure(spark: SparkSession, sf_dir: str, threshold: float = 0.08) -> DataFrame:
     return similarity.structural(similarity.signatures(tables.prerequisites(spark, sf_dir), tables.teaches(spark, sf_dir)), threshold)
 
@@ -387,6 +394,14 @@ claimed AS (
 SELECT kind, course, value, CASE WHEN count(fact) = 0 THEN 'unknown'
   WHEN max(CASE WHEN kind = 'code' THEN replace(value, 'no. ', '') = fact ELSE contains(fact, lower(value)) OR contains(lower(value), fact) END) THEN 'ok' ELSE 'violation' END AS verdict
 FROM claimed LEFT JOIN known USING (kind, course) GROUP BY kind, course, value""",
+    "highlight_parts": REACH
+    + """, q AS (SELECT p_partkey AS id, p_partkey % 4 AS i FROM part WHERE p_size <= 10 AND p_partkey % 4 < 3),
+r AS (
+  SELECT id, id AS node, 0 AS rank, '' AS rule FROM q
+  UNION ALL SELECT id, src, CASE WHEN hops = 1 THEN 0 ELSE 1 END, CASE WHEN hops = 1 THEN '' WHEN i = 2 THEN 'minimal_path' ELSE 'prereq_transitivity' END FROM q JOIN reach ON dst = id WHERE i IN (0, 2)
+  UNION ALL SELECT id, dst, 0, '' FROM q JOIN dag ON src = id WHERE i = 1
+  UNION ALL SELECT id, b.src, 2, 'co_prerequisite' FROM q JOIN dag a ON a.src = id JOIN dag b ON b.dst = a.dst AND b.src <> id WHERE i = 0)
+SELECT id, node, CASE WHEN min(rank) = 0 THEN 'base' ELSE 'inferred' END AS part, arg_min(rule, rank) AS rule FROM r GROUP BY id, node""",
     "failure_report": REACH
     + """SELECT src AS node, count(*) FILTER (hops = 1) AS direct, count(*) AS transitive, max(hops)::INTEGER AS depth, count(*) FILTER (hops = 1) >= 2 AS critical,
   any_value(CASE WHEN p_size < 50 THEN CASE WHEN (1 + p_size % 10) % 2 = 1 THEN 'odd' ELSE 'even' END END) AS parity FROM reach JOIN part ON p_partkey = src GROUP BY src""",
