@@ -25,6 +25,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be met by a shuffle whatever its size. A broadcast is chosen by the compressed size of what was shuffled and goes through the driver; in an iteration, once a round."""
+    return df.hint("merge")
+
+
 class Rounds:
     """Tables of an iteration, written to the shared folder. A name holds its latest version only; done() removes all of them.
 

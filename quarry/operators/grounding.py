@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.lineage import checkpoint
+from quarry.lineage import checkpoint, shuffled
 from quarry.operators import graph
 from quarry.operators.names import containing
 
@@ -18,12 +18,22 @@ def spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     row each. Stop-words and punctuation count for nothing on either side.
     """
     keyed = names.select(text.graph_key("name").alias("key"), "target").where("key <> ''").distinct()
+    return _standing(texts, keyed).select("id", "target", "key", "first", "last")
+
+
+def _standing(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The spans (id, key, first, last, ...) of keys in texts, with what else keyed (key, ...) has."""
     words = texts.select("id", F.split(text.graph_key("text"), " ").alias("w")).where("w[0] <> ''")
     sized = keyed.withColumn("n", F.size(F.split("key", " ")))
     lengths = sized.agg(F.collect_set("n").alias("lengths"))  # one row, as many as the longest name has words at most
     runs = words.crossJoin(F.broadcast(lengths)).select("id", "w", F.explode(F.expr("filter(lengths, n -> n <= size(w))")).alias("n"))
     found = runs.select("id", F.col("n").alias("length"), F.posexplode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("first", "key"))
-    return found.join(keyed, "key").select("id", "target", "key", "first", (F.col("first") + F.col("length") - 1).alias("last"))
+    return found.join(keyed, "key").withColumn("last", F.col("first") + F.col("length") - 1).drop("length")
+
+
+def _bounds(names: DataFrame) -> DataFrame:
+    """(key, target, most): the least and the greatest target of each name, which is one row for a name that many have."""
+    return names.select(text.graph_key("name").alias("key"), "target").where("key <> ''").groupBy("key").agg(F.min("target").alias("target"), F.max("target").alias("most"))
 
 
 def outermost(found: DataFrame) -> DataFrame:
@@ -34,7 +44,7 @@ def outermost(found: DataFrame) -> DataFrame:
     one = found.select("id", "first", "last").distinct()
     before = Window.partitionBy("id").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     kept = one.withColumn("reach", F.max("last").over(before)).where("reach IS NULL OR reach < last").drop("reach")
-    return found.join(kept, ["id", "first", "last"])
+    return found.join(shuffled(kept), ["id", "first", "last"])
 
 
 def own_words(people: DataFrame, least: int = 4) -> DataFrame:
@@ -57,27 +67,28 @@ def ground(questions: DataFrame, nodes: DataFrame, keys: dict[str, Column], name
     """
     asked = checkpoint(questions.select("id", "text", "term", text.graph_key(F.coalesce("term", F.lit(""))).alias("key")))
     table = graph.lookup_table(nodes, keys)
-    first = asked.join(table.withColumnRenamed("key", "known"), F.col("key") == F.col("known"), "left")
+    first = asked.join(shuffled(table.withColumnRenamed("key", "known")), F.col("key") == F.col("known"), "left")
     by_key = first.where("node_id IS NOT NULL").select("id", "term", "node_id", F.lit("key").alias("how"))
     rest = checkpoint(first.where("node_id IS NULL").select("id", "text", "term", "key"))
-    held = nodes.select(F.col("node_id").alias("other"), text.graph_key("name").alias("name_key"))
-    pairs = containing(rest.where("key <> ''").select("term", "key").distinct(), "key", held, "name_key")
+    # only the smallest node of a name counts, so names meet terms once, whatever the number of nodes that have them
+    held = nodes.groupBy(text.graph_key("name").alias("name_key")).agg(F.min("node_id").alias("other"))
+    pairs = containing(rest.where("key <> ''").select("key").distinct(), "key", held, "name_key")
     if share_word:
         pairs = pairs.where(F.arrays_overlap(F.split("key", " "), F.split("name_key", " ")))
     part = pairs.groupBy(F.col("key").alias("of")).agg(F.min("other").alias("node_id"))
-    second = checkpoint(rest.join(part, F.col("key") == F.col("of"), "left"))
+    second = checkpoint(rest.join(shuffled(part), F.col("key") == F.col("of"), "left"))
     by_part = second.where("node_id IS NOT NULL").select("id", "term", "node_id", F.lit("part").alias("how"))
     left = second.where("node_id IS NULL").select("id", "text", "term")
     wanted = nodes.select("name", F.col("node_id").alias("target")) if names is None else names
-    seen = longest(outermost(spans(left.select("id", "text"), wanted))).withColumnRenamed("target", "node_id")
-    third = left.join(seen, "id", "left")
+    seen = longest(outermost(_standing(left.select("id", "text"), _bounds(wanted)))).withColumnRenamed("target", "node_id")
+    third = left.join(shuffled(seen), "id", "left")
     if aliases is None:
         return by_key.unionAll(by_part).unionAll(third.select("id", "term", "node_id", F.when(F.col("node_id").isNotNull(), "mention").otherwise("none").alias("how")))
     third = checkpoint(third)
     by_mention = third.where("node_id IS NOT NULL").select("id", "term", "node_id", F.lit("mention").alias("how"))
     rest = third.where("node_id IS NULL").select("id", "text", "term")
-    agreed = spans(rest.select("id", "text"), aliases).groupBy("id").agg(F.countDistinct("target").alias("n"), F.min("target").alias("node_id")).where("n = 1").drop("n")
-    last = rest.join(agreed, "id", "left").select("id", "term", "node_id", F.when(F.col("node_id").isNotNull(), "alias").otherwise("none").alias("how"))
+    agreed = _standing(rest.select("id", "text"), _bounds(aliases)).groupBy("id").agg(F.min("target").alias("node_id"), F.max("most").alias("most")).where("node_id = most").drop("most")
+    last = rest.join(shuffled(agreed), "id", "left").select("id", "term", "node_id", F.when(F.col("node_id").isNotNull(), "alias").otherwise("none").alias("how"))
     return by_key.unionAll(by_part).unionAll(by_mention).unionAll(last)
 
 

@@ -48,3 +48,15 @@ def test_cascade(spark):
     assert [tuple(r) for r in loose.collect()] == [(1, "omputa", "B", "part")]
     strict = grounding.ground(spark.createDataFrame([(1, "", "omputa")], "id long, text string, term string"), nodes, keys, share_word=True)
     assert [tuple(r) for r in strict.collect()] == [(1, "omputa", None, "none")]
+
+
+def test_names_of_many_nodes(spark):
+    """Thousands of nodes of one name meet a question once, by the least of them; an alias of several targets agrees on none."""
+    nodes = spark.range(30_000).selectExpr("cast(id AS string) AS node_id", "if(id % 2 = 0, 'small green box', 'tall lamp') AS name")
+    asked = spark.range(20_000).selectExpr("id", "CASE id % 4 WHEN 0 THEN 'of small green box say' WHEN 1 THEN 'one tall lamp' WHEN 2 THEN 'by ann' ELSE 'by bob' END AS text", "if(id % 8 = 0, 'green', '?') AS term")
+    aliases = spark.createDataFrame([("ann", "A"), ("bob", "B"), ("bob", "C")], "name string, target string")
+    out = grounding.ground(asked, nodes, {"name": text.graph_key("name")}, aliases=aliases)
+    assert {(r.node_id, r.how): r["count"] for r in out.groupBy("node_id", "how").count().collect()} == {("0", "part"): 2500, ("0", "mention"): 2500, ("1", "mention"): 5000, ("A", "alias"): 5000, (None, "none"): 5000}
+    # spans that a term's stages look at: one for each question and name
+    left = asked.where("id % 4 < 2").select("id", "text")
+    assert grounding._standing(left, grounding._bounds(nodes.selectExpr("name", "node_id AS target"))).count() == 10_000
