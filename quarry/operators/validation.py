@@ -66,15 +66,24 @@ def preserved(pairs: DataFrame, before: str, after: str, least: float = 0.9) ->
 
 def list_items_kept(before: Column | str, after: Column | str, least: float = 0.9, share: float = 0.6, few: int = 3) -> Column:
     """Whether the items of a list (bullets or numbers) are still there: at least `least` of them with `share` of their words of four letters or more somewhere in
-    the text after; true for lists of fewer than `few` items."""
+    the text after; true for lists of fewer than `few` items.
+
+    Words are runs of letters, so one stands in a text if one of the text's own runs holds it: only distinct words that equal none of these are looked for in them.
+    """
     items = F.regexp_extract_all(text.col(before), F.lit(r"(?m)^[ \t]*(?:[-•*]|\d+[.)])[ \t]+([^\n]+)$"), 1)
-    low = F.lower(text.col(after))
+    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{4,})"), 1)
+    # what a function's variable holds is worked out once, not for each word
+    let = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))
+
+    def lost(words: Column, there: Column) -> Column:
+        return let(F.array_join(there, " "), lambda all_: F.filter(F.array_except(F.flatten(words), there), lambda w: ~F.contains(all_, w)))
 
-    def kept(item: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(item), F.lit(r"(\p{L}{4,})"), 1)
-        return F.size(F.filter(words, lambda w: low.contains(w))) >= share * F.size(words)
+    def enough(words: Column, gone: Column) -> Column:
+        kept = lambda own: F.size(F.filter(own, lambda w: ~F.array_contains(gone, w))) >= share * F.size(own)
+        return (F.size(words) < few) | (F.size(F.filter(words, kept)) >= least * F.size(words))
 
-    return (F.size(items) < few) | (F.size(F.filter(items, kept)) >= least * F.size(items))
+    there = F.array_distinct(runs(F.coalesce(text.col(after), F.lit(""))))
+    return let(F.transform(items, runs), lambda words: let(let(there, lambda t: lost(words, t)), lambda gone: enough(words, gone)))
 
 
 def accuracy(rated: DataFrame, group: list[str]) -> DataFrame:
