@@ -180,12 +180,13 @@ def centroids(vectors: DataFrame, label: str = "label", v: str = "v") -> DataFra
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def route(vectors: DataFrame, centers: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(id, route, score): the label of the nearest centroid, or null below the threshold. Labels are few: centers is broadcast only up to 1,000."""
+def route(vectors: DataFrame, centers: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(id, route, score): the label of the nearest centroid, or null below the threshold, if there is one. Labels are few: centers is broadcast only up to 1,000."""
     small = centers.limit(1001).count() <= 1000
     scored = vectors.select("id", "v").crossJoin(F.broadcast(centers) if small else centers).select("id", "label", F.round(cosine(F.col("v"), F.col("centroid")), 6).alias("score"))
     top = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("label"))).alias("m"))
-    return top.select("id", F.when(F.col("m.score") >= threshold, -F.col("m.label")).alias("route"), F.col("m.score").alias("score"))
+    label = -F.col("m.label")
+    return top.select("id", (label if threshold is None else F.when(F.col("m.score") >= threshold, label)).alias("route"), F.col("m.score").alias("score"))
 
 
 def adaptive_threshold(scored: DataFrame, ceiling: float = 0.55, margin: float = 0.15) -> DataFrame:
