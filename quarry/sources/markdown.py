@@ -77,7 +77,9 @@ def curricula(files_: DataFrame) -> DataFrame:
     """(programme, acronym, term, course, credits): rows of the tables below headings ### Termo n; terms of other sections are null."""
     title = F.regexp_extract("content", r"(?m)^#[ \t]+(?:Matriz Curricular[ \t]*-[ \t]*)?([^(\n]+)", 1)
     acronym = F.regexp_extract("content", r"(?m)^#[^\n]*\(([^)]+)\)", 1)
-    lines = files_.select("path", text.strip(title).alias("programme"), acronym.alias("acronym"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    # what a file has once is taken before its lines are rows: beside an explode it would be taken from the whole text for each line
+    once = files_.select("path", text.strip(title).alias("programme"), acronym.alias("acronym"), F.split("content", "\n").alias("lines"))
+    lines = once.select("path", "programme", "acronym", F.posexplode("lines").alias("at", "line"))
     head = F.when(F.col("line").rlike("^#{2,3} "), F.regexp_replace("line", "^#+ *", ""))
     placed = lines.withColumn("head", F.last(head, ignorenulls=True).over(Window.partitionBy("path").orderBy("at")))
     cells = placed.where(r"line rlike '^\\|' AND NOT line rlike '^\\|[ :|-]+$'").withColumn("c", F.transform(F.split("line", r"\|"), text.strip))
