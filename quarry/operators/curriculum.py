@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.lineage import shuffled
 from quarry.operators.names import containing
 
 
@@ -97,7 +98,7 @@ def enrichment(similar: DataFrame, predicted: DataFrame) -> DataFrame:
     one = similar.groupBy("course").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "similar"))), lambda s: s["similar"].cast("string")), ", ").alias("s"))
     two = predicted.groupBy("course").agg(F.array_join(F.array_sort(F.collect_set(F.col("prereq").cast("string"))), ", ").alias("p"))
     note = F.concat_ws("\n", F.concat(F.lit("Similar: "), F.col("s")), F.concat(F.lit("Likely needs: "), F.col("p")))
-    return one.join(two, "course", "full_outer").select("course", note.alias("note"))
+    return one.join(shuffled(two), "course", "full_outer").select("course", note.alias("note"))
 
 
 def source_counts(chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.lineage import checkpoint
+from quarry.lineage import Rounds, checkpoint, shuffled
 
 #: Weights of the parts of a signature; those of parts that neither side has are dealt to the others.
 WEIGHTS = {"prereqs": 0.35, "teachers": 0.30, "dependents": 0.20, "co_prereqs": 0.10, "prereqs_2": 0.05}
@@ -24,14 +24,14 @@ def signatures(edges: DataFrame, teaches: DataFrame) -> DataFrame:
     """(part, course, item): the five sets of a course as rows: prerequisites, teachers, dependents, fellow prerequisites, prerequisites of those."""
     pairs = edges.select("src", "dst").distinct()
     back = pairs.toDF("far", "src")
-    fellow = pairs.toDF("item", "dst").join(pairs, "dst").where("item <> src").select(F.col("src").alias("course"), "item").distinct()
+    fellow = pairs.toDF("item", "dst").join(shuffled(pairs), "dst").where("item <> src").select(F.col("src").alias("course"), "item").distinct()
     own = pairs.select(F.col("dst").alias("course"), F.col("src").alias("item"))
     sets = {
         "prereqs": own,
         "teachers": teaches.select("course", F.col("teacher").alias("item")),
         "dependents": pairs.select(F.col("src").alias("course"), F.col("dst").alias("item")),
-        "co_prereqs": fellow.join(own, ["course", "item"], "left_anti"),
-        "prereqs_2": pairs.join(back, "src").select(F.col("dst").alias("course"), F.col("far").alias("item")).distinct().join(own, ["course", "item"], "left_anti"),
+        "co_prereqs": fellow.join(shuffled(own), ["course", "item"], "left_anti"),
+        "prereqs_2": pairs.join(shuffled(back), "src").select(F.col("dst").alias("course"), F.col("far").alias("item")).distinct().join(shuffled(own), ["course", "item"], "left_anti"),
     }
     rows = None
     for part, s in sets.items():
@@ -49,8 +49,8 @@ def structural(rows: DataFrame, threshold: float = 0.08, most_items: int | None
     wide = sizes.groupBy("course").pivot("part", list(WEIGHTS)).agg(F.first("n"))
     wide = wide.select("course", *(F.coalesce(p, F.lit(0)).alias(p) for p in WEIGHTS))
     one, two = rows.toDF("part", "a", "item"), rows.toDF("part", "b", "item")
-    common = one.join(two, ["part", "item"]).where("a < b").groupBy("a", "b").agg(*(F.count_if(F.col("part") == p).alias(f"c_{p}") for p in WEIGHTS))
-    joined = common.join(wide.toDF("a", *(f"a_{p}" for p in WEIGHTS)), "a").join(wide.toDF("b", *(f"b_{p}" for p in WEIGHTS)), "b")
+    common = one.join(shuffled(two), ["part", "item"]).where("a < b").groupBy("a", "b").agg(*(F.count_if(F.col("part") == p).alias(f"c_{p}") for p in WEIGHTS))
+    joined = common.join(shuffled(wide.toDF("a", *(f"a_{p}" for p in WEIGHTS))), "a").join(shuffled(wide.toDF("b", *(f"b_{p}" for p in WEIGHTS))), "b")
     gained, weight = F.lit(0.0), F.lit(0.0)
     for p, w in WEIGHTS.items():
         union = F.col(f"a_{p}") + F.col(f"b_{p}") - F.col(f"c_{p}")
@@ -210,9 +210,9 @@ def predict_missing(similar: DataFrame, edges: DataFrame, threshold: float = 0.4
     """(course, prereq, share): prerequisites that many of a course's similar ones have and it lacks. similar: (course, similar)."""
     pairs = edges.select(F.col("dst").alias("similar"), F.col("src").alias("prereq")).distinct()
     size = similar.groupBy("course").agg(F.count("*").alias("size"))
-    votes = similar.join(pairs, "similar").where("prereq <> course").groupBy("course", "prereq").agg(F.count("*").alias("votes"))
+    votes = similar.join(shuffled(pairs), "similar").where("prereq <> course").groupBy("course", "prereq").agg(F.count("*").alias("votes"))
     own = edges.select(F.col("dst").alias("course"), F.col("src").alias("prereq")).distinct()
-    share = votes.join(size, "course").withColumn("share", F.round(F.col("votes") / F.col("size"), 6)).where(F.col("share") >= threshold).join(own, ["course", "prereq"], "left_anti")
+    share = votes.join(shuffled(size), "course").withColumn("share", F.round(F.col("votes") / F.col("size"), 6)).where(F.col("share") >= threshold).join(shuffled(own), ["course", "prereq"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("course").orderBy(F.desc("share"), "prereq"))
     return share.withColumn("rank", rank).where(F.col("rank") <= n).select("course", "prereq", "share", "rank")
 
@@ -232,7 +232,7 @@ def recommended_before(vectors: DataFrame, closure: DataFrame, order: DataFrame,
     vectors: (id, v). closure: (node, ancestor). order: (id) with what nearest_others() goes by: position, and depth for pairs of which either has no position; or places.
     """
     tied = closure.groupBy(F.col("node").alias("id")).agg(F.collect_set("ancestor").alias("tied"))
-    near = nearest_others(vectors.join(order, "id").join(tied, "id", "left"), n, most=0.99, digits=4, least=threshold)
+    near = nearest_others(vectors.join(shuffled(order), "id").join(shuffled(tied), "id", "left"), n, most=0.99, digits=4, least=threshold)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return near.select(F.col("id").alias("course"), rank.alias("rank"), F.col("other").alias("before"), "score")
 
