@@ -18,6 +18,8 @@ WEIGHTS = {"prereqs": 0.35, "teachers": 0.30, "dependents": 0.20, "co_prereqs":
 
 #: Vectors of a block, blocks that meet another one in a task, and queries scored at once.
 BLOCK, TEAM, AT_ONCE = 2048, 16, 64
+#: Bases of a concept that are tried in the first round.
+TRIED = 16
 
 
 def signatures(edges: DataFrame, teaches: DataFrame) -> DataFrame:
@@ -240,14 +242,28 @@ def recommended_before(vectors: DataFrame, closure: DataFrame, order: DataFrame,
 def concept_base(requires: DataFrame, covers: DataFrame, closure: DataFrame, n: int = 6) -> DataFrame:
     """(course, base, confidence, rank): per concept that a course requires, the best course that covers it, unless that is itself, an ancestor or a descendant.
 
-    requires: (course, concept, conf); covers: (course, concept, conf).
+    requires: (course, concept, conf); covers: (course, concept, conf). Bases are ranked once for each concept and need, whatever the number of courses that have it, and tried in that order, some
+    more in each round for what is still without one; so a common concept doesn't pair all that require it with all that cover it.
     """
-    found = requires.toDF("course", "concept", "need").join(covers.toDF("base", "concept", "give"), "concept").where("course <> base")
-    free = found.join(closure.select(F.col("node").alias("course"), F.col("ancestor").alias("base")), ["course", "base"], "left_anti").join(
-        closure.select(F.col("ancestor").alias("course"), F.col("node").alias("base")), ["course", "base"], "left_anti"
-    )
-    scored = free.withColumn("confidence", F.least("need", "give"))
-    top = F.row_number().over(Window.partitionBy("course", "concept").orderBy(F.desc("confidence"), "base"))
-    best = scored.withColumn("r", top).where("r = 1").groupBy("course", "base").agg(F.max("confidence").alias("confidence"))
+    rounds = Rounds(requires.sparkSession)
+    # of a course's needs of a concept, and of a base's shares of it, the highest decides
+    left = rounds.keep("left", requires.where("course IS NOT NULL AND concept IS NOT NULL").groupBy("course", "concept").agg(F.max("conf").alias("need")))
+    give = rounds.keep("give", covers.where("concept IS NOT NULL").groupBy(F.col("course").alias("base"), "concept").agg(F.max("conf").alias("give")))
+    ties = rounds.keep("ties", closure.select(F.col("node").alias("course"), F.col("ancestor").alias("base")))
+    both = ties.unionAll(ties.select(F.col("base").alias("course"), F.col("course").alias("base")))
+    scored, tried, most, parts = left.where("false").select("course", "concept", F.lit(None).cast(give.schema["base"].dataType).alias("base"), F.lit(None).cast("double").alias("confidence")), 0, TRIED, 0
+    while not left.isEmpty():
+        by = F.row_number().over(Window.partitionBy("concept", "need").orderBy(F.desc("confidence"), "base"))
+        rated = left.select("concept", "need").distinct().join(give, "concept").select("concept", "need", "base", F.least("need", "give").alias("confidence"))
+        ranked = rounds.keep("ranked", rated.withColumn("r", by).where(F.col("r") <= most))
+        pairs = left.join(ranked.where(F.col("r") > tried), ["concept", "need"]).where("course <> base").join(shuffled(both), ["course", "base"], "left_anti")
+        top = pairs.groupBy("course", "concept").agg(F.min_by(F.struct("base", "confidence"), "r").alias("t")).select("course", "concept", "t.base", F.col("t.confidence").cast("double").alias("confidence"))
+        found, parts = rounds.keep(f"found{parts}", top), parts + 1
+        scored = scored.unionAll(found)
+        more = ranked.where(F.col("r") == most).select("concept", "need")
+        left = rounds.keep("left", left.join(more, ["concept", "need"], "left_semi").join(found, ["course", "concept"], "left_anti"))
+        tried, most = most, most * 8
+    best = checkpoint(scored.groupBy("course", "base").agg(F.max("confidence").alias("confidence")))
+    rounds.done()
     rank = F.row_number().over(Window.partitionBy("course").orderBy(F.desc("confidence"), "base"))
     return best.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -242,7 +242,9 @@ def base_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     requires = part.where("p_size <= 3").selectExpr("p_partkey AS course", "p_type AS concept", "(50 + p_size) / 100.0D AS conf")
     covers = part.where("p_size >= 48").selectExpr("p_partkey AS course", "p_type AS concept", "(40 + p_size) / 100.0D AS conf")
-    return similarity.concept_base(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir)))
+    # ties to courses that neither require nor cover aren't asked for
+    ends = requires.select(F.col("course").alias("node")).unionAll(covers.select("course")).distinct()
+    return similarity.concept_base(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir), nodes=ends))
 
 
 def structured_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
