@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.lineage import Rounds, checkpoint
+from quarry.lineage import Rounds, checkpoint, shuffled
 
 #: Courses that cover a concept, best first, that are tried for it in the first round; each further round tries eight times as many.
 TRIED = 16
@@ -19,10 +19,10 @@ def allowed(pairs: DataFrame, places: DataFrame) -> DataFrame:
     places: (course, programme, term), several a course; an elective has no term. Pairs meet places by course and programme, so a large programme isn't paired within itself.
     """
     known = places.where("programme IS NOT NULL AND term IS NOT NULL").select("course", "programme", "term")
-    own = pairs.select("course", "before").distinct().join(known, "course")
+    own = pairs.select("course", "before").distinct().join(shuffled(known), "course")
     other = known.toDF("before", "programme", "term_before")
-    met = own.join(other, ["before", "programme"]).groupBy("course", "before").agg(F.bool_or(F.col("term_before") < F.col("term")).alias("earlier"))
-    return pairs.join(met.where("NOT earlier"), ["course", "before"], "left_anti")
+    met = own.join(shuffled(other), ["before", "programme"]).groupBy("course", "before").agg(F.bool_or(F.col("term_before") < F.col("term")).alias("earlier"))
+    return pairs.join(shuffled(met.where("NOT earlier")), ["course", "before"], "left_anti")
 
 
 def base_of_concepts(requires: DataFrame, covers: DataFrame, closure: DataFrame, places: DataFrame, courses: DataFrame, n: int = 6) -> DataFrame:
@@ -36,11 +36,11 @@ def base_of_concepts(requires: DataFrame, covers: DataFrame, closure: DataFrame,
     need = requires.groupBy("course", "concept").agg(F.max("conf").alias("need"))
     give = covers.groupBy("course", "concept").agg(F.max("conf").alias("give"))
     above = closure.select(F.col("node").alias("course"), F.col("ancestor").alias("above")).distinct()
-    taken = need.select("course", "concept").join(above, "course").join(give.select(F.col("course").alias("above"), "concept"), ["above", "concept"], "left_semi").select("course", "concept")
-    left = rounds.keep("left", need.join(taken, ["course", "concept"], "left_anti"))
+    taken = need.select("course", "concept").join(shuffled(above), "course").join(shuffled(give.select(F.col("course").alias("above"), "concept")), ["above", "concept"], "left_semi").select("course", "concept")
+    left = rounds.keep("left", need.join(shuffled(taken), ["course", "concept"], "left_anti"))
     known = courses.select(F.col("course").alias("base"), "name", F.col("term").alias("base_term"))
     by = [F.desc("give"), F.coalesce("base_term", F.lit(NO_TERM)), F.coalesce("name", F.col("base").cast("string")), "base"]
-    rated = rounds.keep("rated", give.withColumnRenamed("course", "base").join(known, "base", "left"))
+    rated = rounds.keep("rated", give.withColumnRenamed("course", "base").join(shuffled(known), "base", "left"))
     most, tried, parts = TRIED, 0, 0
     found = left.where("false").select("course", "concept", "need", F.lit(None).cast(rated.schema["base"].dataType).alias("base"), F.lit(None).cast("double").alias("give"))
     while not left.isEmpty():

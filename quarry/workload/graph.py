@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import text
+from quarry.lineage import shuffled
 from quarry.operators import audit, closure, cycles, graph, orders, similarity, validation
 from quarry.tables import table, with_views
 
@@ -254,12 +255,12 @@ def structured_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part.selectExpr("p_partkey AS id", "p_name AS value")
     chain = closure.ancestors(edges).select(F.lit("prereq").alias("kind"), F.col("node").alias("course"), F.col("ancestor").alias("id"))
     taught = tables.teaches(spark, sf_dir).selectExpr("'teacher' AS kind", "course", "teacher AS s_suppkey")
-    by_name = lambda rows: rows.join(supplier, "s_suppkey").selectExpr("kind", "course", "s_name AS value")
-    known = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('C', p_partkey) AS value").unionAll(chain.join(names, "id").select("kind", "course", "value")).unionAll(by_name(taught))
+    by_name = lambda rows: rows.join(shuffled(supplier), "s_suppkey").selectExpr("kind", "course", "s_name AS value")
+    known = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('C', p_partkey) AS value").unionAll(chain.join(shuffled(names), "id").select("kind", "course", "value")).unionAll(by_name(taught))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").selectExpr("'teacher' AS kind", "l_partkey AS course", "l_suppkey AS s_suppkey").distinct()
     others = part.select(F.lit("prereq").alias("kind"), F.col("p_partkey").alias("course"), F.explode(F.expr("array(p_partkey div 4, p_partkey - 1)")).alias("id"))
     codes = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('no. ', p_partkey + if(p_partkey % 5 = 0, 1, 0)) AS value")
-    return validation.check_structured(codes.unionAll(others.join(names, "id").select("kind", "course", "value")).unionAll(by_name(lines)), known)
+    return validation.check_structured(codes.unionAll(others.join(shuffled(names), "id").select("kind", "course", "value")).unionAll(by_name(lines)), known)
 
 
 _STRUCTURE_ALL = (
