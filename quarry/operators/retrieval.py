@@ -18,8 +18,8 @@ from quarry.operators.similarity import cosine
 
 #: The usual parameters of BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Vectors and queries of a block.
-VECTORS, QUERIES = 8192, 1024
+#: Vectors, documents and queries of a block, and sums of documents and queries that are held at once.
+VECTORS, DOCS, QUERIES, CELLS = 8192, 8192, 1024, 1 << 20
 
 
 #: Most query terms, and queries of a vector search, that may be broadcast; more are joined by a shuffle.
@@ -43,16 +43,76 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     counted = cut.select(F.explode(F.array_append(F.array_distinct("t"), F.lit(None).cast("string"))).alias("term"), F.size("t").alias("dl"))
     df = checkpoint(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
     size = df.where("term is null").select(F.col("df").alias("docs"), (F.col("length") / F.col("df")).alias("mean"))
-    raw = df.where("term is not null").crossJoin(F.broadcast(size)).select("term", "mean", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    raw = df.where("term is not null").crossJoin(F.broadcast(size)).select("term", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean_idf = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query", F.explode(text.tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
-    weight = asked.join(raw, "term").crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    weight = checkpoint(weight)
-    part = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    idf = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
+    weight = checkpoint(asked.join(raw, "term").crossJoin(F.broadcast(mean_idf)).select("query", "term", (F.col("qf") * idf).alias("weight")))
     terms = few(weight.select("term").distinct(), MAX_BROADCAST_TERMS)
-    tf = cut.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
-    scored = tf.join(weight, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return best(scored, "query", "doc", k)
+    held = cut.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
+    share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return best_sums(held.crossJoin(F.broadcast(size)).select("doc", "term", share.alias("share")), weight, docs, k)
+
+
+def best_sums(postings: DataFrame, asked: DataFrame, docs: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """(query, rank, doc, score): the k documents of each query with the highest sums of weight * share over the terms they have in common, at least `least`; ties to the smaller id.
+
+    postings: (doc, term, share); asked: (query, term, weight); docs: what the postings are of, only counted. A block of documents meets a block of queries in one task and only k rows of a block and query
+    leave it, so the pairs of documents and queries, nearly all of which share a word, are never rows.
+    """
+    # a query's terms stay together, as do a document's
+    blocks = [max(1, -(-docs.count() // DOCS)), max(1, -(-asked.select("query").distinct().count() // QUERIES))]
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    kinds = {c: dict(rows.dtypes)[c] for c, rows in (("doc", postings), ("query", asked))}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = postings.where("doc is not null").select(own("doc", blocks[0]).alias("b"), each(blocks[1]).alias("q"), none("query"), "doc", "term", F.col("share").cast("double").alias("x"), F.lit(False).alias("asks")).unionAll(
+        asked.select(each(blocks[0]).alias("b"), own("query", blocks[1]).alias("q"), "query", none("doc"), "term", F.col("weight").cast("double"), F.lit(True))
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        mask = group.column("asks").combine_chunks()
+        q, d = group.filter(mask), group.filter(pc.invert(mask))
+        out = [group.schema.field(c) for c in ("query", "doc")]
+        schema = pa.schema([*out, pa.field("score", pa.float64())])
+        if not q.num_rows or not d.num_rows:
+            return schema.empty_table()
+        names = q.column("term").combine_chunks().dictionary_encode()
+        at = pc.index_in(d.column("term"), names.dictionary)
+        d, at = d.filter(at.is_valid()), at.drop_null().to_numpy()
+        queries = q.column("query").combine_chunks().dictionary_encode("encode")
+        ids = d.column("doc").combine_chunks().unique()
+        ids = ids.take(pc.sort_indices(ids))
+        # the queries of each term, one after another
+        term, asks, weight = names.indices.to_numpy(), queries.indices.to_numpy(), q.column("x").to_numpy()
+        order = np.argsort(term, kind="stable")
+        asks, weight = asks[order], weight[order]
+        start = np.searchsorted(term[order], np.arange(len(names.dictionary) + 1))
+        doc, share = pc.index_in(d.column("doc"), ids).to_numpy(), d.column("x").to_numpy()
+        order = np.lexsort([at, doc])
+        doc, at, share = doc[order], at[order], share[order]
+        n, found = len(queries.dictionary), []
+        step = max(1, CELLS // n)
+        for low in range(0, len(ids), step):
+            i, j = np.searchsorted(doc, [low, low + step])
+            m, t = min(step, len(ids) - low), at[i:j]
+            many = start[t + 1] - start[t]
+            entry = np.repeat(start[t] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            cell = asks[entry] * m + np.repeat(doc[i:j] - low, many)
+            score = np.round(np.bincount(cell, weight[entry] * np.repeat(share[i:j], many), n * m), 6).reshape(n, m) + 0.0
+            score[np.bincount(cell, minlength=n * m).reshape(n, m) == 0] = -np.inf
+            if least is not None:
+                score[score < least] = -np.inf
+            last = np.partition(score, -k, axis=1)[:, -k, None] if k < m else -np.inf
+            a, b = np.nonzero((score >= last) & (score > -np.inf))
+            order = np.lexsort([b, -score[a, b], a])
+            a, b = a[order], b[order]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            found.append((a[top], b[top] + low, score[a, b][top]))
+        a, b, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([queries.dictionary.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score)], schema=schema)
+
+    return best(rows.groupBy("b", "q").applyInArrow(run, f"query {kinds['query']}, doc {kinds['doc']}, score double"), "query", "doc", k)
 
 
 def best(scored: DataFrame, group: str, item: str, k: int) -> DataFrame:
@@ -70,9 +130,8 @@ def weighted_overlap(sections: DataFrame, queries: DataFrame, fields: dict[str,
     tokens = few(asked.select("token").distinct(), MAX_BROADCAST_TERMS)
     # of each field's tokens only those that queries hold get a weight and are shuffled
     held = [sections.select("id", F.explode(F.array_distinct(c)).alias("token")).join(tokens, "token").withColumn("w", F.lit(float(weight))) for c, weight in fields.values()]
-    postings = functools.reduce(DataFrame.unionAll, held).groupBy("id", "token").agg(F.sum("w").alias("w"))
-    scored = postings.join(asked, "token").groupBy("query", "id").agg(F.sum("w").alias("score")).where(F.col("score") >= floor)
-    return best(scored, "query", "id", k)
+    postings = functools.reduce(DataFrame.unionAll, held).groupBy("id", "token").agg(F.sum("w").alias("w")).toDF("doc", "term", "share")
+    return best_sums(postings, asked.select("query", F.col("token").alias("term"), F.lit(1.0).alias("weight")), sections, k, floor).withColumnRenamed("doc", "id")
 
 
 def expanded(tokens: Column, acronyms: dict[str, list[str]]) -> Column:
@@ -266,6 +325,7 @@ def keyword_score(docs: DataFrame, queries: DataFrame, weights: list[tuple[str,
     asked = queries.select("query", F.explode(F.array_distinct(text.tokens("text"))).alias("asked"))
     rules = docs.sparkSession.createDataFrame(weights, "asked string, word string, weight double")
     wanted = asked.join(F.broadcast(rules), "asked").select("query", "word", "weight").unionAll(asked.where("length(asked) > 6").select("query", F.col("asked").alias("word"), F.lit(20.0).alias("weight")))
-    held = docs.select("doc", F.explode(F.array_distinct(text.tokens("text"))).alias("word"))
-    scored = held.join(wanted.groupBy("query", "word").agg(F.sum("weight").alias("weight")), "word").groupBy("query", "doc").agg(F.sum("weight").alias("score"))
-    return best(scored, "query", "doc", k)
+    weight = checkpoint(wanted.groupBy("query", "word").agg(F.sum("weight").alias("weight")).select("query", F.col("word").alias("term"), "weight"))
+    terms = few(weight.select("term").distinct(), MAX_BROADCAST_TERMS)
+    held = docs.select("doc", F.explode(F.array_distinct(text.tokens("text"))).alias("term")).join(terms, "term").select("doc", "term", F.lit(1.0).alias("share"))
+    return best_sums(held, weight, docs, k)
