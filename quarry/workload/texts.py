@@ -230,9 +230,10 @@ def list_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lateral_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each item; items with a thin one get the documents of the next ids too."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text")
-    best = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").selectExpr("item_id AS query", "text"), 1)
-    context = best.join(docs, "doc").select("query", "doc", "text")
-    more = best.select("query", F.explode(F.expr("array(doc + 1, doc + 2)")).alias("doc")).join(docs, "doc").select("query", "doc", "text")
+    best = checkpoint(retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").selectExpr("item_id AS query", "text"), 1).select("query", "doc"))
+    # the few rows go to the texts, not the texts to them; what was found is read again, not looked for again
+    texts = lambda rows: checkpoint(docs.join(retrieval.few(rows, retrieval.MAX_BROADCAST_TERMS), "doc").select("query", "doc", "text"))
+    context, more = texts(best), texts(best.select("query", F.explode(F.expr("array(doc + 1, doc + 2)")).alias("doc")))
     return repair.with_fallback(context, more, 2000).select("query", "doc", F.length("text").alias("size"))
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter, defaultdict
+
 from quarry import catalog
+from quarry.operators import retrieval
+from quarry.workload import texts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,3 +21,34 @@ def test_no_broadcast_of_signatures(spark):
 def test_no_broadcast_of_bounds(spark):
     plan = catalog.queries()["path_confidence"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pairs_of_queries_and_documents_are_no_rows(spark):
+    for name in ("bm25_topk", "keyword_weighted_topk", "regulation_keyword_score"):
+        plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query#\w+, (doc|id)#", plan), name
+
+
+def test_best_sums_in_small_blocks(spark, monkeypatch):
+    for name, n in (("DOCS", 7), ("QUERIES", 3), ("CELLS", 5)):
+        monkeypatch.setattr(retrieval, name, n)
+    draw = random.Random(3)
+    share = {(d, draw.choice("abcdef")): draw.randrange(-2, 4) / 2 for d in range(60) for _ in range(2)}
+    weight = {(f"q{q}", draw.choice("abcdefg")): draw.randrange(1, 4) / 2 for q in range(11) for _ in range(2)}
+    sums = defaultdict(Counter)
+    for (q, t), w in weight.items():
+        for (d, u), x in share.items():
+            if t == u:
+                sums[q][d] += w * x
+    postings = spark.createDataFrame([(d, t, x) for (d, t), x in share.items()] + [(None, "a", 9.0)], "doc long, term string, share double")
+    asked = spark.createDataFrame([(q, t, w) for (q, t), w in weight.items()], "query string, term string, weight double")
+    for least in (None, 0.5):
+        want = {(q, r, d, s) for q, c in sums.items() for r, (d, s) in enumerate(sorted(((d, s) for d, s in c.items() if least is None or s >= least), key=lambda p: (-p[1], p[0]))[:4], 1)}
+        assert set(map(tuple, retrieval.best_sums(postings, asked, postings.select("doc").distinct(), 4, least).collect())) == want
+
+
+def test_best_documents_are_found_once(spark, monkeypatch):
+    kept, checkpoint = [], texts.checkpoint
+    monkeypatch.setattr(texts, "checkpoint", lambda df: kept.append(df.columns) or checkpoint(df))
+    plan = texts.lateral_lookup(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert kept[0] == ["query", "doc"] and "parquet" not in plan
