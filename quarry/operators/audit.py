@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.lineage import checkpoint, shuffled
 from quarry.operators.closure import depths
 
 
@@ -114,8 +115,8 @@ def pending_semesters(pending: DataFrame, needs: DataFrame) -> DataFrame:
     """
     name = F.struct("student", "course")
     pairs = needs.select("src", F.col("dst").alias("course")).distinct()
-    rows = pending.select("student", "course").distinct()
-    inner = rows.join(pairs, "course").join(rows.withColumnRenamed("course", "src"), ["student", "src"], "left_semi")
+    rows = checkpoint(pending.select("student", "course").distinct())
+    inner = rows.join(shuffled(pairs), "course").join(shuffled(rows.withColumnRenamed("course", "src")), ["student", "src"], "left_semi")
     chains = inner.select(F.struct("student", F.col("src").alias("course")).alias("src"), name.alias("dst"))
     return depths(chains, rows.select(name.alias("node"))).groupBy("node.student").agg((F.max("depth") + 1).alias("semesters"))
 

@@ -84,25 +84,24 @@ def bottleneck(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
 def depths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, depth): longest path from a node without prerequisites, which has depth 0. nodes: (node), to include isolated ones.
 
-    A round removes the edges of the nodes that are settled, as in a topological sort, so a cycle's nodes and what depends on them
-    never settle and are left out.
+    Round n finds the nodes at which a path of n edges ends. They are fewer in each round, and only the edges that go on from them are kept. Where they get no fewer, they are a cycle's nodes and
+    what depends on them, which have no depth and are left out.
     """
-    pairs = checkpoint(edges.select("src", "dst").distinct())
-    ends = pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst"))
-    todo = (ends if nodes is None else ends.unionAll(nodes.select("node"))).distinct()
-    left = pairs
-    done = None
-    for depth in count():
-        ready = checkpoint(todo.join(shuffled(left.select(F.col("dst").alias("node")).distinct()), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if ready.isEmpty():
+    left = checkpoint(edges.select("src", "dst").distinct())
+    ends = left.select(F.col("src").alias("node")).unionAll(left.select("dst"))
+    found, blocked, n = (ends if nodes is None else ends.unionAll(nodes.select("node"))).distinct().withColumn("depth", F.lit(0)), None, -1
+    for depth in count(1):
+        at = checkpoint(left.select(F.col("dst").alias("node")).distinct())
+        before, n = n, at.count()
+        if n in (0, before):
+            blocked = at if n else None
             break
-        done = ready if done is None else done.unionAll(ready)
-        if depth % TOGETHER == TOGETHER - 1:
-            done = checkpoint(done)
-        settled = shuffled(ready.select("node"))
-        todo = checkpoint(todo.join(settled, "node", "left_anti"))
-        left = checkpoint(left.join(shuffled(ready.select(F.col("node").alias("src"))), "src", "left_anti"))
-    return done if done is not None else todo.withColumn("depth", F.lit(0)).limit(0)
+        found = found.unionAll(at.withColumn("depth", F.lit(depth)))
+        if depth % TOGETHER == 0:
+            found = checkpoint(found.groupBy("node").agg(F.max("depth").alias("depth")))
+        left = checkpoint(left.join(shuffled(at.select(F.col("node").alias("src"))), "src", "left_semi"))
+    deepest = found.groupBy("node").agg(F.max("depth").alias("depth"))
+    return deepest if blocked is None else deepest.join(shuffled(blocked), "node", "left_anti")
 
 
 def needed(edges: DataFrame, targets: DataFrame, completed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import tables
+from quarry.lineage import checkpoint, shuffled
 from quarry.operators import audit, curriculum
 from quarry.sources import records
 from quarry.tables import table, with_views
@@ -99,9 +100,10 @@ def course_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A student's pending courses: those tried and not passed yet, and what these need directly and is not passed either."""
-    passed = tables.passed(spark, sf_dir)
-    failed = tables.transcript(spark, sf_dir).select("student", "course").distinct().join(passed, ["student", "course"], "left_anti")
-    needed = failed.join(tables.prerequisites(spark, sf_dir).selectExpr("src", "dst AS course"), "course").selectExpr("student", "src AS course")
+    taken = tables.transcript(spark, sf_dir).groupBy("student", "course").agg(F.coalesce(F.max(F.col("grade") >= tables.PASS_GRADE), F.lit(False)).alias("passed"))
+    taken = checkpoint(taken)
+    passed, failed = (taken.where(c).select("student", "course") for c in ("passed", "NOT passed"))
+    needed = failed.join(shuffled(tables.prerequisites(spark, sf_dir).selectExpr("src", "dst AS course")), "course").selectExpr("student", "src AS course")
     open_ = failed.unionAll(needed.join(passed, ["student", "course"], "left_anti")).distinct()
     return open_.join(tables.courses(spark, sf_dir).select("course", "credits", "term"), "course").select("student", "course", "credits", "term")
 

@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 from quarry import catalog
-from quarry.operators import retrieval
+from quarry.operators import closure, retrieval
 from quarry.workload import texts
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_best_documents_are_found_once(spark, monkeypatch):
     monkeypatch.setattr(texts, "checkpoint", lambda df: kept.append(df.columns) or checkpoint(df))
     plan = texts.lateral_lookup(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert kept[0] == ["query", "doc"] and "parquet" not in plan
+
+
+def test_depths_carry_no_isolated_nodes(spark, monkeypatch):
+    sizes, checkpoint = [], closure.checkpoint
+    monkeypatch.setattr(closure, "checkpoint", lambda df: sizes.append((out := checkpoint(df)).count()) or out)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (7, 8), (8, 7), (8, 9)], "src long, dst long")
+    nodes = spark.range(1, 101).withColumnRenamed("id", "node")
+    got = {r.node: r.depth for r in closure.depths(edges, nodes).collect()}
+    assert got == {n: {2: 1, 3: 2, 4: 3}.get(n, 0) for n in range(1, 101) if n not in (7, 8, 9)}
+    assert max(sizes) <= 7
