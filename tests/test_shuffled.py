@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 from quarry import catalog
-from quarry.operators import closure, retrieval
+from quarry.operators import audit, closure, retrieval
 from quarry.workload import texts
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +62,23 @@ def test_depths_carry_no_isolated_nodes(spark, monkeypatch):
     got = {r.node: r.depth for r in closure.depths(edges, nodes).collect()}
     assert got == {n: {2: 1, 3: 2, 4: 3}.get(n, 0) for n in range(1, 101) if n not in (7, 8, 9)}
     assert max(sizes) <= 7
+
+
+def test_plans_of_students_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(audit, "COURSES", 3)
+    courses = spark.createDataFrame([(c, "AB"[c % 2]) for c in range(1, 21)], "course long, programme string")
+    needs = spark.createDataFrame([(1, 3), (1, 5), (3, 5), (5, 7), (2, 4), (2, 3)], "src long, dst long")
+    own = spark.createDataFrame([(s, "AB"[s % 2]) for s in range(1, 41)], "student long, programme string")
+    taken = spark.createDataFrame([(1, 1), (1, 4), (1, 99), (2, 2), (3, 3), (3, 5), (50, 1)], "student long, course long")
+    out = audit.progress_detail(taken, own, courses, needs)
+    got = {(r.student, r.course): (r.status, r.missing) for r in out.collect()}
+    assert out.count() == len(got) == 40 * 10 + 3
+    assert [got[1, c] for c in (1, 3, 5, 7, 9, 4, 99)] == [("done", ""), ("available", ""), ("blocked", "3"), ("blocked", "5"), ("available", ""), ("elective", ""), ("unknown", "")]
+    assert [got[3, c] for c in (1, 3, 5, 7)] == [("available", ""), ("done", ""), ("done", ""), ("available", "")] and got[50, 1] == ("elective", "")
+    assert [got[5, c] for c in (1, 3, 5, 7)] == [("available", ""), ("blocked", "1"), ("blocked", "1,3"), ("blocked", "5")] and got[2, 4] == ("available", "") and got[4, 4] == ("blocked", "2")
+    # the rows of students and courses go out as they are made: nothing above the generator that makes them shuffles
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "Generate explode(filter" in line)
+    above = [line for i, line in enumerate(lines[:at]) if deep(line) < min(map(deep, lines[i + 1 : at + 1]))]
+    assert above and not any("Join" in line or "Aggregate" in line for line in above)
