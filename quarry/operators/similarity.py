@@ -18,6 +18,8 @@ WEIGHTS = {"prereqs": 0.35, "teachers": 0.30, "dependents": 0.20, "co_prereqs":
 
 #: Vectors of a block, blocks that meet another one in a task, and queries scored at once.
 BLOCK, TEAM, AT_ONCE = 2048, 16, 64
+#: Others of a vector that are looked at first, where many are near enough; each further round looks at eight times as many.
+FEW = 64
 #: Bases of a concept that are tried in the first round.
 TRIED = 16
 
@@ -102,7 +104,7 @@ def nearest_others(vectors: DataFrame, n: int, weight: float = 1.0, most: float
         (F.coalesce(F.col("depth").cast("double"), F.lit(float("nan"))) if "depth" in vectors.columns else F.lit(float("nan"))).alias("depth"),
         (F.coalesce("places", F.expr("array()")) if placed else F.expr("array()")).cast("array<struct<programme: string, term: double>>").alias("places"),
         (F.coalesce("tied", F.expr("array()")) if bound else F.expr("array()")).cast("array<long>").alias("tied"),
-        F.col("v").cast("array<double>").alias("v"),
+        (F.col("v") if dict(vectors.dtypes)["v"] == "array<float>" else F.col("v").cast("array<double>")).alias("v"),
     )
     rows = checkpoint(rows)
     blocks = max(1, -(-rows.count() // BLOCK))
@@ -132,7 +134,7 @@ def _unpacked(packed: pa.ChunkedArray):
     rows = pa.concat_arrays([c.flatten() for c in packed.chunks])
     rows = rows.take(pc.sort_indices(rows.field("id")))
     ids, positions = rows.field("id").to_numpy(), np.stack([rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("position", "depth")])
-    v = np.nan_to_num(rows.field("v").flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
+    v = np.nan_to_num(rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(len(ids), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)
     tied = rows.field("tied")
     owner = np.repeat(np.arange(len(ids)), tied.value_lengths().to_numpy())
@@ -151,50 +153,83 @@ def _met(ties: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarr
     return owner[hit], place[hit]
 
 
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted keys, whether it is there) of each key that is asked for."""
+    place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    return place, keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
+
+
 def _later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each of a comes after each of b: by position, or by depth where either has no position."""
-    (pa_, da), (pb, db) = a[:, :, None], b
+    """Whether each of a comes after that of b: by position, or by depth where either has no position."""
+    (pa_, da), (pb, db) = a, b
     return np.where(np.isnan(pa_) | np.isnan(pb), db < da, pb < pa_)
 
 
-def _admitted(a, b, part: slice, size: int) -> np.ndarray:
-    """Whether each of the `size` rows of b may come before each of that part of a, by the terms in programmes that both have."""
-    (rows, programmes, terms), (others, theirs, when) = a, b
-    less, comparable = (np.zeros((part.stop - part.start, size), bool) for _ in range(2))
-    for programme in set(programmes[np.searchsorted(rows, part.start) : np.searchsorted(rows, part.stop)]):
-        i = np.flatnonzero((programmes == programme) & (rows >= part.start) & (rows < part.stop))
-        j = np.flatnonzero(theirs == programme)
-        at = np.ix_(rows[i] - part.start, others[j])
-        comparable[at] = True
-        np.logical_or.at(less, (np.repeat(rows[i] - part.start, len(j)), np.tile(others[j], len(i))), (when[j] < terms[i, None]).ravel())
+def _terms(a, b) -> tuple[int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The number of programmes that both sides have; (row and programme as one sorted key, term) of each side: the latest term of a, the earliest of b."""
+    code = {programme: k for k, programme in enumerate(set(a[1]) & set(b[1]))}
+
+    def side(places, better):
+        rows, programmes, terms = places
+        codes = np.array([code.get(p, -1) for p in programmes], np.int64)
+        keys, at = np.unique((rows * len(code) + codes)[codes >= 0], return_inverse=True)
+        best = np.full(len(keys), np.inf if better is np.minimum else -np.inf)
+        better.at(best, at, terms[codes >= 0])
+        return keys, best
+
+    return len(code), side(a, np.maximum), side(b, np.minimum)
+
+
+def _admitted(terms, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether row j of b may come before row i of a, for each of the pairs, by the terms in programmes that both have."""
+    size, (mine, latest), (theirs, earliest) = terms
+    if not size:
+        return np.ones(len(i), bool)
+    low = np.searchsorted(mine, i * size)
+    n = np.searchsorted(mine, (i + 1) * size) - low
+    pair = np.repeat(np.arange(len(i)), n)
+    at = np.arange(len(pair)) + np.repeat(low - np.cumsum(n) + n, n)
+    place, hit = _found(theirs, j[pair] * size + mine[at] % size)
+    less, comparable = (np.zeros(len(i), bool) for _ in range(2))
+    comparable[pair[hit]] = True
+    less[pair[hit & (earliest[place] < latest[at])]] = True
     return less | ~comparable
 
 
 def _best_others(a, b, n: int, weight: float, most: float, digits: int, least: float, ordered: bool):
-    """(ids, others, scores): the n best rows of b for each of a."""
+    """(ids, others, scores): the n best rows of b for each of a.
+
+    Only pairs that are near enough are looked at one by one: all of them where they are few, else the nearest of each row, and more for rows that then lack some.
+    """
     (a_ids, a_positions, a_v, a_ties, a_places), (b_ids, b_positions, b_v, b_ties, b_places) = a, b
     named, names = _met(a_ties, b_ids), _met(b_ties, a_ids)[::-1]
-    barred = np.concatenate([named[0], names[0]]), np.concatenate([named[1], names[1]])
-    order = np.argsort(barred[0], kind="stable")
-    barred = barred[0][order], barred[1][order]
-    out = []
-    for at in range(0, len(a_ids), AT_ONCE):
-        part = slice(at, min(at + AT_ONCE, len(a_ids)))
-        score = np.round(np.minimum(weight * (a_v[part] @ b_v.T), most), digits)
-        score[(score < least) | (a_ids[part, None] == b_ids)] = -np.inf
-        if ordered:
-            score[~_later(a_positions[:, part], b_positions)] = -np.inf
-        if len(a_places[0]) and len(b_places[0]):
-            score[~_admitted(a_places, b_places, part, len(b_ids))] = -np.inf
-        low, high = np.searchsorted(barred[0], [part.start, part.stop])
-        score[barred[0][low:high] - at, barred[1][low:high]] = -np.inf
-        last = np.partition(score, -n, axis=1)[:, -n, None] if n < score.shape[1] else -np.inf
-        i, j = np.nonzero((score >= last) & (score > -np.inf))
-        s = score[i, j]
-        order = np.lexsort([j, -s, i])
-        i, j, s = i[order], j[order], s[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < n
-        out.append((a_ids[part][i[best]], b_ids[j[best]], s[best]))
+    width = len(b_ids)
+    barred = np.unique(np.concatenate([named[0], names[0]]) * width + np.concatenate([named[1], names[1]]))
+    terms = _terms(a_places, b_places)
+    # rounding moves a score by less
+    slack, out = 10.0**-digits, []
+    for start in range(0, len(a_ids), AT_ONCE):
+        rows = np.arange(start, min(start + AT_ONCE, len(a_ids)))
+        raw, low = weight * (a_v[rows] @ b_v.T), np.full(len(rows), least - slack)
+        k = width if np.count_nonzero(raw >= least - slack) <= FEW * len(rows) else max(FEW, n)
+        while len(rows):
+            bar = low if k >= width else np.maximum(low, np.minimum(np.partition(raw, -k, axis=1)[:, -k], most) - slack)
+            i, j = np.nonzero(raw >= bar[:, None])
+            s = np.round(np.minimum(raw[i, j], most), digits)
+            for test in (
+                lambda i, j, s: (s >= least) & (a_ids[rows[i]] != b_ids[j]),
+                lambda i, j, s: _later(a_positions[:, rows[i]], b_positions[:, j]) if ordered else np.ones(len(i), bool),
+                lambda i, j, s: _admitted(terms, rows[i], j),
+                lambda i, j, s: ~_found(barred, rows[i] * width + j)[1],
+            ):
+                kept = test(i, j, s)
+                i, j, s = i[kept], j[kept], s[kept]
+            enough = (np.bincount(i, minlength=len(rows)) >= n) | (bar <= low) | (k >= width)
+            order = np.lexsort([j, -s, i])
+            i, j, s = i[order], j[order], s[order]
+            best = (np.arange(len(i)) - np.searchsorted(i, i) < n) & enough[i]
+            out.append((a_ids[rows[i[best]]], b_ids[j[best]], s[best]))
+            rows, raw, low, k = rows[~enough], raw[~enough], low[~enough], k * 8
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 

@@ -217,7 +217,7 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommended_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Courses are vectors, each compared with all others; the order is the term, else the depth (all have terms here)."""
     vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
-    reach = closure.ancestors(tables.prerequisites(spark, sf_dir))
+    reach = closure.ancestors(tables.prerequisites(spark, sf_dir), nodes=vectors.selectExpr("id AS node"))
     order = tables.courses(spark, sf_dir).selectExpr("course AS id", "term AS position")
     return similarity.recommended_before(vectors, reach, order, threshold=0.3)
 
@@ -225,8 +225,11 @@ def recommended_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommended_in_programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As recommended_before, with the terms of several programmes a course: earlier in one that both are in, unless no such programme has terms for both."""
     vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
-    order = tables.places(spark, sf_dir).groupBy(F.col("course").alias("id")).agg(F.collect_list(F.struct("programme", F.col("term").cast("double").alias("term"))).alias("places"))
-    return similarity.recommended_before(vectors, closure.ancestors(tables.prerequisites(spark, sf_dir)), order, threshold=0.3)
+    # only courses that have a vector are closed and placed
+    places = tables.places(spark, sf_dir).withColumnRenamed("course", "id").join(shuffled(vectors.select("id")), "id", "left_semi")
+    order = places.groupBy("id").agg(F.collect_list(F.struct("programme", F.col("term").cast("double").alias("term"))).alias("places"))
+    reach = closure.ancestors(tables.prerequisites(spark, sf_dir), nodes=vectors.selectExpr("id AS node"))
+    return similarity.recommended_before(vectors, reach, order, threshold=0.3)
 
 
 def base_of_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,33 @@ def test_bases(spark, monkeypatch):
         spark.createDataFrame([(c, names[c], terms[c]) for c in range(n)], "course long, name string, term int"),
     )
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_only_near_pairs_are_looked_at(monkeypatch):
+    random_, looked, admitted_ = np.random.default_rng(3), [], similarity._admitted
+
+    def counted(*args):
+        out = admitted_(*args)
+        looked.append(out.size)
+        return out
+
+    monkeypatch.setattr(similarity, "_admitted", counted)
+    n, few = 400, similarity.FEW if hasattr(similarity, "FEW") else 0
+    v = random_.normal(size=(n, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cos, ids, none = np.round(v @ v.T, 4), np.arange(n), np.full((2, n), np.nan)
+    # one programme of all; a third of the courses are earlier than the others
+    term = (ids % 3 > 0).astype(float)
+    side = ids, none, v, (np.array([0]), np.array([n + 1])), (ids, np.array(["p"] * n, object), term)
+    for least in (0.5, -1.0):
+        looked.clear()
+        got = list(zip(*similarity._best_others(side, side, 3, 1.0, 0.99, 4, least, False), strict=True))
+        want = [(a, b, -s) for a in range(n) for s, b in sorted((-cos[a, b], b) for b in range(n) if a != b and cos[a, b] >= least and term[b] < term[a])[:3]]
+        assert sorted(got) == sorted(want)
+        # of 160,000 pairs some 1,200 are near by 0.5; where all are, those without any earlier course see all
+        assert sum(looked) < (n * n / 50 if least > 0 else n * n / 3 * 1.5 + 2 * n * (few + 2))
+
+
+def test_more_are_looked_at_where_few_are_admitted(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", 2, raising=False)
+    test_nearest_by_places_and_depth(spark, monkeypatch)
