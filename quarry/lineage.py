@@ -50,6 +50,13 @@ class Rounds:
     def done(self) -> None:
         remove(self.spark, self.folder)
 
+    def leave(self, *names: str) -> None:
+        """Remove these tables; the others, which a result still reads, stay until the session ends."""
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote below the shared one, once its rows have been read or copied."""
