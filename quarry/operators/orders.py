@@ -28,15 +28,18 @@ def allowed(pairs: DataFrame, places: DataFrame) -> DataFrame:
 def base_of_concepts(requires: DataFrame, covers: DataFrame, closure: DataFrame, places: DataFrame, courses: DataFrame, n: int = 6) -> DataFrame:
     """(course, rank, base, confidence, concepts): courses that cover what a course requires and its prerequisites don't.
 
-    requires, covers: (course, concept, conf); closure: (node, ancestor); places: (course, programme, term); courses: (course, name, term). A required concept that an ancestor covers
+    requires, covers: (course, concept, conf); closure: (node, ancestor), or (node, concept) with the required ones that an ancestor covers, as from closure.inherited; places: (course, programme, term); courses: (course, name, term). A required concept that an ancestor covers
     asks for nothing. Of the others that cover it, not being the course itself, and that may come before it, the one of the highest confidence counts, ties to the smaller term, then name, then id.
     A concept's courses are tried in that order, some more in each round, for what is still without one; so a common concept doesn't pair all that require it with all that cover it.
     """
     rounds = Rounds(requires.sparkSession)
     need = requires.groupBy("course", "concept").agg(F.max("conf").alias("need"))
     give = covers.groupBy("course", "concept").agg(F.max("conf").alias("give"))
-    above = closure.select(F.col("node").alias("course"), F.col("ancestor").alias("above")).distinct()
-    taken = need.select("course", "concept").join(shuffled(above), "course").join(shuffled(give.select(F.col("course").alias("above"), "concept")), ["above", "concept"], "left_semi").select("course", "concept")
+    if "concept" in closure.columns:
+        taken = closure.select(F.col("node").alias("course"), "concept")
+    else:
+        above = closure.select(F.col("node").alias("course"), F.col("ancestor").alias("above")).distinct()
+        taken = need.select("course", "concept").join(shuffled(above), "course").join(shuffled(give.select(F.col("course").alias("above"), "concept")), ["above", "concept"], "left_semi").select("course", "concept")
     left = rounds.keep("left", need.join(shuffled(taken), ["course", "concept"], "left_anti"))
     known = courses.select(F.col("course").alias("base"), "name", F.col("term").alias("base_term"))
     by = [F.desc("give"), F.coalesce("base_term", F.lit(NO_TERM)), F.coalesce("name", F.col("base").cast("string")), "base"]

@@ -238,7 +238,11 @@ def base_of_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     requires = part.selectExpr("p_partkey AS course", "p_type AS concept", "(50 + p_size) / 100.0D AS conf")
     covers = part.selectExpr("p_partkey AS course", "p_type AS concept", "(40 + p_size) / 100.0D AS conf")
     known = tables.courses(spark, sf_dir).select("course", "name", "term")
-    return orders.base_of_concepts(requires, covers, closure.ancestors(tables.prerequisites(spark, sf_dir)), tables.places(spark, sf_dir), known)
+    # only concepts go along the edges, as numbers
+    numbers = closure.numbered(covers.select("concept"))
+    of = lambda rows: rows.join(shuffled(numbers), "concept").select(F.col("course").alias("node"), "item")
+    covered = closure.inherited(tables.prerequisites(spark, sf_dir), of(covers), of(requires)).join(shuffled(numbers), "item").select("node", "concept")
+    return orders.base_of_concepts(requires, covers, covered, tables.places(spark, sf_dir), known)
 
 
 def base_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,23 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert out.count() == 51003 and not any("hops" in columns for columns in kept)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(src" not in plan and "SortMergeJoin" not in plan
+
+
+def test_inherited_items(spark, monkeypatch):
+    draw = random.Random(4)
+    edges = {(a, b) for a, b in ((draw.randrange(40), draw.randrange(40)) for _ in range(60)) if a < b} | {(50, 51), (51, 50), (51, 52), (7, 50)}
+    own = {(n, draw.randrange(8)) for n in [*range(40), 50, 52] for _ in range(2)}
+    hops, _ = brute([(a, b, 1.0) for a, b in edges])
+    above = {}
+    for a, b in hops:
+        above.setdefault(b, set()).update(i for n, i in own if n == a)
+    wanted = {(n, draw.choice([None, *range(8)])) for n in [*range(0, 40, 3), 51, 52, 99]}
+    pairs, kept = [], closure._pairs
+    monkeypatch.setattr(closure, "_pairs", lambda edges, rounds, ends=None: pairs.append(ends) or kept(edges, rounds, ends))
+    frame = lambda rows, names: spark.createDataFrame(list(rows), f"{names[0]} long, {names[1]} long")
+    got = {tuple(r) for r in closure.inherited(frame(edges, ("src", "dst")), frame(own, ("node", "item")), frame(wanted, ("node", "item"))).collect()}
+    asked = {n for n, _ in wanted}
+    assert all(i in above[n] and n in asked for n, i in got)
+    assert got >= {(n, i) for n, i in wanted if i in above.get(n, ())} and {n for n, _ in got} == {n for n in asked if above.get(n)}
+    # only what is on a cycle or behind one is followed pair by pair
+    assert len(pairs) == 1 and {r[0] for r in pairs[0].collect()} == {50, 51, 52}
