@@ -46,6 +46,18 @@ def check_structured(claimed: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("kind", "course", "value", verdict.alias("verdict"))
 
 
+def deciding(claimed: DataFrame, names: DataFrame) -> DataFrame:
+    """(course, item): the names that would bear out a claim, one holding the other; null for a claim that none would. With these and any other fact of a course check_structured gives what it gives with all of them.
+
+    claimed: (course, value); names: (value, item). Distinct names meet, not claims.
+    """
+    key = text.text_key("value")
+    claims_ = claimed.select("course", key.alias("said")).distinct()
+    said, facts = claims_.select("said").where("said <> ''").distinct(), names.select("item", key.alias("fact")).where("fact <> ''")
+    held = containing(said, "said", facts, "fact").select("said", "item").unionAll(containing(facts, "fact", said, "said").select("said", "item")).distinct()
+    return claims_.join(shuffled(held), "said", "left").select("course", "item")
+
+
 def debate(answers: DataFrame, facts: Column, violations: Column, miss: Column) -> DataFrame:
     """(question, winner, score): the answer of the highest 2 * facts - 3 * violations - 100 if it is a miss; ties to the first. answers: (question, answer)."""
     score = 2 * facts - 3 * violations - F.when(miss, 100).otherwise(0)

@@ -260,14 +260,18 @@ def structured_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     edges = tables.prerequisites(spark, sf_dir)
     names = part.selectExpr("p_partkey AS id", "p_name AS value")
-    chain = closure.ancestors(edges).select(F.lit("prereq").alias("kind"), F.col("node").alias("course"), F.col("ancestor").alias("id"))
+    others = part.select(F.lit("prereq").alias("kind"), F.col("p_partkey").alias("course"), F.explode(F.expr("array(p_partkey div 4, p_partkey - 1)")).alias("id"))
+    needed = others.join(shuffled(names), "id").select("kind", "course", "value")
+    # of the names of all that a course needs, only those that decide a claim on it
+    numbers = closure.numbered(names.select("value").where(text.text_key("value") != ""))
+    own = names.join(shuffled(numbers), "value").select(F.col("id").alias("node"), "item")
+    chain = closure.inherited(edges, own, validation.deciding(needed, numbers).withColumnRenamed("course", "node")).join(shuffled(numbers), "item").select(F.lit("prereq").alias("kind"), F.col("node").alias("course"), "value")
     taught = tables.teaches(spark, sf_dir).selectExpr("'teacher' AS kind", "course", "teacher AS s_suppkey")
     by_name = lambda rows: rows.join(shuffled(supplier), "s_suppkey").selectExpr("kind", "course", "s_name AS value")
-    known = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('C', p_partkey) AS value").unionAll(chain.join(shuffled(names), "id").select("kind", "course", "value")).unionAll(by_name(taught))
+    known = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('C', p_partkey) AS value").unionAll(chain).unionAll(by_name(taught))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").selectExpr("'teacher' AS kind", "l_partkey AS course", "l_suppkey AS s_suppkey").distinct()
-    others = part.select(F.lit("prereq").alias("kind"), F.col("p_partkey").alias("course"), F.explode(F.expr("array(p_partkey div 4, p_partkey - 1)")).alias("id"))
     codes = part.selectExpr("'code' AS kind", "p_partkey AS course", "concat('no. ', p_partkey + if(p_partkey % 5 = 0, 1, 0)) AS value")
-    return validation.check_structured(codes.unionAll(others.join(shuffled(names), "id").select("kind", "course", "value")).unionAll(by_name(lines)), known)
+    return validation.check_structured(codes.unionAll(needed).unionAll(by_name(lines)), known)
 
 
 _STRUCTURE_ALL = (
