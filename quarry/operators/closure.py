@@ -140,27 +140,39 @@ def _bounds(base: DataFrame, max_hops: int | None, ends: DataFrame | None = None
     return best.groupBy("src", "dst").agg(F.max("bound").alias("bound"))
 
 
-def depths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, depth): longest path from a node without prerequisites, which has depth 0. nodes: (node), to include isolated ones.
+def depths(edges: DataFrame, nodes: DataFrame | None = None, graph: str | None = None) -> DataFrame:
+    """(node, depth): longest path from a node without prerequisites, which has depth 0. edges: (src, dst), best each once, as those that come twice go through all rounds twice; nodes: (node), to
+    include isolated ones.
 
-    Round n finds the nodes at which a path of n edges ends. They are fewer in each round, and only the edges that go on from them are kept. Where they get no fewer, they are a cycle's nodes and
+    graph: a column of edges and nodes that tells graphs apart, in which the same node may be; then (graph, depth): the longest path in each.
+
+    Round n finds the nodes at which a path of n edges ends. They are fewer in each round, and only the edges that go on from them are kept. Where these get no fewer, their ends are a cycle's nodes and
     what depends on them, which have no depth and are left out.
     """
-    left = checkpoint(edges.select("src", "dst").distinct())
-    ends = left.select(F.col("src").alias("node")).unionAll(left.select("dst"))
-    found, blocked, n = (ends if nodes is None else ends.unionAll(nodes.select("node"))).distinct().withColumn("depth", F.lit(0)), None, -1
+    apart = [] if graph is None else [graph]
+    at = lambda rows, end, depth: rows.select(*apart, F.col(end).alias("node"), F.lit(depth).alias("depth"))
+    left = checkpoint(edges.select(*apart, "src", "dst"))
+    found = at(left, "src", 0) if nodes is None else at(left, "src", 0).unionAll(at(nodes, "node", 0))
+    blocked, n = None, left.count()
     for depth in count(1):
-        at = checkpoint(left.select(F.col("dst").alias("node")).distinct())
-        before, n = n, at.count()
-        if n in (0, before):
-            blocked = at if n else None
+        if n == 0:
+            break
+        ends = left.select(*apart, F.col("dst").alias("src")).distinct().withColumn("goes_on", F.lit(True))
+        met = checkpoint(left.join(shuffled(ends), [*apart, "src"], "left").select(*apart, "src", "dst", "goes_on"))
+        # each edge gives a depth once: in the last round that has it
+        found = found.unionAll(at(met.where("goes_on IS NULL"), "dst", depth))
+        left, before = met.where("goes_on").drop("goes_on"), n
+        n = left.count()
+        if n == before:
+            blocked = left.select(*apart, F.col("dst").alias("node")).distinct()
             break
-        found = found.unionAll(at.withColumn("depth", F.lit(depth)))
         if depth % TOGETHER == 0:
-            found = checkpoint(found.groupBy("node").agg(F.max("depth").alias("depth")))
-        left = checkpoint(left.join(shuffled(at.select(F.col("node").alias("src"))), "src", "left_semi"))
-    deepest = found.groupBy("node").agg(F.max("depth").alias("depth"))
-    return deepest if blocked is None else deepest.join(shuffled(blocked), "node", "left_anti")
+            found = checkpoint(found.groupBy(*apart, "node").agg(F.max("depth").alias("depth")))
+    deepest = lambda rows, *by: rows.groupBy(*by).agg(F.max("depth").alias("depth"))
+    if blocked is None:
+        return deepest(found, *(apart or ["node"]))
+    free = deepest(found, *apart, "node").join(shuffled(blocked), [*apart, "node"], "left_anti")
+    return deepest(free, *apart) if apart else free.select("node", "depth")
 
 
 def needed(edges: DataFrame, targets: DataFrame, completed: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def bottleneck_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").selectExpr("p_partkey AS node")
-    return closure.depths(tables.prerequisites(spark, sf_dir), nodes)
+    return closure.depths(tables.prerequisites(spark, sf_dir).select("src", "dst").distinct(), nodes)
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
