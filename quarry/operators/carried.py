failure_impact: nodes that lead to none stay out of the rounds that tell levels apart

Symptom: failure_impact shuffled 13 MB written and 13 MB read for 0.18 MB of courses (the profiler, sf0.1, at 5d432e4); 9 and 10 MB at the commit before this one.
Evidence: by the event log some 5 of the 9.5 MB left were 13 rounds of depths() over nearly all edges, though the depth of a node that leads to none is never used; then carry() joined the edges and the levels three times more to find such nodes again.
Fix: edges learn once whether their end leads on, only those that do go into depths(), the other ends get the last level at once, and carry() takes these levels as they are; only beside cycles, what lies behind them is looked for and taken out.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1386 -> 1287 s, shuffle 1.23 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.20 GB, longest task 8 -> 9 s, most memory of a task 173 -> 173 MB; at 6 GB of input CPU 5034 -> 3611 s, shuffle 8.08 -> 4.10 GB, spill 0.00 -> 0.00 GB, read 1.20 -> 1.08 GB, longest task 11 -> 12 s, most memory of a task 1023 -> 1023 MB; with hot keys, at 1 GB of input CPU 1275 -> 1086 s, shuffle 1.23 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.20 GB, longest task 10 -> 9 s, most memory of a task 173 -> 173 MB.

@@ -158,19 +158,17 @@ def _parted(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def carry(edges: DataFrame, levels: DataFrame, kind: Kind, own: DataFrame | None = None) -> DataFrame:
     """(node, items, values): what each node takes over from the nodes before it, and for those that lead to others, what it owns too; in one row or more, no item twice.
 
-    edges: (src, dst, conf), each once; levels: (node, depth), the longest path to each node, of the nodes to look at, from which none before them is left out; own: (node, item), by default each node owns itself.
+    edges: (src, dst, conf), each once; levels: (node, depth), of all their ends: LAST for those that lead to none, for the others the longest path to each; own: (node, item), by default each node owns itself.
     All ends and items are longs, without nulls. Rows are stored in the shared folder until the session ends, as checkpoints are.
     """
     spark = edges.sparkSession
     rounds = Rounds(spark)
     levels = rounds.keep("levels", levels.select("node", "depth"))
-    inner = rounds.keep("inner", edges.select("src", "dst", "conf").join(shuffled(levels.select(F.col("node").alias("dst"))), "dst", "left_semi"))
-    leads = inner.select(F.col("src").alias("node"), F.lit(True).alias("leads")).distinct()
-    placed = rounds.keep("placed", levels.join(shuffled(leads), "node", "left").select("node", "depth", F.when(F.col("leads"), F.col("depth")).otherwise(LAST).alias("t")))
-    target = inner.join(shuffled(placed.select(F.col("node").alias("dst"), "t")), "dst").select(F.col("src").alias("node"), F.struct("t", "dst", F.col("conf").cast("double").alias("conf")).alias("x"))
+    inner = rounds.keep("inner", edges.select("src", "dst", "conf"))
+    target = inner.join(shuffled(levels.select(F.col("node").alias("dst"), F.col("depth").alias("t"))), "dst").select(F.col("src").alias("node"), F.struct("t", "dst", F.col("conf").cast("double").alias("conf")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy("x.dst")) - 1
     out = target.withColumn("first", F.floor(nth / EDGES) == 0).withColumn("chunk", F.floor(nth / EDGES)).groupBy("node", "chunk", "first").agg(F.collect_list("x").alias("targets"))
-    out = out.select("node", "first", "targets").join(shuffled(placed.select("node", "depth")), "node")
+    out = out.select("node", "first", "targets").join(shuffled(levels), "node")
     start = F.lit(kind.start).cast(kind.value)
     if own is None:
         out = out.withColumn("items", F.when(F.col("first"), F.array("node")).otherwise(F.array().cast("array<bigint>")))
@@ -179,7 +177,7 @@ def carry(edges: DataFrame, levels: DataFrame, kind: Kind, own: DataFrame | None
         out = out.join(shuffled(mine), ["node", "first"], "left").withColumn("items", F.coalesce("mine", F.array().cast("array<bigint>")))
     out = out.select("node", "depth", "first", "targets", "items", F.transform("items", lambda x: start).alias("values"))
     ways = rounds.keep("ways", out.repartitionByRange("depth", "node").sortWithinPartitions("depth"))
-    nodes, most = placed.count(), inner.groupBy("dst").count().agg(F.max("count")).first()[0] or 0
+    nodes, most = levels.count(), inner.groupBy("dst").count().agg(F.max("count")).first()[0] or 0
     to = ways.select("depth", F.explode("targets.t").alias("t")).groupBy("depth")
     later = {r["depth"]: (r["t"] or -1, r["last"]) for r in to.agg(F.max(F.when(F.col("t") < LAST, F.col("t"))).alias("t"), F.bool_or(F.col("t") == LAST).alias("last")).collect()}
     fields = f"node bigint, block int, conf double, own boolean, first boolean, targets {_TARGETS}, items array<bigint>, values array<{kind.value}>"
@@ -226,5 +224,5 @@ def carry(edges: DataFrame, levels: DataFrame, kind: Kind, own: DataFrame | None
     found = whole(LAST, False) if stores else spark.createDataFrame([], f"node bigint, items array<bigint>, values array<{kind.value}>")
     for store, _, _ in stores.values():
         found = found.unionAll(store.where("first").select("node", "items", "values"))
-    rounds.leave("levels", "inner", "placed", "ways")
+    rounds.leave("levels", "inner", "ways")
     return found

@@ -28,9 +28,21 @@ def _by_levels(edges: DataFrame, kind: carried.Kind, own: DataFrame | None = Non
     if not {edges.schema[c].dataType.simpleString() for c in ("src", "dst")} <= whole or not edges.where("src IS NULL OR dst IS NULL OR conf IS NULL").isEmpty():
         return None, None
     long = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), "conf")
-    levels = checkpoint(depths(long))
-    rest = checkpoint(long.select(F.col("dst").alias("node")).distinct().join(shuffled(levels), "node", "left_anti"))
-    return carried.carry(long, levels, kind, own), None if rest.isEmpty() else rest
+    leads = long.select(F.col("src").alias("dst")).distinct().withColumn("leads", F.lit(True))
+    ahead = checkpoint(long.join(shuffled(leads), "dst", "left").select("src", "dst", "conf", "leads"))
+    # nodes that lead to none, mostly the greater part, all come last, so that the rounds of depths are without them
+    last = ahead.where("leads IS NULL")
+    inside = checkpoint(depths(ahead.where("leads"), last.select(F.col("src").alias("node"))))
+    levels = inside.unionAll(last.select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(carried.LAST)))
+    stuck = checkpoint(ahead.select("src").distinct().join(shuffled(inside.select(F.col("node").alias("src"))), "src", "left_anti"))
+    if stuck.isEmpty():
+        return carried.carry(ahead, levels, kind, own), None
+    rest = checkpoint(ahead.join(shuffled(stuck), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+    free = checkpoint(ahead.join(shuffled(rest.withColumnRenamed("node", "dst")), "dst", "left_anti").select("src", "dst", "conf"))
+    # of a node all that it leads to may be among the rest
+    leads = free.select(F.col("src").alias("node")).distinct().withColumn("leads", F.lit(True))
+    levels = levels.join(shuffled(rest), "node", "left_anti").join(shuffled(leads), "node", "left").select("node", F.when(F.col("leads"), F.col("depth")).otherwise(carried.LAST).alias("depth"))
+    return carried.carry(free, levels, kind, own), rest
 
 
 def _flat(packed: DataFrame, edges: DataFrame) -> DataFrame:
